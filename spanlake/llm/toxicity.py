@@ -23,7 +23,7 @@ NEUTRAL = 32
 #: Labelled texts of each label that are learnt from at most, those with the smallest hash of their id.
 SAMPLE = 1500
 #: Passes over them, batch, Adam's rate, weight decay of the vectors.
-EPOCHS, BATCH, RATE, DECAY = 14, 128, 0.15, 1e-6
+EPOCHS, BATCH, RATE, DECAY = 14, 128, 0.3, 1e-6
 #: Words a worker remembers.
 MEMORY = 1_000_000
 
