@@ -26,8 +26,9 @@ STEP = 48
 BLOCK = 1 << 19
 
 
-def best_cuts(places, penalties, size: int) -> list[int]:
-    """Indices into ``places`` (ascending from 0, steps of at most ``size``) of the cuts of least padding plus penalties."""
+def best_cuts(places, penalties, size: int, last=None) -> list[int]:
+    """Indices into ``places`` (ascending from 0, steps of at most ``size``) of the cuts of least padding plus penalties.
+    ``last(n)`` is the price of a last window of n tokens, by default its padding."""
     n = len(places)
     key, before = [0] * n, [0] * n
     queue, head = [0] * n, 0
@@ -46,7 +47,12 @@ def best_cuts(places, penalties, size: int) -> list[int]:
             tail -= 1
         queue[tail] = j
         tail += 1
-    cuts = [n - 1]
+    end, last = places[-1], last or (lambda n: size - n)
+    ends, i = [], n - 2
+    while i >= 0 and end - places[i] <= size:
+        ends.append(i)
+        i -= 1
+    cuts = [n - 1, min(ends, key=lambda i: (key[i] - places[i] + last(end - places[i]), i))]
     while cuts[-1]:
         cuts.append(before[cuts[-1]])
     return cuts[::-1]
@@ -92,7 +98,8 @@ class Packer:
         ids = np.concatenate([d[1] for d in self.docs])
         ends = np.cumsum([len(d[1]) for d in self.docs])
         places, penalties = possible_cuts(ids, ends, self.closing, self.step)
-        cuts = [places[k] for k in best_cuts(places, penalties, self.size)]
+        # What isn't the end goes on in the next block, so its last window has no padding yet.
+        cuts = [places[k] for k in best_cuts(places, penalties, self.size, self._tail_price if last else lambda n: 0)]
         if last:
             cuts = cuts[:-2] + self._tail(cuts[-2], cuts[-1])
         else:
@@ -118,15 +125,18 @@ class Packer:
         self.docs, self.tokens = rest, int(len(ids) - done)
         return out
 
+    def _tail_price(self, n: int) -> int:
+        return min(self.size - n, INSIDE * (n.bit_count() - 1))
+
     def _tail(self, low: int, high: int) -> list[int]:
         """Cuts of the very last window: powers of two, which need no padding, if that costs less than padding."""
         n = high - low
-        powers = [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
-        if self.size - n <= INSIDE * (len(powers) - 1):
+        if self.size - n <= INSIDE * (n.bit_count() - 1):
             return [low, high]
         cuts = [low]
-        for p in powers:
-            cuts.append(cuts[-1] + p)
+        for k in reversed(range(n.bit_length())):
+            if n >> k & 1:
+                cuts.append(cuts[-1] + (1 << k))
         return cuts
 
 
