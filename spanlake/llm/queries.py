@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import exact, lines, packing, simhash, tokens, toxicity, warc
+from spanlake.llm import exact, licenses, lines, packing, quality, simhash, tokens, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,26 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), F.char_length(text).alias("n_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.judged(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    counts = [f"_q.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *counts, F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_groups(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -43,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_toxicity, op4_line_dedup, op7_simhash, op9_exact_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_toxicity, op4_line_dedup, op5_licenses, op6_quality_rules, op7_simhash, op8_url_filters, op9_exact_dedup, op10_warc)}
 
 SQL = {
     "op9_exact_dedup": r"""

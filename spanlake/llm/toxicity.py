@@ -128,13 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _words: dict = {}
 
 
-def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for every row. A text without words, null or empty, has the score of the bias."""
+def scorer(spark, model):
+    """A function from a text column to its score, 0 to 1. A text without words, null or empty, has the score of the bias."""
     numbers, bias = model
-    shared = docs.sparkSession.sparkContext.broadcast((numbers, bias, f"{zlib.crc32(numbers.tobytes())}/{bias}"))
-    rows = texts(docs, id_col, text_col)
+    shared = spark.sparkContext.broadcast((numbers, bias, f"{zlib.crc32(numbers.tobytes())}/{bias}"))
 
-    def work(batches):
+    @F.pandas_udf("double")
+    def score_of(column):
         import numpy as np
         import pandas as pd
 
@@ -143,24 +143,29 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             _words.clear()
             _words.update(model=name, known={})
         known = _words["known"]
-        for batch in batches:
-            out = np.empty(len(batch))
-            for k, text in enumerate(batch["text"]):
-                own = dict.fromkeys(words(text))
-                total = 0.0
-                for w in own:
-                    x = known.get(w)
-                    if x is None:
-                        x = float(numbers[buckets(w)].mean())
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        if len(w) <= 64:
-                            known[w] = x
-                    total += x
-                out[k] = 1 / (1 + np.exp(-np.clip(bias + total / (len(own) + NEUTRAL), -60, 60)))
-            yield pd.DataFrame({"id": batch["id"], "score": out})
-
-    scored = rows.mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+        out = np.empty(len(column))
+        for k, text in enumerate(column):
+            own = dict.fromkeys(words(text or ""))
+            total = 0.0
+            for w in own:
+                x = known.get(w)
+                if x is None:
+                    x = float(numbers[buckets(w)].mean())
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    if len(w) <= 64:
+                        known[w] = x
+                total += x
+            out[k] = bias + total / (len(own) + NEUTRAL)
+        return pd.Series(1 / (1 + np.exp(-np.clip(out, -60, 60))))
+
+    return score_of
+
+
+def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, score, predicted) for every row."""
+    rows = texts(docs, id_col, text_col)
+    scored = rows.select("id", scorer(docs.sparkSession, model)("text").alias("score"))
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
     return scored.select("id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
