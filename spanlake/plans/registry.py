@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from spanlake.plans import spans as _spans  # noqa: F401
+from spanlake.plans.base import QUERIES, SQL  # noqa: F401
