@@ -20,7 +20,8 @@ def query(sql: str | None = None, *, views=(fixtures.SPANS_SQL,)):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = "WITH " + ",\n".join([*views, *([] if sql.lstrip().upper().startswith("SELECT") else [sql.strip()])]) + ("\n" + sql.strip() if sql.lstrip().upper().startswith("SELECT") else "")
+            body = sql.strip()
+            SQL[f.__name__] = "WITH " + ",\n".join(views) + ("\n" if body.startswith("SELECT") else ",\n") + body
         return f
 
     return register
