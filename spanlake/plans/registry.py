@@ -4,5 +4,6 @@ from __future__ import annotations
 
 from spanlake.plans import anomaly as _anomaly  # noqa: F401
 from spanlake.plans import graph as _graph  # noqa: F401
+from spanlake.plans import sampling as _sampling  # noqa: F401
 from spanlake.plans import spans as _spans  # noqa: F401
 from spanlake.plans.base import QUERIES, SQL  # noqa: F401
