@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import new_folder, stored
 
 END = "\r\n\r\n"
-#: Code points of a chunk.
-CHUNK = 1 << 15
+#: Code points of a chunk; bytes of chunks that a task hands over together.
+CHUNK, BATCH = 1 << 15, 1 << 20
 #: Bytes from which equal payloads are stored once.
 LEAST = 1000
 
@@ -41,9 +41,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     def work(batches):
         import pandas as pd
 
+        out, held = [], 0
         for batch in batches:
             for key, url, payload, to in zip(batch["id"], batch["url"], batch["payload"], batch["refers_to"]):
-                out, so_far, size = [], hashlib.sha1(), 0
+                so_far, size = hashlib.sha1(), 0
                 target = "".join(c for c in url if c.isprintable() and c != " ")
                 head = f"WARC/1.1\r\nWARC-Record-ID: <urn:page:{key}>\r\nWARC-Target-URI: {target}\r\n"
                 cuts = range(0, max(1, len(payload)), chunk)
@@ -58,13 +59,14 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
                         if k == len(cuts) - 1:
                             parts += f"WARC-Segment-Total-Length: {size}\r\n"
                         out.append(f"{head}WARC-Type: {kind}\r\n{parts}Content-Length: {len(data)}{END}{block}")
-                    if len(out) >= 16:
+                    held += len(data)
+                    if held >= BATCH or len(out) >= 1000:
                         yield pd.DataFrame({"record": out})
-                        out = []
+                        out, held = [], 0
                 if not (to is None or to != to):
                     refer = f"WARC-Refers-To: <urn:page:{int(to)}>\r\nWARC-Payload-Digest: sha1:{so_far.hexdigest()}\r\nWARC-Segment-Total-Length: {size}\r\n"
                     out.append(f"{head}WARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n{refer}Content-Length: 0{END}")
-                yield pd.DataFrame({"record": out})
+        yield pd.DataFrame({"record": out})
 
     return rows.mapInPandas(work, "record string")
 
