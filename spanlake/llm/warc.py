@@ -66,7 +66,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
                 if not (to is None or to != to):
                     refer = f"WARC-Refers-To: <urn:page:{int(to)}>\r\nWARC-Payload-Digest: sha1:{so_far.hexdigest()}\r\nWARC-Segment-Total-Length: {size}\r\n"
                     out.append(f"{head}WARC-Type: revisit\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n{refer}Content-Length: 0{END}")
-        yield pd.DataFrame({"record": out})
+        if out:
+            yield pd.DataFrame({"record": out})
 
     return rows.mapInPandas(work, "record string")
 
@@ -134,8 +135,8 @@ def read_chunks(spark, folder: str) -> DataFrame:
                 if name != file:  # an archive is one file, and is read by one task from its start
                     parser, file = _Parser(), name
                 out += parser.feed(value.encode("utf-8", "surrogatepass") + END.encode())
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({"refers_to": "Int64", "total": "Int64"})
+            if out:
+                yield pd.DataFrame(out, columns=columns).astype({"refers_to": "Int64", "total": "Int64"})
 
     return lines.mapInPandas(work, "id long, chunk long, n_bytes long, digest string, written_digest string, kind string, refers_to long, total long")
 
