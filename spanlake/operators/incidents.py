@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.lineage import cut
+
 SECOND = 1_000_000_000
 
 
-def group(events: DataFrame, near: DataFrame, *, same_ns: int = 1800 * SECOND, near_ns: int = 300 * SECOND, rounds: int = 30) -> DataFrame:
+def group(events: DataFrame, near: DataFrame, *, same_ns: int = 1800 * SECOND, near_ns: int = 300 * SECOND, rounds: int = 100) -> DataFrame:
     """``events`` (event_id, tenant, service, fingerprint, at_ns) with ``incident``: the smallest event id that it is linked to.
 
     Linked are consecutive events of one fingerprint at most ``same_ns`` apart, and events of services within the hops of
@@ -26,18 +28,19 @@ def group(events: DataFrame, near: DataFrame, *, same_ns: int = 1800 * SECOND, n
     hops = near.where("service <> other").select("tenant", "service", "other").distinct()
     across = heads.join(hops, ["tenant", "service"]).join(others, ["tenant", "other", "_b"]).where((F.col("at_ns") >= F.col("b_ns")) & (F.col("at_ns") - F.col("b_ns") <= near_ns) & (F.col("event_id") != F.col("b"))).select(F.col("event_id").alias("a"), "b")
     pairs = same.unionByName(chain).unionByName(across).distinct()
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    now = events.select("event_id", F.col("event_id").alias("incident")).persist()
+    links = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = cut(events.select("event_id", F.col("event_id").alias("incident")))
+    seen = None
     for _ in range(rounds):
         least = links.join(now, links["b"] == now["event_id"]).groupBy("a").agg(F.min("incident").alias("m"))
         new = now.join(least, now["event_id"] == least["a"], "left").select("event_id", F.least("incident", "m").alias("incident"))
         jumped = new.select(F.col("event_id").alias("incident"), F.col("incident").alias("root"))
-        new = new.join(jumped, "incident", "left").select("event_id", F.least("incident", "root").alias("incident")).persist()
-        same_sum = now.agg(F.sum(F.hash("event_id", "incident").cast("bigint"))).first()[0] == new.agg(F.sum(F.hash("event_id", "incident").cast("bigint"))).first()[0]
-        now = new
-        if same_sum:
-            break
-    return events.join(now, "event_id")
+        now = cut(new.join(jumped, "incident", "left").select("event_id", F.least("incident", "root").alias("incident")))
+        mark = now.agg(F.sum(F.xxhash64("event_id", "incident").cast("decimal(38,0)"))).first()[0]
+        if mark == seen:
+            return events.join(now, "event_id")
+        seen = mark
+    raise RuntimeError(f"incidents still grow after {rounds} rounds")
 
 
 def severity(score: str = "score", services: str = "n_services") -> Column:
