@@ -17,7 +17,7 @@ def floor_to(column: str, width_ns: int) -> Column:
 def rollup(spans: DataFrame, *, width_ns: int = 10 * SECOND, time_col: str = "received_ns", exemplars: int = 4) -> DataFrame:
     """Calls, errors, summed duration, histogram and the lowest exemplar trace ids by tenant, service, operation and bucket.
 
-    Exemplars are cut to their number in each task before the shuffle is merged, so a hot key stays small.
+    The distinct trace ids of an operation and bucket are held while it is aggregated; ``width_ns`` bounds them.
     """
     keyed = spans.withColumn("bucket_ns", floor_to(time_col, width_ns))
     key = ["tenant", "service", "name", "bucket_ns"]

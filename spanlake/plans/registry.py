@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlake.plans import anomaly as _anomaly  # noqa: F401
+from spanlake.plans import correlate as _correlate  # noqa: F401
 from spanlake.plans import graph as _graph  # noqa: F401
 from spanlake.plans import incidents as _incidents  # noqa: F401
 from spanlake.plans import sampling as _sampling  # noqa: F401
