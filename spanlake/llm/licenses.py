@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanlake.llm.common import small, texts
+from spanlake.llm.common import small, stored, texts
 
 #: Phrases and their labels (fixed values).
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -95,6 +95,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given
     # Words left out or exchanged break up to GRAM votes each: what can't reach SHARE is not looked at again.
     enough = sized.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.size("template_words") * (1 - GRAM * (1 - SHARE))) - GRAM + 1))
     asked = enough.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "label", "template_words", "low", "high")).alias("asked"))
+    asked = stored(asked, "spans")  # counted, then joined: the votes are cast once
     again = rows.join(small(asked), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", split.alias("words"), F.explode("asked").alias("a"))
     own = F.slice("words", F.col("a.low") + 1, F.col("a.high") - F.col("a.low") + GRAM)
     span = again.select("id", "mark", "a.template", "a.label", "a.template_words", F.col("a.low").alias("start"), own.alias("own"))
