@@ -27,7 +27,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand earlier; those that lose all their lines go. n_chars is the new text's length."""
-    out = lines.dedup_lines(docs).where("_lines = 0 or _lines > _exact + _near")
+    out = lines.dedup_lines(docs, grow=True).where("_lines = 0 or _lines > _exact + _near")
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

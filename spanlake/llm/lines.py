@@ -1,28 +1,42 @@
-"""Line dedup by a deletion-neighbourhood join: of lines that are equal or one word edit apart, the earliest stays.
+"""Line dedup: of lines that are equal or a few word edits apart, the earliest stays.
 
-A line is its words, lower-cased, between white space; an edit inserts, deletes or replaces one word. Two lines are at most
-one edit apart if they are equal, if one is the other without a word, or if both are the same without their word at one and
-the same place. So every line emits the hashes of all its variants without one word, joins equal ones, and the partner that
-is found is verified on the words themselves.
+A line is its words, lower-cased, between white space; an edit inserts, deletes or replaces one word. How many edits apart two
+lines may be grows with the shorter one's length (``edits``). Both searches below are exact.
 
-Most lines have no such partner, and lines are long; so the variants are emitted only by lines that can have one: of two lines
-one edit apart, the first or the last half of the words is equal, and those halves, as hashed keys, are compared first.
+Short lines, one edit: two lines are at most one edit apart if they are equal, if one is the other without a word, or if both
+are the same without their word at one and the same place. So every line emits the hashes of all its variants without one
+word, joins equal ones, and the partner that is found is verified on the words themselves. The variants are emitted only by
+lines that can have a partner: of two lines one edit apart, the first or the last half of the words is equal, and those
+halves, as hashed keys, are compared first.
+
+Longer lines, k edits: these leave k + 1 runs of equal words, the longest of which has a length that is known (``KINDS``).
+Of every window of so many words a line emits its least hash of a few words in a row, so lines with such a run in common share
+a key. Lines that share one are compared by length and by counts of their words, and then word by word.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import stored, texts
 
 #: Words from which a line has near copies; shorter ones are compared as they are.
 MIN_WORDS = 8
+#: Words for each of which a line may have an edit more, and from which it may have two.
+STEP = 20
+#: (words of the shorter line, q, w): k edits leave a run of q + w - 1 equal words at least, up to the next kind's length.
+KINDS = ((STEP, 4, 3), (2 * STEP, 5, 6), (3 * STEP, 6, 7), (10 * STEP, 6, 11))
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
+def edits(words: int) -> int:
+    """Word edits that two lines may be apart, the shorter one of which has ``words`` words (``MIN_WORDS`` at least)."""
+    return words // STEP + 1
+
+
 def line_words(line: str) -> list[str]:
     return line.lower().split()
 
@@ -57,6 +71,93 @@ def variants(words: list[str]):
     return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
+def runs(words: list[str]) -> list[int]:
+    """Keys (int64), at least one of which a line shares with any of ``STEP`` words or more that is up to ``edits`` apart."""
+    import numpy as np
+    import xxhash
+
+    n = len(words)
+    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    shortest = n
+    while shortest > STEP and n - (shortest - 1) <= edits(shortest - 1):
+        shortest -= 1
+    out = []
+    for k, (low, q, w) in enumerate(KINDS):
+        if n < low or k + 1 < len(KINDS) and shortest >= KINDS[k + 1][0]:
+            continue
+        grams = np.full(n - q + 1, k + 1, np.uint64)
+        for i in range(q):
+            grams = (grams ^ own[i : n - q + 1 + i]) * np.uint64(_BASE)
+            grams ^= grams >> np.uint64(29)
+        out.append(np.lib.stride_tricks.sliding_window_view(grams, w).min(axis=1))
+    return np.unique(np.concatenate(out)).view(np.int64).tolist() if out else []
+
+
+def word_counts(words: list[str]) -> int:
+    """Sixteen counts of four bits (int64), of the words by hash; an edit changes two of them by one at most."""
+    import xxhash
+
+    counts = [0] * 16
+    for w in words:
+        counts[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) & 15] += 1
+    return sum(min(c, 15) << 4 * i for i, c in enumerate(counts)) - (1 << 63)
+
+
+def within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether a and b are at most ``most`` word edits apart: the furthest place on each diagonal, edit by edit."""
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return False
+    last: dict[int, int] = {}
+    for e in range(most + 1):
+        now = {}
+        for d in range(-e, e + 1):
+            i = min(max(last.get(d, -2) + 1, last.get(d - 1, -2), last.get(d + 1, -2) + 1), n, m - d) if e else 0
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            now[d] = i
+        last = now
+    return False
+
+
+def near(a: list[str], b: list[str]) -> bool:
+    """Whether a and b, of ``MIN_WORDS`` words at least, are at most ``edits`` apart."""
+    return within(a, b, edits(min(len(a), len(b))))
+
+
+def likely(group, every: bool):
+    """Places (own, other) in ``group``, sorted by key and line, of lines under one key that length and counts let be near.
+
+    ``every``: of the lines with ``open`` all pairs, else for every line the earliest other.
+    """
+    import numpy as np
+
+    key, n, open_ = group["key"].to_numpy(), group["n"].to_numpy(), group["open"].to_numpy()
+    packed = group["counts"].to_numpy().astype(np.uint64) ^ np.uint64(1 << 63)
+    new = np.r_[True, key[1:] != key[:-1]]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    rank = np.arange(len(key)) - start
+    own, r, found = np.flatnonzero((rank > 0) & open_), 0, []
+    while len(own):
+        other = start[own] + r
+        most = np.minimum(n[own], n[other]) // STEP + 1
+        fits = np.abs(n[own] - n[other]) <= most
+        at = np.flatnonzero(fits)
+        apart = np.zeros(len(at), np.int64)
+        for i in range(16):
+            x, y = ((packed[side[at]] >> np.uint64(4 * i)) & np.uint64(15) for side in (own, other))
+            apart += np.abs(x.astype(np.int64) - y.astype(np.int64))
+        fits[at] = apart <= 2 * most[at]
+        found.append((own[fits], other[fits]))
+        r += 1
+        own = own[(rank[own] > r) & (every | ~fits)]
+    return [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ()))]
+
+
 def one_edit(a: list[str], b: list[str]) -> bool:
     """Whether a and b are at most one word edit apart."""
     if abs(len(a) - len(b)) > 1:
@@ -69,9 +170,9 @@ def one_edit(a: list[str], b: list[str]) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """(id, line, near): the lines, counted from 0 in a document, that go. ``near``: no equal line is earlier, but one that is
-    one edit apart. Earlier is the smaller id, then the smaller line; a row's repetition counts as the same document.
+    one edit apart, or with ``grow`` up to ``edits``. Earlier is the smaller id, then the smaller line; a row's repetition counts as the same document.
 
     A line without words always stays. A line goes whether or not the earlier one goes for a still earlier one. Null and
     empty texts have no lines; an empty table gives an empty result.
@@ -89,17 +190,31 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 for k, line in enumerate(text.split("\n")):
                     if words := line_words(line):
                         mark = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        out.append((key, k, mark, halves(words) if len(words) >= min_words else []))
-            yield pd.DataFrame(out, columns=["id", "line", "mark", "keys"])
+                        out.append((key, k, mark, len(words)))
+            yield pd.DataFrame(out, columns=["id", "line", "mark", "words"])
 
-    lines = stored(rows.mapInPandas(split, f"id {kind}, line int, mark binary, keys array<long>"), "lines")
-    unique = stored(lines.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "unique")
+    lines = stored(rows.mapInPandas(split, f"id {kind}, line int, mark binary, words int"), "lines")
+    unique = stored(lines.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.first("words").alias("words"), F.count("*").alias("n")), "unique")
     again = lines.join(unique.where("n > 1").select("mark", "first"), "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct()
 
-    halved = unique.select("first", F.explode("keys").alias("key"))
-    shared = halved.groupBy("key").agg(F.count_distinct("first").alias("n")).where("n > 1").select("key")
-    able = halved.join(shared, "key", "left_semi").select("first").distinct()
-    wanted = able.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.line").alias("wanted"))
+    def wanted(lines):
+        return rows.join(lines.groupBy("id").agg(F.collect_list("line").alias("wanted")), "id")
+
+    def keyed(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for key, text, wanted in zip(batch["id"], batch["text"], batch["wanted"]):
+                own = text.split("\n")
+                for k in wanted:
+                    words = line_words(own[k]) if k < len(own) else []
+                    if min_words <= len(words) and (len(words) <= STEP or not grow):
+                        out += [(key, int(k), x, 0, 0) for x in halves(words)]
+                    if grow and len(words) >= max(min_words, STEP):
+                        counts = word_counts(words)
+                        out += [(key, int(k), x, len(words), counts) for x in runs(words)]
+            yield pd.DataFrame(out, columns=["id", "line", "key", "n", "counts"])
 
     def pick(batches):
         import pandas as pd
@@ -111,7 +226,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out += [(key, int(k), " ".join(line_words(own[k]))) for k in wanted if k < len(own)]
             yield pd.DataFrame(out, columns=["id", "line", "words"])
 
-    picked = stored(rows.join(wanted, "id").mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
+    def words_of(lines, name):
+        return stored(wanted(lines).mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), name)
+
+    long_enough = unique.where(F.col("words") >= min_words).select("first.id", "first.line")
+    keys = wanted(long_enough).mapInPandas(keyed, f"id {kind}, line int, key long, n int, counts long")
+    all_ = Window.partitionBy("key", F.col("n") == 0)
+    own = F.struct("id", "line")
+    shared = stored(keys.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("least", "most"), "shared")
+    picked = words_of(shared.where("n = 0").select("id", "line").distinct(), "picked")
 
     def emit(batches):
         import numpy as np
@@ -137,19 +260,56 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verify(batches):
         for batch in batches:
-            good = [one_edit(a.split(" "), b.split(" ")) for a, b in zip(batch["words"], batch["other_words"])]
+            good = [(near if grow else one_edit)(a.split(" "), b.split(" ")) for a, b in zip(batch["words"], batch["other_words"])]
             yield batch.loc[good, ["id", "line"]]
 
     found = found.select(F.col("own.id").alias("id"), F.col("own.line").alias("line"), F.col("other.id").alias("other_id"), F.col("other.line").alias("other_line"))
-    sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
-    near = sides.select("id", "line", "words", "other_words").mapInPandas(verify, f"id {kind}, line int").distinct().withColumn("near", F.lit(True))
-    return again.unionByName(near)
-
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    def verified(found, picked):
+        sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
+        return sides.select("id", "line", "words", "other_words").mapInPandas(verify, f"id {kind}, line int").distinct()
+
+    def pairs(every):
+        def groups(batches):
+            import pandas as pd
+
+            def ready(group):
+                own, other = likely(group, every)
+                x, y = group.iloc[own], group.iloc[other]
+                return pd.DataFrame({"id": x["id"].to_numpy(), "line": x["line"].to_numpy(), "other_id": y["id"].to_numpy(), "other_line": y["line"].to_numpy()})
+
+            rest = None
+            for batch in batches:
+                rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                done = int((rest["key"].to_numpy() != rest["key"].iloc[-1]).sum()) if len(rest) else 0  # keys are sorted
+                if done:
+                    yield ready(rest.iloc[:done].reset_index(drop=True))
+                    rest = rest.iloc[done:].reset_index(drop=True)
+            if rest is not None and len(rest):
+                yield ready(rest)
+
+        return groups
+
+    def alike(rows, every, name):
+        out = rows.select("id", "line", "key", "n", "counts", "open").repartition("key").sortWithinPartitions("key", "id", "line").mapInPandas(pairs(every), f"id {kind}, line int, other_id {kind}, other_line int")
+        out = stored(out.where("struct(other_id, other_line) < struct(id, line)").distinct(), name)
+        return out, words_of(out.select("id", "line").union(out.select("other_id", "other_line")).distinct(), f"{name}-words")
+
+    # First each line with the earliest one that may be near; then those that aren't settled by it with all earlier ones.
+    if not grow:
+        return again.unionByName(verified(found, picked).withColumn("near", F.lit(True)))
+    runs_ = shared.where("n > 0")
+    settled = stored(verified(*alike(runs_.withColumn("open", F.lit(True)), False, "earliest")), "settled")
+    left = runs_.join(settled.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull())
+    others = verified(*alike(left, True, "others"))
+    close = verified(found, picked).unionByName(settled).unionByName(others).distinct().withColumn("near", F.lit(True))
+    return again.unionByName(close)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """``docs`` and columns _lines, _exact, _near (lines with words; those that went for an equal one, for a near one); the
     text is what is left of it, lines in order. A text that loses no line, null included, stays as it is."""
-    gone = dropped_lines(docs, id_col, text_col, min_words)
+    gone = dropped_lines(docs, id_col, text_col, min_words, grow)
     by_doc = gone.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_list("line")).alias("_gone"), F.count_if("near").cast("int").alias("_near"))
 
     @F.pandas_udf("string")

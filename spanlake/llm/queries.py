@@ -25,7 +25,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"), grow=True)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_exact").alias("n_exact"), F.col("_near").alias("n_near"), F.char_length(text).alias("n_left"), F.sha2(text, 256).alias("text_sha256"))
 

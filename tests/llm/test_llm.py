@@ -203,6 +203,45 @@ def test_lines(docs, odd):
         assert len(out) == len({r.doc_id for r in rows if r.doc_id is not None})
 
 
+def distance(a, b):
+    """Word edits between a and b, by the whole table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_lines_grow(spark, docs):
+    """One edit, and one more for every 20 words of the shorter line, whatever the edits and wherever they are."""
+    import random
+
+    rng, made = random.Random(3), []
+    for n in (8, 19, 20, 21, 39, 40, 41, 54, 60, 61, 79, 80, 130, 199, 200, 203, 300, 700):
+        base = [f"v{rng.randrange(10**6)}" if rng.random() < 0.7 else rng.choice(["the", "of"]) for _ in range(n)]
+        made.append(base)
+        for extra in (0, 0, 0, 1, 2):
+            words = list(base)
+            for _ in range(n // 20 + 1 + extra):
+                at, kind = rng.randrange(len(words)), rng.randrange(3)
+                words[at : at + (kind != 1)] = [] if kind == 2 else [f"z{rng.randrange(10**6)}"]
+            made.append(words)
+    made += [["same"] * 30, ["same"] * 32, ["same"] * 35]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string")
+    for rows, table in ((df.collect(), df), (docs.select("doc_id", "text").collect(), docs)):
+        first = {}
+        for doc, k, words in sorted((r.doc_id, k, " ".join(x.lower().split())) for r in rows for k, x in enumerate((r.text or "").split("\n"))):
+            first.setdefault(words, (doc, k))
+        unique = [(at, w.split(" ")) for w, at in first.items() if len(w.split(" ")) >= lines.MIN_WORDS]
+        want = set()
+        for (a, x), (b, y) in itertools.combinations(unique, 2):
+            most = min(len(x), len(y)) // 20 + 1
+            if abs(len(x) - len(y)) <= most and len(set(x) ^ set(y)) <= 2 * most and distance(x, y) <= most:
+                want.add(max(a, b))
+        assert {(r.id, r.line) for r in lines.dropped_lines(table, grow=True).collect() if r.near} == want
+
+
 def test_quality_base(docs, odd):
     for rows, df in zip(*both(docs, odd)):
         got = {(r.doc_id, r.text): r for r in quality.judged(df, []).collect()}
