@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from spanlake.llm.common import stored, texts
 
-#: Words from which a line has near copies; shorter ones are compared as they are.
-MIN_WORDS = 8
+#: Words from which a line has near copies. An edit of a line of three words or fewer leaves too little in common; those are
+#: compared as they are.
+MIN_WORDS = 4
 #: Words for each of which a line may have an edit more, and from which it may have two.
 STEP = 20
 #: (words of the shorter line, q, w): k edits leave a run of q + w - 1 equal words at least, up to the next kind's length.

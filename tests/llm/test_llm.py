@@ -242,6 +242,15 @@ def test_lines_grow(spark, docs):
         assert {(r.id, r.line) for r in lines.dropped_lines(table, grow=True).collect() if r.near} == want
 
 
+def test_lines_short(spark):
+    """One edit in lines of four words or more, also where the other line has a word more."""
+    body = ["a b c d", "a b x d", "a b c d e", "p q r", "p q s", "p q r t", "k l m n o p q", "k l m n o p q r", "k l x n o p q r", "y a b c d", "one two", "one two three four", "g h i j", "h i j w"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(body)], "doc_id long, text string")
+    want = {b for a, b in itertools.combinations(range(len(body)), 2) for x, y in [(body[a].split(), body[b].split())] if min(len(x), len(y)) >= 4 and distance(x, y) <= 1}
+    for grow in (False, True):
+        assert {r.id for r in lines.dropped_lines(df, grow=grow).collect()} == want == {1, 2, 7, 8, 9}
+
+
 def test_quality_base(docs, odd):
     for rows, df in zip(*both(docs, odd)):
         got = {(r.doc_id, r.text): r for r in quality.judged(df, []).collect()}
