@@ -215,6 +215,7 @@ def parts(enc: Encoder, units: list) -> list:
 
 def _summary(kept: list, enc: Encoder) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
+    kept = [p for p in kept if p[0]]  # a unit of white space that isn't a blank has no ids
     ids = " ".join([p[1] for p in kept])
     if enc.tokenizer.decoder is None:  # then a decoded text is its tokens with a blank between each two
         decoded = " ".join([p[2] for p in kept])

@@ -127,6 +127,19 @@ def test_tokens(docs, odd):
             assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_tokens_white_space(spark):
+    """Units of white space alone have no ids, and leave nothing between the ids and words of others."""
+    body = ["foo \u00a0 bar", "foo\n\x0c\nbar", "\u3000 foo", "foo \u2028", " \u0085 ", "foo \x0b \u00a0 bar", "a \u00a0. b", ("foo \u00a0 bar\n\x0c\n" * 200)]
+    lib = tokens.Encoder(tokens.vocabulary())
+    want = []
+    for k, t in enumerate(body):
+        ids = lib.ids(t)
+        want.append((k, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()))
+    df = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")
+    for segment in (tokens.SEGMENT, 1000):
+        assert sorted(tuple(r) for r in tokens.round_trips(df, segment=segment).collect()) == want
+
+
 def test_tree_joins():
     import random
 
