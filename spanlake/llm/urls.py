@@ -76,14 +76,15 @@ def scored(lines: DataFrame, tables: list[DataFrame], *keep: str) -> DataFrame:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) for every row; score is null where a rule decides.
 
+    Rules look at host and path, the models at the whole url, its query and fragment included.
     The models learn from all urls that a rule decides; those that no rule fits are allowed if their score reaches the
     threshold, halfway between the mean scores of accepted and of rejected urls. Without urls of both kinds they are allowed.
-    Null urls and those without ``://`` have an empty host and path and are scored like others. Rows that repeat an id count
+    Null urls and those without ``://`` have an empty host and path and are scored like others, null as an empty url. Rows that repeat an id count
     each; an empty table gives an empty result.
     """
     host, path = host_and_path(pages[url_col])
-    rows = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("line", F.concat("host", "path"))
+    rows = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"), F.coalesce(pages[url_col], F.lit("")).alias("line"))
+    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     accepted = F.lit(None).cast("boolean")
     for rule, verdict in rules:
         accepted = F.when(F.col("rule") == rule, F.lit(verdict == "allow")).otherwise(accepted)

@@ -337,6 +337,15 @@ def test_url_model(spark):
     assert (got[300], got[301]) == ("allow", "block")
 
 
+def test_url_query(spark):
+    """Urls that differ only in query or fragment, or that have no ``://``, get scores of their own."""
+    rows = [(k, f"http://{'a.net' if k % 2 else 'a.org/fr'}/x?q={'spam' if k % 2 else 'news'}#{'zzz' if k % 2 else 'top'}") for k in range(20)]
+    rows += [(20, "http://a.info/x?q=news#top"), (21, "http://a.info/x?q=spam#zzz"), (22, "http://a.info/x"), (23, "spam"), (24, "news"), (25, None)]
+    got = {r.id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[20].verdict == "allow" and got[21].verdict == "block" and (got[20].host, got[20].path) == (got[21].host, got[21].path) == ("a.info", "/x")
+    assert len({got[k].score for k in range(20, 26)}) == 6 and got[0].rule == "org/fr/" and got[1].rule == "net/"
+
+
 def test_warc(spark):
     tricky = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" * 3000
     rows = [(1, None, None), (2, "http://x", ""), (3, "u", "é" * 700), (4, "u", "é" * 700), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "bad url\r\nX: y", tricky), (8, "u", "\r\n\r\n"), (9, "u", "end\r\n"), (10, "u", tricky), (11, "u", "\r" * 70000), (12, "u", "z" * 32768)]
