@@ -27,8 +27,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The session's own folder in the shared one; all that it stores is in there."""
+    folder = spark.conf.get("spanlake.run.dir", None)
+    if not folder:
+        folder = f"{shared_folder(spark)}/spanlake-{uuid.uuid4().hex}"
+        spark.conf.set("spanlake.run.dir", folder)
+    return folder
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this session has stored; frames that read it can't be used any more."""
+    folder = spark.conf.get("spanlake.run.dir", None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset("spanlake.run.dir")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,3 +64,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with a null text as an empty one; other columns, whatever their names, are left behind."""
     return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def id_kind(rows: DataFrame) -> tuple[str, str]:
+    """The type of ``id``, and the one that it has in Python workers. Whole numbers go there as text: pandas would make floats
+    of a batch with a null, and alter ids over 2^53."""
+    kind = rows.schema["id"].dataType.simpleString()
+    return kind, "string" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """``rows`` with the id as workers take it."""
+    return rows.withColumn("id", F.col("id").cast(id_kind(rows)[1]))
+
+
+def returned(rows: DataFrame, kind: str, *names: str) -> DataFrame:
+    """``rows`` from workers with the ids of type ``kind`` again."""
+    return rows.withColumns({n: F.col(n).cast(kind) for n in ("id", *names)})

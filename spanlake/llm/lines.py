@@ -1,7 +1,8 @@
 """Line dedup: of lines that are equal or a few word edits apart, the earliest stays.
 
 A line is its words, lower-cased, between white space; an edit inserts, deletes or replaces one word. How many edits apart two
-lines may be grows with the shorter one's length (``edits``). Both searches below are exact.
+lines may be grows with the shorter one's length (``edits``). Both searches below join hashes of deletion variants, and both
+are exact.
 
 Short lines, one edit: two lines are at most one edit apart if they are equal, if one is the other without a word, or if both
 are the same without their word at one and the same place. So every line emits the hashes of all its variants without one
@@ -9,9 +10,10 @@ word, joins equal ones, and the partner that is found is verified on the words t
 lines that can have a partner: of two lines one edit apart, the first or the last half of the words is equal, and those
 halves, as hashed keys, are compared first.
 
-Longer lines, k edits: these leave k + 1 runs of equal words, the longest of which has a length that is known (``KINDS``).
-Of every window of so many words a line emits its least hash of a few words in a row, so lines with such a run in common share
-a key. Lines that share one are compared by length and by counts of their words, and then word by word.
+Longer lines, k edits: all variants without up to k words would be far too many. Words are dealt to 2 k + 1 classes by their
+hash, and a line emits, for each class, the variant that has lost the words of all other classes. An edit touches two classes
+at most, so two lines k edits apart have one such variant in common. Should that be an empty one, the k + 1 words of the least
+hash stand for the line: of these too the two have one in common. What shares a key is verified word by word.
 """
 
 from __future__ import annotations
@@ -19,18 +21,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import stored, texts
+from spanlake.llm.common import fresh, stored, texts
 
 #: Words from which a line has near copies. An edit of a line of three words or fewer leaves too little in common; those are
 #: compared as they are.
 MIN_WORDS = 4
 #: Words for each of which a line may have an edit more, and from which it may have two.
 STEP = 20
-#: (words of the shorter line, q, w): k edits leave a run of q + w - 1 equal words at least, up to the next kind's length.
-KINDS = ((STEP, 4, 3), (2 * STEP, 5, 6), (3 * STEP, 6, 7), (10 * STEP, 6, 11))
+#: Words that are looked at together, and words whose hash a worker remembers.
+CHUNK, MEMORY = 200_000, 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+_ALL = (1 << 64) - 1
 
 
 def edits(words: int) -> int:
@@ -42,24 +45,54 @@ def line_words(line: str) -> list[str]:
     return line.lower().split()
 
 
+class _Hashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
+_hashes = _Hashes()
+
+
+def _hashed(words: list[str]):
+    import numpy as np
+
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _mixed(keys):
+    import numpy as np
+
+    keys = keys ^ (keys >> np.uint64(31))
+    keys = keys * np.uint64(0xD6E8FEB86659FD93)
+    return keys ^ (keys >> np.uint64(29))
+
+
 def halves(words: list[str]) -> list[int]:
-    """Keys of the first and the last half, for the line's own length and for that of a line of one word fewer."""
+    """Even keys of the first and the last half, for the line's own length and for that of a line of one word fewer."""
     import xxhash
 
     out = []
     for size in {len(words) // 2, (len(words) - 1) // 2}:
         for side, part in enumerate((words[:size], words[len(words) - size :])):
-            out.append(xxhash.xxh64_intdigest(f"{side} {size} {' '.join(part)}".encode("utf-8", "surrogatepass")) - (1 << 63))
+            out.append(xxhash.xxh64_intdigest(f"{side} {size} {' '.join(part)}".encode("utf-8", "surrogatepass")) & ~1)
     return out
 
 
 def variants(words: list[str]):
     """Keys (int64) of the line without each of its words in turn, then of the line as it is."""
     import numpy as np
-    import xxhash
 
     n = len(words)
-    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    own = _hashed(words)
     powers = np.full(n + 1, _BASE, np.uint64)
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
@@ -67,41 +100,64 @@ def variants(words: list[str]):
     np.cumsum(own * powers[:n], out=sums[1:])
     keys = np.concatenate([sums[:n] + (sums[n] - sums[1:]) * np.uint64(_BACK), sums[n:]])
     keys += np.array([n - 1] * n + [n], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    keys ^= keys >> np.uint64(31)
-    keys *= np.uint64(0xD6E8FEB86659FD93)
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+    return _mixed(keys).view(np.int64)
+
 
+def _families(n: int) -> list[int]:
+    """Bounds that a line of n words has with lines of its own length or more, and with shorter ones."""
+    out, m = {edits(n)}, n
+    while m > STEP and n - (m - 1) <= edits(m - 1):
+        m -= 1
+        out.add(edits(m))
+    return sorted(out)
 
-def runs(words: list[str]) -> list[int]:
-    """Keys (int64), at least one of which a line shares with any of ``STEP`` words or more that is up to ``edits`` apart."""
+
+def class_keys(lines: list[list[str]]):
+    """(places in ``lines``, odd keys) of lines of ``STEP`` words or more; one key at least is shared by any two of them that
+    are at most ``edits`` apart."""
     import numpy as np
-    import xxhash
 
-    n = len(words)
-    own = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    shortest = n
-    while shortest > STEP and n - (shortest - 1) <= edits(shortest - 1):
-        shortest -= 1
-    out = []
-    for k, (low, q, w) in enumerate(KINDS):
-        if n < low or k + 1 < len(KINDS) and shortest >= KINDS[k + 1][0]:
-            continue
-        grams = np.full(n - q + 1, k + 1, np.uint64)
-        for i in range(q):
-            grams = (grams ^ own[i : n - q + 1 + i]) * np.uint64(_BASE)
-            grams ^= grams >> np.uint64(29)
-        out.append(np.lib.stride_tricks.sliding_window_view(grams, w).min(axis=1))
-    return np.unique(np.concatenate(out)).view(np.int64).tolist() if out else []
-
-
-def word_counts(words: list[str]) -> int:
-    """Sixteen counts of four bits (int64), of the words by hash; an edit changes two of them by one at most."""
-    import xxhash
+    families: dict[int, list[int]] = {}
+    for i, words in enumerate(lines):
+        for k in _families(len(words)):
+            families.setdefault(k, []).append(i)
+    hashes = [_hashed(words) for words in lines]
+    owners, keys = [], []
+    for k, members in families.items():
+        p, own = 2 * k + 1, [hashes[i] for i in members]
+        sizes = np.array([len(h) for h in own])
+        h = np.concatenate(own)
+        group = np.repeat(np.arange(len(own)) * p, sizes) + ((h >> np.uint64(33)) % np.uint64(p)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, h = group[order], h[order]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        counts = np.diff(np.r_[starts, len(group)])
+        powers = np.full(int(counts.max()) + 1, _BASE, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        ranks = np.arange(len(group)) - np.repeat(starts, counts)
+        sums = np.add.reduceat(h * powers[ranks], starts)
+        place, kind = np.divmod(group[starts], p)
+        owners.append(np.array(members)[place])
+        salt = np.uint64(((k << 32) * _BASE) & _ALL)
+        keys.append(_mixed(sums + salt + kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + counts.astype(np.uint64)))
+        for i in np.flatnonzero(np.bincount(place, minlength=len(members)) < p):
+            least = _least_words(own[i], k)
+            owners.append(np.full(len(least), members[i]))
+            keys.append(_mixed(least + np.uint64((k * _BACK) & _ALL)))
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(owners), (np.concatenate(keys) | np.uint64(1)).view(np.int64)
+
+
+def _least_words(h, k: int):
+    """The k + 1 least hashes of words, the second, third ... of equal words having hashes of their own."""
+    import numpy as np
 
-    counts = [0] * 16
-    for w in words:
-        counts[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 1) & 15] += 1
-    return sum(min(c, 15) << 4 * i for i, c in enumerate(counts)) - (1 << 63)
+    h = np.sort(h)
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    ranks = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    return np.sort(_mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE)))[: k + 1]
 
 
 def within(a: list[str], b: list[str], most: int) -> bool:
@@ -130,35 +186,6 @@ def near(a: list[str], b: list[str]) -> bool:
     return within(a, b, edits(min(len(a), len(b))))
 
 
-def likely(group, every: bool):
-    """Places (own, other) in ``group``, sorted by key and line, of lines under one key that length and counts let be near.
-
-    ``every``: of the lines with ``open`` all pairs, else for every line the earliest other.
-    """
-    import numpy as np
-
-    key, n, open_ = group["key"].to_numpy(), group["n"].to_numpy(), group["open"].to_numpy()
-    packed = group["counts"].to_numpy().astype(np.uint64) ^ np.uint64(1 << 63)
-    new = np.r_[True, key[1:] != key[:-1]]
-    start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    rank = np.arange(len(key)) - start
-    own, r, found = np.flatnonzero((rank > 0) & open_), 0, []
-    while len(own):
-        other = start[own] + r
-        most = np.minimum(n[own], n[other]) // STEP + 1
-        fits = np.abs(n[own] - n[other]) <= most
-        at = np.flatnonzero(fits)
-        apart = np.zeros(len(at), np.int64)
-        for i in range(16):
-            x, y = ((packed[side[at]] >> np.uint64(4 * i)) & np.uint64(15) for side in (own, other))
-            apart += np.abs(x.astype(np.int64) - y.astype(np.int64))
-        fits[at] = apart <= 2 * most[at]
-        found.append((own[fits], other[fits]))
-        r += 1
-        own = own[(rank[own] > r) & (every | ~fits)]
-    return [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), ()))]
-
-
 def one_edit(a: list[str], b: list[str]) -> bool:
     """Whether a and b are at most one word edit apart."""
     if abs(len(a) - len(b)) > 1:
@@ -171,51 +198,100 @@ def one_edit(a: list[str], b: list[str]) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
+class Earlier:
+    """The lines under one key, as they come; ``has_near`` asks whether one that came before is near. Counts of words by hash
+    rule out most of them: an edit changes two of those counts by one at most."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.words, self.size = [], 0
+        self.counts, self.lengths = np.zeros((64, 16), np.int16), np.zeros(64, np.int32)
+
+    def has_near(self, words: list[str]) -> bool:
+        import numpy as np
+
+        own = np.bincount((_hashed(words) & np.uint64(15)).astype(np.int64), minlength=16).astype(np.int16)
+        counts, lengths = self.counts[: self.size], self.lengths[: self.size]
+        most = np.minimum(lengths, len(words)) // STEP + 1
+        fits = np.abs(lengths - len(words)) <= most
+        fits &= np.abs(counts - own).sum(1) <= 2 * most
+        return any(near(words, self.words[i]) for i in np.flatnonzero(fits))
+
+    def add(self, words: list[str]) -> None:
+        import numpy as np
+
+        if self.size == len(self.lengths):
+            self.counts, self.lengths = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.counts[self.size] = np.bincount((_hashed(words) & np.uint64(15)).astype(np.int64), minlength=16)
+        self.lengths[self.size] = len(words)
+        self.words.append(words)
+        self.size += 1
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """(id, line, near): the lines, counted from 0 in a document, that go. ``near``: no equal line is earlier, but one that is
-    one edit apart, or with ``grow`` up to ``edits``. Earlier is the smaller id, then the smaller line; a row's repetition counts as the same document.
+    one edit apart, or with ``grow`` up to ``edits``. Earlier is the smaller id, then the smaller line; a row's repetition
+    counts as the same document.
 
-    A line without words always stays. A line goes whether or not the earlier one goes for a still earlier one. Null and
-    empty texts have no lines; an empty table gives an empty result.
+    A line without words always stays. A line of fewer than ``min_words`` words goes only for an equal one. A line goes
+    whether or not the earlier one goes for a still earlier one. Rows without an id keep their lines, and no line goes for
+    theirs. Null and empty texts have no lines; an empty table gives an empty result.
+
+    What is shuffled of every line is a hash, and of every different line its keys. Words are fetched only of lines that share
+    a key. A line that stands in very many documents meets itself in one join, whose skewed partitions Spark splits.
     """
     rows = texts(docs, id_col, text_col).where(F.col("id").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
 
     def split(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            out = []
-            for key, text in zip(batch["id"], batch["text"]):
-                for k, line in enumerate(text.split("\n")):
-                    if words := line_words(line):
-                        mark = xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        out.append((key, k, mark, len(words)))
-            yield pd.DataFrame(out, columns=["id", "line", "mark", "words"])
-
-    lines = stored(rows.mapInPandas(split, f"id {kind}, line int, mark binary, words int"), "lines")
-    unique = stored(lines.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.first("words").alias("words"), F.count("*").alias("n")), "unique")
-    again = lines.join(unique.where("n > 1").select("mark", "first"), "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct()
-
-    def wanted(lines):
-        return rows.join(lines.groupBy("id").agg(F.collect_list("line").alias("wanted")), "id")
-
-    def keyed(batches):
-        import pandas as pd
-
-        for batch in batches:
-            out = []
-            for key, text, wanted in zip(batch["id"], batch["text"], batch["wanted"]):
-                own = text.split("\n")
-                for k in wanted:
-                    words = line_words(own[k]) if k < len(own) else []
-                    if min_words <= len(words) and (len(words) <= STEP or not grow):
-                        out += [(key, int(k), x, 0, 0) for x in halves(words)]
-                    if grow and len(words) >= max(min_words, STEP):
-                        counts = word_counts(words)
-                        out += [(key, int(k), x, len(words), counts) for x in runs(words)]
-            yield pd.DataFrame(out, columns=["id", "line", "key", "n", "counts"])
+            ids, n_words = batch.column("id"), 0
+            doc, line, marks, pending = [], [], [], []
+
+            def ready():
+                long = [i for i, w in enumerate(pending) if grow and len(w) >= max(min_words, STEP)]
+                owners, keys = class_keys([pending[i] for i in long])
+                owners = np.array(long, np.int64)[owners] if len(long) else owners
+                short, half = [], []
+                for i, w in enumerate(pending):
+                    if min_words <= len(w) and (len(w) <= STEP or not grow):
+                        found = halves(w)
+                        short += [i] * len(found)
+                        half += found
+                owners, keys = np.concatenate([owners, np.array(short, np.int64)]), np.concatenate([keys, np.array(half, np.uint64).view(np.int64)])
+                order = np.argsort(owners, kind="stable")
+                ends = np.searchsorted(owners[order], np.arange(len(pending) + 1))
+                arrays = [ids.take(pa.array(doc, pa.int64())), pa.array(line, pa.int32()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[order], pa.int64()))]
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "line", "mark", "keys"])
+
+            for d, text in enumerate(batch.column("text")):
+                for k, own in enumerate(text.as_py().split("\n")):
+                    if words := line_words(own):
+                        doc.append(d)
+                        line.append(k)
+                        marks.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
+                        pending.append(words)
+                        n_words += len(words)
+                        if n_words >= CHUNK:
+                            yield ready()
+                            n_words = 0
+                            for x in (doc, line, marks, pending):
+                                x.clear()
+            if pending:
+                yield ready()
+
+    lines = stored(rows.mapInArrow(split, f"id {kind}, line int, mark binary, keys array<long>"), "lines")
+    unique = stored(lines.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "unique")
+    again = lines.select("id", "line", "mark").join(unique.where("n > 1").select("mark", "first"), "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct()
+
+    keys = unique.select(F.explode("keys").alias("key"), F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    all_, own = Window.partitionBy("key"), F.struct("id", "line")
+    shared = stored(keys.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most"), "shared")
 
     def pick(batches):
         import pandas as pd
@@ -227,15 +303,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out += [(key, int(k), " ".join(line_words(own[k]))) for k in wanted if k < len(own)]
             yield pd.DataFrame(out, columns=["id", "line", "words"])
 
-    def words_of(lines, name):
-        return stored(wanted(lines).mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), name)
-
-    long_enough = unique.where(F.col("words") >= min_words).select("first.id", "first.line")
-    keys = wanted(long_enough).mapInPandas(keyed, f"id {kind}, line int, key long, n int, counts long")
-    all_ = Window.partitionBy("key", F.col("n") == 0)
-    own = F.struct("id", "line")
-    shared = stored(keys.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("least", "most"), "shared")
-    picked = words_of(shared.where("n = 0").select("id", "line").distinct(), "picked")
+    wanted = shared.select("id", "line").distinct().groupBy("id").agg(F.collect_list("line").alias("wanted"))
+    picked = stored(rows.join(wanted, "id").mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
 
     def emit(batches):
         import numpy as np
@@ -249,7 +318,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             place = np.concatenate([np.r_[np.arange(n - 1), -1] for n in sizes])
             yield pd.DataFrame({"key": np.concatenate(keys), "place": place.astype(np.int32), "id": np.repeat(batch["id"].to_numpy(), sizes), "line": np.repeat(batch["line"].to_numpy(), sizes)})
 
-    emitted = picked.select("id", "line", "words").mapInPandas(emit, f"key long, place int, id {kind}, line int").select("key", "place", F.struct("id", "line").alias("own"))
+    short = shared.where("key % 2 = 0").select("id", "line").distinct().join(picked, ["id", "line"])
+    emitted = short.select("id", "line", "words").mapInPandas(emit, f"key long, place int, id {kind}, line int").select("key", "place", F.struct("id", "line").alias("own"))
     least = emitted.groupBy("key", "place").agg(F.min("own").alias("least"), F.max("own").alias("most"))
     # Of the variants under a key: the same place joins to the earliest line there, a whole line to the earliest one with a
     # word more, those with a word more to the whole line.
@@ -257,61 +327,54 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_key = by_key.where("places > 1").select("key", "whole", "longer")
     same = emitted.join(least.where("least != most"), ["key", "place"]).select("own", F.col("least").alias("other"))
     other = emitted.join(by_key, "key").select("own", F.when(F.col("place") == -1, F.col("longer")).otherwise(F.col("whole")).alias("other"))
-    found = same.unionByName(other).where("other < own").distinct()
+    # Of longer lines that share a key, first each with the earliest one.
+    first = shared.where("key % 2 <> 0").select(own.alias("own"), F.col("least").alias("other"))
+    found = same.unionByName(other).unionByName(first).where("other < own").distinct()
+    found = found.select(F.col("own.id").alias("id"), F.col("own.line").alias("line"), F.col("other.id").alias("other_id"), F.col("other.line").alias("other_line"))
 
     def verify(batches):
         for batch in batches:
             good = [(near if grow else one_edit)(a.split(" "), b.split(" ")) for a, b in zip(batch["words"], batch["other_words"])]
             yield batch.loc[good, ["id", "line"]]
 
-    found = found.select(F.col("own.id").alias("id"), F.col("own.line").alias("line"), F.col("other.id").alias("other_id"), F.col("other.line").alias("other_line"))
-
-    def verified(found, picked):
-        sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
-        return sides.select("id", "line", "words", "other_words").mapInPandas(verify, f"id {kind}, line int").distinct()
-
-    def pairs(every):
-        def groups(batches):
-            import pandas as pd
-
-            def ready(group):
-                own, other = likely(group, every)
-                x, y = group.iloc[own], group.iloc[other]
-                return pd.DataFrame({"id": x["id"].to_numpy(), "line": x["line"].to_numpy(), "other_id": y["id"].to_numpy(), "other_line": y["line"].to_numpy()})
-
-            rest = None
-            for batch in batches:
-                rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                done = int((rest["key"].to_numpy() != rest["key"].iloc[-1]).sum()) if len(rest) else 0  # keys are sorted
-                if done:
-                    yield ready(rest.iloc[:done].reset_index(drop=True))
-                    rest = rest.iloc[done:].reset_index(drop=True)
-            if rest is not None and len(rest):
-                yield ready(rest)
-
-        return groups
-
-    def alike(rows, every, name):
-        out = rows.select("id", "line", "key", "n", "counts", "open").repartition("key").sortWithinPartitions("key", "id", "line").mapInPandas(pairs(every), f"id {kind}, line int, other_id {kind}, other_line int")
-        out = stored(out.where("struct(other_id, other_line) < struct(id, line)").distinct(), name)
-        return out, words_of(out.select("id", "line").union(out.select("other_id", "other_line")).distinct(), f"{name}-words")
-
-    # First each line with the earliest one that may be near; then those that aren't settled by it with all earlier ones.
-    if not grow:
-        return again.unionByName(verified(found, picked).withColumn("near", F.lit(True)))
-    runs_ = shared.where("n > 0")
-    settled = stored(verified(*alike(runs_.withColumn("open", F.lit(True)), False, "earliest")), "settled")
-    left = runs_.join(settled.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull())
-    others = verified(*alike(left, True, "others"))
-    close = verified(found, picked).unionByName(settled).unionByName(others).distinct().withColumn("near", F.lit(True))
-    return again.unionByName(close)
+    sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
+    close = sides.select("id", "line", "words", "other_words").mapInPandas(verify, f"id {kind}, line int").distinct()
+    if grow:
+        close = stored(close, "settled")
+
+        def later(batches):
+            import pyarrow as pa
+
+            key, group = None, None
+            for batch in batches:  # sorted by key, then in the order of lines
+                good = []
+                for i, (k, open_, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("open").to_pylist(), batch.column("words").to_pylist())):
+                    if k != key:
+                        key, group = k, Earlier()
+                    words = text.split(" ")
+                    if open_ and group.has_near(words):
+                        good.append(i)
+                    group.add(words)
+                yield batch.select(["id", "line"]).take(pa.array(good, pa.int64()))
+
+        # Then those that aren't settled by it, with the others before them, up to the first that is near.
+        rest = shared.where("key % 2 <> 0").join(close.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull() & (own != F.col("least")))
+        asked = rest.groupBy("key").agg(F.max("open").alias("any"), F.count("*").alias("n")).where("any and n > 2").select("key")
+        rest = rest.join(asked, "key").join(picked, ["id", "line"]).select("key", "id", "line", "open", "words")
+        more = rest.repartition("key").sortWithinPartitions("key", "id", "line").mapInArrow(later, f"id {kind}, line int")
+        close = close.unionByName(more).distinct()
+    return again.unionByName(close.withColumn("near", F.lit(True)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """``docs`` and columns _lines, _exact, _near (lines with words; those that went for an equal one, for a near one); the
-    text is what is left of it, lines in order. A text that loses no line, null included, stays as it is."""
-    gone = dropped_lines(docs, id_col, text_col, min_words, grow)
-    by_doc = gone.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_list("line")).alias("_gone"), F.count_if("near").cast("int").alias("_near"))
+    text is what is left of it, lines in order. A text that loses no line, null included, stays as it is.
+
+    Columns of ``docs`` with those three names are replaced; all others stay, whatever their names.
+    """
+    gone, near_ = fresh(docs, "gone"), fresh(docs, "near")
+    lost = dropped_lines(docs, id_col, text_col, min_words, grow)
+    by_doc = lost.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_list("line")).alias(gone), F.count_if("near").cast("int").alias(near_))
 
     @F.pandas_udf("string")
     def rest(text, gone):
@@ -320,7 +383,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([t if g is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in s) for t, g in zip(text, gone) for s in [set(g) if g is not None else ()]])
 
     joined = docs.join(by_doc, id_col, "left")
-    count = F.when(joined[text_col].isNull(), 0).otherwise(F.size(F.filter(F.split(joined[text_col], "\n"), lambda x: x.rlike(r"(?U)\S"))))
-    out = joined.withColumn("_lines", count).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rest(F.col(text_col), F.col("_gone"))))
-    near = F.coalesce("_near", F.lit(0))
-    return out.select(*docs.columns, F.col("_lines").cast("int").alias("_lines"), (F.coalesce(F.size("_gone"), F.lit(0)) - near).alias("_exact"), near.alias("_near"))
+    text, n_near = F.col(text_col), F.coalesce(near_, F.lit(0))
+    count = F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S")))).cast("int")
+    left = F.when(F.col(gone).isNull(), text).otherwise(rest(text, F.col(gone)))
+    kept = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_lines", "_exact", "_near")]
+    return joined.select(*kept, count.alias("_lines"), (F.coalesce(F.size(gone), F.lit(0)) - n_near).alias("_exact"), n_near.alias("_near"))
