@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import texts
+from spanlake.llm.common import fresh, texts
 
 #: Characters between words: \x20 and \x09-\x0D. Characters counted as symbols. Words of a repeated window.
 BLANKS, SYMBOLS, WINDOW = " \t\n\x0b\x0c\r", "#*$%&|<>", 8
@@ -66,25 +66,26 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` and a struct column ``_q`` of statistics of the whole text; a null text is an empty one, whose counts are 0."""
-    text = F.coalesce(df[text_col], F.lit(""))
+    """``df`` and a struct column ``_q`` of statistics of the whole text; a null text is an empty one, whose counts are 0.
+    A column of that name is replaced; all others stay, whatever their names."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     words = words_of(text)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    plain = df.withColumn("_qw", words).withColumn("_ql", lines)
-    counts = plain.withColumn("_q", F.struct(
-        F.size("_qw").cast("long").alias("n_words"),
+    w, n = fresh(df, "_qw"), fresh(df, "_ql")
+    counts = df.withColumn(w, words).withColumn(n, lines).withColumn("_q", F.struct(
+        F.size(w).cast("long").alias("n_words"),
         _without(text, BLANKS).cast("long").alias("word_chars"),
         (F.char_length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("_ql") - F.size(F.array_distinct("_ql"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_qw")).alias("n_repeat_words"),
-        F.size("_ql").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("_qw")).cast("long").alias("n_distinct"),
+        (F.size(n) - F.size(F.array_distinct(n))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col(w)).alias("n_repeat_words"),
+        F.size(n).cast("long").alias("n_lines"),
+        F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
         (F.char_length(text) - _without(text, _UPPER)).cast("long").alias("n_upper"),
         (F.char_length(text) - _without(text, "0123456789")).cast("long").alias("n_digits"),
         (F.char_length(text) - _without(text, "!?")).cast("long").alias("n_marks"),
         (F.char_length(text) - _without(text, ".,;:")).cast("long").alias("n_points"),
     ))
-    return counts.drop("_qw", "_ql")
+    return counts.drop(w, n)
 
 
 #: Statistics that rules test, as expressions over ``_q``.
@@ -180,13 +181,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = with_statistics(texts(docs, id_col, text_col).join(F.broadcast(chosen), "id")).where(f"not ({BASE})")
-    found = rows.select("id", "label", *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items())).collect()
-    found.sort(key=lambda r: str(r["id"]))
+    # One text of an id, and statistics of the chosen texts only: a filter on them would be moved before the join.
+    own = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = with_statistics(own).select("id", "label", F.expr(BASE).alias("failed"), *(F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()))
+    found = sorted((r for r in rows.collect() if not r["failed"]), key=lambda r: str(r["id"]))
     return learn({k: np.array([r[k] for r in found], float) for k in FEATURES}, np.array([r["label"] == 0 for r in found], bool))
 
 
 def judged(df: DataFrame, rules: list[tuple[Test, ...]], text_col: str = "text") -> DataFrame:
-    """``df``, ``_q``, and booleans ``_base_failed`` and ``_kept``."""
+    """``df``, ``_q``, and booleans ``_base_failed`` and ``_kept``; columns of these names are replaced."""
     out = with_statistics(df, text_col).withColumn("_base_failed", F.expr(BASE))
     return out.withColumn("_kept", ~F.col("_base_failed") & verdict(rules))
+
+
+def passed(df: DataFrame, rules: list[tuple[Test, ...]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns, whatever their names."""
+    rows = df.select(F.col(text_col).alias("text"), F.struct(*(F.col(c) for c in df.columns)).alias("row"))
+    return judged(rows, rules).where("_kept").select("row.*")
