@@ -14,8 +14,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from spanlake.llm.common import texts
-from spanlake.llm.tokens import encoder, id_bytes, parts, vocabulary
+from spanlake.llm.common import id_kind, returned, sent, texts
+from spanlake.llm.tokens import encoder, id_bytes, vocabulary
 
 SIZE = 4096
 #: Prices, in tokens of padding, of a cut at a sentence's end and of one inside a sentence.
@@ -69,9 +69,9 @@ def possible_cuts(ids, ends, closing, step: int):
     at_end[0] = at_end[-1] = 2
     places = np.flatnonzero(at_end)
     gaps = np.diff(places)
-    wide = np.flatnonzero(gaps > step)
-    more = np.concatenate([np.arange(places[k] + step, places[k + 1], step) for k in wide]) if len(wide) else np.zeros(0, np.int64)
-    places = np.sort(np.concatenate([places, more]))
+    extra = (gaps - 1) // step
+    rank = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+    places = np.sort(np.concatenate([places, np.repeat(places[:-1], extra) + rank * step]))
     penalties = np.array([INSIDE, SENTENCE, 0])[at_end[places]]
     return places.tolist(), penalties.tolist()
 
@@ -140,15 +140,22 @@ class Packer:
         return cuts
 
 
-def sentence_ends(tokenizer):
-    """By id: whether a token ends a sentence, that is, consists of ``.``, ``!`` and ``?`` (fixed values), at a word's end."""
+_tables: dict = {}
+
+
+def sentence_ends(tokenizer, path: str):
+    """By id: whether a token ends a sentence, that is, consists of ``.``, ``!`` and ``?`` (fixed values), at a word's end.
+    The worker keeps the table of a tokenizer's ``path``."""
     import numpy as np
 
-    table = np.zeros(max(tokenizer.get_vocab().values()) + 1, bool)
-    for token, k in tokenizer.get_vocab().items():
-        body = token.removesuffix("</w>")
-        table[k] = bool(body) and body != token and not body.strip(".!?")
-    return table
+    if path not in _tables:
+        known = tokenizer.get_vocab()
+        table = np.zeros(max(known.values()) + 1, bool)
+        for token, k in known.items():
+            body = token.removesuffix("</w>")
+            table[k] = bool(body) and body != token and not body.strip(".!?")
+        _tables[path] = table
+    return _tables[path]
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, block: int = BLOCK, end_id: int = 2) -> DataFrame:
@@ -164,7 +171,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """
     path = path or vocabulary()
     rows = texts(docs, id_col, text_col)
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    given, kind = id_kind(rows)
+    schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     columns = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def work(batches) -> Iterator:
@@ -173,13 +181,13 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         from pyspark import TaskContext
 
         enc = encoder("ids", path, id_bytes)
-        packer = Packer(sentence_ends(enc.tokenizer), TaskContext.get().partitionId() << 32, size, block)
+        packer = Packer(sentence_ends(enc.tokenizer, path), TaskContext.get().partitionId() << 32, size, block)
         end = id_bytes([end_id])
         for batch in batches:
             out = []
             for doc, text in zip(batch["id"].tolist(), batch["text"]):
-                out += packer.add(doc, np.frombuffer(b"".join([*parts(enc, enc.tree(text)), end]), "<u4"))
+                out += packer.add(doc, np.frombuffer(b"".join([*enc.all(text), end]), "<u4"))
             yield pd.DataFrame(out, columns=columns)
         yield pd.DataFrame(packer.close(), columns=columns)
 
-    return rows.mapInPandas(work, schema)
+    return returned(sent(rows).mapInPandas(work, schema), given)

@@ -2,13 +2,15 @@
 
 A long text is cut in halves again and again, anywhere, down to leaves; leaves are encoded on their own, and neighbours are
 joined from the leaves up: a window around each join is encoded anew, and grows until its tokens agree exactly with those on
-both sides. Leaves of one segment are encoded in one task; a text of several segments is dealt to several tasks.
-
-Between the cuts a leaf is a list of units, the runs without white space. The tokenizer drops white space and no token
-crosses it, so a unit's tokens don't depend on its neighbours, and each distinct short unit is encoded by the tokenizers
-library once per worker (the cache has a fixed bound). A join inside white space leaves both sides as they are; a join inside
-a run merges its two parts. Runs too long for that (``LONG``) keep their tokens' places, and their joins agree on tokens: an
-encoding in which every two neighbours also stand together in the encoding of some part is that of the whole.
+both sides; then the tokens inside the window replace those at the join. Leaves of one segment are encoded in one task; a text
+of several segments is dealt to several tasks.
+
+Where the tokenizer drops white space, no token crosses it, and a leaf is a list of units, the runs without white space. A
+unit's tokens don't depend on its neighbours, so each distinct short unit is encoded by the tokenizers library once per worker
+(the cache has a fixed bound). A join inside white space leaves both sides as they are; one inside a run takes the ids of the
+run from the window in which the units before and after it have the ids that they had. Runs too long for that (``LONG``), and
+all text of tokenizers that keep white space, hold their tokens' places, and their joins agree on tokens: an encoding in
+which every two neighbours also stand together in the encoding of some part is that of the whole.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import texts
+from spanlake.llm.common import id_kind, returned, sent, texts
 
 #: Code points of a leaf, and of a segment: texts beyond a segment are encoded by several tasks.
-LEAF, SEGMENT = 8192, 65536
+LEAF, SEGMENT = 4096, 32768
 #: Code points from which a run without white space is joined token by token.
 LONG = 512
 #: Units that a worker remembers in each of two generations.
@@ -40,9 +42,9 @@ def vocabulary() -> str:
 
 
 class Run:
-    """A long run without white space: its text, token ids, and each token's place (start, end)."""
+    """A run: its text, token ids, and, of a long one, each token's place (start, end)."""
 
-    def __init__(self, text: str, ids: list[int], spans: list[tuple[int, int]]):
+    def __init__(self, text: str, ids: list[int], spans: list[tuple[int, int]] | None):
         self.text, self.ids, self.spans = text, ids, spans
 
 
@@ -92,8 +94,13 @@ class Encoder:
         if kinds == NORMAL and patterns == [SPLIT, None] and not any(x["content"].isalpha() for x in shape["added_tokens"]):
             self.words = Tokenizer(self.tokenizer.model)  # for words in lower case and NFC
             self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Units are encoded alone only by tokenizers for which white space separates and leaves nothing behind.
+        probe = ("a", "The", "x9", ".", "caf\u00e9", "it's")
+        self.splits = not any(self.ids(x) for x in (" ", "\n", "\t\r ")) and all(self.ids(f"{x}{gap}{y}") == self.ids(x) + self.ids(y) for x in probe for y in probe for gap in (" ", " \n\t"))
 
     def _kept(self, unit: str):
+        if len(unit) > self.long:
+            return self.keep([i for u in self._tree(unit, 0, len(unit)) for i in (u.ids if isinstance(u, Run) else self.ids(u))])
         if self.words:
             word = unit.rstrip(MARKS)
             # Letters up to U+024F, each of which is itself in NFC, and the lower case of which is one letter.
@@ -119,16 +126,25 @@ class Encoder:
         """The text with the commonest white space as blanks. Other kinds stay inside the units, and the tokenizer's own."""
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
+    def all(self, text: str):
+        """What is kept of each unit of ``text``, in order, without a tree over it: long runs alone have one."""
+        if not self.splits:
+            return [self.keep(u.ids) for u in self.tree(text)]
+        return map(self.known.__getitem__, filter(None, self.blank(text).split(" ")))
+
     def tree(self, text: str) -> list:
-        """The units of ``text``: a string (at most ``long`` code points) or a Run."""
-        return self._tree(self.blank(text), 0, len(text))
+        """The units of ``text``: a string (at most ``long`` code points), or a Run with its ids."""
+        return self._tree(self.blank(text) if self.splits else text, 0, len(text))
 
     def _tree(self, text: str, low: int, high: int) -> list:
         if high - low <= self.leaf:
+            if not self.splits:
+                return [self.run(text[low:high])] if high > low else []
             units = text[low:high].split(" ")
             return [u if len(u) <= self.long else self.run(u) for u in units if u]
         middle = (low + high) // 2
-        return self.join(self._tree(text, low, middle), self._tree(text, middle, high), text[middle - 1] != " " and text[middle] != " ")
+        inside = not self.splits or (text[middle - 1] != " " and text[middle] != " ")
+        return self.join(self._tree(text, low, middle), self._tree(text, middle, high), inside)
 
     def join(self, left: list, right: list, inside: bool) -> list:
         """Both lists as one. ``inside``: the cut is inside a run, whose parts end ``left`` and begin ``right``."""
@@ -136,25 +152,25 @@ class Encoder:
             left.extend(right)
             return left
         a, b = left.pop(), right[0]
-        if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) <= self.long:
-            merged = self.agreed(left, a + b, right)
+        if all(isinstance(x, str) or x.spans is None for x in (a, b)) and len(_text(a)) + len(_text(b)) <= self.long:
+            merged = self.agreed(left, _text(a) + _text(b), right)
         else:
-            merged = self.merged(*(x if isinstance(x, Run) else self.run(x) for x in (a, b)))
+            merged = self.merged(*(x if isinstance(x, Run) and x.spans is not None else self.run(_text(x)) for x in (a, b)))
         left.append(merged)
         left.extend(right[1:])
         return left
 
-    def agreed(self, left: list, unit: str, right: list) -> str:
-        """``unit``, once a window around it, grown if need be, has the tokens of its neighbours on both sides."""
+    def agreed(self, left: list, unit: str, right: list) -> Run:
+        """``unit`` with its ids in a window around it, which is grown until its neighbours on both sides have their own ids."""
         width = 1
         while True:
-            before, after = [x if isinstance(x, str) else x.text for x in left[-width:]], [x if isinstance(x, str) else x.text for x in right[1 : 1 + width]]
-            window = self.ids(" ".join([*before, unit, *after]))
-            head, own, tail = (sum(map(self.ids, part), []) for part in (before, [unit], after))
-            if window == head + own + tail:
-                return unit
+            before, after = left[-width:], right[1 : 1 + width]
+            window = self.ids(" ".join([*map(_text, before), unit, *map(_text, after)]))
+            head, tail = (sum((list(x.ids) if isinstance(x, Run) else self.ids(x) for x in part), []) for part in (before, after))
+            if len(head) + len(tail) <= len(window) and window[: len(head)] == head and window[len(window) - len(tail) :] == tail:
+                return Run(unit, window[len(head) : len(window) - len(tail)], None)
             if width >= max(len(left), len(right)):
-                raise ValueError("this tokenizer's tokens depend on text beyond white space")
+                return Run(unit, self.ids(unit), None)
             width *= 2
 
     def merged(self, a: Run, b: Run, same: int = 2) -> Run:
@@ -188,6 +204,10 @@ class Encoder:
         return None
 
 
+def _text(unit: str | Run) -> str:
+    return unit if isinstance(unit, str) else unit.text
+
+
 _encoders: dict[tuple, Encoder] = {}
 
 
@@ -243,7 +263,8 @@ def round_trips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     """
     path = path or vocabulary()
     rows = texts(docs, id_col, text_col)
-    kind = rows.schema["id"].dataType.simpleString()
+    given, kind = id_kind(rows)
+    rows = sent(rows)
     result = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def whole(batches):
@@ -291,7 +312,7 @@ def round_trips(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     if not copies.isEmpty():  # rows that repeat an id and a text: as many results
         far = dealt.groupBy("id", "mark").applyInPandas(lambda key, g: joined(key, g).assign(mark=key[1]), result + ", mark string")
         far = far.join(copies, ["id", "mark"], "left").withColumn("x", F.explode(F.expr("sequence(1, coalesce(n, 1))"))).select("id", "n_tokens", "ids_sha256", "decoded_sha256")
-    return near.unionByName(far)
+    return returned(near.unionByName(far), given)
 
 
 def _pack_units(units: list) -> bytes:
