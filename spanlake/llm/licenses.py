@@ -2,8 +2,9 @@
 
 All hashes of k consecutive words of a text are joined to the positions of the same k-grams in license templates. A place of
 the text less a place of the template is a diagonal; a stretch of a text that follows a template votes for one diagonal, or,
-with words inserted or left out, for neighbouring ones. Votes are added up by diagonal, neighbours are merged, and a span that
-has enough of them is verified on the words themselves. Besides, fixed phrases are counted where their words stand together.
+with words inserted or left out, for neighbouring ones. Votes are added up by diagonal, neighbours are merged, and so are
+diagonals further apart whose stretches follow each other; a span that has enough votes is verified on the words themselves,
+in their order. Besides, fixed phrases are counted where their words stand together.
 """
 
 from __future__ import annotations
@@ -71,50 +72,74 @@ def _grams(words: Column, k: int) -> Column:
 
 
 def templates(spark: SparkSession, given=TEMPLATES) -> DataFrame:
-    """(template, label, words): a fixed, small table."""
+    """(template, label, template_words) from pairs of label and text, or from a table (label, body) at a path, numbered by
+    its rows' order of label and body."""
+    if isinstance(given, str):
+        given = sorted((r["label"], r["body"]) for r in spark.read.parquet(given).select("label", "body").distinct().collect())
     rows = spark.createDataFrame([(k, label, text) for k, (label, text) in enumerate(given)], "template int, label string, body string")
     return rows.select("template", "label", F.split(F.trim(spaced(F.col("body"))), "  ").alias("template_words"))
 
 
+def in_order(words: Column, own: Column) -> Column:
+    """Length of the longest common subsequence of two arrays: a row of its table for each word of ``own``."""
+
+    def row(above: Column, word: Column) -> Column:
+        def cell(done: Column, i: Column) -> Column:
+            up, left, corner = F.get(above, i + 1), F.element_at(done, -1), F.get(above, i)
+            return F.concat(done, F.array(F.when(F.get(words, i) == word, corner + 1).otherwise(F.greatest(up, left))))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), F.array(F.lit(0)), cell)
+
+    return F.aggregate(own, F.array_repeat(F.lit(0), F.size(words) + 1), row, lambda last: F.element_at(last, -1))
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, mark, line): hashes of id, which may be null, and text stand for a row in joins."""
+    return texts(docs, id_col, text_col).select("id", F.xxhash64("id").alias("key"), F.xxhash64("text").alias("mark"), spaced(F.col("text")).alias("line"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given=TEMPLATES) -> DataFrame:
-    """(id, mark, template, label, start, length, score) of verified spans; mark is a hash of the text.
+    """(key, mark, id, template, label, start, length, score) of verified spans, of rows that share id and text once.
 
-    ``start`` is a word's number from 0; ``score`` is the share of the template's words that the span has, in any order but
-    each as often as it stands in both.
+    ``start`` is a word's number from 0; ``score`` is the share of the template's words that the span has in their order.
+    ``given``: pairs of label and text, or the path of a table (label, body).
     """
-    rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("mark"), spaced(F.col("text")).alias("line"))
-    fixed = templates(docs.sparkSession, given)
-    known = fixed.select("template", F.posexplode(_grams(F.col("template_words"), GRAM)).alias("at", "gram"))
+    rows = _marks(docs, id_col, text_col)
+    fixed = stored(templates(docs.sparkSession, given), "templates")
+    known = fixed.select("template", F.size("template_words").alias("size"), F.posexplode(_grams(F.col("template_words"), GRAM)).alias("at", "gram"))
     split = F.split(F.trim(F.col("line")), "  ")
-    places = rows.where("line <> ''").select("id", "mark", F.posexplode(_grams(split, GRAM)).alias("place", "gram"))
-    votes = places.join(F.broadcast(known), "gram").groupBy("id", "mark", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
-    ordered = Window.partitionBy("id", "mark", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(ordered) > NEAR, F.lit(True)).cast("int")
-    merged = votes.withColumn("apart", apart).withColumn("run", F.sum("apart").over(ordered)).groupBy("id", "mark", "template", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    sized = merged.join(F.broadcast(fixed), "template")
+    places = rows.where("line <> ''").select("key", "mark", F.posexplode(_grams(split, GRAM)).alias("place", "gram"))
+    votes = places.join(small(known), "gram").groupBy("key", "mark", "template", "size", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    # Neighbouring diagonals are one run, and so are two of which one's stretch begins behind the other's, within the template's length.
+    ordered = Window.partitionBy("key", "mark", "template").orderBy("diagonal")
+    before = lambda c: F.lag(c).over(ordered)
+    most = F.col("size") + F.floor(F.col("size") * (1 - SHARE))
+    behind = (F.col("low") > before("high")) & (F.col("high") + GRAM - before("low") <= most)
+    follows = behind | ((F.col("high") < before("low")) & (before("high") + GRAM - F.col("low") <= most))
+    together = (F.col("diagonal") - before("diagonal") <= NEAR) | follows
+    merged = votes.withColumn("apart", F.coalesce(~together, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(ordered)).groupBy("key", "mark", "template", "size", "run").agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
     # Words left out or exchanged break up to GRAM votes each: what can't reach SHARE is not looked at again.
-    enough = sized.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.size("template_words") * (1 - GRAM * (1 - SHARE))) - GRAM + 1))
-    asked = enough.groupBy("id", "mark").agg(F.collect_list(F.struct("template", "label", "template_words", "low", "high")).alias("asked"))
+    enough = merged.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("size") * (1 - GRAM * (1 - SHARE))) - GRAM + 1))
+    asked = enough.groupBy("key", "mark").agg(F.collect_list(F.struct("template", "low", "high")).alias("asked"))
     asked = stored(asked, "spans")  # counted, then joined: the votes are cast once
-    again = rows.join(small(asked), ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", split.alias("words"), F.explode("asked").alias("a"))
+    again = rows.join(small(asked), ["key", "mark"]).dropDuplicates(["key", "mark"]).select("key", "mark", "id", split.alias("words"), F.explode("asked").alias("a"))
     own = F.slice("words", F.col("a.low") + 1, F.col("a.high") - F.col("a.low") + GRAM)
-    span = again.select("id", "mark", "a.template", "a.label", "a.template_words", F.col("a.low").alias("start"), own.alias("own"))
-    copies = lambda words, x: F.size(F.filter(words, lambda y: y == x))
-    held = F.aggregate(F.array_distinct("template_words"), F.lit(0), lambda n, x: n + F.least(copies(F.col("template_words"), x), copies(F.col("own"), x)))
-    verified = span.withColumn("score", held / F.size("template_words")).where(F.col("score") >= SHARE)
-    return verified.select("id", "mark", "template", "label", "start", F.size("own").alias("length"), F.least("score", F.lit(1.0)).alias("score"))
+    span = again.select("key", "mark", "id", "a.template", F.col("a.low").alias("start"), own.alias("own")).join(small(fixed), "template")
+    verified = span.withColumn("score", in_order(F.col("template_words"), F.col("own")) / F.size("template_words")).where(F.col("score") >= SHARE)
+    return verified.select("key", "mark", "id", "template", "label", "start", F.size("own").alias("length"), "score")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given=TEMPLATES) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for every row of ``docs``.
 
     The score is 1 where a phrase stands, else the best verified span's, else 0. Labels are distinct, sorted, comma-joined;
-    none give an empty string. A null or empty text has no words; repeated rows count each; an empty table gives none.
+    none give an empty string. A null or empty text has no words; repeated rows and those without an id count each; an empty
+    table gives none.
     """
-    found = spans(docs, id_col, text_col, given).groupBy("id", "mark").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    rows = texts(docs, id_col, text_col).select("id", F.xxhash64("text").alias("mark"), spaced(F.col("text")).alias("line"))
-    base = rows.select("id", "mark", *(c.alias(k) for k, c in phrases(F.col("line")).items()))
-    out = base.join(found, ["id", "mark"], "left")
+    found = spans(docs, id_col, text_col, given).groupBy("key", "mark").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    rows = _marks(docs, id_col, text_col)
+    base = rows.select("id", "key", "mark", *(c.alias(k) for k, c in phrases(F.col("line")).items()))
+    out = base.join(found, ["key", "mark"], "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select("id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))

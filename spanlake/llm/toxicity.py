@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import texts
+from spanlake.llm.common import id_kind, sent, texts
 
 #: Buckets, vector length, n-gram lengths.
 BUCKETS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
@@ -108,7 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id")
+    # Of an id that repeats, the text with the least hash.
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = id_kind(rows)[1]
 
     def work(batches):
         import numpy as np
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     import numpy as np
 
-    found = rows.mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, label int, size int, b binary, w binary").dropDuplicates(["id"]).collect()
+    found = sent(rows).mapInPandas(work, f"id {kind}, label int, size int, b binary, w binary").collect()
     found.sort(key=lambda r: str(r["id"]))
     return train([(r["label"], np.frombuffer(r["b"], np.int32), np.frombuffer(r["w"], np.float32)) for r in found if r["size"]])
 
@@ -163,7 +165,7 @@ def scorer(spark, model):
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for every row."""
+    """(id, held_out, score, predicted) for every row; rows that repeat an id are scored each, a null id isn't held out."""
     rows = texts(docs, id_col, text_col)
     scored = rows.select("id", scorer(docs.sparkSession, model)("text").alias("score"))
     held = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0

@@ -2,8 +2,8 @@
 
 Two variable-order Markov models, of accepted and of rejected urls, give each character's probability after up to ``ORDER``
 characters before it; each order is smoothed with the next lower one, and a place takes the longest order whose characters
-were seen. The mean over a url of the log of both models' ratio is compared with a threshold that is calibrated on the urls
-that the models come from.
+were seen. The mean over a url of the log of both models' ratio is compared with a threshold that is calibrated on urls of
+either kind that the models have not seen.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from spanlake.llm.common import small, stored
 
 #: Characters before a character that count; weight of the lower order; characters of an alphabet, for order 0.
 ORDER, WEIGHT, ALPHABET = 3, 2.0, 256
+#: One url in so many, by its hash, is held out from the models and calibrates the threshold.
+HELD_OUT = 5
 #: (rule, verdict): host, then path, which begins with "/" (fixed values).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 _A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,8 +79,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     """(id, host, path, rule, verdict, score) for every row; score is null where a rule decides.
 
     Rules look at host and path, the models at the whole url, its query and fragment included.
-    The models learn from all urls that a rule decides; those that no rule fits are allowed if their score reaches the
-    threshold, halfway between the mean scores of accepted and of rejected urls. Without urls of both kinds they are allowed.
+    The models learn from the urls that a rule decides, but for one in ``HELD_OUT``; those that no rule fits are allowed if
+    their score reaches the threshold, halfway between the mean scores of accepted and of rejected urls among those held out
+    (among all, where one kind has none there or none elsewhere). Without urls of both kinds all are allowed.
     Null urls and those without ``://`` have an empty host and path and are scored like others, null as an empty url. Rows that repeat an id count
     each; an empty table gives an empty result.
     """
@@ -90,12 +93,15 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         accepted = F.when(F.col("rule") == rule, F.lit(verdict == "allow")).otherwise(accepted)
     rows = rows.withColumn("accepted", accepted)
     taught = rows.where("accepted is not null").select("line", "accepted").distinct()
-    sides = {r["accepted"] for r in taught.groupBy("accepted").count().collect()}
-    if len(sides) < 2:
+    held = F.pmod(F.xxhash64("line", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    taught = stored(taught.withColumn("held", held), "taught")
+    sides = {(r["accepted"], r["held"]) for r in taught.groupBy("accepted", "held").count().collect()}
+    if len({side for side, _ in sides}) < 2:
         verdict = F.when(F.col("accepted") == F.lit(False), "block").otherwise("allow")
         return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), F.lit(None).cast("double").alias("score"))
-    tables = ratios(taught)
-    means = {r["accepted"]: r["mean"] for r in scored(taught, tables, "line", "accepted").groupBy("accepted").agg(F.avg("score").alias("mean")).collect()}
+    learnt, judges = (taught.where("not held"), taught.where("held")) if len(sides) == 4 else (taught, taught)
+    tables = ratios(learnt)
+    means = {r["accepted"]: r["mean"] for r in scored(judges, tables, "line", "accepted").groupBy("accepted").agg(F.avg("score").alias("mean")).collect()}
     threshold = (means[True] + means[False]) / 2
     asked = scored(rows.where("accepted is null").select("line").distinct(), tables, "line")
     out = rows.join(asked, "line", "left").withColumn("score", F.when(F.col("accepted").isNull(), F.col("score")))
