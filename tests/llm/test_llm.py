@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanlake.llm import exact, licenses, lines, packing, quality, queries, simhash, tokens, toxicity, urls, warc
 
@@ -395,3 +396,282 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {r.doc_id for r in last.select("doc_id").collect()} == ids and 0 < len(ids) < docs.count()
     assert set(queries.QUERIES) == {n for n in queries.QUERIES if n.startswith("op")} and len(queries.QUERIES) == 10
+
+
+BIG = 2**53
+
+
+def test_big_ids(spark):
+    """Ids that no float holds, beside a null one, keep their values."""
+    rows = [(BIG + 1, "one two three four five"), (BIG + 3, "six seven eight"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {BIG + 1, BIG + 3, None}
+    assert {r.id for r in packing.pack(df).collect()} == want
+    assert {r.id for r in tokens.round_trips(df).collect()} == {r.id for r in tokens.round_trips(df, segment=4).collect()} == want
+    assert {r.id for r in simhash.near_groups(df).collect()} == want
+    assert {r.id for r in exact.exact_groups(df).collect()} == {r.id for r in licenses.scan(df).collect()} == want
+
+
+def test_exact_ties(spark):
+    rows = [(1, "a b"), (1, "ab"), (2, "ab "), (None, "a  b"), (3, ""), (3, None), (4, "x"), (4, "x"), (None, "y"), (None, "y")]
+    got = exact.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.id, r.keep_id, r.group_size), []).append(r.kept)
+    assert by[(None, None, 4)] == [True] and by[(1, None, 4)] == [False, False] and by[(2, None, 4)] == [False]
+    assert by[(3, 3, 2)] == by[(4, 4, 2)] == by[(None, None, 2)] == [True, True]
+
+
+def test_chains(spark):
+    """Keys of three segments give the links that keys of two give."""
+    assert [len(simhash._turns(i, 2)) for i in range(5)] == [14, 14, 14, 13, 14] and len(simhash._turns(0, 3)) == 1 + 26 + 13 * 13 + 13 * 12 // 2
+    rng = np.random.default_rng(4)
+    fps = set()
+    for x in rng.integers(1 << 62, size=60):
+        fps |= {int(x), int(x) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 7), replace=False))}
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 4}
+    for chain in (2, 3):
+        assert {frozenset((r.a, r.b)) for r in simhash.links(nodes, chain=chain).collect()} == want
+
+
+def test_tree_ids():
+    """Ids come from the joins: leaves and windows, for a tokenizer that drops white space and one that keeps it."""
+    import random
+
+    import public_tokenizers
+
+    rng = random.Random(8)
+    lib = tokens.Encoder(tokens.vocabulary())
+    words = ["alpha", "Beta", "gamma's", "x" * 40, "été", "12345", "...", "don't", "中文字", "a-b-c"]
+    for n in (10**4, 10**5):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "", "\t "]) for _ in range(n // 6))
+        units = lib.tree(text)
+        assert any(isinstance(u, tokens.Run) for u in units)
+        assert [i for u in units for i in (u.ids if isinstance(u, tokens.Run) else lib.ids(u))] == lib.ids(text)
+    keeps = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), leaf=300)
+    assert lib.splits and not keeps.splits
+    text = " ".join(rng.choice(words) for _ in range(3000)) + "\n\n  end"
+    assert [i for u in keeps.tree(text) for i in u.ids] == keeps.ids(text) == [i for p in keeps.all(text) for i in p]
+
+
+def test_lines_left(spark, docs):
+    """The text that is left, line by line, and the counts; columns with odd names stay."""
+    rows = [r for r in docs.select("doc_id", "text").collect()]
+    gone = {}
+    for r in lines.dropped_lines(docs, grow=True).collect():
+        gone.setdefault(r.id, {})[r.line] = r.near
+    odd = docs.withColumns({c: F.lit(c) for c in ("_gone", "gone", "near", "_near", "words", "key", "_q", "_kept")})
+    out = lines.dedup_lines(odd, grow=True)
+    assert {"_gone", "gone", "near", "words", "key", "_q", "_kept"} <= set(out.columns) and len(out.columns) == len(set(out.columns))
+    got = {r.doc_id: r for r in out.collect()}
+    for r in rows:
+        own, lost = (r.text or "").split("\n"), gone.get(r.doc_id, {})
+        left = "\n".join(x for k, x in enumerate(own) if k not in lost) if lost else r.text
+        g = got[r.doc_id]
+        assert (g.text, g._near, g._exact, g._lines) == (left, sum(lost.values()), len(lost) - sum(lost.values()), sum(bool(x.strip()) for x in own)) and g._gone == "_gone"
+
+
+def test_class_keys():
+    """Two lines of up to ``edits`` edits share a key, words that repeat and hash classes without a word included."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(400):
+        vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 5, 40, 10**6]))]
+        a = [rng.choice(vocabulary) for _ in range(rng.choice([20, 21, 25, 39, 40, 41, 60, 63, 120, 300]))]
+        b = list(a)
+        for _ in range(rng.randint(0, lines.edits(len(a)))):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(vocabulary)]
+        if min(len(a), len(b)) >= lines.STEP and lines.near(a, b):
+            owners, keys = lines.class_keys([a, b])
+            assert set(keys[owners == 0]) & set(keys[owners == 1])
+
+
+def test_quality_list(spark, docs):
+    """What is fitted on a table: each row's verdict is that of its list, applied in plain Python; odd columns stay."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    rules = quality.fit(docs, labels)
+    odd = docs.withColumns({c: F.lit(c) for c in ("_q", "_kept", "_base_failed", "_qw", "_ql", "row")})
+    kept = quality.passed(odd, rules)
+    assert kept.columns == odd.columns and {r._kept for r in kept.collect()} <= {"_kept"}
+    ids = {r.doc_id for r in kept.collect()}
+    rejected = 0
+    for r in quality.judged(docs, rules).collect():
+        q = r._q.asDict()
+        value = lambda f: eval(re.sub(r"_q\.(\w+)", r"q['\1']", quality.FEATURES[f]).replace("greatest", "max"), {"q": q, "max": max})  # noqa: B023,E731
+        hit = any(all(value(t.feature) >= t.threshold if t.above else value(t.feature) <= t.threshold for t in rule) for rule in rules)
+        base = q["n_words"] < 20 or 100 * q["n_repeat_words"] > 30 * q["n_words"]
+        assert r._kept == (not base and not hit) == (r.doc_id in ids)
+        rejected += hit
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    assert sum(known[i] for i in ids if i in known) >= 0.9 * sum(v for v in known.values() if v)
+
+
+def _subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(old[j] + 1 if x == y else max(old[j + 1], row[j]))
+    return row[-1]
+
+
+def test_license_order(spark):
+    """Spans are verified in the order of words, also with words put between, and rows without an id have labels too."""
+    notice = licenses.TEMPLATES[0][1]
+    w = notice.split()
+    broken = " ".join(w[:16] + ["one", "two", "three", "four", "five"] + w[16:])
+    mixed = " ".join(" ".join(w[i : i + 3]) for i in sorted(range(0, len(w), 3), key=lambda i: (i * 7) % 11))
+    df = spark.createDataFrame([(1, notice), (2, broken), (3, mixed), (None, notice), (5, "plain text"), (6, None)], "doc_id long, text string")
+    got = {r.id: r for r in licenses.scan(df).collect()}
+    assert all("apache-2.0" in got[k].labels for k in (1, 2, None)) and got[1].score == 1.0 and got[5].labels == ""
+    plain = re.findall(r"[a-z0-9]+", notice.lower())
+    for r in licenses.spans(df).where("id is not null").collect():
+        text = re.findall(r"[a-z0-9]+", {1: notice, 2: broken, 3: mixed}[r.id].lower())
+        own, template = text[r.start : r.start + r.length], re.findall(r"[a-z0-9]+", licenses.TEMPLATES[r.template][1].lower())
+        assert r.score == pytest.approx(_subsequence(template, own) / len(template)) and r.score >= licenses.SHARE
+    assert plain
+
+
+def test_url_ratios(spark):
+    """The models' probabilities, place by place, against counts in plain Python."""
+    import math
+
+    good, bad = ["http://a.org/fr/ab", "http://b.org/fr/abc"], ["http://x.net/zz9", "http://y.net/zz"]
+    rows = [(x, True) for x in good] + [(x, False) for x in bad]
+    df = spark.createDataFrame(rows, "line string, accepted boolean")
+    counts = {True: {}, False: {}}
+    for line, side in rows:
+        framed = "^^^" + re.sub(r"\d", "0", line) + "$"
+        for i in range(3, len(framed)):
+            for k in range(4):
+                key = (framed[i - k : i], framed[i])
+                counts[side][key] = counts[side].get(key, 0) + 1
+    seen = set(counts[True]) | set(counts[False])
+
+    def p(side, before, char):
+        own = counts[side].get((before, char), 0)
+        total = sum(n for (b, _), n in counts[side].items() if b == before)
+        lower = p(side, before[1:], char) if before else 1 / 256
+        return (own + 2.0 * lower) / (total + 2.0)
+
+    asked = ["http://c.org/abz", "q", ""]
+    got = {r.line: r.score for r in urls.scored(spark.createDataFrame([(x,) for x in asked], "line string"), urls.ratios(df), "line").collect()}
+    for line in asked:
+        framed, total = "^^^" + re.sub(r"\d", "0", line) + "$", 0.0
+        for i in range(3, len(framed)):
+            k = next((k for k in (3, 2, 1, 0) if (framed[i - k : i], framed[i]) in seen), None)
+            total += 0.0 if k is None else math.log(p(True, framed[i - k : i], framed[i]) / p(False, framed[i - k : i], framed[i]))
+        assert got[line] == pytest.approx(total / (len(framed) - 3))
+
+
+def _plain_train(bags, seed=7):
+    """The training of ``toxicity.train``, example by example, with dense gradients."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(0, 0.1, (toxicity.BUCKETS, toxicity.WIDTH)).astype(np.float32).astype(float)
+    m = rng.normal(0, 0.5, (toxicity.WIDTH, 2)).astype(np.float32).astype(float)
+    bias = np.zeros(2)
+    share = [sum(b[0] == k for b in bags) for k in (0, 1)]
+    moments, step = [[np.zeros_like(p), np.zeros_like(p)] for p in (v, m, bias)], 0
+    for epoch in range(toxicity.EPOCHS):
+        order, rate = rng.permutation(len(bags)), toxicity.RATE * (1 - epoch / toxicity.EPOCHS)
+        for at in range(0, len(order), toxicity.BATCH):
+            rows = order[at : at + toxicity.BATCH]
+            gv, gm, gb, used = np.zeros_like(v), np.zeros_like(m), np.zeros(2), set()
+            for r in rows:
+                label, index, weight = bags[r]
+                mean = sum(w * v[i] for i, w in zip(index, weight))
+                e = np.exp(mean @ m + bias)
+                d = e / e.sum()
+                d[label] -= 1
+                d *= len(bags) / 2 / share[label] / len(rows)
+                gm += np.outer(mean, d)
+                gb += d
+                for i, w in zip(index, weight):
+                    gv[i] += w * (m @ d)
+                    used.add(int(i))
+            step += 1
+            used = sorted(used)
+            gv[used] += toxicity.DECAY * v[used]
+            for p, g, (a, b), where in zip((v, m, bias), (gv, gm, gb), moments, (used, slice(None), slice(None))):
+                a[where] = 0.9 * a[where] + 0.1 * g[where]
+                b[where] = 0.999 * b[where] + 0.001 * g[where] ** 2
+                p[where] -= rate * (a[where] / (1 - 0.9**step)) / (np.sqrt(b[where] / (1 - 0.999**step)) + 1e-8)
+    return v @ (m[:, 1] - m[:, 0]), bias[1] - bias[0]
+
+
+def test_toxicity_training(spark):
+    """Training against the plain one, scores against sums over bags, and one text for an id that repeats."""
+    body = ["bad awful mean", "bad ugly", "kind good nice", "good day", "nice walk today"]
+    bags = []
+    for k, text in enumerate(body):
+        own = toxicity.bag(text)
+        bags.append((int(k < 2), np.fromiter(own.keys(), np.int32), np.fromiter(own.values(), np.float32)))
+    numbers, bias = toxicity.train(bags)
+    plain, plain_bias = _plain_train(bags)
+    assert np.abs(numbers - plain).max() < 0.02 * np.abs(plain).max() and abs(bias - plain_bias) < 0.02
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*body, "badd kindness", ""])], "doc_id long, text string")
+    for r in toxicity.score(df, (numbers, bias)).collect():
+        total = bias + sum(w * numbers[b] for b, w in toxicity.bag([*body, "badd kindness", ""][r.id]).items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), rel=1e-4)
+    twice = spark.createDataFrame([(k, t) for k, t in enumerate(body)] + [(0, "quite other words")], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 2)) for k in range(5)], "doc_id long, toxic int")
+    assert np.array_equal(toxicity.fit(twice, marks)[0], toxicity.fit(twice.orderBy("text").repartition(3), marks)[0])
+
+
+def _warc_records(data):
+    """Records of an archive by the standard alone: named fields, then a block of Content-Length, then two line ends."""
+    at = 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        first, *fields = data[at:end].decode().split("\r\n")
+        assert first == "WARC/1.1"
+        h = dict(x.split(": ", 1) for x in fields)
+        assert {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= set(h)
+        n = int(h["Content-Length"])
+        block, at = data[end + 4 : end + 4 + n], end + 4 + n
+        assert len(block) == n and data[at : at + 4] == b"\r\n\r\n"
+        at += 4
+        yield h, block
+
+
+def test_warc_ids(spark, tmp_path):
+    """Large, repeated and null ids, and what an independent parser makes of the archives."""
+    import glob
+    import gzip
+
+    x, y, z = "x" * 2000, "y\r\n\r\n" * 500, "zé" * 40000
+    rows = [(1, "http://a", x), (2, "http://b", x), (1, "http://c", y), (BIG + 1, "u", z), (BIG + 3, "u", z), (None, "u", z), (None, "u", "w" * 1500), (7, None, None), (2, "http://b", x)]
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "page_id long, url string, html string, hash string, n int").repartition(2)
+    got = sorted(((r.page_id if "page_id" in r else r.id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()), key=key)
+    want = [(1, 2000, "revisit", 2), (2, 2000, "response", None), (2, 2000, "response", None), (1, 2500, "response", None), (BIG + 1, 120000, "revisit", BIG + 3), (BIG + 3, 120000, "response", None), (None, 120000, "revisit", BIG + 3), (None, 1500, "response", None), (7, 0, "response", None)]
+    assert got == sorted(want, key=key)
+    warc.write(df, f"file://{tmp_path}/out")
+    payloads, referred, names = {}, set(), set()
+    for path in glob.glob(f"{tmp_path}/out/*.gz"):
+        found = list(_warc_records(gzip.open(path).read()))
+        assert not found or found[0][0]["WARC-Type"] == "warcinfo"
+        for h, block in found:
+            kind, name = h["WARC-Type"], h["WARC-Record-ID"]
+            names.add(name)
+            if kind == "response":
+                head, _, body = block.partition(b"\r\n\r\n")
+                assert head.startswith(b"HTTP/1.1 200") and h["Content-Type"] == "application/http;msgtype=response"
+                payloads[name] = body
+            elif kind == "continuation":
+                assert int(h["WARC-Segment-Number"]) > 1
+                payloads[h["WARC-Segment-Origin-ID"]] += block
+            elif kind == "revisit":
+                referred.add(h["WARC-Refers-To"])
+    assert sorted(payloads.values()) == sorted(p.encode() for p in {x, y, z, "w" * 1500, ""}) and referred <= set(payloads)
+
+
+def test_clear(spark):
+    from spanlake.llm import common
+
+    df = common.stored(spark.range(3), "three")
+    assert df.count() == 3 and (folder := common.run_folder(spark))
+    common.clear(spark)
+    assert common.run_folder(spark) != folder
