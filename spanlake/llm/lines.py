@@ -12,24 +12,26 @@ halves, as hashed keys, are compared first.
 
 Longer lines, k edits: all variants without up to k words would be far too many. Words are dealt to 2 k + 1 classes by their
 hash, and a line emits, for each class, the variant that has lost the words of all other classes. An edit touches two classes
-at most, so two lines k edits apart have one such variant in common. Should that be an empty one, the k + 1 words of the least
-hash stand for the line: of these too the two have one in common. What shares a key is verified word by word.
+at most, so two lines k edits apart have one such variant in common. Should that be an empty one, the first k + 1 words in
+a fixed order stand for the line: of these too the two have one in common. What shares a key is verified word by word.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fresh, stored, texts
+from spanlake.llm.common import discard, fresh, release, stored, texts
 
 #: Words from which a line has near copies. An edit of a line of three words or fewer leaves too little in common; those are
 #: compared as they are.
 MIN_WORDS = 4
 #: Words for each of which a line may have an edit more, and from which it may have two.
 STEP = 20
-#: Words that are looked at together, and words whose hash a worker remembers.
-CHUNK, MEMORY = 200_000, 500_000
+#: Words, and lines under the same keys, that are looked at together.
+CHUNK, SOME = 200_000, 128
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -45,27 +47,38 @@ def line_words(line: str) -> list[str]:
     return line.lower().split()
 
 
-class _Hashes(dict):
-    """XXH64 of words, remembered."""
+_powers: dict = {}
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
 
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= MEMORY:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _power(base: int, n: int):
+    """base^0 .. base^(n - 1), kept by the worker."""
+    import numpy as np
+
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, np.uint64)
+        known[0] = 1
+        known = _powers[base] = np.multiply.accumulate(known)
+    return known[:n]
 
 
-_hashes = _Hashes()
+def word_hashes(lines: list[list[str]]):
+    """64-bit hashes of the words of all ``lines``, one after another: polynomials over their bytes."""
+    return text_hashes(map(" ".join, lines))
 
 
-def _hashed(words: list[str]):
+def text_hashes(texts):
     import numpy as np
 
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    data = np.frombuffer(" ".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(data)), out=sums[1:])
+    own = (sums[ends] - sums[starts]) * _power(_BACK, len(data))[starts]
+    return _mixed(_mixed(own) + (ends - starts).astype(np.uint64))
 
 
 def _mixed(keys):
@@ -87,22 +100,19 @@ def halves(words: list[str]) -> list[int]:
     return out
 
 
-def variants(words: list[str]):
-    """Keys (int64) of the line without each of its words in turn, then of the line as it is."""
+def variants(own):
+    """Keys (int64) of the line of words with hashes ``own``, without each of its words in turn, then of the line as it is."""
     import numpy as np
 
-    n = len(words)
-    own = _hashed(words)
-    powers = np.full(n + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
+    n = len(own)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(own * powers[:n], out=sums[1:])
+    np.cumsum(own * _power(_BASE, n), out=sums[1:])
     keys = np.concatenate([sums[:n] + (sums[n] - sums[1:]) * np.uint64(_BACK), sums[n:]])
     keys += np.array([n - 1] * n + [n], np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return _mixed(keys).view(np.int64)
 
 
+@functools.lru_cache(100_000)
 def _families(n: int) -> list[int]:
     """Bounds that a line of n words has with lines of its own length or more, and with shorter ones."""
     out, m = {edits(n)}, n
@@ -121,7 +131,9 @@ def class_keys(lines: list[list[str]]):
     for i, words in enumerate(lines):
         for k in _families(len(words)):
             families.setdefault(k, []).append(i)
-    hashes = [_hashed(words) for words in lines]
+    ends = np.cumsum([0, *map(len, lines)])
+    all_ = word_hashes(lines)
+    hashes = [all_[i:j] for i, j in zip(ends[:-1], ends[1:])]
     owners, keys = [], []
     for k, members in families.items():
         p, own = 2 * k + 1, [hashes[i] for i in members]
@@ -132,9 +144,7 @@ def class_keys(lines: list[list[str]]):
         group, h = group[order], h[order]
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         counts = np.diff(np.r_[starts, len(group)])
-        powers = np.full(int(counts.max()) + 1, _BASE, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
+        powers = _power(_BASE, int(counts.max()))
         ranks = np.arange(len(group)) - np.repeat(starts, counts)
         sums = np.add.reduceat(h * powers[ranks], starts)
         place, kind = np.divmod(group[starts], p)
@@ -151,13 +161,15 @@ def class_keys(lines: list[list[str]]):
 
 
 def _least_words(h, k: int):
-    """The k + 1 least hashes of words, the second, third ... of equal words having hashes of their own."""
+    """Hashes of the first k + 1 words in an order of (word, its how manieth in the line): what is repeated most comes first,
+    since few lines share it."""
     import numpy as np
 
     h = np.sort(h)
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     ranks = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-    return np.sort(_mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE)))[: k + 1]
+    own = _mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE))
+    return own[np.lexsort((own, -ranks))[: k + 1]]
 
 
 def within(a: list[str], b: list[str], most: int) -> bool:
@@ -202,33 +214,42 @@ class Earlier:
     """The lines under one key, as they come; ``has_near`` asks whether one that came before is near. Counts of words by hash
     rule out most of them: an edit changes two of those counts by one at most."""
 
+    BUCKETS = 128
+
     def __init__(self):
         import numpy as np
 
-        self.words, self.size = [], 0
-        self.counts, self.lengths = np.zeros((64, 16), np.int16), np.zeros(64, np.int32)
+        self.texts, self.size = [], 0
+        self.counts, self.lengths = np.zeros((16, self.BUCKETS), np.int16), np.zeros(16, np.int32)
 
-    def has_near(self, words: list[str]) -> bool:
+    def has_near(self, words: list[str], counts) -> bool:
         import numpy as np
 
-        own = np.bincount((_hashed(words) & np.uint64(15)).astype(np.int64), minlength=16).astype(np.int16)
-        counts, lengths = self.counts[: self.size], self.lengths[: self.size]
+        lengths = self.lengths[: self.size]
         most = np.minimum(lengths, len(words)) // STEP + 1
-        fits = np.abs(lengths - len(words)) <= most
-        fits &= np.abs(counts - own).sum(1) <= 2 * most
-        return any(near(words, self.words[i]) for i in np.flatnonzero(fits))
+        at = np.flatnonzero(np.abs(lengths - len(words)) <= most)
+        at = at[np.abs(self.counts[at] - counts).sum(1) <= 2 * most[at]]
+        return any(near(words, self.texts[i].split(" ")) for i in at)
 
-    def add(self, words: list[str]) -> None:
+    def add(self, text: str, length: int, counts) -> None:
         import numpy as np
 
         if self.size == len(self.lengths):
             self.counts, self.lengths = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-        self.counts[self.size] = np.bincount((_hashed(words) & np.uint64(15)).astype(np.int64), minlength=16)
-        self.lengths[self.size] = len(words)
-        self.words.append(words)
+        self.counts[self.size], self.lengths[self.size] = counts, length
+        self.texts.append(text)
         self.size += 1
 
 
+def word_counts(lines: list[list[str]]):
+    """A row of counts of words, by their hash, for each of ``lines``."""
+    import numpy as np
+
+    place = np.repeat(np.arange(len(lines)) * Earlier.BUCKETS, [len(w) for w in lines])
+    found = place + (word_hashes(lines) & np.uint64(Earlier.BUCKETS - 1)).astype(np.int64)
+    return np.bincount(found, minlength=len(lines) * Earlier.BUCKETS).reshape(len(lines), Earlier.BUCKETS).astype(np.int16)
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """(id, line, near): the lines, counted from 0 in a document, that go. ``near``: no equal line is earlier, but one that is
     one edit apart, or with ``grow`` up to ``edits``. Earlier is the smaller id, then the smaller line; a row's repetition
@@ -286,12 +307,16 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield ready()
 
     lines = stored(rows.mapInArrow(split, f"id {kind}, line int, mark binary, keys array<long>"), "lines")
-    unique = stored(lines.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")), "unique")
-    again = lines.select("id", "line", "mark").join(unique.where("n > 1").select("mark", "first"), "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct()
-
-    keys = unique.select(F.explode("keys").alias("key"), F.col("first.id").alias("id"), F.col("first.line").alias("line"))
-    all_, own = Window.partitionBy("key"), F.struct("id", "line")
+    places = lines.select("id", "line", "mark")
+    unique = places.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
+    again = stored(places.join(unique, "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct(), "again")
+
+    own = F.struct("id", "line")
+    firsts = lines.where("size(keys) > 0").groupBy("mark").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
+    keys = firsts.select(F.explode("keys").alias("key"), F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    all_ = Window.partitionBy("key")
     shared = stored(keys.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most"), "shared")
+    discard(lines)
 
     def pick(batches):
         import pandas as pd
@@ -304,17 +329,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame(out, columns=["id", "line", "words"])
 
     wanted = shared.select("id", "line").distinct().groupBy("id").agg(F.collect_list("line").alias("wanted"))
-    picked = stored(rows.join(wanted, "id").mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
+    picked = stored(rows.join(wanted.hint("shuffle_hash"), "id").mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
+    release(docs.sparkSession)  # the shuffled documents
 
     def emit(batches):
         import numpy as np
         import pandas as pd
 
         for batch in batches:
-            keys = [variants(w.split(" ")) for w in batch["words"]]
-            sizes = np.array([len(k) for k in keys], np.int64)
-            if not len(sizes):
+            lines = [w.split(" ") for w in batch["words"]]
+            if not lines:
                 continue
+            ends, hashes = np.cumsum([0, *map(len, lines)]), word_hashes(lines)
+            keys = [variants(hashes[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+            sizes = np.array([len(k) for k in keys], np.int64)
             place = np.concatenate([np.r_[np.arange(n - 1), -1] for n in sizes])
             yield pd.DataFrame({"key": np.concatenate(keys), "place": place.astype(np.int32), "id": np.repeat(batch["id"].to_numpy(), sizes), "line": np.repeat(batch["line"].to_numpy(), sizes)})
 
@@ -333,8 +361,14 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.select(F.col("own.id").alias("id"), F.col("own.line").alias("line"), F.col("other.id").alias("other_id"), F.col("other.line").alias("other_line"))
 
     def verify(batches):
+        import numpy as np
+
         for batch in batches:
-            good = [(near if grow else one_edit)(a.split(" "), b.split(" ")) for a, b in zip(batch["words"], batch["other_words"])]
+            good = []
+            for at in range(0, len(batch), SOME):
+                a, b = ([x.split(" ") for x in batch[c].iloc[at : at + SOME]] for c in ("words", "other_words"))
+                apart = np.abs(word_counts(a) - word_counts(b)).sum(1)
+                good += [n <= 2 * edits(min(len(x), len(y))) and (near if grow else one_edit)(x, y) for x, y, n in zip(a, b, apart)]
             yield batch.loc[good, ["id", "line"]]
 
     sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
@@ -348,13 +382,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             key, group = None, None
             for batch in batches:  # sorted by key, then in the order of lines
                 good = []
-                for i, (k, open_, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("open").to_pylist(), batch.column("words").to_pylist())):
-                    if k != key:
-                        key, group = k, Earlier()
-                    words = text.split(" ")
-                    if open_ and group.has_near(words):
-                        good.append(i)
-                    group.add(words)
+                for at in range(0, batch.num_rows, SOME):
+                    part = batch.slice(at, SOME)
+                    texts_ = part.column("words").to_pylist()
+                    lines = [x.split(" ") for x in texts_]
+                    counts = word_counts(lines)
+                    for i, (k, open_) in enumerate(zip(part.column("key").to_pylist(), part.column("open").to_pylist())):
+                        if k != key:
+                            key, group = k, Earlier()
+                        if open_ and group.has_near(lines[i], counts[i]):
+                            good.append(at + i)
+                        group.add(texts_[i], len(lines[i]), counts[i])
                 yield batch.select(["id", "line"]).take(pa.array(good, pa.int64()))
 
         # Then those that aren't settled by it, with the others before them, up to the first that is near.
@@ -363,7 +401,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rest = rest.join(asked, "key").join(picked, ["id", "line"]).select("key", "id", "line", "open", "words")
         more = rest.repartition("key").sortWithinPartitions("key", "id", "line").mapInArrow(later, f"id {kind}, line int")
         close = close.unionByName(more).distinct()
-    return again.unionByName(close.withColumn("near", F.lit(True)))
+    out = stored(again.unionByName(close.withColumn("near", F.lit(True))), "dropped")
+    release(docs.sparkSession)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
@@ -382,7 +422,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return pd.Series([t if g is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in s) for t, g in zip(text, gone) for s in [set(g) if g is not None else ()]])
 
-    joined = docs.join(by_doc, id_col, "left")
+    joined = docs.join(by_doc.hint("shuffle_hash"), id_col, "left")  # a short list for each document, next to whole texts
     text, n_near = F.col(text_col), F.coalesce(near_, F.lit(0))
     count = F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S")))).cast("int")
     left = F.when(F.col(gone).isNull(), text).otherwise(rest(text, F.col(gone)))
