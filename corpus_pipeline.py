@@ -22,7 +22,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the fixed rules nor the learnt list rejects."""
     rules = quality.fit(docs, _labels(spark, sf_dir))
-    return quality.judged(docs, rules).where("_kept").select(*docs.columns)
+    return quality.passed(docs, rules)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

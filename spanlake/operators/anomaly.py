@@ -25,34 +25,48 @@ def window_groups(red: DataFrame, *, window_ns: int = 90 * SECOND, tick_ns: int
     return rows.groupBy(*KEY, "tick_ns").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), last["p95_ns"].alias("p95_ns"), last["p99_ns"].alias("p99_ns"))
 
 
-def _events(rows: DataFrame, kind: str, breach: Column, observed: Column, base: Column, score: Column) -> DataFrame:
-    return rows.select(*KEY, "tick_ns", "state", F.lit(kind).alias("kind"), F.coalesce(breach, F.lit(False)).alias("breach"), observed.cast("double").alias("observed"), base.cast("double").alias("baseline"), F.when(F.coalesce(breach, F.lit(False)), score).alias("score"))
+def _verdict(kind: str, breach: Column, observed: Column, base: Column, score: Column) -> Column:
+    holds = F.coalesce(breach, F.lit(False))
+    return F.struct(F.lit(kind).alias("kind"), holds.alias("breach"), observed.cast("double").alias("observed"), base.cast("double").alias("baseline"), F.when(holds, score).alias("score"))
 
 
-def latency_shift(groups: DataFrame, *, ratio: float = 1.5, delta_ns: float = 50e6, min_calls: int = 20, widen: float = 1.5) -> DataFrame:
-    """p95 at least ``ratio`` times its baseline and ``delta_ns`` above it; both wider without an hourly baseline.
-
-    ``groups`` are windows with a looked-up baseline; every row gets a verdict, with a score where it breaches.
-    """
+def latency_shift(*, ratio: float = 1.5, delta_ns: float = 50e6, min_calls: int = 20, widen: float = 1.5) -> Column:
+    """p95 at least ``ratio`` times its baseline and ``delta_ns`` above it; both wider without an hourly baseline."""
     factor = F.when(F.col("state") == "global", widen).otherwise(1.0)
     base, seen = F.col("base_p95_ns"), F.col("p95_ns")
     delta = seen - base
     breach = (F.col("state") != "cold") & (base > 0) & (seen >= base * ratio * factor) & (delta >= F.lit(delta_ns) * factor) & (F.col("calls") >= min_calls)
-    return _events(groups, "latency_shift", breach, seen, base, _one(0.5 * _one(F.try_divide(seen, base) - 1) + 0.5 * _one(delta / (4 * delta_ns))))
+    return _verdict("latency_shift", breach, seen, base, _one(0.5 * _one(F.try_divide(seen, base) - 1) + 0.5 * _one(delta / (4 * delta_ns))))
 
 
-def error_burst(groups: DataFrame, *, delta: float = 0.05, ratio: float = 3.0, min_calls: int = 20) -> DataFrame:
+def error_burst(*, delta: float = 0.05, ratio: float = 3.0, min_calls: int = 20) -> Column:
     """Error rate at least ``delta`` above its moving average and ``ratio`` times it."""
     rate, base = F.col("errors") / F.col("calls"), F.col("base_error_rate")
     breach = (F.col("state") != "cold") & (rate - base >= delta) & (rate >= ratio * base) & (F.col("calls") >= min_calls)
-    return _events(groups, "error_burst", breach, rate, base, _one(0.5 * _one((rate - base) / 0.2) + 0.5 * _one(rate)))
+    return _verdict("error_burst", breach, rate, base, _one(0.5 * _one((rate - base) / 0.2) + 0.5 * _one(rate)))
 
 
-def throughput_drop(groups: DataFrame, *, ratio: float = 0.5, min_rps: float = 0.1, window_s: int = 90) -> DataFrame:
+def throughput_drop(*, ratio: float = 0.5, min_rps: float = 0.1, window_s: int = 90) -> Column:
     """Calls a second at most ``ratio`` of their moving average."""
     rps, base = F.col("calls") / window_s, F.col("base_rps")
     breach = (F.col("state") != "cold") & (base >= min_rps) & (rps <= ratio * base)
-    return _events(groups, "throughput_drop", breach, rps, base, _one(1 - F.try_divide(rps, base)))
+    return _verdict("throughput_drop", breach, rps, base, _one(1 - F.try_divide(rps, base)))
+
+
+def verdicts(groups: DataFrame, *detectors: Column) -> DataFrame:
+    """A row for each window and detector, with a score where it breaches. ``groups`` are windows with a looked-up baseline;
+    all detectors are asked in one pass."""
+    return groups.select(*KEY, "tick_ns", "state", F.inline(F.array(*detectors)))
+
+
+def silent(groups: DataFrame, baselines: DataFrame) -> DataFrame:
+    """``groups`` and, for every tick there is, a window without calls of each key with a baseline that has none in it: an
+    outage is seen too. Ticks and keys are few next to spans."""
+    ticks = groups.select("tenant", "tick_ns").distinct()
+    keys = baselines.where("slot = -1").select(*KEY).distinct()
+    none = keys.join(ticks, "tenant").join(groups.select(*KEY, "tick_ns"), [*KEY, "tick_ns"], "left_anti")
+    zero = F.lit(0).cast("bigint")
+    return groups.unionByName(none.select(*KEY, "tick_ns", zero.alias("calls"), zero.alias("errors"), F.lit(None).cast("bigint").alias("p95_ns"), F.lit(None).cast("bigint").alias("p99_ns")))
 
 
 def debounced(verdicts: DataFrame, *, ticks: int = 2) -> DataFrame:

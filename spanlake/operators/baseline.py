@@ -54,9 +54,12 @@ def lookup(keys: DataFrame, baselines: DataFrame, *, at: str, min_global: int =
 
 
 def digest_quantile(rows: DataFrame, *, by: list[str], value: str, q: float) -> DataFrame:
-    """The value at index trunc(q (n - 1)) of the sorted values of each group, for groups of bounded size."""
-    own = F.sort_array(F.collect_list(value))
-    return rows.groupBy(*by).agg(F.get(own, F.floor((F.count("*") - 1) * F.lit(q)).cast("int")).alias("value"), F.count("*").alias("n"))
+    """The value at index trunc(q (n - 1)) of the sorted values of each group: equal values are counted first, and the counts
+    added up in order, so that a group costs a row for each different value."""
+    counts = rows.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*by)
+    placed = counts.withColumns({"upto": F.sum("c").over(own.orderBy("value")), "n": F.sum("c").over(own)})
+    return placed.where(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(q))).groupBy(*by).agg(F.min("value").alias("value"), F.first("n").alias("n"))
 
 
 def approximate_quantiles(rows: DataFrame, *, by: list[str], value: str, accuracy: int = 10_000) -> DataFrame:

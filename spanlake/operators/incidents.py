@@ -18,6 +18,7 @@ def group(events: DataFrame, near: DataFrame, *, same_ns: int = 1800 * SECOND, n
     events are linked in a chain, and only the first of its events at one time is linked to other services. Components are found by passing the least
     id on until nothing changes.
     """
+    events, near = cut(events), cut(near)  # both are read several times
     order = Window.partitionBy("tenant", "fingerprint").orderBy("at_ns", "event_id")
     same = events.withColumn("b", F.lag("event_id").over(order)).withColumn("gap", F.col("at_ns") - F.lag("at_ns").over(order)).where(F.col("gap") <= same_ns).select(F.col("event_id").alias("a"), "b")
     own = Window.partitionBy("tenant", "service").orderBy("at_ns", "event_id")

@@ -17,11 +17,13 @@ def floor_to(column: str, width_ns: int) -> Column:
 def rollup(spans: DataFrame, *, width_ns: int = 10 * SECOND, time_col: str = "received_ns", exemplars: int = 4) -> DataFrame:
     """Calls, errors, summed duration, histogram and the lowest exemplar trace ids by tenant, service, operation and bucket.
 
-    The distinct trace ids of an operation and bucket are held while it is aggregated; ``width_ns`` bounds them.
+    Spans are dealt by that key once; a rank by trace id lets the aggregation hold no more ids than it returns.
     """
-    keyed = spans.withColumn("bucket_ns", floor_to(time_col, width_ns))
     key = ["tenant", "service", "name", "bucket_ns"]
-    ids = F.slice(F.array_sort(F.collect_set("trace_id")), 1, exemplars)
+    keyed = spans.select("tenant", "service", "name", floor_to(time_col, width_ns).alias("bucket_ns"), "trace_id", "is_error", "duration_ns")
+    rank = F.dense_rank().over(Window.partitionBy(*key).orderBy("trace_id"))
+    keyed = keyed.withColumn("exemplar", F.when(rank <= exemplars, F.col("trace_id")))
+    ids = F.array_sort(F.collect_set("exemplar"))
     return keyed.groupBy(*key).agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.sum("duration_ns").alias("duration_sum_ns"), latency.hist(F.col("duration_ns")).alias("hist"), ids.alias("exemplars"))
 
 

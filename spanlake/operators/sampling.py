@@ -11,10 +11,17 @@ ERROR, SLOW, RARE, INTEREST, FLOOR, PROBABILISTIC, DROPPED, SHED, TRUNCATED = 1,
 
 
 def rare_candidates(traces: DataFrame, *, quiet_ns: int = 7 * 86400 * SECOND) -> DataFrame:
-    """Traces with ``rare``: their path signature is new in the tenant, or was last seen over ``quiet_ns`` ago."""
-    order = Window.partitionBy("tenant", "path_signature").orderBy("start_ns", "trace_id")
-    before = F.lag("start_ns").over(order)
-    return traces.withColumn("rare", before.isNull() | (F.col("start_ns") - before > quiet_ns))
+    """Traces with ``rare``: their path signature is new in the tenant, or was last seen over ``quiet_ns`` ago.
+
+    Only the first trace of a signature in a bucket of that width can be rare, so the commonest signature costs a row for
+    each bucket.
+    """
+    own = F.struct("start_ns", "trace_id")
+    buckets = traces.groupBy("tenant", "path_signature", F.floor(F.col("start_ns") / F.lit(quiet_ns)).alias("bucket")).agg(F.min(own).alias("first"), F.max("start_ns").alias("last_ns"))
+    before = F.lag("last_ns").over(Window.partitionBy("tenant", "path_signature").orderBy("bucket"))
+    new = buckets.withColumn("before", before).where(F.col("before").isNull() | (F.col("first.start_ns") - F.col("before") > quiet_ns))
+    found = new.select("tenant", F.col("first.trace_id").alias("trace_id"), F.lit(True).alias("rare"))
+    return traces.join(found, ["tenant", "trace_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(False)))
 
 
 def per_minute(rows: DataFrame, *, by: list[str], rate: int, when: Column, name: str) -> DataFrame:
@@ -33,21 +40,22 @@ def token_bucket(rows: DataFrame, *, by: list[str], rate: int) -> DataFrame:
     places = [rows.columns.index(c) for c in by]
 
     def work(batches):
+        import pyarrow as pa
+
         key, tokens, last = None, 0.0, 0
         for batch in batches:
             taken = []
-            for row in batch.itertuples(index=False):
-                own = tuple(row[i] for i in places)
+            for at, *own in zip(batch.column("start_ns").to_pylist(), *(batch.column(i).to_pylist() for i in places)):
                 if own != key:
-                    key, tokens, last = own, float(rate), row.start_ns
-                tokens, last = min(float(rate), tokens + (row.start_ns - last) / SECOND * rate / 60), row.start_ns
+                    key, tokens, last = own, float(rate), at
+                tokens, last = min(float(rate), tokens + (at - last) / SECOND * rate / 60), at
                 ok = tokens >= 1
                 tokens -= ok
                 taken.append(ok)
-            yield batch.assign(taken=taken)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=[*batch.schema.names, "taken"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", taken boolean"
-    return rows.repartition(*by).sortWithinPartitions(*by, "start_ns", "trace_id").mapInPandas(work, fields)
+    return rows.repartition(*by).sortWithinPartitions(*by, "start_ns", "trace_id").mapInArrow(work, fields)
 
 
 def probabilistic(*, rate: Column) -> Column:

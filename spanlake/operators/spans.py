@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 KEY = ["tenant", "trace_id", "span_id"]
 
 
-def dedupe(spans: DataFrame, *, order=("received_ns",)) -> DataFrame:
-    """The first delivery of each span id within its tenant and trace."""
+def dedupe(spans: DataFrame, *, order=("received_ns",), whole_traces: bool = False) -> DataFrame:
+    """The first delivery of each span id within its tenant and trace.
+
+    ``whole_traces`` deals spans by trace, so that what works on whole traces next needs no shuffle of its own.
+    """
+    spans = spans.repartition("tenant", "trace_id") if whole_traces else spans
     first = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
     return spans.withColumn("_rn", first).where("_rn = 1").drop("_rn")
 
@@ -24,26 +28,6 @@ def features(spans: DataFrame) -> DataFrame:
     })
 
 
-def limit_attributes(spans: DataFrame, *, max_attrs: int = 128, max_key_bytes: int = 256, max_value_bytes: int = 4096) -> DataFrame:
-    """Keep the first ``max_attrs`` keys in sorted order, drop long keys, cut long values (in bytes); count and flag what went."""
-    keys = F.slice(F.array_sort(F.map_keys("attrs")), 1, max_attrs)
-    kept = F.map_filter("attrs", lambda k, v: F.array_contains(keys, k) & (F.octet_length(k) <= max_key_bytes))
-    cut = F.transform_values(kept, lambda k, v: F.when(F.octet_length(v) > max_value_bytes, F.decode(F.substring(v.cast("binary"), 1, max_value_bytes), "UTF-8")).otherwise(v))
-    long = F.exists(F.map_values(kept), lambda v: F.octet_length(v) > max_value_bytes)
-    dropped = F.size("attrs") - F.size(kept)
-    return spans.withColumns({"attrs": cut, "dropped_attrs": dropped, "truncated": (dropped > 0) | long})
-
-
-def reject_batches(spans: DataFrame, *, max_spans: int = 10_000) -> DataFrame:
-    """One row per batch (tenant, batch_id): spans received and the reason for which the batch is rejected, if any."""
-    return spans.groupBy("tenant", "batch_id").agg(F.count("*").alias("received"), F.when(F.count("*") > max_spans, F.lit("oversize")).when(F.max(F.col("trace_id").rlike("^0*$") | F.col("span_id").rlike("^0*$")), F.lit("malformed")).alias("reason"))
-
-
-def reject_report(batches: DataFrame) -> DataFrame:
-    """Spans received and rejected by tenant and reason."""
-    return batches.groupBy("tenant", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.sum("received").alias("spans"), F.count("*").alias("batches"))
-
-
 def search(spans: DataFrame, *, tenant: str, attribute: tuple[str, str] | None = None, text: str | None = None, service: str | None = None, operation: str | None = None, start_ns: int | None = None, end_ns: int | None = None, limit: int = 100) -> DataFrame:
     """The latest spans by attribute, else text, else service, else time. The attribute's path ignores the window."""
     rows = spans.where(F.col("tenant") == tenant)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,40 +23,53 @@ def rollup(spans: DataFrame, *, arrival: str = "received_ns") -> DataFrame:
 
 
 def _signature(spans) -> str:
-    """md5 over the edges of one trace in depth-first order: caller service, operation, callee service, operation."""
-    own = {s["span_id"]: s for s in spans}
+    """md5 over the edges of one trace in depth-first order: caller service, operation, callee service, operation. ``spans``:
+    (span_id, parent_span_id, service, name) by start and span id."""
+    own = {s[0]: s for s in spans}
     children, roots = {}, []
-    for s in sorted(own.values(), key=lambda s: (s["start_ns"], s["span_id"])):
-        (children.setdefault(s["parent_span_id"], []) if s["parent_span_id"] in own else roots).append(s)
+    for s in own.values():
+        (children.setdefault(s[1], []) if s[1] in own else roots).append(s)
     digest, stack, seen = hashlib.md5(), [(None, r) for r in reversed(roots)], set()
     while stack:
         above, s = stack.pop()
-        if s["span_id"] in seen:
+        if s[0] in seen:
             continue
-        seen.add(s["span_id"])
+        seen.add(s[0])
         if above is not None:
-            digest.update(f"{above['service']}\0{above['name']}\0{s['service']}\0{s['name']}\0".encode())
-        stack.extend((s, c) for c in reversed(children.get(s["span_id"], [])))
+            digest.update(f"{above[2]}\0{above[3]}\0{s[2]}\0{s[3]}\0".encode())
+        stack.extend((s, c) for c in reversed(children.get(s[0], [])))
     return digest.hexdigest()
 
 
-def path_signature(spans: DataFrame, *, max_spans: int = 10_000) -> DataFrame:
+def path_signature(spans: DataFrame) -> DataFrame:
     """(tenant, trace_id, path_signature). Orphans are further roots, sorted with the real ones by (start, span id); spans in
     a parent cycle are not visited; a trace without edges has the hash of the empty string.
 
-    A trace is one row with the array of its spans; of over ``max_spans`` the earliest count, as in assembly.
+    Spans are dealt by trace, sorted, and read once; a worker holds those of one trace, all of them.
     """
 
-    @F.pandas_udf("string")
-    def sign(column):
-        import pandas as pd
+    def sign(batches):
+        import pyarrow as pa
 
-        return pd.Series([_signature(spans) for spans in column])
+        def rows(out):
+            return pa.RecordBatch.from_pydict({"tenant": [x[0] for x in out], "trace_id": [x[1] for x in out], "path_signature": [x[2] for x in out]}, schema)
 
-    first = F.row_number().over(Window.partitionBy("tenant", "trace_id").orderBy("received_ns", "span_id"))
-    rows = spans.withColumn("_rn", first).where(F.col("_rn") <= max_spans)
-    traces = rows.groupBy("tenant", "trace_id").agg(F.collect_list(F.struct("span_id", "parent_span_id", "start_ns", "service", "name")).alias("spans"))
-    return traces.select("tenant", "trace_id", sign("spans").alias("path_signature"))
+        schema = pa.schema([("tenant", pa.string()), ("trace_id", pa.string()), ("path_signature", pa.string())])
+        key, own = None, []
+        for batch in batches:
+            out = []
+            for tenant, trace, *span in zip(*(batch.column(c).to_pylist() for c in ("tenant", "trace_id", "span_id", "parent_span_id", "service", "name"))):
+                if (tenant, trace) != key:
+                    if own:
+                        out.append((*key, _signature(own)))
+                    key, own = (tenant, trace), []
+                own.append(span)
+            yield rows(out)
+        if own:
+            yield rows([(*key, _signature(own))])
+
+    dealt = spans.select("tenant", "trace_id", "start_ns", "span_id", "parent_span_id", "service", "name").repartition("tenant", "trace_id")
+    return dealt.sortWithinPartitions("tenant", "trace_id", "start_ns", "span_id").mapInArrow(sign, "tenant string, trace_id string, path_signature string")
 
 
 def signature_stats(signed: DataFrame, *, time_col: str = "start_ns") -> DataFrame:
@@ -94,16 +107,24 @@ def visible(traces: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def assemble(spans: DataFrame, *, idle_ns: int = 8_000_000_000, hard_ns: int = 30_000_000_000, arrival: str = "received_ns") -> DataFrame:
-    """Spans with the number of their fragment: a fragment ends after ``idle_ns`` without arrivals, or ``hard_ns`` after its
-    first span. The idle rule splits runs with a window; the hard limit restarts inside a run, in an ordered fold over its
-    arrivals (a run is at most the spans of one trace)."""
-    key = Window.partitionBy("tenant", "trace_id").orderBy(arrival, "span_id")
-    gap = F.coalesce(F.col(arrival) - F.lag(arrival).over(key) >= idle_ns, F.lit(False)).cast("int")
-    runs = spans.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(key))
-    own = Window.partitionBy("tenant", "trace_id", "_run").orderBy(arrival, "span_id").rowsBetween(Window.unboundedPreceding, 0)
-    long = runs.withColumn("_first", F.min(arrival).over(Window.partitionBy("tenant", "trace_id", "_run"))).withColumn("_last", F.max(arrival).over(Window.partitionBy("tenant", "trace_id", "_run")))
-    fold = F.aggregate(F.collect_list(arrival).over(own), F.struct(F.lit(-1).cast("bigint").alias("first"), F.lit(-1).alias("n")), lambda a, t: F.when((a["n"] < 0) | (t - a["first"] >= hard_ns), F.struct(t.alias("first"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    part = F.when(F.col("_last") - F.col("_first") < hard_ns, F.lit(0)).otherwise(fold)
-    split = long.withColumn("_part", part)
-    number = F.dense_rank().over(Window.partitionBy("tenant", "trace_id").orderBy("_run", "_part"))
-    return split.withColumn("fragment", number).drop("_gap", "_run", "_first", "_last", "_part")
+    """Spans with the number of their fragment, from 1: a fragment ends after ``idle_ns`` without arrivals, or ``hard_ns``
+    after its first span. Spans are dealt by trace, sorted by arrival and span id, and numbered as they are read, batch by
+    batch: no trace is held as a whole."""
+
+    def number(batches):
+        import pyarrow as pa
+
+        key, first, last, n = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for tenant, trace, at in zip(*(batch.column(c).to_pylist() for c in ("tenant", "trace_id", arrival))):
+                if (tenant, trace) != key:
+                    key, first, n = (tenant, trace), at, 1
+                elif at - last >= idle_ns or at - first >= hard_ns:
+                    first, n = at, n + 1
+                last = at
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "fragment"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.schema.fields if f.name != "fragment") + ", fragment int"
+    return spans.drop("fragment").repartition("tenant", "trace_id").sortWithinPartitions("tenant", "trace_id", arrival, "span_id").mapInArrow(number, fields)

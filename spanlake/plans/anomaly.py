@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import latency
 from spanlake.operators import anomaly, baseline, red, spans
+from spanlake.operators.lineage import cut
 from spanlake.plans import fixtures
 from spanlake.plans.base import BUCKET_SQL, NS, S, base_spans, query, quantile_sql
 from spanlake.plans.graph import CALLS_SQL, base_calls, base_edges
@@ -63,14 +64,13 @@ def faulted_red(spark, sf_dir):
 
 
 def looked_up(spark, sf_dir):
-    rows = faulted_red(spark, sf_dir)
+    rows = cut(faulted_red(spark, sf_dir))  # for the windows and for the baselines
     return baseline.lookup(anomaly.window_groups(rows), baseline.build(rows), at="tick_ns")
 
 
 def fired(spark, sf_dir):
-    g = looked_up(spark, sf_dir)
-    all_ = anomaly.latency_shift(g, min_calls=10).unionByName(anomaly.error_burst(g, min_calls=10)).unionByName(anomaly.throughput_drop(g))
-    return anomaly.debounced(all_)
+    asked = anomaly.latency_shift(min_calls=10), anomaly.error_burst(min_calls=10), anomaly.throughput_drop()
+    return anomaly.debounced(anomaly.verdicts(looked_up(spark, sf_dir), *asked))
 
 
 def base_events(spark, sf_dir):
@@ -100,9 +100,14 @@ def digest_quantile(spark, sf_dir):
     return baseline.digest_quantile(faulted_red(spark, sf_dir), by=["tenant", "service"], value="p95_ns", q=0.95)
 
 
-@query()
+@query("SELECT tenant, service, name, true AS p50, true AS p95, true AS p99 FROM spans GROUP BY tenant, service, name")
 def p2_quantile(spark, sf_dir):
-    return baseline.approximate_quantiles(faulted_spans(spark, sf_dir), by=["tenant", "service", "name"], value="duration_ns")
+    """Whether each estimate lies between the values that 0.5 % of the rows are away from the quantile's place."""
+    rows = faulted_spans(spark, sf_dir)
+    by = ["tenant", "service", "name"]
+    found = baseline.approximate_quantiles(rows, by=by, value="duration_ns")
+    near = rows.groupBy(*by).agg(*(F.percentile("duration_ns", max(0.0, min(1.0, p + d))).alias(f"{n}_{k}") for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)) for k, d in (("low", -0.005), ("high", 0.005))))
+    return found.join(near, by).select(*by, *(F.col(n).between(F.floor(f"{n}_low"), F.ceil(f"{n}_high")).alias(n) for n in ("p50", "p95", "p99")))
 
 
 @query("SELECT tenant, service, name FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY round(rps, 9) DESC, first_ns DESC, service, name) AS r FROM baselines WHERE slot = -1) WHERE r <= 5", views=BASE_VIEWS)
@@ -125,7 +130,7 @@ def window_groups(spark, sf_dir):
 def _detector(kind, f):
     @query(f"SELECT tenant, service, name, tick_ns, round(score, 6) AS score FROM verdicts WHERE breach AND kind = '{kind}'", views=EVENT_VIEWS)
     def run(spark, sf_dir):
-        return f(looked_up(spark, sf_dir)).where("breach").select("tenant", "service", "name", "tick_ns", F.round("score", 6).alias("score"))
+        return anomaly.verdicts(looked_up(spark, sf_dir), f()).where("breach").select("tenant", "service", "name", "tick_ns", F.round("score", 6).alias("score"))
 
     return run
 
@@ -138,8 +143,8 @@ def _named(kind, f):
     SQL[kind] = SQL.pop("run")
 
 
-_named("latency_shift", lambda g: anomaly.latency_shift(g, min_calls=10))
-_named("error_burst", lambda g: anomaly.error_burst(g, min_calls=10))
+_named("latency_shift", lambda: anomaly.latency_shift(min_calls=10))
+_named("error_burst", lambda: anomaly.error_burst(min_calls=10))
 _named("throughput_drop", anomaly.throughput_drop)
 
 
@@ -184,7 +189,7 @@ def error_signatures_in_window(spark, sf_dir):
 
 _CHANGES = f"""sightings AS (SELECT *, lag(received_ns) OVER (PARTITION BY tenant, caller, callee, protocol ORDER BY received_ns, trace_id, span_id) AS before_ns FROM calls),
 changes AS (SELECT s.tenant, s.caller, s.callee, s.protocol, 'new_edge' AS kind, s.received_ns AS at_ns, 0.5 AS score FROM sightings s JOIN edges e ON e.tenant = s.tenant AND e.caller = s.caller AND e.callee = s.callee AND e.protocol = s.protocol WHERE (before_ns IS NULL OR received_ns - before_ns > 60000000000) AND e.calls >= 5
-  UNION ALL SELECT tenant, caller, callee, protocol, 'vanished_edge', last_ns, 0.6 FROM edges WHERE {NS + 3100 * S} - last_ns > 150000000000 AND calls >= 20)"""
+  UNION ALL SELECT tenant, caller, callee, protocol, 'vanished_edge', last_ns, 0.6 FROM edges WHERE (SELECT max(received_ns) FROM raw) - last_ns > 150000000000 AND calls >= 20)"""
 
 
 @query(
@@ -193,7 +198,7 @@ changes AS (SELECT s.tenant, s.caller, s.callee, s.protocol, 'new_edge' AS kind,
 )
 def topology_change(spark, sf_dir):
     called, edge = base_calls(spark, sf_dir), base_edges(spark, sf_dir)
-    gone = graph.vanished_edges(edge, now_ns=NS + 3100 * S, after_ns=150 * S)
+    gone = graph.vanished_edges(edge, now_ns=fixtures.latest(spark, sf_dir), after_ns=150 * S)
     return anomaly.topology_changes(graph.new_edges(called, quiet_ns=60 * S), gone, edge, min_vanished=20)
 
 

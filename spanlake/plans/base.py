@@ -27,14 +27,14 @@ def query(sql: str | None = None, *, views=(fixtures.SPANS_SQL,)):
     return register
 
 
-def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base_spans(spark: SparkSession, sf_dir: str, whole_traces: bool = False) -> DataFrame:
     """Deduplicated spans with their derived columns."""
     raw = fixtures.raw_spans(spark, sf_dir)
-    return spans.features(spans.dedupe(raw, order=("received_ns", "tie1", "tie2"))).drop("tie1", "tie2")
+    return spans.features(spans.dedupe(raw, order=("received_ns", "tie1", "tie2"), whole_traces=whole_traces)).drop("tie1", "tie2")
 
 
 def base_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.rollup(base_spans(spark, sf_dir))
+    return traces.rollup(base_spans(spark, sf_dir, whole_traces=True))
 
 
 def base_red(spark: SparkSession, sf_dir: str) -> DataFrame:

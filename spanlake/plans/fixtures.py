@@ -27,6 +27,7 @@ _COLUMNS = {
     "tie1": "l_partkey",
     "tie2": "l_suppkey",
 }
+_READ = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 _ATTRS = {"peer.service": "peer", "http.request.method": "http", "db.system": "db", "retry.count": "retries"}
 
 
@@ -45,9 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(*(f"{e.replace('{div}', 'div').replace('{string}', 'string')} AS {k}" for k, e in _COLUMNS.items()))
-    pairs = ", ".join(f"struct('{k}' AS key, {v} AS value)" for k, v in _ATTRS.items())
-    return rows.selectExpr(*(c for c in _COLUMNS if c not in _ATTRS.values()), f"map_from_entries(filter(array({pairs}), x -> x.value is not null)) AS attrs")
+    read = table(spark, sf_dir, "lineitem").select(*_READ)
+    if read.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small file is one task: deal it out first
+        read = read.repartition(spark.sparkContext.defaultParallelism)
+    rows = read.selectExpr(*(f"{e.replace('{div}', 'div').replace('{string}', 'string')} AS {k}" for k, e in _COLUMNS.items()))
+    keys = ", ".join(f"if({v} is null, null, '{k}')" for k, v in _ATTRS.items())
+    return rows.selectExpr(*(c for c in _COLUMNS if c not in _ATTRS.values()), f"map_from_arrays(array_compact(array({keys})), array_compact(array({', '.join(_ATTRS.values())}))) AS attrs")
+
+
+def latest(spark: SparkSession, sf_dir: str) -> int:
+    """The last arrival of a span."""
+    return table(spark, sf_dir, "lineitem").selectExpr(f"max({_COLUMNS['received_ns']})").first()[0]
 
 
 def deploys(spark: SparkSession, sf_dir: str) -> DataFrame:

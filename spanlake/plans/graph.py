@@ -72,9 +72,9 @@ def new_edges(spark, sf_dir):
     return graph.new_edges(base_calls(spark, sf_dir), quiet_ns=60 * S)
 
 
-@query(f"SELECT {_KEY}, last_ns FROM edges WHERE {NS + 3100 * S} - last_ns > 150000000000", views=VIEWS)
+@query(f"SELECT {_KEY}, last_ns FROM edges WHERE (SELECT max(received_ns) FROM raw) - last_ns > 150000000000", views=VIEWS)
 def vanished_edges(spark, sf_dir):
-    return graph.vanished_edges(base_edges(spark, sf_dir), now_ns=NS + 3100 * S, after_ns=150 * S).select("tenant", "caller", "callee", "protocol", "last_ns")
+    return graph.vanished_edges(base_edges(spark, sf_dir), now_ns=fixtures.latest(spark, sf_dir), after_ns=150 * S).select("tenant", "caller", "callee", "protocol", "last_ns")
 
 
 @query(

@@ -51,11 +51,13 @@ def query_red(spark, sf_dir):
 
 
 @query(
-    f"SELECT tenant, service, name, bucket_ns - bucket_ns % 300000000000 AS bucket_ns, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, sum(duration_sum_ns)::bigint AS duration_sum_ns, concat_ws(',', {', '.join(f'sum(h{i})::bigint' for i in range(16))}) AS hist FROM red WHERE bucket_ns < {NS + 1200 * S} GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY tenant, service, name, bucket_ns - bucket_ns % 300000000000"),
+    f"SELECT tenant, service, name, bucket_ns - bucket_ns % 300000000000 AS bucket_ns, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, sum(duration_sum_ns)::bigint AS duration_sum_ns, concat_ws(',', {', '.join(f'sum(h{i})::bigint' for i in range(16))}) AS hist FROM red WHERE bucket_ns < (SELECT max(received_ns) - max(received_ns) % 300000000000 FROM spans) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY tenant, service, name, bucket_ns - bucket_ns % 300000000000"),
     views=(fixtures.SPANS_SQL, RED_SQL),
 )
 def red_cascade(spark, sf_dir):
-    return red.cascade(base_red(spark, sf_dir), width_ns=300 * S, before_ns=NS + 1200 * S).withColumn("hist", csv("hist"))
+    """All buckets of five minutes that are over."""
+    now = fixtures.latest(spark, sf_dir)
+    return red.cascade(base_red(spark, sf_dir), width_ns=300 * S, before_ns=now - now % (300 * S)).withColumn("hist", csv("hist"))
 
 
 @query("SELECT * FROM traces", views=(fixtures.SPANS_SQL, TRACES_SQL))
@@ -73,7 +75,7 @@ signed AS (SELECT tenant, trace_id, md5(coalesce(string_agg(CASE WHEN p_service
 
 @query("SELECT * FROM signed", views=(fixtures.SPANS_SQL, PATHS_SQL))
 def path_signature(spark, sf_dir):
-    return traces.path_signature(base_spans(spark, sf_dir))
+    return traces.path_signature(base_spans(spark, sf_dir, whole_traces=True))
 
 
 @query(
@@ -81,7 +83,7 @@ def path_signature(spark, sf_dir):
     views=(fixtures.SPANS_SQL, PATHS_SQL, TRACES_SQL),
 )
 def path_signature_stats(spark, sf_dir):
-    own = base_spans(spark, sf_dir)
+    own = base_spans(spark, sf_dir, whole_traces=True)
     return traces.signature_stats(traces.path_signature(own).join(traces.rollup(own), ["tenant", "trace_id"]))
 
 
@@ -134,30 +136,40 @@ def exemplars_for(spark, sf_dir):
     return red.exemplars_for(base_spans(spark, sf_dir))
 
 
+_MIDDLE = f"(SELECT {NS} + (max(received_ns) - {NS}) // {20 * S} * {10 * S} FROM raw)"
+
+
 @query(
-    f"""SELECT tenant, service, sum(CASE WHEN bucket_ns >= {NS + 600 * S} THEN calls ELSE 0 END)::bigint AS calls, sum(CASE WHEN bucket_ns < {NS + 600 * S} THEN calls ELSE 0 END)::bigint AS calls_before,
-  sum(CASE WHEN bucket_ns >= {NS + 600 * S} THEN errors ELSE 0 END)::bigint AS errors, sum(CASE WHEN bucket_ns < {NS + 600 * S} THEN errors ELSE 0 END)::bigint AS errors_before FROM red WHERE bucket_ns >= {NS} AND bucket_ns < {NS + 1200 * S} GROUP BY tenant, service""",
+    f"""SELECT tenant, service, sum(CASE WHEN bucket_ns >= {_MIDDLE} THEN calls ELSE 0 END)::bigint AS calls, sum(CASE WHEN bucket_ns < {_MIDDLE} THEN calls ELSE 0 END)::bigint AS calls_before,
+  sum(CASE WHEN bucket_ns >= {_MIDDLE} THEN errors ELSE 0 END)::bigint AS errors, sum(CASE WHEN bucket_ns < {_MIDDLE} THEN errors ELSE 0 END)::bigint AS errors_before FROM red WHERE bucket_ns >= {NS} AND bucket_ns < 2 * {_MIDDLE} - {NS} GROUP BY tenant, service""",
     views=(fixtures.SPANS_SQL, RED_SQL),
 )
 def red_compare_windows(spark, sf_dir):
-    return red.compare_windows(base_red(spark, sf_dir), start_ns=NS + 600 * S, end_ns=NS + 1200 * S)
+    """The second half of the time there is with the first."""
+    middle = NS + (fixtures.latest(spark, sf_dir) - NS) // (20 * S) * 10 * S
+    return red.compare_windows(base_red(spark, sf_dir), start_ns=middle, end_ns=2 * middle - NS)
 
 
 @query(
-    f"""SELECT tenant, service, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, sum(errors) / sum(calls)::double AS error_rate, {quantile_sql(0.95, lambda i: f'sum(h{i})')} AS p95_ns FROM red WHERE bucket_ns BETWEEN {NS} AND {NS + 3600 * S} GROUP BY tenant, service""",
+    f"""SELECT tenant, service, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, sum(errors) / sum(calls)::double AS error_rate, {quantile_sql(0.95, lambda i: f'sum(h{i})')} AS p95_ns FROM red GROUP BY tenant, service""",
     views=(fixtures.SPANS_SQL, RED_SQL),
 )
 def overview(spark, sf_dir):
-    return red.overview(base_red(spark, sf_dir), start_ns=NS, end_ns=NS + 3600 * S)
+    """Tiles over all the time there is."""
+    return red.overview(base_red(spark, sf_dir), start_ns=NS, end_ns=fixtures.latest(spark, sf_dir))
 
 
 @query(
-    """SELECT tenant, trace_id, max(f) + 1 AS fragments, count(*) AS span_count FROM (SELECT tenant, trace_id, sum(gap) OVER (PARTITION BY tenant, trace_id ORDER BY received_ns, span_id) AS f FROM (
-  SELECT *, CASE WHEN received_ns - lag(received_ns) OVER (PARTITION BY tenant, trace_id ORDER BY received_ns, span_id) >= 200000000 THEN 1 ELSE 0 END AS gap FROM spans)) GROUP BY tenant, trace_id"""
+    """ordered AS (SELECT *, row_number() OVER (PARTITION BY tenant, trace_id ORDER BY received_ns, span_id) AS k FROM spans),
+walk AS (SELECT tenant, trace_id, k, received_ns, received_ns AS first_ns, 1 AS fragment FROM ordered WHERE k = 1 UNION ALL
+  SELECT o.tenant, o.trace_id, o.k, o.received_ns, CASE WHEN o.received_ns - w.received_ns >= 200000000 OR o.received_ns - w.first_ns >= 400000000 THEN o.received_ns ELSE w.first_ns END,
+    CASE WHEN o.received_ns - w.received_ns >= 200000000 OR o.received_ns - w.first_ns >= 400000000 THEN w.fragment + 1 ELSE w.fragment END FROM walk w JOIN ordered o ON o.tenant = w.tenant AND o.trace_id = w.trace_id AND o.k = w.k + 1)
+SELECT tenant, trace_id, max(fragment) AS fragments, count(*) AS span_count FROM walk GROUP BY tenant, trace_id""",
+    views=("RECURSIVE " + fixtures.SPANS_SQL,),
 )
 def assemble_traces(spark, sf_dir):
-    """Idle time 0.2 s: these traces are over within about a second."""
-    out = traces.assemble(base_spans(spark, sf_dir), idle_ns=200_000_000)
+    """Idle time 0.2 s, at most 0.4 s: these traces are over within about a second."""
+    out = traces.assemble(base_spans(spark, sf_dir, whole_traces=True), idle_ns=200_000_000, hard_ns=400_000_000)
     return out.groupBy("tenant", "trace_id").agg(F.max("fragment").alias("fragments"), F.count("*").alias("span_count"))
 
 
