@@ -117,6 +117,11 @@ def _links(edge: DataFrame, direction: str) -> DataFrame:
     return {"down": down, "up": up, "both": down.unionByName(up)}[direction].distinct()
 
 
+def neighbours(edge: DataFrame) -> DataFrame:
+    """(tenant, service, around): the services next to each, in either direction, in order."""
+    return _links(edge, "both").groupBy("tenant", F.col("a").alias("service")).agg(F.array_sort(F.collect_set("b")).alias("around"))
+
+
 def distances(edge: DataFrame, *, hops: int = 2, direction: str = "both", start: DataFrame | None = None) -> DataFrame:
     """(tenant, service, other, hops): the fewest hops, up to ``hops``, from each service, or from those in ``start``."""
     links = _links(edge, direction)

@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the session's checkpoint folder.
+def folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only a session in local mode may lack it: one machine runs
     everything there, so a temporary folder is shared too.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if path is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = tempfile.mkdtemp(prefix="spanlake-checkpoint-")
-        sc.setCheckpointDir(folder)
+            path = tempfile.mkdtemp(prefix="spanlake-checkpoint-")
+        sc.setCheckpointDir(path)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the checkpoint folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
