@@ -65,3 +65,56 @@ def metrics_for_span(spark, sf_dir):
 def audit_query(spark, sf_dir):
     events = fixtures.table(spark, sf_dir, "orders").selectExpr(*_AUDIT)
     return correlate.audit_query(events, tenant="tenant-1", start_ns=NS, end_ns=NS + 1800 * S, action="F")
+
+
+#: Batches are orders; every 40th has spans with an id of zeros, every 50th is no JSON.
+def _otlp(spark, sf_dir):
+    rows = fixtures.raw_spans(spark, sf_dir).withColumn("k", F.conv("trace_id", 16, 10).cast("bigint") - 1)
+    pair = lambda k, kind, v: F.struct(F.lit(k).alias("key"), F.struct(v.alias(kind)).alias("value"))
+    text = F.array_compact(F.transform(F.map_entries("attrs"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value"))))
+    zero = F.when((F.col("k") % 40 == 0), F.lit("0" * 16)).otherwise(F.col("span_id"))
+    span = F.struct(F.upper("trace_id").alias("traceId"), zero.alias("spanId"), F.coalesce("parent_span_id", F.lit("")).alias("parentSpanId"), "name", "kind", F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), text.alias("attributes"), F.struct(F.col("status_code").alias("code")).alias("status"))
+    resource = F.struct(F.array(pair("service.name", "stringValue", F.col("service"))).alias("attributes"))
+    own = F.struct(resource.alias("resource"), F.array(F.struct(F.struct(F.lit("lib").alias("name")).alias("scope"), F.array(span).alias("spans"))).alias("scopeSpans"))
+    batches = rows.groupBy("tenant", F.col("trace_id").alias("batch_id")).agg(F.collect_list(own).alias("resourceSpans"), F.first("k").alias("k"))
+    return batches.select("tenant", "batch_id", F.when(F.col("k") % 50 == 0, "{broken").otherwise(F.to_json(F.struct("resourceSpans"))).alias("payload"))
+
+
+_GOOD = "(l_order % 50 <> 0 AND l_order % 40 <> 0)"
+_ORDERED = "ordered AS (SELECT *, (start_ns - 1704067200000000000) // 1000000 // 200 AS l_order FROM raw)"
+
+
+@query(f"SELECT tenant, trace_id, span_id, parent_span_id, service, name, kind, start_ns, end_ns, status_code, retries FROM ordered WHERE {_GOOD}", views=(fixtures.SPANS_SQL, _ORDERED))
+def normalize_otlp(spark, sf_dir):
+    """Requests of an order's spans each; those with a span without an id are rejected, those that aren't JSON give nothing."""
+    out = payloads.normalize_otlp(_otlp(spark, sf_dir))
+    return out.select("tenant", "trace_id", "span_id", "parent_span_id", "service", "name", "kind", "start_ns", "end_ns", "status_code", payloads.text_of(F.try_element_at("attrs", F.lit("retry.count"))).alias("retries"))
+
+
+@query(
+    "batches AS (SELECT tenant, l_order, count(*) AS n FROM ordered GROUP BY tenant, l_order) SELECT tenant, CASE WHEN l_order % 50 = 0 THEN 'malformed' WHEN n > 6 THEN 'oversize' WHEN l_order % 40 = 0 THEN 'malformed' ELSE 'accepted' END AS reason, count(*) AS batches, sum(CASE WHEN l_order % 50 = 0 THEN 0 ELSE n END)::bigint AS spans FROM batches GROUP BY 1, 2",
+    views=(fixtures.SPANS_SQL, _ORDERED),
+)
+def reject_report(spark, sf_dir):
+    """Six spans at most."""
+    return payloads.reject_report(payloads.verdicts(payloads.otlp_spans(_otlp(spark, sf_dir)), max_spans=6), "tenant")
+
+
+@query("SELECT trace_id, span_id, received_ns, CASE WHEN db IS NOT NULL THEN NULL ELSE '00-' || trace_id || '-' || span_id || CASE WHEN retries = '1' THEN '-01' ELSE '-00' END END AS traceparent FROM raw")
+def b3_to_traceparent(spark, sf_dir):
+    """Single headers of client spans, X-B3 ones of others; spans of a database have a malformed id."""
+    rows = fixtures.raw_spans(spark, sf_dir)
+    short = F.when(F.map_contains_key("attrs", "db.system"), "xyz").otherwise(F.substring("trace_id", 17, 16))
+    sampled = F.col("attrs")["retry.count"]
+    one = F.create_map(F.lit("b3"), F.concat_ws("-", short, "span_id", F.when(sampled == "2", "d").otherwise(sampled)))
+    many = F.create_map(F.lit("x-b3-traceid"), short, F.lit("x-b3-spanid"), F.upper("span_id"), F.lit("x-b3-sampled"), sampled)
+    return rows.withColumn("headers", F.when(F.col("kind") == 3, one).otherwise(many)).select("trace_id", "span_id", "received_ns", payloads.b3_to_traceparent().alias("traceparent"))
+
+
+@query("SELECT tenant, service AS caller, 'db-' || name AS callee, count(*) AS calls, count(*) FILTER (status_code = 2) AS errors, sum((end_ns - start_ns) // 1000000)::bigint AS duration_ms FROM raw WHERE kind = 3 GROUP BY tenant, service, name")
+def envoy_edges(spark, sf_dir):
+    """Access-log lines of all spans; those of client spans name an upstream cluster."""
+    up = "if(kind = 3, concat('upstream_cluster=db-', name), '')"
+    line = f"concat('[t] \"GET /\" response_code=', if(status_code = 2, 503, 200), ' duration=', (end_ns - start_ns) div 1000000, ' caller=', service, ' ', {up}) as line"
+    rows = payloads.envoy_edges(fixtures.raw_spans(spark, sf_dir).selectExpr("tenant", line))
+    return rows.groupBy("tenant", "caller", "callee").agg(F.count("*").alias("calls"), F.count_if(F.col("status") >= 500).alias("errors"), F.sum("duration_ms").alias("duration_ms"))

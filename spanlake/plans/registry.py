@@ -8,6 +8,7 @@ from spanlake.plans import graph as _graph  # noqa: F401
 from spanlake.plans import incidents as _incidents  # noqa: F401
 from spanlake.plans import lifecycle as _lifecycle  # noqa: F401
 from spanlake.plans import memory as _memory  # noqa: F401
+from spanlake.plans import questions as _questions  # noqa: F401
 from spanlake.plans import sampling as _sampling  # noqa: F401
 from spanlake.plans import spans as _spans  # noqa: F401
 from spanlake.plans.base import QUERIES, SQL  # noqa: F401
