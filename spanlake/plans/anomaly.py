@@ -33,16 +33,16 @@ _LOOK_SQL = """looked AS (SELECT g.*, CASE WHEN coalesce(a.n, 0) < 200 AND tick_
 based AS (SELECT *, CASE WHEN state = 'warm' THEN h95 ELSE a95 END AS b95, CASE WHEN state = 'warm' THEN he ELSE ae END AS be, CASE WHEN state = 'warm' THEN hr ELSE ar END AS br FROM looked)"""
 _one = lambda x: f"greatest(0.0, least(1.0, {x}))"
 _VERDICT_SQL = f"""verdicts AS (
-  SELECT tenant, service, name, tick_ns, 'latency_shift' AS kind, coalesce(state <> 'cold' AND b95 > 0 AND p95_ns >= b95 * 1.5 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND p95_ns - b95 >= 50000000 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND calls >= 10, false) AS breach,
+  SELECT tenant, service, name, tick_ns, state, 'latency_shift' AS kind, coalesce(state <> 'cold' AND b95 > 0 AND p95_ns >= b95 * 1.5 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND p95_ns - b95 >= 50000000 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND calls >= 10, false) AS breach,
     {_one(f"0.5 * {_one('p95_ns / b95::double - 1')} + 0.5 * {_one('(p95_ns - b95) / 200000000.0')}")} AS score FROM based
-  UNION ALL SELECT tenant, service, name, tick_ns, 'error_burst', coalesce(state <> 'cold' AND errors / calls::double - be >= 0.05 AND errors / calls::double >= 3.0 * be AND calls >= 10, false),
+  UNION ALL SELECT tenant, service, name, tick_ns, state, 'error_burst', coalesce(state <> 'cold' AND errors / calls::double - be >= 0.05 AND errors / calls::double >= 3.0 * be AND calls >= 10, false),
     {_one(f"0.5 * {_one('(errors / calls::double - be) / 0.2')} + 0.5 * {_one('errors / calls::double')}")} FROM based
-  UNION ALL SELECT tenant, service, name, tick_ns, 'throughput_drop', coalesce(state <> 'cold' AND br >= 0.1 AND calls / 90.0 <= 0.5 * br, false), {_one('1 - calls / 90.0 / br')} FROM based),
+  UNION ALL SELECT tenant, service, name, tick_ns, state, 'throughput_drop', coalesce(state <> 'cold' AND br >= 0.1 AND calls / 90.0 <= 0.5 * br, false), {_one('1 - calls / 90.0 / br')} FROM based),
 islands AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, service, name, kind ORDER BY tick_ns) AS island FROM verdicts),
 fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, service, name, kind, island, breach ORDER BY tick_ns) AS rn FROM islands) WHERE breach AND rn % 2 = 0),
 near AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, string_agg(DISTINCT d.deploy_id, ',' ORDER BY d.deploy_id) AS deploys FROM fired f JOIN deploys d ON d.tenant = f.tenant AND d.service = f.service AND abs(f.tick_ns - 90000000000 - d.at_ns) <= 1800000000000
   WHERE f.kind <> 'throughput_drop' GROUP BY f.tenant, f.service, f.name, f.kind, f.tick_ns),
-events AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, n.deploys, CASE WHEN n.deploys IS NOT NULL THEN least(1.0, f.score + 0.1) ELSE f.score END AS score FROM fired f
+events AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, f.state, n.deploys, CASE WHEN n.deploys IS NOT NULL THEN least(1.0, f.score + 0.1) ELSE f.score END AS score FROM fired f
   LEFT JOIN near n ON n.tenant = f.tenant AND n.service = f.service AND n.name = f.name AND n.kind = f.kind AND n.tick_ns = f.tick_ns)"""
 FAULT_VIEWS = (fixtures.SPANS_SQL, _FAULT_SQL)
 BASE_VIEWS = (*FAULT_VIEWS, _BASE_SQL)

@@ -60,6 +60,7 @@ def latest(spark: SparkSession, sf_dir: str) -> int:
 
 
 def deploys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deploys are rarer than orders: one in 500 of those stands for one, in the SQL too. Queries over deploys see these."""
     return table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").selectExpr(*_DEPLOYS)
 
 

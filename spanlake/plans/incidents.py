@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.operators import anomaly, graph, incidents, spans
+from spanlake.operators.lineage import cut
 from spanlake.plans import fixtures
 from spanlake.plans.anomaly import EVENT_VIEWS, SIGNATURES_SQL, base_events
 from spanlake.plans.base import base_spans, csv, query
-from spanlake.plans.graph import base_edges
+from spanlake.plans.graph import CALLS_SQL, DISTANCE_SQL, base_edges
 
 
 def near(spark, sf_dir):
-    return graph.distances(base_edges(spark, sf_dir), hops=1)
+    return cut(graph.distances(base_edges(spark, sf_dir), hops=2))
 
 
 def scored_events(spark, sf_dir):
@@ -20,12 +21,21 @@ def scored_events(spark, sf_dir):
     return rows.select(F.md5(F.concat_ws("|", "tenant", "service", "name", "kind", F.col("tick_ns").cast("string"))).alias("event_id"), "tenant", "service", "fingerprint", F.col("tick_ns").alias("at_ns"), "score", (F.col("state") == "global").alias("provisional"))
 
 
-_EVENTS = """scored AS (SELECT md5(concat_ws('|', tenant, service, name, kind, tick_ns::varchar)) AS event_id, tenant, service, md5(tenant || kind || name || service) AS fingerprint, tick_ns AS at_ns, score FROM events WHERE score >= 0.55)"""
+_EVENTS = """scored AS (SELECT md5(concat_ws('|', tenant, service, name, kind, tick_ns::varchar)) AS event_id, tenant, service, md5(tenant || kind || name || service) AS fingerprint, tick_ns AS at_ns, score, state = 'global' AS provisional FROM events WHERE score >= 0.55)"""
+_GROUPED = """pairs AS (SELECT a.event_id AS a, b.event_id AS b FROM scored a JOIN scored b ON a.tenant = b.tenant AND a.event_id <> b.event_id WHERE a.fingerprint = b.fingerprint AND abs(a.at_ns - b.at_ns) <= 1800000000000
+  OR abs(a.at_ns - b.at_ns) <= 300000000000 AND (a.service = b.service OR EXISTS (SELECT 1 FROM distances d WHERE d.tenant = a.tenant AND d.service = a.service AND d.other = b.service))),
+reach AS (SELECT event_id AS a, event_id AS b FROM scored UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+grouped AS (SELECT s.*, r.incident FROM scored s JOIN (SELECT a, min(b) AS incident FROM reach GROUP BY a) r ON r.a = s.event_id),
+best AS (SELECT tenant, incident, service, max(score) AS score, min(at_ns) AS first_ns, max(at_ns) AS last_ns, count(*) AS n, bool_and(provisional) AS provisional FROM grouped GROUP BY tenant, incident, service),
+incidents AS (SELECT tenant, incident, list_sort(list(service)) AS own, count(*) AS n_services, min(service) FILTER (score = top) AS epicenter, min(first_ns) AS first_ns, max(last_ns) AS last_ns, sum(n)::bigint AS events,
+  CASE WHEN bool_and(provisional) THEN least(0.69, least(1.0, max(top) * (1 + 0.05 * (count(*) - 1)))) ELSE least(1.0, max(top) * (1 + 0.05 * (count(*) - 1))) END AS score FROM (SELECT *, max(score) OVER (PARTITION BY tenant, incident) AS top FROM best) GROUP BY tenant, incident),
+summaries AS (SELECT tenant, incident, epicenter, array_to_string(own, ',') AS services, n_services, first_ns, last_ns, events, score, CASE WHEN score < 0.55 THEN 'unknown' WHEN score <= 0.69 THEN CASE WHEN n_services >= 2 THEN 'medium' ELSE 'low' END WHEN score <= 0.84 THEN 'high' ELSE 'critical' END AS severity,
+  (SELECT string_agg(DISTINCT d.other, ',' ORDER BY d.other) FROM distances d WHERE d.tenant = i.tenant AND d.service = i.epicenter AND list_contains(i.own, d.other)) AS blast_radius FROM incidents i)"""
+GROUP_VIEWS = ("RECURSIVE " + EVENT_VIEWS[0], *EVENT_VIEWS[1:], CALLS_SQL, DISTANCE_SQL, _EVENTS, _GROUPED)
 
 
-@query()
+@query("SELECT event_id, tenant, service, at_ns, incident FROM grouped", views=GROUP_VIEWS)
 def group_incidents(spark, sf_dir):
-    """Components need iteration: tested against brute force."""
     return incidents.group(scored_events(spark, sf_dir), near(spark, sf_dir)).select("event_id", "tenant", "service", "at_ns", "incident")
 
 
@@ -34,9 +44,9 @@ def base_incidents(spark, sf_dir):
     return incidents.summarize(incidents.group(scored_events(spark, sf_dir), around), around)
 
 
-@query()
+@query("SELECT tenant, incident, epicenter, services, n_services, first_ns, last_ns, events, round(score, 6) AS score, severity, blast_radius FROM summaries", views=GROUP_VIEWS)
 def incident_summary(spark, sf_dir):
-    return base_incidents(spark, sf_dir).withColumns({"services": csv("services"), "blast_radius": csv("blast_radius")})
+    return base_incidents(spark, sf_dir).withColumns({"services": csv("services"), "blast_radius": csv("blast_radius"), "score": F.round("score", 6)})
 
 
 #: Without grouping across services, an incident of one fingerprint: events in a row at most 30 minutes apart.
@@ -54,19 +64,19 @@ def own_incidents(spark, sf_dir):
     return rows.groupBy("tenant", "service", "fingerprint", "run").agg(F.min("at_ns").alias("incident"), F.max("score").alias("score"), F.count("*").alias("events")).withColumn("n_services", F.lit(1))
 
 
-@query("SELECT tenant, service, incident, round(score, 6) AS score, events FROM own", views=(*EVENT_VIEWS, _EVENTS, _OWN))
+@query("SELECT tenant, incident, round(score, 6) AS score, n_services, events FROM summaries", views=GROUP_VIEWS)
 def incident_score(spark, sf_dir):
-    return own_incidents(spark, sf_dir).select("tenant", "service", "incident", F.round("score", 6).alias("score"), "events")
+    return base_incidents(spark, sf_dir).select("tenant", "incident", F.round("score", 6).alias("score"), "n_services", "events")
 
 
-@query("SELECT tenant, CASE WHEN score < 0.55 THEN 'unknown' WHEN score <= 0.69 THEN 'low' WHEN score <= 0.84 THEN 'high' ELSE 'critical' END AS severity, count(*) AS incidents FROM own GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY 1, 2"), views=(*EVENT_VIEWS, _EVENTS, _OWN))
+@query("SELECT tenant, severity, count(*) AS incidents FROM summaries GROUP BY tenant, severity", views=GROUP_VIEWS)
 def incident_severity(spark, sf_dir):
-    return own_incidents(spark, sf_dir).withColumn("severity", incidents.severity()).groupBy("tenant", "severity").agg(F.count("*").alias("incidents"))
+    return base_incidents(spark, sf_dir).groupBy("tenant", "severity").agg(F.count("*").alias("incidents"))
 
 
-@query("SELECT tenant, arg_max(service, (round(score, 6), -cast(substr(service, 5) AS int))) AS epicenter FROM own GROUP BY tenant", views=(*EVENT_VIEWS, _EVENTS, _OWN))
+@query("SELECT tenant, incident, epicenter, blast_radius FROM summaries", views=GROUP_VIEWS)
 def epicenter(spark, sf_dir):
-    return own_incidents(spark, sf_dir).groupBy("tenant").agg(F.min_by("service", F.struct(-F.round("score", 6), F.col("service"))).alias("epicenter"))
+    return base_incidents(spark, sf_dir).select("tenant", "incident", "epicenter", csv("blast_radius").alias("blast_radius"))
 
 
 _CAPPED = "capped AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY tenant ORDER BY score6 DESC, incident, service, fingerprint) > 20 THEN 7 ELSE 1 END AS status FROM (SELECT *, round(score, 6) AS score6 FROM own))"
@@ -130,12 +140,36 @@ def rule_pool_exhaustion(spark, sf_dir):
     return incidents.pool_exhaustion(fixtures.logs(spark, sf_dir), fixtures.exemplars(spark, sf_dir), pattern="^error").withColumn("slope", F.round("slope", 6))
 
 
-@query()
+_EVIDENCE = f"""{SIGNATURES_SQL},
+pairs2 AS (SELECT c.tenant, c.trace_id, p.span_id AS parent_span_id, p.service AS parent_service, p.duration_ns AS total_ns, c.service, c.name, c.duration_ns FROM spans c JOIN spans p ON p.tenant = c.tenant AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id),
+evidence AS (SELECT s.tenant, s.service, 'deploy_error' AS rule, 0 AS k, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= 1800000000000
+  UNION ALL SELECT tenant, parent_service, 'downstream_latency', 1, 0.8 FROM pairs2 WHERE total_ns > 0 GROUP BY tenant, trace_id, parent_span_id, parent_service, total_ns HAVING max(duration_ns) FILTER (service <> parent_service) / total_ns::double >= 0.8
+  UNION ALL SELECT tenant, service, 'n_plus_one', 2, least(0.95, 0.7 + 0.02 * (count(*) - 10)) FROM pairs2 GROUP BY tenant, trace_id, parent_span_id, service, name HAVING count(*) >= 2
+  UNION ALL SELECT e.tenant, e.service, 'pool_exhaustion', 3, 0.8 FROM (SELECT tenant, service FROM exemplars GROUP BY tenant, service HAVING regr_slope(value, (ts_ns - 1704067200000000000) / 1000000000.0) > 0) e JOIN (SELECT DISTINCT tenant, service FROM logs WHERE body LIKE 'error%') l ON l.tenant = e.tenant AND l.service = e.service),
+per AS (SELECT tenant, service, rule, k, max(confidence) AS confidence FROM evidence GROUP BY tenant, service, rule, k),
+told AS (SELECT tenant, service, arg_min(rule, k) FILTER (confidence >= 0.75) AS sure, arg_min(confidence, k) FILTER (confidence >= 0.75) AS sure_c, arg_max(rule, (confidence, rule)) AS top, max(confidence) AS top_c FROM per GROUP BY tenant, service)"""
+
+
+@query(
+    """SELECT s.tenant, incident, epicenter, coalesce(sure, top) AS rule, CASE coalesce(sure, top) WHEN 'deploy_error' THEN 'deploy_regression' WHEN 'downstream_latency' THEN 'dependency_failure' WHEN 'n_plus_one' THEN 'data_skew' WHEN 'pool_exhaustion' THEN 'resource_exhaustion' END AS category,
+  round(coalesce(sure_c, top_c), 6) AS confidence, CASE WHEN sure IS NOT NULL THEN 'concluded' ELSE 'inconclusive' END AS outcome FROM summaries s LEFT JOIN told t ON t.tenant = s.tenant AND t.service = s.epicenter""",
+    views=("RECURSIVE " + fixtures.LOGS_SQL, fixtures.EXEMPLARS_SQL, *EVENT_VIEWS, *GROUP_VIEWS[len(EVENT_VIEWS) :], _EVIDENCE),  # events are a table for the first two
+)
 def conclude(spark, sf_dir):
-    rows = base_spans(spark, sf_dir)
-    a = rule_deploy_error(spark, sf_dir).select("tenant", "service", F.lit("deploy_error").alias("rule"), "confidence")
-    b = incidents.downstream_latency(spans.parent_child(rows), _totals(rows)).select("tenant", F.col("parent_service").alias("service"), F.lit("downstream_latency").alias("rule"), F.lit(0.8).alias("confidence"))
-    return incidents.conclude(base_incidents(spark, sf_dir), a.unionByName(b))
+    """All four rules about each incident's epicenter."""
+    rows = base_spans(spark, sf_dir, whole_traces=True)
+    pairs = cut(spans.parent_child(rows))
+    found = [
+        (rule_deploy_error(spark, sf_dir), "service", "deploy_error"),
+        (incidents.downstream_latency(pairs, _totals(rows)).withColumn("confidence", F.lit(0.8)), "parent_service", "downstream_latency"),
+        (incidents.repeated_siblings(pairs, threshold=2), "service", "n_plus_one"),
+        (incidents.pool_exhaustion(fixtures.logs(spark, sf_dir), fixtures.exemplars(spark, sf_dir), pattern="^error"), "service", "pool_exhaustion"),
+    ]
+    evidence = None
+    for table, service, rule in found:
+        part = table.select("tenant", F.col(service).alias("service"), F.lit(rule).alias("rule"), "confidence")
+        evidence = part if evidence is None else evidence.unionByName(part)
+    return incidents.conclude(base_incidents(spark, sf_dir), evidence).withColumn("confidence", F.round("confidence", 6))
 
 
 _STEPS = """steps AS (SELECT o_orderkey AS step_id, concat_ws('|', o_custkey::varchar, o_orderstatus, o_orderpriority) AS body, o_orderkey % 97 = 0 AS bad, o_custkey % 50 AS incident, o_orderpriority AS hypothesis FROM orders)"""

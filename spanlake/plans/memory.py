@@ -17,9 +17,11 @@ _FIELDS = {
     "weight": "1.0 + (doc_id % 5) / 10.0",
     "created_ns": f"{NS} - (doc_id % 500) * {_DAY}",
     "last_used_ns": f"case when doc_id % 4 = 0 then {NS} - (doc_id % 100) * {_DAY} end",
-    "supersedes_id": "case when doc_id % 20 = 19 then doc_id - 3 end",
+    "supersedes_id": "case when doc_id % 20 = 13 then doc_id - 3 end",
 }
-_TOKENS = ["concat('svc:svc-', doc_id % 10)", "concat('errsig:', doc_id % 97)", "concat('dep:', doc_id % 13)", "concat('ns:', coalesce(source, ''))", "concat('svc:svc-', doc_id % 10)"]
+#: A correction is about the service, error and dependency of what it corrects.
+_OF = "(case when doc_id % 20 = 13 then doc_id - 3 else doc_id end)"
+_TOKENS = [f"concat('svc:svc-', {_OF} % 10)", f"concat('errsig:', {_OF} % 97)", f"concat('dep:', {_OF} % 13)", "concat('ns:', coalesce(source, ''))", f"concat('svc:svc-', {_OF} % 10)"]
 _FOLD = "translate(%s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"list_distinct(regexp_extract_all({_FOLD % 'body'}, '[a-z0-9]+'))"
 RECORDS_SQL = f"""records AS (SELECT {', '.join(f'{e} AS {k}' for k, e in _FIELDS.items())}, list_slice(list_sort(list_distinct([{', '.join(_TOKENS)}])), 1, 24) AS tokens FROM documents)"""

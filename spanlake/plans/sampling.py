@@ -79,7 +79,15 @@ def token_bucket(spark, sf_dir):
     return sampling.per_minute(traces.rollup(base_spans(spark, sf_dir)), by=["tenant", "root_service"], rate=6, when=F.lit(True), name="taken").select("tenant", "trace_id", "taken")
 
 
-@query()
+@query(
+    """ordered AS (SELECT tenant, root_service, trace_id, start_ns, row_number() OVER (PARTITION BY tenant, root_service ORDER BY start_ns, trace_id) AS k FROM traces),
+walk AS (SELECT *, 6.0::double AS full_, true AS taken, 5.0::double AS left_ FROM ordered WHERE k = 1 UNION ALL
+  SELECT o.*, least(6.0::double, w.left_ + (o.start_ns - w.start_ns) / 1000000000.0::double * 6 / 60) AS full_, least(6.0::double, w.left_ + (o.start_ns - w.start_ns) / 1000000000.0::double * 6 / 60) >= 1,
+    least(6.0::double, w.left_ + (o.start_ns - w.start_ns) / 1000000000.0::double * 6 / 60) - CASE WHEN least(6.0::double, w.left_ + (o.start_ns - w.start_ns) / 1000000000.0::double * 6 / 60) >= 1 THEN 1 ELSE 0 END
+  FROM walk w JOIN ordered o ON o.tenant = w.tenant AND o.root_service = w.root_service AND o.k = w.k + 1)
+SELECT tenant, root_service, trace_id, start_ns, taken FROM walk""",
+    views=("RECURSIVE " + fixtures.SPANS_SQL, TRACES_SQL),
+)
 def token_bucket_exact(spark, sf_dir):
     rows = traces.rollup(base_spans(spark, sf_dir)).select("tenant", "root_service", "trace_id", "start_ns")
     return sampling.token_bucket(rows, by=["tenant", "root_service"], rate=6)

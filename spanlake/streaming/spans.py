@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions import latency
+from spanlake.operators import anomaly, baseline, lifecycle
 
 
 def timed(spans: DataFrame, time_col: str = "received_ns", delay: str = "30 seconds") -> DataFrame:
@@ -27,8 +28,115 @@ def rollup(spans: DataFrame, width: str = "10 seconds") -> DataFrame:
 
 
 def edges(spans: DataFrame, within: str = "30 seconds") -> DataFrame:
-    """(tenant, trace_id, caller, callee, at) of server and consumer spans whose client or producer span is at most ``within`` away."""
-    callee = spans.where("kind in (2, 5) and parent_span_id is not null").select("tenant", "trace_id", F.col("parent_span_id").alias("up"), F.col("service").alias("callee"), "at")
+    """(tenant, trace_id, caller, callee, at) of server and consumer spans: the caller is the client or producer span that is
+    their parent, at most ``within`` away; without one, ``external``, which is sent once the watermark has passed."""
+    callee = spans.where("kind in (2, 5)").select("tenant", "trace_id", F.coalesce("parent_span_id", F.lit("")).alias("up"), F.col("service").alias("callee"), "at")
     caller = spans.where("kind in (3, 4)").select(F.col("tenant").alias("t"), F.col("trace_id").alias("i"), "span_id", F.col("service").alias("caller"), F.col("at").alias("called_at"))
     on = f"tenant = t and trace_id = i and up = span_id and at between called_at - interval {within} and called_at + interval {within}"
-    return callee.join(caller, F.expr(on)).select("tenant", "trace_id", "caller", "callee", "at")
+    return callee.join(caller, F.expr(on), "left").select("tenant", "trace_id", F.coalesce("caller", F.lit("external")).alias("caller"), "callee", "at")
+
+
+def _ms(ns: int) -> int:
+    return -(-ns // 1_000_000)
+
+
+def assemble(spans: DataFrame, *, idle_ns: int = 8_000_000_000, hard_ns: int = 30_000_000_000) -> DataFrame:
+    """(tenant, trace_id, first_ns, last_ns, span_count) of trace fragments, each sent once: when ``idle_ns`` have passed
+    without an arrival, or ``hard_ns`` since its first. A later span of the trace begins a new fragment.
+
+    The state of a trace is four numbers. ``spans`` has a watermark (``timed``); time is that of arrival.
+    """
+    out = "tenant string, trace_id string, first_ns long, last_ns long, span_count long"
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        done, now = [], state.get if state.exists else None
+        if state.hasTimedOut:
+            done.append((*key, *now))
+            state.remove()
+        else:
+            for at in sorted(t for b in batches for t in b["received_ns"].tolist()):
+                if now and at - now[1] < idle_ns and at - now[0] < hard_ns:
+                    now = (now[0], max(now[1], at), now[2] + 1)
+                else:
+                    done += [(*key, *now)] if now else []
+                    now = (at, at, 1)
+            state.update(now)
+            state.setTimeoutTimestamp(max(_ms(min(now[1] + idle_ns, now[0] + hard_ns)), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(done, columns=["tenant", "trace_id", "first_ns", "last_ns", "span_count"])
+
+    rows = spans.select("tenant", "trace_id", "received_ns", "at")
+    return rows.groupBy("tenant", "trace_id").applyInPandasWithState(step, out, "first_ns long, last_ns long, span_count long", "append", "EventTimeTimeout")
+
+
+def edge_changes(calls: DataFrame, *, quiet_ns: int = 24 * 3600 * 1_000_000_000, vanish_ns: int = 3600 * 1_000_000_000) -> DataFrame:
+    """(tenant, caller, callee, kind, at_ns): a new edge at its first sighting and after ``quiet_ns`` without one, a vanished one
+    once ``vanish_ns`` have passed since the last. ``calls``: tenant, caller, callee, received_ns, at, with a watermark. No
+    change is dropped; an edge's state is its last sighting and whether it is said to have vanished."""
+    out = "tenant string, caller string, callee string, kind string, at_ns long"
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        done, (last, gone) = [], state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            if not gone:
+                done.append((*key, "vanished_edge", last))
+                state.update((last, True))
+                state.setTimeoutTimestamp(max(_ms(last + quiet_ns) + 1, state.getCurrentWatermarkMs() + 1))
+            else:
+                state.remove()
+        else:
+            for at in sorted(t for b in batches for t in b["received_ns"].tolist()):
+                if last is not None and not gone and at - last > vanish_ns:  # before the watermark told so
+                    done.append((*key, "vanished_edge", last))
+                if last is None or at - last > quiet_ns:
+                    done.append((*key, "new_edge", at))
+                last, gone = at if last is None else max(last, at), False
+            state.update((last, False))
+            state.setTimeoutTimestamp(max(_ms(last + vanish_ns) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(done, columns=["tenant", "caller", "callee", "kind", "at_ns"])
+
+    rows = calls.select("tenant", "caller", "callee", "received_ns", "at")
+    return rows.groupBy("tenant", "caller", "callee").applyInPandasWithState(step, out, "last_ns long, gone boolean", "append", "EventTimeTimeout")
+
+
+def merge_into(folder: str, **columns):
+    """A function for ``foreachBatch``: merges each batch into the table in ``folder`` (``lifecycle.merge`` with ``columns``).
+
+    A version is written for each batch, from the one before; a batch that is repeated after a failure writes its own again.
+    ``merged`` reads the latest."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        old = merged(batch.sparkSession, folder, before=number)
+        table = lifecycle.merge(old, batch.select(*old.columns), **columns) if old is not None else lifecycle.merge(batch, batch.limit(0), **columns)
+        table.write.mode("overwrite").parquet(f"{folder}/version={number:020}")
+
+    return sink
+
+
+def merged(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The latest version of a merged table, or the latest one before a batch; None without one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+    numbers = [n for n in numbers if before is None or n < before]
+    return spark.read.parquet(f"{folder}/version={numbers[-1]:020}") if numbers else None
+
+
+def detect(baselines: DataFrame, folder: str, *detectors):
+    """A function for ``foreachBatch`` over closed RED buckets: windows with their baselines, asked of all ``detectors``;
+    breaches are written to ``folder``, one part for each batch, which a repetition replaces."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        groups = baseline.lookup(anomaly.window_groups(batch), baselines, at="tick_ns")
+        anomaly.verdicts(groups, *detectors).where("breach").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came behind the watermark and were dropped, over the progress reports of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])

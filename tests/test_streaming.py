@@ -61,3 +61,81 @@ def test_blocks(spark, tmp_path):
     files.write_blocks(rows, kept, f"{tmp_path}/blocks")
     found = files.manifest(spark.read.parquet(f"{tmp_path}/blocks")).agg(F.sum("traces"), F.sum("spans")).first()
     assert tuple(found) == (kept.count(), rows.where("trace_id like '%0'").count())
+
+
+def _feed(spark, rows, path, parts):
+    """``rows`` as a stream of files, in the order of arrival, and one row far ahead that closes everything."""
+    from pyspark.sql import Window
+
+    dealt = rows.withColumn("part", F.ntile(parts).over(Window.orderBy("received_ns")))
+    for k in range(1, parts + 1):
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    for jump in (10**14, 2 * 10**14):
+        rows.limit(1).withColumns({"received_ns": F.col("received_ns") + jump, "trace_id": F.lit(f"ahead{jump}")}).coalesce(1).write.mode("append").parquet(path)
+    return streaming.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), delay="0 seconds")
+
+
+def _own_spans(spark):
+    return spans.dedupe(fixtures.raw_spans(spark, SF), order=("received_ns", "tie1", "tie2")).drop("tie1", "tie2").where("trace_id like '%1'")
+
+
+def test_assemble(spark, tmp_path):
+    from spanlake.operators import traces
+
+    rows = _own_spans(spark).select("tenant", "trace_id", "span_id", "received_ns")
+    out = _run(spark, streaming.assemble(_feed(spark, rows, f"{tmp_path}/in", 4), idle_ns=200_000_000, hard_ns=400_000_000), tmp_path, "out")
+    got = sorted(tuple(r) for r in out.where("trace_id not like 'ahead%'").select("tenant", "trace_id", "first_ns", "last_ns", "span_count").collect())
+    batch = traces.assemble(rows, idle_ns=200_000_000, hard_ns=400_000_000).groupBy("tenant", "trace_id", "fragment").agg(F.min("received_ns"), F.max("received_ns"), F.count("*")).drop("fragment")
+    assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 100
+
+
+def test_edges(spark, tmp_path):
+    rows = _own_spans(spark).select("tenant", "trace_id", "span_id", "parent_span_id", "kind", "service", "received_ns")
+    out = _run(spark, streaming.edges(_feed(spark, rows, f"{tmp_path}/in", 2)), tmp_path, "out").where("trace_id not like 'ahead%'")
+    c = rows.where("kind in (3, 4)").select("tenant", "trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("caller"))
+    want = rows.where("kind in (2, 5)").join(c, ["tenant", "trace_id", "parent_span_id"], "left").select("tenant", "trace_id", F.coalesce("caller", F.lit("external")).alias("caller"), F.col("service").alias("callee"))
+    assert sorted(map(str, out.drop("at").collect())) == sorted(map(str, want.collect()))
+
+
+def test_edge_changes(spark, tmp_path):
+    second = 10**9
+    sightings = [("a", "b", t) for t in (0, 5, 8, 300, 301, 900)] + [("b", "c", 2)]
+    rows = spark.createDataFrame([("t", x, y, f"{k}", (1_704_067_200 + t) * second) for k, (x, y, t) in enumerate(sightings)], "tenant string, caller string, callee string, trace_id string, received_ns long")
+    out = _run(spark, streaming.edge_changes(_feed(spark, rows, f"{tmp_path}/in", 7), quiet_ns=200 * second, vanish_ns=100 * second), tmp_path, "out")
+    got = sorted((r.caller, r.kind, r.at_ns // second - 1_704_067_200) for r in out.where(f"at_ns < {(1_704_067_200 + 10_000) * second}").collect())
+    assert got == [("a", "new_edge", 0), ("a", "new_edge", 300), ("a", "new_edge", 900), ("a", "vanished_edge", 8), ("a", "vanished_edge", 301), ("a", "vanished_edge", 900), ("b", "new_edge", 2), ("b", "vanished_edge", 2)]
+
+
+def test_merge_and_detect(spark, tmp_path):
+    """Rollups merged batch by batch are those of all spans; each batch's breaches are those of the batch operator."""
+    from spanlake.functions import latency
+    from spanlake.operators import anomaly, baseline
+
+    every = red.rollup(spans.features(_own_spans(spark))).drop("exemplars")
+    every.repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sink = streaming.merge_into(f"{tmp_path}/table", key=["tenant", "service", "name"], add=("calls", "errors"), add_each={"hist": 16}, first=("bucket_ns",))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/a").trigger(availableNow=True).start().awaitTermination()
+    got = streaming.merged(spark, f"{tmp_path}/table")
+    want = every.groupBy("tenant", "service", "name").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), latency.merged("hist").alias("hist"), F.min("bucket_ns").alias("bucket_ns"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+    timed = every.withColumn("q", latency.quantiles(F.col("hist"))).select("tenant", "service", "name", "bucket_ns", "calls", "errors", *(F.col(f"q.{p}").alias(f"{p}_ns") for p in ("p50", "p95", "p99")))
+    timed.coalesce(1).write.parquet(f"{tmp_path}/red")
+    base = baseline.build(timed).withColumns({"n": F.lit(500), "rps": F.lit(99.0)})
+    stream = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/red")
+    stream.writeStream.foreachBatch(streaming.detect(base, f"{tmp_path}/events", anomaly.throughput_drop())).option("checkpointLocation", f"{tmp_path}/b").trigger(availableNow=True).start().awaitTermination()
+    want = anomaly.verdicts(baseline.lookup(anomaly.window_groups(timed), base, at="tick_ns"), anomaly.throughput_drop()).where("breach")
+    assert spark.read.parquet(f"{tmp_path}/events").count() == want.count() > 0
+
+
+def test_late_rows(spark, tmp_path):
+    rows = _own_spans(spark).select("tenant", "trace_id", "span_id", "received_ns").limit(50).cache()
+    path = f"{tmp_path}/in"
+    for jump in (10**14, 10**14 + 10**12, 0):
+        rows.withColumn("received_ns", F.col("received_ns") + jump).coalesce(1).write.mode("append").parquet(path)
+    stream = streaming.timed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), delay="1 second")
+    counts = stream.groupBy(F.window("at", "10 seconds"), "tenant").count()
+    q = counts.writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert streaming.late_rows(q.recentProgress) > 0
