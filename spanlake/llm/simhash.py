@@ -90,6 +90,10 @@ def _turns(i: int, chain: int) -> list[int]:
     return out
 
 
+def _turned(head, turns):
+    return F.transform(turns, lambda t: head.bitwiseXOR(t))
+
+
 def _keys(nodes: DataFrame, turned: bool, chain: int = CHAIN) -> DataFrame:
     """(key, fp): start and first ``chain`` segments of each chain; with ``turned``, also all that they may differ by."""
     keys = []
@@ -98,7 +102,7 @@ def _keys(nodes: DataFrame, turned: bool, chain: int = CHAIN) -> DataFrame:
         for k in range(chain):
             head = F.shiftleft(head.cast("long"), 13).bitwiseOR(_segment("fp", i + k))
         turns = F.lit(_turns(i, chain) if turned else [0]).cast("array<bigint>")
-        keys.append(F.transform(turns, lambda t, head=head: head.bitwiseXOR(t)))
+        keys.append(_turned(head, turns))
     return nodes.select("fp", F.explode(F.flatten(F.array(*keys))).alias("key"))
 
 

@@ -433,6 +433,7 @@ def test_chains(spark):
     want = {frozenset(p) for p in itertools.combinations(fps, 2) if (p[0] ^ p[1]).bit_count() <= 4}
     for chain in (2, 3):
         assert {frozenset((r.a, r.b)) for r in simhash.links(nodes, chain=chain).collect()} == want
+        assert simhash._keys(nodes, False, chain).select("key").distinct().count() > 2 * len(fps)
 
 
 def test_tree_ids():
