@@ -19,6 +19,7 @@ a fixed order stand for the line: of these too the two have one in common. What
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -194,8 +195,13 @@ def within(a: list[str], b: list[str], most: int) -> bool:
 
 
 def near(a: list[str], b: list[str]) -> bool:
-    """Whether a and b, of ``MIN_WORDS`` words at least, are at most ``edits`` apart."""
-    return within(a, b, edits(min(len(a), len(b))))
+    """Whether a and b, of ``MIN_WORDS`` words at least, are at most ``edits`` apart. An edit takes one word at most from each
+    side, so lines with more words that the other one lacks needn't be compared place by place."""
+    most = edits(min(len(a), len(b)))
+    if abs(len(a) - len(b)) > most:
+        return False
+    words, others = Counter(a), Counter(b)
+    return max((words - others).total(), (others - words).total()) <= most and within(a, b, most)
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -212,7 +218,7 @@ def one_edit(a: list[str], b: list[str]) -> bool:
 
 class Earlier:
     """The lines under one key, as they come; ``has_near`` asks whether one that came before is near. Counts of words by hash
-    rule out most of them: an edit changes two of those counts by one at most."""
+    rule out most of them: an edit raises and lowers one of those counts by one at most."""
 
     BUCKETS = 128
 
@@ -227,8 +233,9 @@ class Earlier:
 
         lengths = self.lengths[: self.size]
         most = np.minimum(lengths, len(words)) // STEP + 1
-        at = np.flatnonzero(np.abs(lengths - len(words)) <= most)
-        at = at[np.abs(self.counts[at] - counts).sum(1) <= 2 * most[at]]
+        left = 2 * most - np.abs(lengths - len(words))
+        at = np.flatnonzero(left >= most)
+        at = at[np.abs(self.counts[at] - counts).sum(1) <= left[at]]
         return any(near(words, self.texts[i].split(" ")) for i in at)
 
     def add(self, text: str, length: int, counts) -> None:
