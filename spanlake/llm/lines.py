@@ -404,7 +404,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         # Then those that aren't settled by it, with the others before them, up to the first that is near.
         rest = shared.where("key % 2 <> 0").join(close.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull() & (own != F.col("least")))
-        asked = rest.groupBy("key").agg(F.max("open").alias("any"), F.count("*").alias("n")).where("any and n > 2").select("key")
+        # Near copies share many keys; of keys with the same lines one is enough.
+        members = [F.bit_xor(F.xxhash64(*c)).alias(n) for n, c in (("one", ("id", "line")), ("two", ("line", "id")))]
+        asked = rest.groupBy("key").agg(F.max("open").alias("any"), F.count("*").alias("n"), *members).where("any and n > 2")
+        asked = asked.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
         rest = rest.join(asked, "key").join(picked, ["id", "line"]).select("key", "id", "line", "open", "words")
         more = rest.repartition("key").sortWithinPartitions("key", "id", "line").mapInArrow(later, f"id {kind}, line int")
         close = close.unionByName(more).distinct()
