@@ -50,11 +50,12 @@ def clear(spark: SparkSession) -> None:
         spark.conf.unset("spanlake.run.dir")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a ``stored`` frame that nothing will read again."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
-    release(df.sparkSession)
+def discard(*frames: DataFrame) -> None:
+    """Delete ``stored`` frames that nothing will read again."""
+    spark = frames[0].sparkSession
+    for folder in {f.rsplit("/", 1)[0] for df in frames for f in df.inputFiles()}:
+        _delete(spark, folder)
+    release(spark)
 
 
 def release(spark: SparkSession) -> None:

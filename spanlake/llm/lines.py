@@ -317,6 +317,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places = lines.select("id", "line", "mark")
     unique = places.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
     again = stored(places.join(unique, "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct(), "again")
+    release(docs.sparkSession)  # the shuffled marks
 
     own = F.struct("id", "line")
     firsts = lines.where("size(keys) > 0").groupBy("mark").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
@@ -380,8 +381,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sides = found.join(picked, ["id", "line"]).join(picked.select(F.col("id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words")), ["other_id", "other_line"])
     close = sides.select("id", "line", "words", "other_words").mapInPandas(verify, f"id {kind}, line int").distinct()
+    settled = []
     if grow:
         close = stored(close, "settled")
+        settled.append(close)
 
         def later(batches):
             import pyarrow as pa
@@ -412,7 +415,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = rest.repartition("key").sortWithinPartitions("key", "id", "line").mapInArrow(later, f"id {kind}, line int")
         close = close.unionByName(more).distinct()
     out = stored(again.unionByName(close.withColumn("near", F.lit(True))), "dropped")
-    release(docs.sparkSession)
+    discard(again, shared, picked, *settled)
     return out
 
 
