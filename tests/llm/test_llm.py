@@ -676,3 +676,28 @@ def test_clear(spark):
     assert df.count() == 3 and (folder := common.run_folder(spark))
     common.clear(spark)
     assert common.run_folder(spark) != folder
+
+
+def test_near_bags():
+    """Ruling pairs out by the words that each lacks loses none that are near: moved, changed, added and lost words."""
+    import random
+
+    rng, found = random.Random(5), 0
+    for _ in range(600):
+        a = [f"w{rng.randrange(30)}" for _ in range(rng.randrange(4, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b))
+            kind = rng.randrange(4)
+            if kind == 0:
+                b[at] = f"w{rng.randrange(40)}"
+            elif kind == 1:
+                b.insert(at, f"w{rng.randrange(40)}")
+            elif kind == 2 and len(b) > 4:
+                del b[at]
+            else:
+                b.append(b.pop(at))
+        want = lines.within(a, b, lines.edits(min(len(a), len(b))))
+        assert lines.near(a, b) == want == lines.near(b, a)
+        found += want
+    assert 50 < found < 550
