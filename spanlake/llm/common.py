@@ -80,6 +80,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def by_group(rows: DataFrame, large: DataFrame, others: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined to groups with one row for each ``key``: to the few ``large`` ones by broadcast, so that a key which holds much
+    of the table is not shuffled; to the others by a shuffle. The caller bounds the number of large ones by their share of the rows."""
+    few = F.broadcast(large)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(others, key, how)
+    return rows.join(few, key).unionByName(rest)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) with a null text as an empty one; other columns, whatever their names, are left behind."""
     return docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
