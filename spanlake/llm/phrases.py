@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,14 +21,13 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 4
 #: Bits of the table that rules out phrases with a rare pair of words: 2 MB, whatever the input.
 BITS = 24
-#: Bytes of text that a task cuts into words at a time.
-SEGMENT = 1 << 20
-#: Different words that a task remembers at a time.
-VOCABULARY = 1 << 20
+#: Bytes of text that a task cuts into words and counts at a time.
+SEGMENT = 4 << 20
 
 _ONE_END = bytes.maketrans(ENDS, b"." * len(ENDS))
 WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
-_COUNTS = "lang string, " + ", ".join(f"{w} string" for w in WORDS) + ", f long"
+#: The words of a phrase, blanks between them, then a tab and the language.
+_COUNTS = "key string, f long"
 
 
 def _segments(text: bytes) -> Iterator[tuple[bytes, bool]]:
@@ -45,89 +45,84 @@ def _segments(text: bytes) -> Iterator[tuple[bytes, bool]]:
         at = to
 
 
-class Words:
-    """Texts as numbers of words, in bounded pieces; 0 stands between pieces of text."""
+class Block:
+    """Some texts, or a part of a long one: words by number, 0 between pieces; for each place the language, and whether it was in the block before."""
 
     def __init__(self) -> None:
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
         self.number[b"."]
-
-    def blocks(self, batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(numbers, place of the language in ``number``, whether a place was in the block before): some texts or a part of one."""
-        parts: list[tuple[np.ndarray, int, int]] = []
-        size = 0
-        for batch in batches:
-            langs, texts = batch.column(0), batch.column(1)
-            for k in range(batch.num_rows):
-                raw, carry = texts[k].as_buffer(), np.zeros(0, np.int64)
-                raw = b"" if raw is None else raw.to_pybytes()
-                lang = (langs[k].as_py() or "").encode() + b"\t"  # no word ends so
-                for part, goes_on in _segments(raw.lower().translate(_ONE_END)):
-                    if not goes_on:
-                        carry = np.zeros(0, np.int64)
-                    tokens = part.replace(b".", b" . ").split()
-                    ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-                    whole = np.concatenate([carry, ids, [0]])
-                    parts.append((whole, self.number[lang], len(carry)))
-                    carry, size = whole[:-1][-(LONGEST - 1) :], size + len(part)
-                    if size >= SEGMENT:
-                        yield self._joined(parts)
-                        parts, size = [], 0
-                        if len(self.number) > VOCABULARY:
-                            kept = [self.words()[i] for i in carry]
-                            self.forget()
-                            carry = np.array([self.number[w] for w in kept], np.int64)
-        if parts:
-            yield self._joined(parts)
-
-    @staticmethod
-    def _joined(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.concatenate([p[0] for p in parts])
-        langs = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
-        seen = np.concatenate([np.arange(len(p[0])) < p[2] for p in parts])
-        return ids, langs, seen
-
-    def words(self) -> list[bytes]:
-        return list(self.number)
-
-
-def _packed(langs: np.ndarray, columns: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Counted rows of equal (language, words)."""
-    if not len(langs):
-        return
-    code, many = langs, len(words)
-    for c in columns:
-        code = np.unique(code, return_inverse=True)[1] * many + c  # under rows x words
-    _, first, counts = np.unique(code, return_index=True, return_counts=True)
-    names = pa.array(words, pa.binary())
-    tongues = pa.array([w[:-1] for w in words], pa.binary())
-    strings = [tongues.take(pa.array(langs[first])).cast(pa.string())]
-    strings += [names.take(pa.array(c[first])).cast(pa.string()) for c in columns]
-    strings += [pa.nulls(len(first), pa.string())] * (LONGEST - len(columns))
-    yield pa.RecordBatch.from_arrays([*strings, pa.array(counts, pa.int64())], names=["lang", *WORDS, "f"])
-
-
-def _grams(ids: np.ndarray, seen: np.ndarray, n: int) -> np.ndarray:
-    """Starts of the n-grams within a piece that were not all in the block before."""
-    if len(ids) < n:
-        return np.zeros(0, np.int64)
-    inside = ~seen[n - 1 :]
-    for k in range(n):
-        inside = inside & (ids[k : len(ids) - n + 1 + k] != 0)
-    return np.flatnonzero(inside)
+        self.tongue: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.parts: list[tuple[np.ndarray, int, int]] = []
+        self.size = 0
+
+    def add(self, lang: bytes, before: list[bytes], tokens: list[bytes], size: int) -> None:
+        whole = before + tokens
+        ids = np.fromiter(map(self.number.__getitem__, whole), np.int64, len(whole))
+        self.parts.append((np.append(ids, 0), self.tongue[lang], len(before)))
+        self.size += size
+
+    def close(self) -> Block:
+        self.ids = np.concatenate([p[0] for p in self.parts])
+        self.langs = np.repeat([p[1] for p in self.parts], [len(p[0]) for p in self.parts])
+        self.seen = np.concatenate([np.arange(len(p[0])) < p[2] for p in self.parts])
+        self.words, self.tongues = list(self.number), list(self.tongue)
+        return self
+
+    def starts(self, n: int) -> np.ndarray:
+        """Starts of the phrases of n words within a piece that were not all in the block before."""
+        if len(self.ids) < n:
+            return np.zeros(0, np.int64)
+        inside = ~self.seen[n - 1 :]
+        for k in range(n):
+            inside &= self.ids[k : len(self.ids) - n + 1 + k] != 0
+        return np.flatnonzero(inside)
+
+    def counted(self, at: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+        """The phrases of n words that start at the places, each once, with the times that it does."""
+        if not len(at):
+            return
+        many, tables, code = len(self.words), [], self.langs[at]
+        for k in range(n):
+            if k == 2 or k == 3:  # two words and a language fit into a number; before more, they become one number below the count of places
+                table, code = np.unique(code, return_inverse=True)
+                tables.append(table)
+            code = code * many + self.ids[at + k]
+        code, counts = np.unique(code, return_counts=True)
+        columns = []
+        for k in range(n - 1, -1, -1):
+            code, word = np.divmod(code, many)
+            columns.append(word)
+            if k == 2 or k == 3:
+                code = tables.pop()[code]
+        names = pa.array(self.words, pa.binary())
+        key = pc.binary_join_element_wise(*(names.take(pa.array(c)) for c in reversed(columns)), b" ")
+        key = pc.binary_join_element_wise(key, pa.array(self.tongues, pa.binary()).take(pa.array(code)), b"\t")
+        yield pa.RecordBatch.from_arrays([key.cast(pa.string()), pa.array(counts, pa.int64())], names=["key", "f"])
+
+
+def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+    """(lang, text as bytes) in blocks of bounded size, whatever the length of a text."""
+    block = Block()
+    for batch in batches:
+        langs, texts = batch.column(0), batch.column(1)
+        for k in range(batch.num_rows):
+            lang, before = langs[k].as_py().encode(), []
+            for part, goes_on in _segments((texts[k].as_py() or b"").lower().translate(_ONE_END)):
+                tokens = part.replace(b".", b" . ").split()
+                block.add(lang, before if goes_on else [], tokens, len(part))
+                before = (before + tokens)[-(LONGEST - 1) :] if goes_on else tokens[-(LONGEST - 1) :]
+                if block.size >= SEGMENT:
+                    yield block.close()
+                    block = Block()
+    if block.parts:
+        yield block.close()
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and pairs of words with the times that they stand in a block."""
-    vocabulary = Words()
-    for ids, langs, seen in vocabulary.blocks(batches):
-        words = vocabulary.words()
+    for block in blocks(batches):
         for n in (1, 2):
-            at = _grams(ids, seen, n)
-            yield from _packed(langs[at], [ids[at + k] for k in range(n)], words)
+            yield from block.counted(block.starts(n), n)
 
 
 def slots(first: np.ndarray, second: np.ndarray, lang: np.ndarray, bits: int) -> np.ndarray:
@@ -158,21 +153,16 @@ def _long(table, bits: int):
     """Phrases of three words and more, all of whose pairs may be frequent, with the times that they stand in a block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, vocabulary = table.value.view(np.uint64), Words()
-        hashes, known = np.zeros(0, np.uint64), 0
-        for ids, langs, seen in vocabulary.blocks(batches):
-            words = vocabulary.words()
-            if len(words) < known:
-                hashes, known = np.zeros(0, np.uint64), 0
-            new = [xxhash.xxh64_intdigest(w[:-1] if w.endswith(b"\t") else w, 42) for w in words[known:]]
-            hashes, known = np.concatenate([hashes, np.array(new, np.uint64)]), len(words)
-            slot = slots(hashes[ids[:-1]], hashes[ids[1:]], hashes[langs[:-1]], bits)
+        frequent = table.value.view(np.uint64)
+        for block in blocks(batches):
+            word, tongue = (np.array([xxhash.xxh64_intdigest(w, 42) for w in some], np.uint64) for some in (block.words, block.tongues))
+            slot = slots(word[block.ids[:-1]], word[block.ids[1:]], tongue[block.langs[:-1]], bits)
             ok = (frequent[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
             for n in range(3, LONGEST + 1):
-                at = _grams(ids, seen, n)
+                at = block.starts(n)
                 for k in range(n - 1):
                     at = at[ok[at + k]]
-                yield from _packed(langs[at], [ids[at + k] for k in range(n)], words)
+                yield from block.counted(at, n)
 
     return count
 
@@ -183,16 +173,22 @@ def count_streams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     A phrase can't be more frequent than the pairs of words in it, so phrases of three and four words are counted only where all their pairs are frequent.
     """
     lang = F.coalesce(docs[lang_col].cast("string"), F.lit("und"))
-    rows = docs.select(lang.alias("lang"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    key = ["lang", *WORDS]
-    short = rows.mapInArrow(_short, _COUNTS).groupBy("lang", "w1", "w2").agg(F.sum("f").alias("f"))
-    short = stored(short, "short-counts")
+    rows = docs.select(lang.alias("lang"), docs[text_col].cast("binary").alias("text"))
+    often = F.col("f") >= least
+    short = rows.mapInArrow(_short, _COUNTS).groupBy("key").agg(F.sum("f").alias("f")).where(often | (F.instr("key", " ") == 0) | (F.instr("key", " ") > F.instr("key", "\t")))
+    short = stored(_words(short), "short-counts")
     totals = short.where("w2 is null").groupBy("lang").agg(F.sum("f").alias("n"))
-    often = short.where(F.col("f") >= least)
-    table = docs.sparkSession.sparkContext.broadcast(_frequent(often.where("w2 is not null"), bits))
-    long = rows.mapInArrow(_long(table, bits), _COUNTS).groupBy(*key).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    nothing = F.lit(None).cast("string")
-    return totals, stored(often.select("lang", "w1", "w2", *(nothing.alias(w) for w in WORDS[2:]), "f").unionByName(long), "counts")
+    short = short.where(often)
+    table = docs.sparkSession.sparkContext.broadcast(_frequent(short.where("w2 is not null"), bits))
+    long = rows.mapInArrow(_long(table, bits), _COUNTS).groupBy("key").agg(F.sum("f").alias("f")).where(often)
+    return totals, stored(short.unionByName(_words(long)), "counts")
+
+
+def _words(counts: DataFrame) -> DataFrame:
+    """(lang, w1 .. w4, f) of counted keys; no word contains a blank or a tab."""
+    rows = counts.withColumn("phrase", F.substring_index("key", "\t", 1))
+    words = F.split("phrase", " ")
+    return rows.select(F.expr("substr(key, length(phrase) + 2)").alias("lang"), *(F.get(words, F.lit(k)).alias(w) for k, w in enumerate(WORDS)), "f")
 
 
 def _side(stream: DataFrame, words: list[str], name: str) -> DataFrame:

@@ -127,7 +127,7 @@ def test_phrases(spark, docs):
 
 
 def test_segments(monkeypatch):
-    """Texts in segments, words longer than one, and a vocabulary that is forgotten, give the counts of whole texts."""
+    """Texts in segments, and words longer than one, give the counts of whole texts."""
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["a", "bb", "c" * 40, "d.", "e\te", ""]) for _ in range(200)) for _ in range(5)] + ["z" * 99, "", None]
     batch = pa.RecordBatch.from_arrays([pa.array(["x", "y", "x", "y", "", "x", "x", "x"]), pa.array([t if t is None else t.encode() for t in texts], pa.binary())], names=["lang", "text"])
@@ -136,12 +136,11 @@ def test_segments(monkeypatch):
         out = Counter()
         for b in phrases._short(iter([batch])):
             for row in b.to_pylist():
-                out[row["lang"], row["w1"], row["w2"]] += row["f"]
+                out[row["key"]] += row["f"]
         return out
 
     whole = counted()
     monkeypatch.setattr(phrases, "SEGMENT", 16)
-    monkeypatch.setattr(phrases, "VOCABULARY", 3)
     assert counted() == whole
 
 
