@@ -32,11 +32,11 @@ def quantile(column: Column, p: float) -> Column:
     """Lower edge, in ns, of the first bucket whose running count reaches trunc(p * total); 0 for an empty histogram."""
     total = F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + x)
     target = F.floor(total * F.lit(p)).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("i"), F.lit(-1).alias("at"))
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("i"), F.lit(-1).alias("at"), target.alias("target"))  # once, not at each bucket
 
     def step(a: Column, x: Column) -> Column:
         n = a["n"] + x
-        return F.struct(n.alias("n"), (a["i"] + 1).alias("i"), F.when((a["at"] < 0) & (n >= target), a["i"]).otherwise(a["at"]).alias("at"))
+        return F.struct(n.alias("n"), (a["i"] + 1).alias("i"), F.when((a["at"] < 0) & (n >= a["target"]), a["i"]).otherwise(a["at"]).alias("at"), a["target"].alias("target"))
 
     at = F.aggregate(column, start, step, lambda a: a["at"])
     edge = F.when(at >= BUCKETS - 1, F.lit(TOP_MS)).otherwise(F.pow(F.lit(2), at))

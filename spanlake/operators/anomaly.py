@@ -14,15 +14,16 @@ def _one(x: Column) -> Column:
 
 
 def window_groups(red: DataFrame, *, window_ns: int = 90 * SECOND, tick_ns: int = 30 * SECOND) -> DataFrame:
-    """Calls and errors of each key in the window before each tick, and the quantiles of its last bucket.
+    """Calls and errors of each key in the window before each tick, and the quantiles (and exemplar, if any) of its last bucket.
 
     A bucket is handed to the ticks whose windows hold it, so one aggregation does all windows.
     """
     first = F.col("bucket_ns") - F.pmod("bucket_ns", F.lit(tick_ns)) + tick_ns
     ticks = F.transform(F.sequence(F.lit(0), F.lit(window_ns // tick_ns - 1)), lambda i: first + i * tick_ns)
     rows = red.withColumn("tick_ns", F.explode(ticks)).where((F.col("bucket_ns") >= F.col("tick_ns") - window_ns) & (F.col("bucket_ns") < F.col("tick_ns")))
-    last = F.max_by(F.struct("p50_ns", "p95_ns", "p99_ns"), "bucket_ns")
-    return rows.groupBy(*KEY, "tick_ns").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), last["p95_ns"].alias("p95_ns"), last["p99_ns"].alias("p99_ns"))
+    shown = [c for c in ("p95_ns", "p99_ns", "exemplar") if c in red.columns]
+    last = F.max_by(F.struct(*shown), "bucket_ns")
+    return rows.groupBy(*KEY, "tick_ns").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), *(last[c].alias(c) for c in shown))
 
 
 def _verdict(kind: str, breach: Column, observed: Column, base: Column, score: Column) -> Column:
@@ -56,7 +57,8 @@ def throughput_drop(*, ratio: float = 0.5, min_rps: float = 0.1, window_s: int =
 def verdicts(groups: DataFrame, *detectors: Column) -> DataFrame:
     """A row for each window and detector, with a score where it breaches. ``groups`` are windows with a looked-up baseline;
     all detectors are asked in one pass."""
-    return groups.select(*KEY, "tick_ns", "state", F.inline(F.array(*detectors)))
+    shown = ["exemplar"] if "exemplar" in groups.columns else []
+    return groups.select(*KEY, "tick_ns", "state", *shown, F.inline(F.array(*detectors)))
 
 
 def silent(groups: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -111,6 +111,11 @@ def snapshot(edge: DataFrame) -> DataFrame:
     return ends.unionByName(own).groupBy("tenant").agg(F.sum("edges").alias("edges"), F.count_distinct("service").alias("services"), F.sum("calls").alias("calls"))
 
 
+def between_services(edge: DataFrame) -> DataFrame:
+    """Edges from one service to another: ``external``, databases and topics, which many services share, carry no hops."""
+    return edge.where((F.col("caller") != "external") & (F.col("caller") != F.col("callee")) & ~F.col("protocol").isin("db", "messaging"))
+
+
 def _links(edge: DataFrame, direction: str) -> DataFrame:
     down = edge.select("tenant", F.col("caller").alias("a"), F.col("callee").alias("b"))
     up = edge.select("tenant", F.col("callee").alias("a"), F.col("caller").alias("b"))

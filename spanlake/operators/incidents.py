@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.fold import fold
 from spanlake.operators.lineage import cut
 
 SECOND = 1_000_000_000
@@ -28,20 +29,108 @@ def group(events: DataFrame, near: DataFrame, *, same_ns: int = 1800 * SECOND, n
     others = heads.select("tenant", F.col("service").alias("other"), F.col("event_id").alias("b"), F.col("at_ns").alias("b_ns"), F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b"))
     hops = near.where("service <> other").select("tenant", "service", "other").distinct()
     across = heads.join(hops, ["tenant", "service"]).join(others, ["tenant", "other", "_b"]).where((F.col("at_ns") >= F.col("b_ns")) & (F.col("at_ns") - F.col("b_ns") <= near_ns) & (F.col("event_id") != F.col("b"))).select(F.col("event_id").alias("a"), "b")
-    pairs = same.unionByName(chain).unionByName(across).distinct()
+    return events.join(_labels(events.select("event_id"), same.unionByName(chain).unionByName(across), "event_id", "incident", rounds), "event_id")
+
+
+def _labels(nodes: DataFrame, pairs: DataFrame, node: str, label: str, rounds: int) -> DataFrame:
+    """(node, label): the least node that each is linked to by ``pairs`` (a, b), which is passed on until nothing changes."""
+    pairs = pairs.distinct()
     links = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    now = cut(events.select("event_id", F.col("event_id").alias("incident")))
+    now = cut(nodes.select(node, F.col(node).alias(label)))
     seen = None
     for _ in range(rounds):
-        least = links.join(now, links["b"] == now["event_id"]).groupBy("a").agg(F.min("incident").alias("m"))
-        new = now.join(least, now["event_id"] == least["a"], "left").select("event_id", F.least("incident", "m").alias("incident"))
-        jumped = new.select(F.col("event_id").alias("incident"), F.col("incident").alias("root"))
-        now = cut(new.join(jumped, "incident", "left").select("event_id", F.least("incident", "root").alias("incident")))
-        mark = now.agg(F.sum(F.xxhash64("event_id", "incident").cast("decimal(38,0)"))).first()[0]
+        least = links.join(now, links["b"] == now[node]).groupBy("a").agg(F.min(label).alias("m"))
+        new = now.join(least, now[node] == least["a"], "left").select(node, F.least(label, "m").alias(label))
+        jumped = new.select(F.col(node).alias(label), F.col(label).alias("root"))
+        now = cut(new.join(jumped, label, "left").select(node, F.least(label, "root").alias(label)))
+        mark = now.agg(F.sum(F.xxhash64(node, label).cast("decimal(38,0)"))).first()[0]
         if mark == seen:
-            return events.join(now, "event_id")
+            return now
         seen = mark
-    raise RuntimeError(f"incidents still grow after {rounds} rounds")
+    raise RuntimeError(f"labels still change after {rounds} rounds")
+
+
+def areas(near: DataFrame, *, rounds: int = 100) -> DataFrame:
+    """(tenant, service, area) of the services in ``near``: those of different areas never share an incident, so that ``assign`` may
+    take areas apart (``by`` tenant and area)."""
+    name = lambda c: F.to_json(F.struct("tenant", F.col(c).alias("service")))
+    pairs = near.select(name("service").alias("a"), name("other").alias("b"))
+    nodes = near.select("tenant", "service", name("service").alias("node")).distinct()
+    return nodes.join(_labels(nodes.select("node"), pairs, "node", "area", rounds), "node").select("tenant", "service", "area")
+
+
+def _assigner(window_ns: int, dedupe_ns: int, most: int | None):
+    """A function that takes events and closings of a tenant in order."""
+    incidents: dict[str, list] = {}  # id: [last update, closed at, best score by service, provisional]
+    by_service: dict[str, list[str]] = {}
+    by_fingerprint: dict[str, str] = {}
+
+    def close(name: str, at: int) -> None:
+        incidents[name][1] = at
+        for around in by_service.values():
+            if name in around:
+                around.remove(name)
+
+    def score(incident: list) -> float:
+        raw = min(1.0, max(incident[2].values()) * (1 + 0.05 * (len(incident[2]) - 1)))
+        return min(raw, 0.69) if incident[3] else raw
+
+    def step(event, service, fingerprint, at, points, provisional, around, closes) -> tuple:
+        if closes is not None:
+            if closes in incidents and incidents[closes][1] is None:
+                close(closes, at)
+            return None, False, False, None
+        target, new, suppressed, expired = by_fingerprint.get(fingerprint), False, False, None
+        if target in incidents and (incidents[target][1] is None or at - incidents[target][1] <= dedupe_ns):
+            suppressed = True
+        else:
+            target = next((i for i in by_service.get(service, ()) if at - incidents[i][0] <= window_ns), None)
+            if target is None:
+                for i in [i for i, x in incidents.items() if x[1] is not None and at - x[1] > dedupe_ns]:
+                    del incidents[i]
+                target, new = event, True
+                incidents[target] = [at, None, {}, False]
+            by_fingerprint[fingerprint] = target
+        incident = incidents[target]
+        if service not in incident[2]:
+            incident[2][service] = 0.0
+            if incident[1] is None:
+                for s in (service, *(around or ())):
+                    if target not in by_service.setdefault(s, []):
+                        by_service[s].append(target)
+        incident[0], incident[2][service], incident[3] = at, max(incident[2][service], points), incident[3] or provisional
+        if new and most is not None:
+            still = [i for i, x in incidents.items() if x[1] is None]
+            if len(still) > most:
+                expired = min(still, key=lambda i: score(incidents[i]))
+                close(expired, at)
+        return target, new, suppressed, expired
+
+    return step
+
+
+def assign(events: DataFrame, near: DataFrame, *, window_ns: int = 300 * SECOND, dedupe_ns: int = 1800 * SECOND, most: int | None = 200, closings: DataFrame | None = None, by: tuple[str, ...] = ("tenant",)) -> DataFrame:
+    """``events`` (event_id, tenant, service, fingerprint, at_ns, score, provisional) in order of (at_ns, event_id), each with its ``incident``, named after its first event.
+
+    An event goes to the incident that its fingerprint went to last, if that is open or was closed at most ``dedupe_ns`` ago
+    (``suppressed``); else to the first open one of its service or of one in whose hops (``near``: tenant, service, other) it is, if
+    that was updated at most ``window_ns`` ago; else it begins one (``opened``). If over ``most`` are open then, that with the lowest score, of equal ones
+    the oldest, expires (``expired``). ``closings`` (tenant, incident, at_ns) end incidents from outside, after the events of their time.
+
+    A tenant is read in order by one task. Without ``most``, a column of ``areas`` in ``by`` splits it, with the same result. The state is that of the incidents which are open or were closed at most ``dedupe_ns`` ago.
+    """
+    around = near.where("service <> other").groupBy("tenant", "service").agg(F.array_sort(F.collect_set("other")).alias("_around"))
+    none = F.lit(None).cast("string")
+    rows = events.join(around, ["tenant", "service"], "left").withColumn("_closes", none)
+    if closings is not None:
+        ends = closings.select("tenant", "at_ns", F.col("incident").alias("_closes"))
+        if by != ("tenant",):
+            raise ValueError("closings are known by tenant only")
+        rows = rows.unionByName(ends, allowMissingColumns=True)
+    rows = rows.withColumn("_end", F.col("_closes").isNotNull())
+    reads = ["event_id", "service", "fingerprint", "at_ns", "score", "provisional", "_around", "_closes"]
+    out = fold(rows, by=list(by), order=["at_ns", "_end", "event_id"], reads=reads, start=lambda: _assigner(window_ns, dedupe_ns, most), adds="incident string, opened boolean, suppressed boolean, expired string")
+    return out.where("not _end").drop("_around", "_closes", "_end")
 
 
 def severity(score: str = "score", services: str = "n_services") -> Column:
@@ -49,17 +138,27 @@ def severity(score: str = "score", services: str = "n_services") -> Column:
     return F.when(s < 0.55, "unknown").when(s <= 0.69, F.when(F.col(services) >= 2, "medium").otherwise("low")).when(s <= 0.84, "high").otherwise("critical")
 
 
-def summarize(grouped: DataFrame, near: DataFrame, *, exemplars: int = 4) -> DataFrame:
-    """By incident: services, score (the best, 5 % more for each further service, at most 1, or 0.69 if all is provisional),
-    severity, epicenter (best score, then name), blast radius (services within the hops of ``near`` of it)."""
-    best = grouped.groupBy("tenant", "incident", "service").agg(F.max("score").alias("score"), F.min("at_ns").alias("first_ns"), F.max("at_ns").alias("last_ns"), F.count("*").alias("n"), F.min("provisional").alias("provisional"))
-    rows = best.groupBy("tenant", "incident").agg(F.array_sort(F.collect_set("service")).alias("services"), F.max("score").alias("top"), F.min_by("service", F.struct(-F.col("score"), F.col("service"))).alias("epicenter"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.sum("n").alias("events"), F.min("provisional").alias("provisional"))
+def summarize(grouped: DataFrame, near: DataFrame, *, exemplars: int = 4, latest: int = 200) -> DataFrame:
+    """By incident: services, score (the best, 5 % more for each further service, at most 1, or 0.69 if any of it is provisional),
+    severity, epicenter (best score, then name), blast radius (its services within the hops of ``near`` of the epicenter), the
+    ``latest`` event ids, the exemplars of the first events and the deploys, where the events have such columns."""
+    key = ["tenant", "incident"]
+    best = grouped.groupBy(*key, "service").agg(F.max("score").alias("score"), F.min("at_ns").alias("first_ns"), F.max("at_ns").alias("last_ns"), F.count("*").alias("n"), F.max("provisional").alias("provisional"))
+    rows = best.groupBy(*key).agg(F.array_sort(F.collect_set("service")).alias("services"), F.max("score").alias("top"), F.min_by("service", F.struct(-F.col("score"), F.col("service"))).alias("epicenter"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.sum("n").alias("events"), F.max("provisional").alias("provisional"))
     raw = F.least(F.lit(1.0), F.col("top") * (1 + 0.05 * (F.size("services") - 1)))
     rows = rows.withColumn("n_services", F.size("services")).withColumn("score", F.when(F.col("provisional"), F.least(F.lit(0.69), raw)).otherwise(raw)).withColumn("severity", severity())
     around = near.groupBy("tenant", F.col("service").alias("epicenter")).agg(F.collect_set("other").alias("around"))
     out = rows.join(around, ["tenant", "epicenter"], "left")
     blast = F.array_sort(F.filter("services", lambda s: (s == F.col("epicenter")) | F.array_contains(F.coalesce("around", F.array().cast("array<string>")), s)))
-    return out.withColumn("blast_radius", blast).drop("around", "top", "provisional")
+    out = out.withColumn("blast_radius", blast).drop("around", "top")
+    listed = lambda rows, n, *order: rows.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("_k") <= n)
+    inner = lambda c, name: F.transform(F.array_sort(F.collect_list(F.struct("_k", c))), lambda x: x[c]).alias(name)
+    out = out.join(listed(grouped, latest, F.desc("at_ns"), F.desc("event_id")).groupBy(*key).agg(inner("event_id", "event_ids")), key)
+    if "exemplar" in grouped.columns:
+        out = out.join(listed(grouped.where("exemplar is not null"), exemplars, "at_ns", "event_id").groupBy(*key).agg(inner("exemplar", "exemplars")), key, "left")
+    if "deploys" in grouped.columns:
+        out = out.join(grouped.select(*key, F.explode("deploys").alias("d")).groupBy(*key).agg(F.array_sort(F.collect_set("d")).alias("deploys")), key, "left")
+    return out
 
 
 def active(incidents: DataFrame) -> DataFrame:

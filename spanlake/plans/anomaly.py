@@ -18,31 +18,33 @@ _FAULT_SQL = f"""slow AS (SELECT * REPLACE (CASE WHEN {_FAULT.format(div='//')}
   CASE WHEN {_FAULT.format(div='//')} AND service = 'svc-7' THEN 2 ELSE status_code END AS status_code) FROM spans),
 faulted AS (SELECT * REPLACE (end_ns - start_ns AS duration_ns, status_code = 2 AS is_error) FROM slow),
 fbuckets AS (SELECT *, received_ns - received_ns % 10000000000 AS bucket_ns, {BUCKET_SQL} AS b FROM faulted),
-fred AS (SELECT tenant, service, name, bucket_ns, count(*) AS calls, count(*) FILTER (is_error) AS errors, {", ".join(f"count(*) FILTER (b = {i}) AS h{i}" for i in range(16))} FROM fbuckets GROUP BY tenant, service, name, bucket_ns),
-fq AS (SELECT tenant, service, name, bucket_ns, calls, errors, {quantile_sql(0.5)} AS p50_ns, {quantile_sql(0.95)} AS p95_ns, {quantile_sql(0.99)} AS p99_ns FROM fred)"""
+fred AS (SELECT tenant, service, name, bucket_ns, count(*) AS calls, count(*) FILTER (is_error) AS errors, {", ".join(f"count(*) FILTER (b = {i}) AS h{i}" for i in range(16))}, min(trace_id) AS exemplar FROM fbuckets GROUP BY tenant, service, name, bucket_ns),
+fq AS (SELECT tenant, service, name, bucket_ns, calls, errors, {quantile_sql(0.5)} AS p50_ns, {quantile_sql(0.95)} AS p95_ns, {quantile_sql(0.99)} AS p99_ns, exemplar FROM fred)"""
 _BASE_SQL = """slotted AS (SELECT *, -1 AS slot FROM fq UNION ALL SELECT *, (bucket_ns // 3600000000000) % 24 FROM fq UNION ALL SELECT *, (bucket_ns // 86400000000000 + 3) % 7 + 24 FROM fq),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tenant, service, name, slot ORDER BY bucket_ns DESC) AS k FROM slotted),
 baselines AS (SELECT tenant, service, name, slot, quantile_cont(p50_ns, 0.5) AS p50_ns, quantile_cont(p95_ns, 0.5) AS p95_ns, quantile_cont(p99_ns, 0.5) AS p99_ns,
   sum(CASE WHEN k <= 200 THEN 0.2 * pow(0.8, k - 1) ELSE 0 END * errors / calls) AS error_rate, sum(CASE WHEN k <= 200 THEN 0.2 * pow(0.8, k - 1) ELSE 0 END * calls / 10) AS rps, count(*) AS n, min(bucket_ns) AS first_ns FROM ranked GROUP BY tenant, service, name, slot)"""
 _GROUPS_SQL = """ticks AS (SELECT *, bucket_ns - bucket_ns % 30000000000 + 30000000000 * i AS tick_ns FROM fq, (SELECT unnest([1, 2, 3]) AS i)),
-groups AS (SELECT tenant, service, name, tick_ns, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, arg_max(p95_ns, bucket_ns) AS p95_ns, arg_max(p99_ns, bucket_ns) AS p99_ns FROM ticks GROUP BY tenant, service, name, tick_ns)"""
+groups AS (SELECT tenant, service, name, tick_ns, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors, arg_max(p95_ns, bucket_ns) AS p95_ns, arg_max(p99_ns, bucket_ns) AS p99_ns, arg_max(exemplar, bucket_ns) AS exemplar FROM ticks GROUP BY tenant, service, name, tick_ns)"""
 _LOOK_SQL = """looked AS (SELECT g.*, CASE WHEN coalesce(a.n, 0) < 200 AND tick_ns - a.first_ns > 86400000000000 THEN 'decree' WHEN coalesce(a.n, 0) < 200 THEN 'cold' WHEN coalesce(h.n, 0) < 30 THEN 'global' ELSE 'warm' END AS state,
   a.p95_ns AS a95, h.p95_ns AS h95, a.error_rate AS ae, h.error_rate AS he, a.rps AS ar, h.rps AS hr FROM groups g
   LEFT JOIN baselines a ON a.tenant = g.tenant AND a.service = g.service AND a.name = g.name AND a.slot = -1
   LEFT JOIN baselines h ON h.tenant = g.tenant AND h.service = g.service AND h.name = g.name AND h.slot = (g.tick_ns // 3600000000000) % 24),
 based AS (SELECT *, CASE WHEN state = 'warm' THEN h95 ELSE a95 END AS b95, CASE WHEN state = 'warm' THEN he ELSE ae END AS be, CASE WHEN state = 'warm' THEN hr ELSE ar END AS br FROM looked)"""
+#: Quantiles are powers of two of a millisecond here, so a shift is one of a fifth of a second at least.
+DELTA_NS = S // 5
 _one = lambda x: f"greatest(0.0, least(1.0, {x}))"
 _VERDICT_SQL = f"""verdicts AS (
-  SELECT tenant, service, name, tick_ns, state, 'latency_shift' AS kind, coalesce(state <> 'cold' AND b95 > 0 AND p95_ns >= b95 * 1.5 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND p95_ns - b95 >= 50000000 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND calls >= 10, false) AS breach,
-    {_one(f"0.5 * {_one('p95_ns / b95::double - 1')} + 0.5 * {_one('(p95_ns - b95) / 200000000.0')}")} AS score FROM based
-  UNION ALL SELECT tenant, service, name, tick_ns, state, 'error_burst', coalesce(state <> 'cold' AND errors / calls::double - be >= 0.05 AND errors / calls::double >= 3.0 * be AND calls >= 10, false),
+  SELECT tenant, service, name, tick_ns, state, exemplar, 'latency_shift' AS kind, coalesce(state <> 'cold' AND b95 > 0 AND p95_ns >= b95 * 1.5 * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND p95_ns - b95 >= {DELTA_NS} * CASE WHEN state = 'global' THEN 1.5 ELSE 1.0 END AND calls >= 10, false) AS breach,
+    {_one(f"0.5 * {_one('p95_ns / b95::double - 1')} + 0.5 * {_one(f'(p95_ns - b95) / {4 * DELTA_NS}.0')}")} AS score FROM based
+  UNION ALL SELECT tenant, service, name, tick_ns, state, exemplar, 'error_burst', coalesce(state <> 'cold' AND errors / calls::double - be >= 0.05 AND errors / calls::double >= 3.0 * be AND calls >= 10, false),
     {_one(f"0.5 * {_one('(errors / calls::double - be) / 0.2')} + 0.5 * {_one('errors / calls::double')}")} FROM based
-  UNION ALL SELECT tenant, service, name, tick_ns, state, 'throughput_drop', coalesce(state <> 'cold' AND br >= 0.1 AND calls / 90.0 <= 0.5 * br, false), {_one('1 - calls / 90.0 / br')} FROM based),
+  UNION ALL SELECT tenant, service, name, tick_ns, state, exemplar, 'throughput_drop', coalesce(state <> 'cold' AND br >= 0.1 AND calls / 90.0 <= 0.5 * br, false), {_one('1 - calls / 90.0 / br')} FROM based),
 islands AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, service, name, kind ORDER BY tick_ns) AS island FROM verdicts),
 fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, service, name, kind, island, breach ORDER BY tick_ns) AS rn FROM islands) WHERE breach AND rn % 2 = 0),
 near AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, string_agg(DISTINCT d.deploy_id, ',' ORDER BY d.deploy_id) AS deploys FROM fired f JOIN deploys d ON d.tenant = f.tenant AND d.service = f.service AND abs(f.tick_ns - 90000000000 - d.at_ns) <= 1800000000000
   WHERE f.kind <> 'throughput_drop' GROUP BY f.tenant, f.service, f.name, f.kind, f.tick_ns),
-events AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, f.state, n.deploys, CASE WHEN n.deploys IS NOT NULL THEN least(1.0, f.score + 0.1) ELSE f.score END AS score FROM fired f
+events AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, f.state, f.exemplar, n.deploys, CASE WHEN n.deploys IS NOT NULL THEN least(1.0, f.score + 0.1) ELSE f.score END AS score FROM fired f
   LEFT JOIN near n ON n.tenant = f.tenant AND n.service = f.service AND n.name = f.name AND n.kind = f.kind AND n.tick_ns = f.tick_ns)"""
 FAULT_VIEWS = (fixtures.SPANS_SQL, _FAULT_SQL)
 BASE_VIEWS = (*FAULT_VIEWS, _BASE_SQL)
@@ -60,7 +62,7 @@ def faulted_spans(spark, sf_dir):
 def faulted_red(spark, sf_dir):
     q = latency.quantiles(F.col("hist"))
     rows = red.rollup(faulted_spans(spark, sf_dir)).withColumn("q", q)
-    return rows.select("tenant", "service", "name", "bucket_ns", "calls", "errors", *(F.col(f"q.{p}").alias(f"{p}_ns") for p in ("p50", "p95", "p99")))
+    return rows.select("tenant", "service", "name", "bucket_ns", "calls", "errors", *(F.col(f"q.{p}").alias(f"{p}_ns") for p in ("p50", "p95", "p99")), F.get("exemplars", F.lit(0)).alias("exemplar"))
 
 
 def looked_up(spark, sf_dir):
@@ -69,7 +71,7 @@ def looked_up(spark, sf_dir):
 
 
 def fired(spark, sf_dir):
-    asked = anomaly.latency_shift(min_calls=10), anomaly.error_burst(min_calls=10), anomaly.throughput_drop()
+    asked = anomaly.latency_shift(min_calls=10, delta_ns=DELTA_NS), anomaly.error_burst(min_calls=10), anomaly.throughput_drop()
     return anomaly.debounced(anomaly.verdicts(looked_up(spark, sf_dir), *asked))
 
 
@@ -144,7 +146,7 @@ def _named(kind, f):
     SQL[kind] = SQL.pop("run")
 
 
-_named("latency_shift", lambda: anomaly.latency_shift(min_calls=10))
+_named("latency_shift", lambda: anomaly.latency_shift(min_calls=10, delta_ns=DELTA_NS))
 _named("error_burst", lambda: anomaly.error_burst(min_calls=10))
 _named("throughput_drop", anomaly.throughput_drop)
 

@@ -9,59 +9,76 @@ from spanlake.operators.lineage import cut
 from spanlake.plans import fixtures
 from spanlake.plans.anomaly import EVENT_VIEWS, SIGNATURES_SQL, base_events
 from spanlake.plans.base import base_spans, csv, query
-from spanlake.plans.graph import CALLS_SQL, DISTANCE_SQL, base_edges
+from spanlake.plans.graph import CALLS_SQL, base_edges
+
+
+#: Edges of a tenant that carry hops here: the busiest between services. The fixtures' services all call each other.
+STRONG = 4
 
 
 def near(spark, sf_dir):
-    return cut(graph.distances(base_edges(spark, sf_dir), hops=2))
+    """Services within two hops over the busiest edges."""
+    strong = cut(graph.capped(graph.between_services(base_edges(spark, sf_dir)), most=STRONG))
+    return cut(graph.distances(strong, hops=2).select("tenant", "service", "other"))
 
 
-def scored_events(spark, sf_dir):
-    rows = anomaly.fingerprints(anomaly.gate(base_events(spark, sf_dir)))
-    return rows.select(F.md5(F.concat_ws("|", "tenant", "service", "name", "kind", F.col("tick_ns").cast("string"))).alias("event_id"), "tenant", "service", "fingerprint", F.col("tick_ns").alias("at_ns"), "score", (F.col("state") == "global").alias("provisional"))
+_NEAR = f"""strong AS (SELECT tenant, caller, callee FROM edges WHERE caller <> 'external' AND caller <> callee AND protocol NOT IN ('db', 'messaging') QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY calls DESC, last_ns DESC, first_ns DESC, caller, callee, protocol) <= {STRONG}),
+ties AS (SELECT tenant, caller AS a, callee AS b FROM strong UNION SELECT tenant, callee, caller FROM strong),
+hops AS (SELECT tenant, a AS service, a AS other FROM ties UNION SELECT tenant, a, b FROM ties UNION SELECT x.tenant, x.a, y.b FROM ties x JOIN ties y ON x.tenant = y.tenant AND x.b = y.a)"""
 
 
-_EVENTS = """scored AS (SELECT md5(concat_ws('|', tenant, service, name, kind, tick_ns::varchar)) AS event_id, tenant, service, md5(tenant || kind || name || service) AS fingerprint, tick_ns AS at_ns, score, state = 'global' AS provisional FROM events WHERE score >= 0.55)"""
-_GROUPED = """pairs AS (SELECT a.event_id AS a, b.event_id AS b FROM scored a JOIN scored b ON a.tenant = b.tenant AND a.event_id <> b.event_id WHERE a.fingerprint = b.fingerprint AND abs(a.at_ns - b.at_ns) <= 1800000000000
-  OR abs(a.at_ns - b.at_ns) <= 300000000000 AND (a.service = b.service OR EXISTS (SELECT 1 FROM distances d WHERE d.tenant = a.tenant AND d.service = a.service AND d.other = b.service))),
-reach AS (SELECT event_id AS a, event_id AS b FROM scored UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
-grouped AS (SELECT s.*, r.incident FROM scored s JOIN (SELECT a, min(b) AS incident FROM reach GROUP BY a) r ON r.a = s.event_id),
-best AS (SELECT tenant, incident, service, max(score) AS score, min(at_ns) AS first_ns, max(at_ns) AS last_ns, count(*) AS n, bool_and(provisional) AS provisional FROM grouped GROUP BY tenant, incident, service),
+def scored_events(spark, sf_dir):
+    rows = anomaly.fingerprints(anomaly.gate(base_events(spark, sf_dir)))
+    return rows.select(F.md5(F.concat_ws("|", "tenant", "service", "name", "kind", F.col("tick_ns").cast("string"))).alias("event_id"), "tenant", "service", "fingerprint", F.col("tick_ns").alias("at_ns"), "score", (F.col("state") == "global").alias("provisional"), "exemplar", "deploys")
+
+
+_EVENTS = """scored AS (SELECT md5(concat_ws('|', tenant, service, name, kind, tick_ns::varchar)) AS event_id, tenant, service, md5(tenant || kind || name || service) AS fingerprint, tick_ns AS at_ns, score, state = 'global' AS provisional, exemplar, deploys FROM events WHERE score >= 0.55)"""
+_LINKED = """pairs AS (SELECT a.event_id AS a, b.event_id AS b FROM scored a JOIN scored b ON a.tenant = b.tenant AND a.event_id <> b.event_id WHERE a.fingerprint = b.fingerprint AND abs(a.at_ns - b.at_ns) <= 1800000000000
+  OR abs(a.at_ns - b.at_ns) <= 300000000000 AND (a.service = b.service OR EXISTS (SELECT 1 FROM hops d WHERE d.tenant = a.tenant AND d.service = a.service AND d.other = b.service))),
+reach AS (SELECT event_id AS a, event_id AS b FROM scored UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)"""
+#: Events in order: a row holds the tenant's incidents (last update by id), those that each fingerprint went to, and the pairs of service and incident in the order in which they came up.
+_GROUPED = """ordered AS (SELECT s.*, coalesce(around, []) AS around, row_number() OVER (PARTITION BY s.tenant ORDER BY at_ns, event_id) AS k FROM scored s
+  LEFT JOIN (SELECT tenant, service, list_sort(list(other)) AS around FROM hops WHERE service <> other GROUP BY tenant, service) n ON n.tenant = s.tenant AND n.service = s.service),
+walk AS (SELECT tenant, k, event_id, event_id AS incident, true AS opened, false AS suppressed, MAP {event_id: at_ns} AS updated, MAP {fingerprint: event_id} AS went, [event_id || service] AS own,
+    list_transform(list_prepend(service, around), lambda s: {'s': s, 'id': event_id}) AS places FROM ordered WHERE k = 1
+  UNION ALL SELECT tenant, k, event_id, target, target = event_id, known, map_concat(updated, MAP {target: at_ns}), map_concat(went, MAP {fingerprint: target}), list_append(own, target || service),
+    CASE WHEN list_contains(own, target || service) THEN places ELSE list_concat(places, list_filter(list_transform(list_prepend(service, around), lambda s: {'s': s, 'id': target}), lambda x: NOT list_contains(places, x))) END
+  FROM (SELECT o.*, w.updated, w.went, w.own, w.places, w.went[o.fingerprint] IS NOT NULL AS known,
+    coalesce(w.went[o.fingerprint], list_filter(w.places, lambda p: p.s = o.service AND o.at_ns - w.updated[p.id] <= 300000000000)[1].id, o.event_id) AS target FROM walk w JOIN ordered o ON o.tenant = w.tenant AND o.k = w.k + 1)),
+grouped AS (SELECT s.*, w.incident, w.opened, w.suppressed FROM scored s JOIN walk w ON w.event_id = s.event_id)"""
+_SUMMARIES = """best AS (SELECT tenant, incident, service, max(score) AS score, min(at_ns) AS first_ns, max(at_ns) AS last_ns, count(*) AS n, bool_or(provisional) AS provisional FROM grouped GROUP BY tenant, incident, service),
 incidents AS (SELECT tenant, incident, list_sort(list(service)) AS own, count(*) AS n_services, min(service) FILTER (score = top) AS epicenter, min(first_ns) AS first_ns, max(last_ns) AS last_ns, sum(n)::bigint AS events,
-  CASE WHEN bool_and(provisional) THEN least(0.69, least(1.0, max(top) * (1 + 0.05 * (count(*) - 1)))) ELSE least(1.0, max(top) * (1 + 0.05 * (count(*) - 1))) END AS score FROM (SELECT *, max(score) OVER (PARTITION BY tenant, incident) AS top FROM best) GROUP BY tenant, incident),
-summaries AS (SELECT tenant, incident, epicenter, array_to_string(own, ',') AS services, n_services, first_ns, last_ns, events, score, CASE WHEN score < 0.55 THEN 'unknown' WHEN score <= 0.69 THEN CASE WHEN n_services >= 2 THEN 'medium' ELSE 'low' END WHEN score <= 0.84 THEN 'high' ELSE 'critical' END AS severity,
-  (SELECT string_agg(DISTINCT d.other, ',' ORDER BY d.other) FROM distances d WHERE d.tenant = i.tenant AND d.service = i.epicenter AND list_contains(i.own, d.other)) AS blast_radius FROM incidents i)"""
-GROUP_VIEWS = ("RECURSIVE " + EVENT_VIEWS[0], *EVENT_VIEWS[1:], CALLS_SQL, DISTANCE_SQL, _EVENTS, _GROUPED)
+  CASE WHEN bool_or(provisional) THEN least(0.69, least(1.0, max(top) * (1 + 0.05 * (count(*) - 1)))) ELSE least(1.0, max(top) * (1 + 0.05 * (count(*) - 1))) END AS score FROM (SELECT *, max(score) OVER (PARTITION BY tenant, incident) AS top FROM best) GROUP BY tenant, incident),
+latest AS (SELECT tenant, incident, string_agg(event_id, ',' ORDER BY at_ns DESC, event_id DESC) AS event_ids FROM (SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY tenant, incident ORDER BY at_ns DESC, event_id DESC) <= 200) GROUP BY tenant, incident),
+shown AS (SELECT tenant, incident, string_agg(exemplar, ',' ORDER BY at_ns, event_id) AS exemplars FROM (SELECT * FROM grouped WHERE exemplar IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tenant, incident ORDER BY at_ns, event_id) <= 4) GROUP BY tenant, incident),
+marks AS (SELECT tenant, incident, string_agg(DISTINCT d, ',' ORDER BY d) AS deploys FROM (SELECT tenant, incident, unnest(string_split(deploys, ',')) AS d FROM grouped WHERE deploys IS NOT NULL) GROUP BY tenant, incident),
+summaries AS (SELECT i.tenant, i.incident, epicenter, array_to_string(own, ',') AS services, n_services, first_ns, last_ns, events, score, CASE WHEN score < 0.55 THEN 'unknown' WHEN score <= 0.69 THEN CASE WHEN n_services >= 2 THEN 'medium' ELSE 'low' END WHEN score <= 0.84 THEN 'high' ELSE 'critical' END AS severity,
+  (SELECT string_agg(DISTINCT o, ',' ORDER BY o) FROM (SELECT d.other AS o FROM hops d WHERE d.tenant = i.tenant AND d.service = i.epicenter AND list_contains(i.own, d.other) UNION ALL SELECT i.epicenter)) AS blast_radius, event_ids, exemplars, marks.deploys FROM incidents i
+  LEFT JOIN latest ON latest.tenant = i.tenant AND latest.incident = i.incident LEFT JOIN shown ON shown.tenant = i.tenant AND shown.incident = i.incident LEFT JOIN marks ON marks.tenant = i.tenant AND marks.incident = i.incident)"""
+_FOUND = ("RECURSIVE " + EVENT_VIEWS[0], *EVENT_VIEWS[1:], CALLS_SQL, _NEAR, _EVENTS)
+GROUP_VIEWS = (*_FOUND, _GROUPED, _SUMMARIES)
+
+
+@query("SELECT s.event_id, s.tenant, s.service, s.at_ns, r.incident FROM scored s JOIN (SELECT a, min(b) AS incident FROM reach GROUP BY a) r ON r.a = s.event_id", views=(*_FOUND, _LINKED))
+def link_incidents(spark, sf_dir):
+    """The form without an order: all events that are linked, over any number of others, are one incident."""
+    return incidents.group(scored_events(spark, sf_dir), near(spark, sf_dir)).select("event_id", "tenant", "service", "at_ns", "incident")
 
 
-@query("SELECT event_id, tenant, service, at_ns, incident FROM grouped", views=GROUP_VIEWS)
+@query("SELECT event_id, tenant, service, at_ns, incident, opened, suppressed FROM grouped", views=GROUP_VIEWS)
 def group_incidents(spark, sf_dir):
-    return incidents.group(scored_events(spark, sf_dir), near(spark, sf_dir)).select("event_id", "tenant", "service", "at_ns", "incident")
+    return incidents.assign(scored_events(spark, sf_dir), near(spark, sf_dir), most=None).select("event_id", "tenant", "service", "at_ns", "incident", "opened", "suppressed")
 
 
 def base_incidents(spark, sf_dir):
     around = near(spark, sf_dir)
-    return incidents.summarize(incidents.group(scored_events(spark, sf_dir), around), around)
+    return incidents.summarize(cut(incidents.assign(scored_events(spark, sf_dir), around, most=None)), around)
 
 
-@query("SELECT tenant, incident, epicenter, services, n_services, first_ns, last_ns, events, round(score, 6) AS score, severity, blast_radius FROM summaries", views=GROUP_VIEWS)
+@query("SELECT tenant, incident, epicenter, services, n_services, first_ns, last_ns, events, round(score, 6) AS score, severity, blast_radius, event_ids, exemplars, deploys FROM summaries", views=GROUP_VIEWS)
 def incident_summary(spark, sf_dir):
-    return base_incidents(spark, sf_dir).withColumns({"services": csv("services"), "blast_radius": csv("blast_radius"), "score": F.round("score", 6)})
-
-
-#: Without grouping across services, an incident of one fingerprint: events in a row at most 30 minutes apart.
-_OWN = """runs AS (SELECT *, CASE WHEN at_ns - lag(at_ns) OVER (PARTITION BY tenant, fingerprint ORDER BY at_ns, event_id) <= 1800000000000 THEN 0 ELSE 1 END AS new FROM scored),
-numbered AS (SELECT *, sum(new) OVER (PARTITION BY tenant, fingerprint ORDER BY at_ns, event_id) AS run FROM runs),
-own AS (SELECT tenant, service, fingerprint, min(at_ns) AS incident, max(score) AS score, count(*) AS events FROM numbered GROUP BY tenant, service, fingerprint, run)"""
-
-
-def own_incidents(spark, sf_dir):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("tenant", "fingerprint").orderBy("at_ns", "event_id")
-    rows = scored_events(spark, sf_dir)
-    rows = rows.withColumn("new", F.when(F.col("at_ns") - F.lag("at_ns").over(order) <= 1_800_000_000_000, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    return rows.groupBy("tenant", "service", "fingerprint", "run").agg(F.min("at_ns").alias("incident"), F.max("score").alias("score"), F.count("*").alias("events")).withColumn("n_services", F.lit(1))
+    rows = base_incidents(spark, sf_dir).withColumns({c: csv(c) for c in ("services", "blast_radius", "event_ids", "exemplars", "deploys")})
+    return rows.withColumn("score", F.round("score", 6)).drop("provisional")
 
 
 @query("SELECT tenant, incident, round(score, 6) AS score, n_services, events FROM summaries", views=GROUP_VIEWS)
@@ -79,29 +96,30 @@ def epicenter(spark, sf_dir):
     return base_incidents(spark, sf_dir).select("tenant", "incident", "epicenter", csv("blast_radius").alias("blast_radius"))
 
 
-_CAPPED = "capped AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY tenant ORDER BY score6 DESC, incident, service, fingerprint) > 20 THEN 7 ELSE 1 END AS status FROM (SELECT *, round(score, 6) AS score6 FROM own))"
+_CAPPED = "capped AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY tenant ORDER BY round(score, 6) DESC, incident) > 3 THEN 7 ELSE 1 END AS status FROM summaries)"
+_CAP_VIEWS = (*GROUP_VIEWS, _CAPPED)
 
 
 def _capped(spark, sf_dir):
-    rows = own_incidents(spark, sf_dir).withColumn("score", F.round("score", 6))
-    return incidents.capped(rows.withColumn("incident", F.struct("incident", "service", "fingerprint")), most=20)
+    return incidents.capped(base_incidents(spark, sf_dir).withColumn("score", F.round("score", 6)), most=3)
 
 
-@query("SELECT tenant, status, count(*) AS n FROM capped GROUP BY tenant, status", views=(*EVENT_VIEWS, _EVENTS, _OWN, _CAPPED))
+@query("SELECT tenant, incident, epicenter, status FROM capped", views=_CAP_VIEWS)
 def incident_cap(spark, sf_dir):
-    return _capped(spark, sf_dir).groupBy("tenant", "status").agg(F.count("*").alias("n"))
+    """At most three open incidents of a tenant, seen from the end; ``incidents.assign`` caps them as they come."""
+    return _capped(spark, sf_dir).select("tenant", "incident", "epicenter", "status")
 
 
-@query("SELECT tenant, count(*) AS n FROM capped WHERE status BETWEEN 1 AND 4 GROUP BY tenant", views=(*EVENT_VIEWS, _EVENTS, _OWN, _CAPPED))
+@query("SELECT tenant, incident, epicenter, severity FROM capped WHERE status BETWEEN 1 AND 4", views=_CAP_VIEWS)
 def active_incidents(spark, sf_dir):
-    return incidents.active(_capped(spark, sf_dir)).groupBy("tenant").agg(F.count("*").alias("n"))
+    return incidents.active(_capped(spark, sf_dir)).select("tenant", "incident", "epicenter", "severity")
 
 
-@query("SELECT tenant, CASE WHEN service = 'svc-7' THEN 6 ELSE status END AS status, count(*) AS n FROM capped GROUP BY 1, 2", views=(*EVENT_VIEWS, _EVENTS, _OWN, _CAPPED))
+@query("SELECT tenant, incident, CASE WHEN epicenter = 'svc-7' THEN 6 ELSE status END AS status, CASE WHEN epicenter = 'svc-7' THEN 'known' END AS reason FROM capped", views=_CAP_VIEWS)
 def suppress_incident(spark, sf_dir):
     rows = _capped(spark, sf_dir)
-    reasons = rows.where("service = 'svc-7'").select("incident", F.lit("known").alias("reason")).distinct()
-    return incidents.suppressed(rows, reasons).groupBy("tenant", "status").agg(F.count("*").alias("n"))
+    reasons = rows.where("epicenter = 'svc-7'").select("incident", F.lit("known").alias("reason"))
+    return incidents.suppressed(rows, reasons).select("tenant", "incident", "status", "reason")
 
 
 @query("SELECT s.tenant, s.service, s.signature, d.deploy_id, s.first_ns - d.at_ns AS after_ns, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= 1800000000000", views=(fixtures.SPANS_SQL, SIGNATURES_SQL, fixtures.DEPLOYS_SQL))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from spanlake.operators import incidents
 
 
@@ -38,3 +40,92 @@ def test_group(spark):
     got = {x.event_id: x.incident for x in incidents.group(table, hops, same_ns=300, near_ns=60).collect()}
     assert got == brute(events, near, 300, 60) and len(set(got.values())) > 20
     assert incidents.group(table.limit(0), hops).count() == 0
+
+
+EVENT = "event_id string, tenant string, service string, fingerprint string, at_ns long, score double, provisional boolean"
+MINUTE = 60 * incidents.SECOND
+
+
+def assigned(spark, events, hops=(), **options):
+    """``events`` (service, kind, score, minute) in order, as letters of the incident that each goes to."""
+    rows = [(f"e{k:02}", "t", s, f"{s}-{kind}", int(at * MINUTE), score, False) for k, (s, kind, score, at) in enumerate(events)]
+    near = spark.createDataFrame([("t", a, b) for a, b in hops], "tenant string, service string, other string")
+    closings = options.pop("closed", None)
+    if closings:
+        options["closings"] = spark.createDataFrame([("t", i, int(at * MINUTE)) for i, at in closings], "tenant string, incident string, at_ns long")
+    out = incidents.assign(spark.createDataFrame(rows, EVENT), near, **options).orderBy("at_ns", "event_id").collect()
+    return [r.incident for r in out], [r.suppressed for r in out], [r.expired for r in out], [r.opened for r in out]
+
+
+BOTH = (("A", "B"), ("B", "A"))
+
+
+def test_assign(spark):
+    near = assigned(spark, [("A", 1, 0.8, 0), ("B", 2, 0.7, 1)], BOTH)
+    assert near[0] == ["e00", "e00"] and near[1] == [False, False] and near[3] == [True, False]
+    assert assigned(spark, [("A", 1, 0.8, 0), ("D", 2, 0.7, 1)], BOTH)[0] == ["e00", "e01"]  # out of hops
+    assert assigned(spark, [("A", 1, 0.8, 0), ("B", 2, 0.7, 5)], BOTH)[0] == ["e00", "e00"]
+    assert assigned(spark, [("A", 1, 0.8, 0), ("B", 2, 0.7, 5.1)], BOTH)[0] == ["e00", "e01"]  # out of the window
+    assert assigned(spark, [("A", 1, 0.8, 0), ("A", 1, 0.9, 500)])[:2] == (["e00", "e00"], [False, True])  # an open one keeps its fingerprint
+    closed = [("e00", 0)]
+    assert assigned(spark, [("A", 1, 0.8, 0), ("A", 1, 0.9, 30)], closed=closed)[:2] == (["e00", "e00"], [False, True])
+    assert assigned(spark, [("A", 1, 0.8, 0), ("A", 1, 0.9, 31)], closed=closed)[0] == ["e00", "e01"]
+    assert assigned(spark, [("A", 1, 0.8, 0), ("A", 2, 0.9, 1)], closed=closed)[0] == ["e00", "e01"]  # a closed one takes no other fingerprint
+    assert assigned(spark, [("A", 1, 0.56, 0), ("B", 1, 0.7, 0), ("C", 1, 0.9, 0)], most=2)[2] == [None, None, "e00"]
+    assert assigned(spark, [("B", 1, 0.56, 0), ("A", 1, 0.56, 0), ("C", 1, 0.4, 0)], most=2)[2] == [None, None, "e02"]
+    # a chain A - B - C - D of one hop: B's event links what comes after it, not A's incident to D
+    chain = [(x, y) for a, b in ("AB", "BC", "CD") for x, y in ((a, b), (b, a))]
+    assert assigned(spark, [("A", 1, 0.8, 0), ("D", 1, 0.8, 1), ("B", 1, 0.8, 2), ("C", 1, 0.8, 3)], chain)[0] == ["e00", "e01", "e00", "e01"]
+    star = [(x, y) for s in "123" for x, y in (("H", s), (s, "H"))]
+    assert len(set(assigned(spark, [("H", 1, 0.8, 0), ("1", 1, 0.7, 1), ("2", 1, 0.7, 2), ("3", 1, 0.7, 3)], star)[0])) == 1
+    assert assigned(spark, [])[0] == []
+
+
+def replayed(events, near, window, dedupe, most):
+    """The same, an incident a time, with plain lists."""
+    found, went, out = [], {}, {}
+    for e, tenant, service, fp, at, score, prov in sorted(events, key=lambda e: (e[4], e[0])):
+        hit = went.get((tenant, fp))
+        if not (hit and (hit["closed"] is None or at - hit["closed"] <= dedupe)):
+            reach = [(i["places"].index(service), k) for k, i in enumerate(found) if i["tenant"] == tenant and i["closed"] is None and service in i["places"] and at - i["at"] <= window]
+            hit = min((found[k] for _, k in reach), key=lambda i: i["since"][service]) if reach else None
+            if hit is None:
+                hit = {"id": e, "tenant": tenant, "closed": None, "places": [], "since": {}, "best": {}, "prov": False}
+                found.append(hit)
+                fresh = True
+            else:
+                fresh = False
+            went[tenant, fp] = hit
+        else:
+            fresh = False
+        if service not in hit["best"] and hit["closed"] is None:
+            for s in [service, *sorted(b for t, a, b in near if (t, a) == (tenant, service))]:
+                if s not in hit["places"]:
+                    hit["places"].append(s)
+                    hit["since"][s] = len(out), len(hit["places"])
+        hit["best"][service] = max(score, hit["best"].get(service, 0))
+        hit["prov"] |= prov
+        hit["at"] = at
+        out[e] = hit["id"]
+        still = [i for i in found if i["tenant"] == tenant and i["closed"] is None]
+        if fresh and most and len(still) > most:
+            value = lambda i: (lambda raw: min(raw, 0.69) if i["prov"] else raw)(min(1.0, max(i["best"].values()) * (1 + 0.05 * (len(i["best"]) - 1))))
+            min(still, key=value)["closed"] = at
+    return out
+
+
+def test_assign_many(spark):
+    r = random.Random(11)
+    events = [(f"e{k:03}", f"t{r.randrange(2)}", s := f"s{r.randrange(9)}", f"{s}-{r.randrange(3)}", r.randrange(0, 90_000), round(r.random(), 3), r.random() < 0.1) for k in range(400)]
+    near = {(f"t{t}", x, y) for t in range(2) for a, b in (("s0", "s1"), ("s1", "s2"), ("s3", "s4"), ("s5", "s6")) for x, y in ((a, b), (b, a))}
+    table = spark.createDataFrame(events, EVENT)
+    hops = spark.createDataFrame(sorted(near), "tenant string, service string, other string")
+    for most in (None, 4):
+        got = {x.event_id: x.incident for x in incidents.assign(table, hops, window_ns=300, dedupe_ns=2000, most=most).collect()}
+        assert got == replayed(events, near, 300, 2000, most) and len(set(got.values())) > 20
+        if most is None:
+            apart = table.join(incidents.areas(hops), ["tenant", "service"], "left").fillna({"area": ""}).withColumn("area", F.when(F.col("area") == "", F.col("service")).otherwise(F.col("area")))
+            again = incidents.assign(apart, hops, window_ns=300, dedupe_ns=2000, most=None, by=("tenant", "area"))
+            assert {x.event_id: x.incident for x in again.collect()} == got
+    table = incidents.summarize(incidents.assign(table, hops, window_ns=300, dedupe_ns=2000), hops, latest=2).collect()
+    assert all(x.score <= 0.69 for x in table if x.provisional) and all(len(x.event_ids) == min(2, x.events) for x in table)
