@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.fold import fold
+
 SECOND = 1_000_000_000
 #: Reasons (fixed values).
 ERROR, SLOW, RARE, INTEREST, FLOOR, PROBABILISTIC, DROPPED, SHED, TRUNCATED = 1, 2, 3, 4, 5, 6, 7, 8, 9
@@ -120,6 +124,48 @@ def shed(decisions: DataFrame, *, share: float = 0.25) -> DataFrame:
     return rows.withColumn("_over", over).withColumn("keep", F.col("keep") & ~F.col("_over")).withColumn("reason", F.when(F.col("_over"), SHED).otherwise(F.col("reason"))).drop("_minute", "_rank", "_over")
 
 
+#: Classes in the order in which they are shed (fixed values); others are never shed.
+SHED_ORDER = (PROBABILISTIC, FLOOR, INTEREST, RARE, SLOW)
+
+
+def _governor(share: float, window_ns: int):
+    """A function that takes a tenant's decisions in order; it holds those of the last ``window_ns``, and their counts."""
+    recent: deque = deque()
+    standing = dict.fromkeys((-1, *range(len(SHED_ORDER))), 0)  # kept decisions by their place in the order
+
+    def step(at, keep, reason, protected) -> tuple:
+        while recent and recent[0][0] < at - window_ns:
+            place = recent.popleft()[1]
+            if place is not None:
+                standing[place] -= 1
+        place = SHED_ORDER.index(reason) if reason in SHED_ORDER and not protected else -1
+        over = bool(recent) and sum(standing.values()) / len(recent) > share
+        gone = bool(keep and place >= 0 and over and not any(standing[p] for p in range(place)))
+        stays = keep and not gone
+        # A protected decision of a class that may be shed stands for its class all the same.
+        stands = SHED_ORDER.index(reason) if reason in SHED_ORDER else -1
+        recent.append((at, stands if stays else None))
+        if stays:
+            standing[stands] += 1
+        return stays, SHED if gone else reason
+
+    return step
+
+
+def govern(decisions: DataFrame, *, share: float = 0.25, window_ns: int = 60 * SECOND, protected: Column | None = None) -> DataFrame:
+    """``decisions`` in order of (start_ns, trace_id) with ``keep`` and ``reason`` after the rolling cap.
+
+    If over ``share`` of a tenant's decisions in the ``window_ns`` before one (of its time too, if they come first) were kept,
+    it is shed, unless it is an error, truncated or ``protected`` (matches of an investigation), or a class that goes
+    before its own still has a kept decision in that time. What is shed counts as dropped from then on.
+
+    A tenant is read in order by one task; its state are the decisions of the window. ``shed`` is the form without an order.
+    """
+    rows = decisions.withColumn("_protected", F.coalesce(protected if protected is not None else F.lit(False), F.lit(False)))
+    out = fold(rows, by=["tenant"], order=["start_ns", "trace_id"], reads=["start_ns", "keep", "reason", "_protected"], start=lambda: _governor(share, window_ns), adds="_keep boolean, _reason int")
+    return out.withColumn("keep", F.col("_keep")).withColumn("reason", F.col("_reason")).drop("_keep", "_reason", "_protected")
+
+
 def tier(reason: str = "reason") -> Column:
     """1 for what is kept as an error, slow, rare or of interest, else 2."""
     return F.when(F.col(reason).isin(ERROR, SLOW, RARE, INTEREST), 1).otherwise(2)
@@ -137,6 +183,19 @@ def keep_rates(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("tenant", "reason").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
 
 
+def rolling_rates(decisions: DataFrame, *, window_ns: int = 60 * SECOND, tick_ns: int = 10 * SECOND) -> DataFrame:
+    """At each tick, by tenant and reason: the decisions of the ``window_ns`` before it and their share of the tenant's.
+
+    Decisions are counted by tick first and handed to the ticks whose windows hold them, so that no tenant is read in order.
+    """
+    tick = F.col("start_ns") - F.pmod("start_ns", F.lit(tick_ns)) + tick_ns
+    counts = decisions.groupBy("tenant", "reason", tick.alias("first")).agg(F.count("*").alias("n"))
+    ticks = F.transform(F.sequence(F.lit(0), F.lit(window_ns // tick_ns - 1)), lambda i: F.col("first") + i * tick_ns)
+    rows = counts.withColumn("tick_ns", F.explode(ticks)).groupBy("tenant", "tick_ns", "reason").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("tenant", "tick_ns"))
+    return rows.withColumn("share", F.col("n") / total)
+
+
 def cost_signal(bytes_used: DataFrame, *, budget: float, floor: float = 0.01, band: float = 0.15, least: float = 0.0001) -> DataFrame:
     """By tenant: used over budget, the next sampling floor (halved above the band, raised by half below it, within
     [least, 1]), and the watermark."""

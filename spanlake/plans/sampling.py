@@ -102,6 +102,30 @@ def shed(spark, sf_dir):
     return sampling.shed(decisions(spark, sf_dir)).select("tenant", "trace_id", "reason", "keep")
 
 
+#: The decisions of the last minute as a list; r is the place in the order of shedding, -1 for what is never shed.
+_GOVERNED = """placed AS (SELECT tenant, trace_id, start_ns, keep, reason, CASE reason WHEN 6 THEN 0 WHEN 5 THEN 1 WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 2 THEN 4 ELSE -1 END AS r,
+  row_number() OVER (PARTITION BY tenant ORDER BY start_ns, trace_id) AS k FROM decisions),
+governed AS (SELECT tenant, trace_id, k, keep, reason, [{'t': start_ns, 'keep': keep, 'r': r}] AS past FROM placed WHERE k = 1
+  UNION ALL SELECT tenant, trace_id, k, keep AND NOT gone, CASE WHEN gone THEN 8 ELSE reason END, list_append(seen, {'t': start_ns, 'keep': keep AND NOT gone, 'r': r}) FROM (
+    SELECT *, keep AND r >= 0 AND len(seen) > 0 AND len(list_filter(seen, lambda x: x.keep)) > 0.25 * len(seen) AND len(list_filter(seen, lambda x: x.keep AND x.r >= 0 AND x.r < r)) = 0 AS gone FROM (
+      SELECT p.*, list_filter(g.past, lambda x: x.t >= p.start_ns - 60000000000) AS seen FROM governed g JOIN placed p ON p.tenant = g.tenant AND p.k = g.k + 1)))"""
+
+
+@query("SELECT tenant, trace_id, keep, reason FROM governed", views=("RECURSIVE " + VIEWS[0], *VIEWS[1:], _GOVERNED))
+def govern(spark, sf_dir):
+    return sampling.govern(decisions(spark, sf_dir)).select("tenant", "trace_id", "keep", "reason")
+
+
+@query(
+    f"""ticks AS (SELECT tenant, reason, start_ns - start_ns % {10 * S} + {10 * S} * i AS tick_ns FROM decisions, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i)),
+rolled AS (SELECT tenant, tick_ns, reason, count(*) AS n FROM ticks GROUP BY tenant, tick_ns, reason)
+SELECT tenant, tick_ns, reason, n, round(n / sum(n) OVER (PARTITION BY tenant, tick_ns), 9) AS share FROM rolled""",
+    views=VIEWS,
+)
+def keep_rate_rolling(spark, sf_dir):
+    return sampling.rolling_rates(decisions(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
 @query("SELECT s.tenant, s.trace_id, s.span_id, d.reason, CASE WHEN d.reason <= 4 THEN 1 ELSE 2 END AS tier FROM spans s JOIN decisions d ON d.tenant = s.tenant AND d.trace_id = s.trace_id WHERE d.keep", views=VIEWS)
 def apply_decisions(spark, sf_dir):
     return sampling.apply(base_spans(spark, sf_dir), decisions(spark, sf_dir)).select("tenant", "trace_id", "span_id", "reason", "tier")
