@@ -71,15 +71,29 @@ def silent(groups: DataFrame, baselines: DataFrame) -> DataFrame:
     return groups.unionByName(none.select(*KEY, "tick_ns", zero.alias("calls"), zero.alias("errors"), F.lit(None).cast("bigint").alias("p95_ns"), F.lit(None).cast("bigint").alias("p99_ns")))
 
 
-def debounced(verdicts: DataFrame, *, ticks: int = 2) -> DataFrame:
-    """Verdicts that fire: every ``ticks``-th breach in a row of a key; a tick without a breach starts anew."""
+def debounced(verdicts: DataFrame, *, ticks: int = 2, runs: DataFrame | None = None) -> DataFrame:
+    """Verdicts that fire: every ``ticks``-th breach in a row of a key; a tick without a breach starts anew. ``runs`` (key, kind, run)
+    are the breaches in a row just before the first tick, of verdicts that go on from others."""
     order = Window.partitionBy(*KEY, "kind").orderBy("tick_ns")
     island = F.sum((~F.col("breach")).cast("int")).over(order)
     rank = F.row_number().over(Window.partitionBy(*KEY, "kind", "island", "breach").orderBy("tick_ns"))
     rows = verdicts.withColumn("island", island).withColumn("rank", rank)
+    if runs is not None:
+        rows = rows.join(runs, [*KEY, "kind"], "left").withColumn("rank", F.col("rank") + F.when(F.col("island") == 0, F.coalesce("run", F.lit(0))).otherwise(0)).drop("run")
     return rows.where(F.col("breach") & (F.col("rank") % ticks == 0)).drop("island", "rank", "breach")
 
 
+def runs(verdicts: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(key, kind, run): the breaches in a row up to the last tick of each key, going on from ``before``."""
+    last = F.max(F.when(~F.col("breach"), F.col("tick_ns")))
+    now = verdicts.withColumn("calm", last.over(Window.partitionBy(*KEY, "kind"))).groupBy(*KEY, "kind").agg(F.count_if(F.col("calm").isNull() | (F.col("tick_ns") > F.col("calm"))).alias("run"), F.first("calm").alias("calm"))
+    if before is None:
+        return now.drop("calm")
+    both = now.join(before.withColumnRenamed("run", "old"), [*KEY, "kind"], "full")
+    on = F.when(F.col("calm").isNull(), F.coalesce("old", F.lit(0))).otherwise(0)
+    return both.select(*KEY, "kind", (F.coalesce("run", F.lit(0)) + on).alias("run"))
+
+
 def error_signatures(spans: DataFrame, *, time_col: str = "received_ns") -> DataFrame:
     """Signatures of failed spans: a hash of service, operation and kind of error, with digits masked; first and last sighting."""
     kind = F.coalesce(F.try_element_at("attrs", F.lit("exception.type")), F.try_element_at("attrs", F.lit("error.type")), F.lit(""))

@@ -126,17 +126,78 @@ def merged(spark: SparkSession, folder: str, before: int | None = None) -> DataF
     return spark.read.parquet(f"{folder}/version={numbers[-1]:020}") if numbers else None
 
 
-def detect(baselines: DataFrame, folder: str, *detectors):
-    """A function for ``foreachBatch`` over closed RED buckets: windows with their baselines, asked of all ``detectors``;
-    breaches are written to ``folder``, one part for each batch, which a repetition replaces."""
+def windows(buckets: DataFrame, window: str = "90 seconds", tick: str = "30 seconds") -> DataFrame:
+    """``anomaly.window_groups`` of a stream of closed RED buckets (``timed`` by bucket_ns): Spark keeps the open windows from batch to batch and
+    sends each once, when the watermark has passed its tick."""
+    last = F.max_by(F.struct("p95_ns", "p99_ns"), "bucket_ns")
+    rows = buckets.groupBy(F.window("at", window, tick).alias("w"), *anomaly.KEY).agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), last.alias("last"))
+    return rows.select(*anomaly.KEY, (F.unix_micros("w.end") * 1000).alias("tick_ns"), "calls", "errors", "last.p95_ns", "last.p99_ns")
+
+
+def detect(baselines: DataFrame, folder: str, *detectors, ticks: int = 2):
+    """A function for ``foreachBatch`` over ``windows``: asks all ``detectors`` of them against a table of baselines and writes what fires to
+    ``folder``/events. What fires doesn't depend on how the stream is cut into batches.
+
+    Windows come in order of their ticks, but breaches in a row go on from batch to batch: their number by key and kind is
+    a table beside the events, a version for each batch, made from the one before. A batch that is repeated after a failure replaces its own parts.
+    """
 
     def sink(batch: DataFrame, number: int) -> None:
-        groups = baseline.lookup(anomaly.window_groups(batch), baselines, at="tick_ns")
-        anomaly.verdicts(groups, *detectors).where("breach").write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        asked = anomaly.verdicts(baseline.lookup(batch, baselines, at="tick_ns"), *detectors).persist()
+        runs = merged(batch.sparkSession, f"{folder}/runs", before=number)
+        anomaly.debounced(asked, ticks=ticks, runs=runs).write.mode("overwrite").parquet(f"{folder}/events/batch={number:020}")
+        anomaly.runs(asked, runs).write.mode("overwrite").parquet(f"{folder}/runs/version={number:020}")
+        asked.unpersist()
 
     return sink
 
 
+def baselines(buckets: DataFrame, *, alpha: float = 0.2, window: int = 200, width_s: int = 10) -> DataFrame:
+    """``baseline.build`` of a stream of RED buckets: rows of the keys and slots that a batch has changed (mode ``update``), n telling
+    which is the latest.
+
+    The state of a slot are the ``window`` latest buckets, whatever the order in which they came, and how often each bucket
+    quantile occurred; these are read off histograms, so there are at most 17 values of each.
+    """
+    quantiles = ("p50_ns", "p95_ns", "p99_ns")
+    out = "tenant string, service string, name string, slot int, p50_ns double, p95_ns double, p99_ns double, error_rate double, rps double, n long, first_ns long"
+
+    def median(counts: dict) -> float:
+        total, values, upto = sum(counts.values()), sorted((int(v), c) for v, c in counts.items()), 0
+        ends = []
+        for place in ((total - 1) // 2, total // 2):
+            upto = 0
+            for value, c in values:
+                upto += c
+                if upto > place:
+                    ends.append(value)
+                    break
+        return sum(ends) / 2
+
+    def step(key, batches, state):
+        import json
+
+        import pandas as pd
+
+        old = json.loads(state.get[0]) if state.exists else {"n": 0, "first": None, "recent": [], **{q: {} for q in quantiles}}
+        for b in batches:
+            old["n"] += len(b)
+            old["first"] = min(x for x in (old["first"], int(b["bucket_ns"].min())) if x is not None)
+            both = old["recent"] + [list(map(int, r)) for r in b[["bucket_ns", "calls", "errors"]].itertuples(index=False)]
+            old["recent"] = sorted(both, reverse=True)[:window]
+            for q in quantiles:
+                for value, c in b[q].value_counts().items():
+                    old[q][str(int(value))] = old[q].get(str(int(value)), 0) + int(c)
+        state.update((json.dumps(old),))
+        weights = [alpha * (1 - alpha) ** k for k in range(len(old["recent"]))]
+        errors = sum(w * e / c for w, (_, c, e) in zip(weights, old["recent"]))
+        rps = sum(w * c / width_s for w, (_, c, _) in zip(weights, old["recent"]))
+        yield pd.DataFrame([(*key, *(median(old[q]) for q in quantiles), errors, rps, old["n"], old["first"])], columns=[c.split()[0] for c in out.split(", ")])
+
+    rows = buckets.select(*anomaly.KEY, "bucket_ns", "calls", "errors", *quantiles, F.explode(baseline.slots()).alias("slot"))
+    return rows.groupBy(*anomaly.KEY, "slot").applyInPandasWithState(step, out, "seen string", "update", "NoTimeout")
+
+
 def late_rows(progress: list) -> int:
     """Rows that came behind the watermark and were dropped, over the progress reports of a query."""
     return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])

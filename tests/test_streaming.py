@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanlake.operators import red, spans
+from spanlake.operators import anomaly, baseline, red, spans
 from spanlake.plans import fixtures
 from spanlake.sources import files, payloads
 from spanlake.streaming import spans as streaming
@@ -106,10 +107,9 @@ def test_edge_changes(spark, tmp_path):
     assert got == [("a", "new_edge", 0), ("a", "new_edge", 300), ("a", "new_edge", 900), ("a", "vanished_edge", 8), ("a", "vanished_edge", 301), ("a", "vanished_edge", 900), ("b", "new_edge", 2), ("b", "vanished_edge", 2)]
 
 
-def test_merge_and_detect(spark, tmp_path):
-    """Rollups merged batch by batch are those of all spans; each batch's breaches are those of the batch operator."""
+def test_merge(spark, tmp_path):
+    """Rollups merged batch by batch are those of all spans."""
     from spanlake.functions import latency
-    from spanlake.operators import anomaly, baseline
 
     every = red.rollup(spans.features(_own_spans(spark))).drop("exemplars")
     every.repartition(3).write.parquet(f"{tmp_path}/in")
@@ -120,13 +120,55 @@ def test_merge_and_detect(spark, tmp_path):
     want = every.groupBy("tenant", "service", "name").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), latency.merged("hist").alias("hist"), F.min("bucket_ns").alias("bucket_ns"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
 
-    timed = every.withColumn("q", latency.quantiles(F.col("hist"))).select("tenant", "service", "name", "bucket_ns", "calls", "errors", *(F.col(f"q.{p}").alias(f"{p}_ns") for p in ("p50", "p95", "p99")))
-    timed.coalesce(1).write.parquet(f"{tmp_path}/red")
-    base = baseline.build(timed).withColumns({"n": F.lit(500), "rps": F.lit(99.0)})
-    stream = spark.readStream.schema(timed.schema).parquet(f"{tmp_path}/red")
-    stream.writeStream.foreachBatch(streaming.detect(base, f"{tmp_path}/events", anomaly.throughput_drop())).option("checkpointLocation", f"{tmp_path}/b").trigger(availableNow=True).start().awaitTermination()
-    want = anomaly.verdicts(baseline.lookup(anomaly.window_groups(timed), base, at="tick_ns"), anomaly.throughput_drop()).where("breach")
-    assert spark.read.parquet(f"{tmp_path}/events").count() == want.count() > 0
+
+def _red(spark):
+    from spanlake.functions import latency
+
+    every = red.rollup(spans.features(_own_spans(spark))).withColumn("q", latency.quantiles(F.col("hist")))
+    return every.select("tenant", "service", "name", "bucket_ns", "calls", "errors", *(F.col(f"q.{p}").alias(f"{p}_ns") for p in ("p50", "p95", "p99"))).cache()
+
+
+def _split(spark, rows, path, cuts, by_time):
+    """``rows`` in ``cuts`` files, read one a batch: in order of time, or dealt out; then one far ahead, which closes all windows."""
+    part = F.ntile(cuts).over(Window.orderBy("bucket_ns")) if by_time else F.pmod(F.xxhash64("tenant", "service", "bucket_ns"), F.lit(cuts)) + 1
+    cut = rows.withColumn("_p", part).cache()
+    for k in range(1, cuts + 1):
+        cut.where(F.col("_p") == k).drop("_p").coalesce(1).write.mode("append").parquet(path)
+    rows.limit(1).withColumns({"bucket_ns": F.col("bucket_ns") + 10**14, "tenant": F.lit("end")}).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return streaming.timed(stream, "bucket_ns", delay="0 seconds" if by_time else "2 hours")
+
+
+def test_detect(spark, tmp_path):
+    """What fires doesn't depend on the batches: three and seven files in order, five files that mix all times."""
+    rows = _red(spark)
+    base = baseline.build(rows).withColumns({"n": F.lit(500), "rps": F.lit(0.25), "p95_ns": F.lit(2e8)}).cache()
+    asked = anomaly.throughput_drop(), anomaly.latency_shift(min_calls=1), anomaly.error_burst(min_calls=1)
+    want = anomaly.debounced(anomaly.verdicts(baseline.lookup(anomaly.window_groups(rows), base, at="tick_ns"), *asked))
+    plain = lambda df: sorted(map(str, df.select("tenant", "service", "name", "kind", "tick_ns", "state", F.round("score", 9)).collect()))
+    want = plain(want)
+    assert len(want) > 20 and len({w.split("kind=")[1].split(",")[0] for w in want}) == 3
+    for k, (cuts, by_time) in enumerate(((3, True), (7, True), (5, False))):
+        stream = streaming.windows(_split(spark, rows, f"{tmp_path}/in{k}", cuts, by_time))
+        sink = streaming.detect(base, f"{tmp_path}/out{k}", *asked)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/state{k}").trigger(availableNow=True).start().awaitTermination()
+        assert plain(spark.read.parquet(f"{tmp_path}/out{k}/events").where("tenant <> 'end'")) == want
+
+
+def test_baselines(spark, tmp_path):
+    """Learnt bucket by bucket, in any order, a baseline is that of the whole table."""
+    rows = _red(spark)
+    columns = ["tenant", "service", "name", "slot", "p50_ns", "p95_ns", "p99_ns", F.round("error_rate", 9).alias("error_rate"), F.round("rps", 9).alias("rps"), "n", "first_ns"]
+    for window in (200, 5):
+        want = sorted(map(str, baseline.build(rows, window=window).select(*columns).collect()))
+        for k, by_time in enumerate((True, False)):
+            path = f"{tmp_path}/{window}-{k}"
+            stream = streaming.baselines(_split(spark, rows, f"{path}/in", 4, by_time), window=window)
+            sink = lambda batch, number, path=path: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+            stream.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+            out = spark.read.parquet(f"{path}/out").where("tenant <> 'end'")
+            latest = out.groupBy("tenant", "service", "name", "slot").agg(F.max_by(F.struct(*(c for c in out.columns if c.endswith("_ns") or c in ("error_rate", "rps", "n"))), "n").alias("v")).select("tenant", "service", "name", "slot", "v.*")
+            assert sorted(map(str, latest.select(*columns).collect())) == want
 
 
 def test_late_rows(spark, tmp_path):
