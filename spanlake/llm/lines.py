@@ -419,12 +419,30 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a number ``name`` for each different pair of id and text, in the order of ids; null where the id is."""
+    keyed = docs.select("*", F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias(fresh(docs, "mark")))
+    mark = keyed.columns[-1]
+    pairs = keyed.where(F.col(id_col).isNotNull()).select(id_col, mark).distinct().orderBy(id_col, mark)
+    return keyed.join(stored(pairs.withColumn(name, F.monotonically_increasing_id()), "numbers"), [id_col, mark], "left").select(*docs.columns, name)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """``docs`` and columns _lines, _exact, _near (lines with words; those that went for an equal one, for a near one); the
     text is what is left of it, lines in order. A text that loses no line, null included, stays as it is.
 
-    Columns of ``docs`` with those three names are replaced; all others stay, whatever their names.
+    Columns of ``docs`` with those three names are replaced; all others stay, whatever their names. Rows that share an id keep
+    their own lines: where ids occur twice, each pair of id and text is a document of its own, in the order of ids.
+    Only rows that share both can't be told apart; they lose the same lines. Rows without an id lose none.
     """
+    if not docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        number = fresh(docs, "number")
+        out = _dedup(_numbered(docs, id_col, text_col, number), number, text_col, min_words, grow)
+        return out.select(*(c for c in docs.columns if c not in ("_lines", "_exact", "_near")), "_lines", "_exact", "_near")
+    return _dedup(docs, id_col, text_col, min_words, grow)
+
+
+def _dedup(docs: DataFrame, id_col: str, text_col: str, min_words: int, grow: bool) -> DataFrame:
     gone, near_ = fresh(docs, "gone"), fresh(docs, "near")
     lost = dropped_lines(docs, id_col, text_col, min_words, grow)
     by_doc = lost.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_list("line")).alias(gone), F.count_if("near").cast("int").alias(near_))
