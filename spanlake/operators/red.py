@@ -14,8 +14,9 @@ def floor_to(column: str, width_ns: int) -> Column:
     return (F.col(column) - F.pmod(F.col(column), F.lit(width_ns))).cast("bigint")
 
 
-def rollup(spans: DataFrame, *, width_ns: int = 10 * SECOND, time_col: str = "received_ns", exemplars: int = 4) -> DataFrame:
-    """Calls, errors, summed duration, histogram and exemplar trace ids by tenant, service, operation and bucket.
+def rollup(spans: DataFrame, *, width_ns: int = 10 * SECOND, time_col: str = "received_ns", exemplars: int = 4, sketch: int | None = None) -> DataFrame:
+    """Calls, errors, summed duration, histogram and exemplar trace ids by tenant, service, operation and bucket; with ``sketch``, the
+    size of it, a KLL sketch of the durations too (``SKETCH`` keeps the error of a rank under 1 %), which can be stored and merged.
 
     The exemplars are the lowest trace ids of each of ``exemplars`` classes (the last character's code, modulo their number), so that all
     columns are combined before the one shuffle: a busy bucket arrives as a row from each task.
@@ -24,14 +25,30 @@ def rollup(spans: DataFrame, *, width_ns: int = 10 * SECOND, time_col: str = "re
     keyed = spans.select("tenant", "service", "name", floor_to(time_col, width_ns).alias("bucket_ns"), "trace_id", "is_error", "duration_ns")
     kind = F.ascii(F.right("trace_id", F.lit(1))) % exemplars
     least = [F.min(F.when(kind == i, F.col("trace_id"))) for i in range(exemplars)]
-    return keyed.groupBy(*key).agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.sum("duration_ns").alias("duration_sum_ns"), latency.hist(F.col("duration_ns")).alias("hist"), F.array_sort(F.array_compact(F.array(*least))).alias("exemplars"))
+    sketches = [F.call_function("kll_sketch_agg_bigint", F.col("duration_ns"), F.lit(sketch)).alias("sketch")] if sketch else []
+    return keyed.groupBy(*key).agg(F.count("*").alias("calls"), F.count_if("is_error").alias("errors"), F.sum("duration_ns").alias("duration_sum_ns"), latency.hist(F.col("duration_ns")).alias("hist"), F.array_sort(F.array_compact(F.array(*least))).alias("exemplars"), *sketches)
+
+
+#: Size of a sketch of durations. One of up to so many durations holds them all.
+SKETCH = 512
+
+
+def _merged(red: DataFrame) -> list[Column]:
+    return [F.call_function("kll_merge_agg_bigint", F.col("sketch")).alias("sketch")] if "sketch" in red.columns else []
 
 
 def cascade(red: DataFrame, *, width_ns: int, before_ns: int | None = None) -> DataFrame:
-    """Buckets older than ``before_ns``, added up at a coarser width, histograms included."""
+    """Buckets older than ``before_ns``, added up at a coarser width, histograms and sketches included."""
     rows = red.where(F.col("bucket_ns") < before_ns) if before_ns is not None else red
     rows = rows.withColumn("bucket_ns", floor_to("bucket_ns", width_ns))
-    return rows.groupBy("tenant", "service", "name", "bucket_ns").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum("duration_sum_ns").alias("duration_sum_ns"), latency.merged("hist").alias("hist"))
+    return rows.groupBy("tenant", "service", "name", "bucket_ns").agg(F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum("duration_sum_ns").alias("duration_sum_ns"), latency.merged("hist").alias("hist"), *_merged(red))
+
+
+def sketched_quantiles(red: DataFrame, *, by: list[str], ps: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(by, p50_ns ...): quantiles of durations over all buckets of a group, from the stored sketches; spans aren't read again.
+    A value is that of rank ceil(p n), exactly up to ``SKETCH`` durations, within 1 % of the ranks beyond."""
+    found = red.groupBy(*by).agg(*_merged(red)).withColumn("q", F.call_function("kll_sketch_get_quantile_bigint", F.col("sketch"), F.array(*(F.lit(p) for p in ps))))
+    return found.select(*by, *(F.get("q", F.lit(i)).alias(f"p{round(p * 100)}_ns") for i, p in enumerate(ps)))
 
 
 def resolution(span_ns: int) -> str:

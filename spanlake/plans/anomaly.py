@@ -42,7 +42,7 @@ _VERDICT_SQL = f"""verdicts AS (
   UNION ALL SELECT tenant, service, name, tick_ns, state, exemplar, 'throughput_drop', coalesce(state <> 'cold' AND br >= 0.1 AND calls / 90.0 <= 0.5 * br, false), {_one('1 - calls / 90.0 / br')} FROM based),
 islands AS (SELECT *, sum(CASE WHEN breach THEN 0 ELSE 1 END) OVER (PARTITION BY tenant, service, name, kind ORDER BY tick_ns) AS island FROM verdicts),
 fired AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, service, name, kind, island, breach ORDER BY tick_ns) AS rn FROM islands) WHERE breach AND rn % 2 = 0),
-near AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, string_agg(DISTINCT d.deploy_id, ',' ORDER BY d.deploy_id) AS deploys FROM fired f JOIN deploys d ON d.tenant = f.tenant AND d.service = f.service AND abs(f.tick_ns - 90000000000 - d.at_ns) <= 1800000000000
+near AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, string_agg(DISTINCT d.deploy_id, ',' ORDER BY d.deploy_id) AS deploys FROM fired f JOIN deploys d ON d.tenant = f.tenant AND d.service = f.service AND abs(f.tick_ns - 90000000000 - d.at_ns) <= {fixtures.DEPLOY_NS}
   WHERE f.kind <> 'throughput_drop' GROUP BY f.tenant, f.service, f.name, f.kind, f.tick_ns),
 events AS (SELECT f.tenant, f.service, f.name, f.kind, f.tick_ns, f.state, f.exemplar, n.deploys, CASE WHEN n.deploys IS NOT NULL THEN least(1.0, f.score + 0.1) ELSE f.score END AS score FROM fired f
   LEFT JOIN near n ON n.tenant = f.tenant AND n.service = f.service AND n.name = f.name AND n.kind = f.kind AND n.tick_ns = f.tick_ns)"""
@@ -76,7 +76,7 @@ def fired(spark, sf_dir):
 
 
 def base_events(spark, sf_dir):
-    return anomaly.enriched(fired(spark, sf_dir), fixtures.deploys(spark, sf_dir))
+    return anomaly.enriched(fired(spark, sf_dir), fixtures.deploys(spark, sf_dir), within_ns=fixtures.DEPLOY_NS)
 
 
 _ROUND = "round(error_rate, 6) AS error_rate, round(rps, 6) AS rps"
@@ -102,15 +102,15 @@ def digest_quantile(spark, sf_dir):
     return baseline.digest_quantile(faulted_red(spark, sf_dir), by=["tenant", "service"], value="p95_ns", q=0.95)
 
 
-@query("SELECT tenant, service, name, true AS p50, true AS p95, true AS p99 FROM spans GROUP BY tenant, service, name")
+@query(
+    "SELECT tenant, service, name, received_ns - received_ns % 300000000000 AS bucket_ns, quantile_disc(duration_ns, 0.5) AS p50_ns, quantile_disc(duration_ns, 0.95) AS p95_ns, quantile_disc(duration_ns, 0.99) AS p99_ns FROM faulted GROUP BY tenant, service, name, received_ns - received_ns % 300000000000",
+    views=FAULT_VIEWS,
+)
 def p2_quantile(spark, sf_dir):
-    """Whether each estimate is at its place among the rows, or 0.5 % of them away from it at most."""
-    rows = faulted_spans(spark, sf_dir)
-    by = ["tenant", "service", "name"]
-    found = baseline.approximate_quantiles(rows, by=by, value="duration_ns")
-    share = lambda c: F.avg(c.cast("int"))
-    holds = {n: (share(F.col("duration_ns") <= F.col(n)) >= p - 0.005) & (share(F.col("duration_ns") < F.col(n)) <= p + 0.005) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
-    return rows.join(found, by).groupBy(*by).agg(*(c.alias(n) for n, c in holds.items()))
+    """Of five minutes, from sketches of ten seconds each; a group here has fewer spans than a sketch holds."""
+    stored = red.rollup(faulted_spans(spark, sf_dir), sketch=red.SKETCH)
+    five = red.cascade(stored, width_ns=300 * S)
+    return red.sketched_quantiles(five, by=["tenant", "service", "name", "bucket_ns"])
 
 
 @query("SELECT tenant, service, name FROM (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY round(rps, 9) DESC, first_ns DESC, service, name) AS r FROM baselines WHERE slot = -1) WHERE r <= 5", views=BASE_VIEWS)
@@ -208,9 +208,9 @@ def topology_change(spark, sf_dir):
 _PAIRS = "SELECT s.tenant, s.service, s.signature, d.deploy_id FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE "
 
 
-@query(_PAIRS + "abs(s.first_ns - d.at_ns) <= 1800000000000", views=(fixtures.SPANS_SQL, SIGNATURES_SQL, fixtures.DEPLOYS_SQL))
+@query(_PAIRS + f"abs(s.first_ns - d.at_ns) <= {fixtures.DEPLOY_NS}", views=(fixtures.SPANS_SQL, SIGNATURES_SQL, fixtures.DEPLOYS_SQL))
 def deploys_near(spark, sf_dir):
-    return anomaly.deploys_near(anomaly.error_signatures(base_spans(spark, sf_dir)), fixtures.deploys(spark, sf_dir), at="first_ns").select("tenant", "service", "signature", "deploy_id")
+    return anomaly.deploys_near(anomaly.error_signatures(base_spans(spark, sf_dir)), fixtures.deploys(spark, sf_dir), at="first_ns", within_ns=fixtures.DEPLOY_NS).select("tenant", "service", "signature", "deploy_id")
 
 
 @query(f"SELECT * FROM deploys WHERE at_ns BETWEEN {NS} AND {NS + 1500 * S}", views=(fixtures.DEPLOYS_SQL,))
@@ -221,11 +221,11 @@ def deploys_in_window(spark, sf_dir):
 @query(
     """SELECT d.tenant, d.service, d.deploy_id, sum(CASE WHEN bucket_ns <= at_ns THEN calls ELSE 0 END)::bigint AS calls_before, sum(CASE WHEN bucket_ns <= at_ns THEN errors ELSE 0 END)::bigint AS errors_before,
   sum(CASE WHEN bucket_ns > at_ns THEN calls ELSE 0 END)::bigint AS calls_after, sum(CASE WHEN bucket_ns > at_ns THEN errors ELSE 0 END)::bigint AS errors_after FROM fq r JOIN deploys d ON d.tenant = r.tenant AND d.service = r.service
-  WHERE bucket_ns BETWEEN at_ns - 1800000000000 AND at_ns OR bucket_ns BETWEEN at_ns + 120000000000 AND at_ns + 1920000000000 GROUP BY d.tenant, d.service, d.deploy_id""",
+  WHERE bucket_ns BETWEEN at_ns - 30000000000 AND at_ns OR bucket_ns BETWEEN at_ns + 10000000000 AND at_ns + 40000000000 GROUP BY d.tenant, d.service, d.deploy_id""",
     views=(*FAULT_VIEWS, fixtures.DEPLOYS_SQL),
 )
 def deploy_pre_post(spark, sf_dir):
-    return anomaly.deploy_windows(faulted_red(spark, sf_dir), fixtures.deploys(spark, sf_dir))
+    return anomaly.deploy_windows(faulted_red(spark, sf_dir), fixtures.deploys(spark, sf_dir), before_ns=fixtures.DEPLOY_NS, skip_ns=10 * S)
 
 
 @query(

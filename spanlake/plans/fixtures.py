@@ -60,12 +60,18 @@ def latest(spark: SparkSession, sf_dir: str) -> int:
 
 
 def deploys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deploys are rarer than orders: one in 500 of those stands for one, in the SQL too. Queries over deploys see these."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").selectExpr(*_DEPLOYS)
+    """Every order stands for a deploy."""
+    return table(spark, sf_dir, "orders").selectExpr(*_DEPLOYS)
+
+
+#: A service here is deployed every few seconds, so that what is near a deploy is near in seconds too.
+DEPLOY_NS = 30_000_000_000
+#: An error that follows a deploy here follows it at once.
+AFTER_NS = 2_000_000_000
 
 
 _DEPLOYS = ["concat('dep-', o_orderkey) AS deploy_id", "concat('tenant-', o_orderkey % 3) AS tenant", "concat('svc-', o_custkey % 10) AS service", f"{BASE_NS} + o_orderkey * 200000000 AS at_ns"]
-DEPLOYS_SQL = f"deploys AS (SELECT {', '.join(_DEPLOYS)} FROM orders WHERE o_orderkey % 500 = 0)"
+DEPLOYS_SQL = f"deploys AS (SELECT {', '.join(_DEPLOYS)} FROM orders)"
 
 #: Logs and exemplars: whole seconds of event time since the base, from the event's id.
 _EVENT = ["concat('tenant-', (event_id % 1500) % 3) AS tenant", "lpad(lower(hex(event_id % 1500 + 1)), 32, '0') AS trace_id", "concat('svc-', user_id % 10) AS service"]

@@ -122,9 +122,9 @@ def suppress_incident(spark, sf_dir):
     return incidents.suppressed(rows, reasons).select("tenant", "incident", "status", "reason")
 
 
-@query("SELECT s.tenant, s.service, s.signature, d.deploy_id, s.first_ns - d.at_ns AS after_ns, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= 1800000000000", views=(fixtures.SPANS_SQL, SIGNATURES_SQL, fixtures.DEPLOYS_SQL))
+@query(f"SELECT s.tenant, s.service, s.signature, d.deploy_id, s.first_ns - d.at_ns AS after_ns, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= {fixtures.AFTER_NS}", views=(fixtures.SPANS_SQL, SIGNATURES_SQL, fixtures.DEPLOYS_SQL))
 def rule_deploy_error(spark, sf_dir):
-    return incidents.deploy_errors(anomaly.error_signatures(base_spans(spark, sf_dir)), fixtures.deploys(spark, sf_dir))
+    return incidents.deploy_errors(anomaly.error_signatures(base_spans(spark, sf_dir)), fixtures.deploys(spark, sf_dir), within_ns=fixtures.AFTER_NS)
 
 
 def _totals(rows):
@@ -160,7 +160,7 @@ def rule_pool_exhaustion(spark, sf_dir):
 
 _EVIDENCE = f"""{SIGNATURES_SQL},
 pairs2 AS (SELECT c.tenant, c.trace_id, p.span_id AS parent_span_id, p.service AS parent_service, p.duration_ns AS total_ns, c.service, c.name, c.duration_ns FROM spans c JOIN spans p ON p.tenant = c.tenant AND p.trace_id = c.trace_id AND p.span_id = c.parent_span_id),
-evidence AS (SELECT s.tenant, s.service, 'deploy_error' AS rule, 0 AS k, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= 1800000000000
+evidence AS (SELECT s.tenant, s.service, 'deploy_error' AS rule, 0 AS k, 0.85 AS confidence FROM signatures s JOIN deploys d ON d.tenant = s.tenant AND d.service = s.service WHERE s.first_ns > d.at_ns AND s.first_ns - d.at_ns <= {fixtures.AFTER_NS}
   UNION ALL SELECT tenant, parent_service, 'downstream_latency', 1, 0.8 FROM pairs2 WHERE total_ns > 0 GROUP BY tenant, trace_id, parent_span_id, parent_service, total_ns HAVING max(duration_ns) FILTER (service <> parent_service) / total_ns::double >= 0.8
   UNION ALL SELECT tenant, service, 'n_plus_one', 2, least(0.95, 0.7 + 0.02 * (count(*) - 10)) FROM pairs2 GROUP BY tenant, trace_id, parent_span_id, service, name HAVING count(*) >= 2
   UNION ALL SELECT e.tenant, e.service, 'pool_exhaustion', 3, 0.8 FROM (SELECT tenant, service FROM exemplars GROUP BY tenant, service HAVING regr_slope(value, (ts_ns - 1704067200000000000) / 1000000000.0) > 0) e JOIN (SELECT DISTINCT tenant, service FROM logs WHERE body LIKE 'error%') l ON l.tenant = e.tenant AND l.service = e.service),
