@@ -39,6 +39,20 @@ def metric_series(exemplars: DataFrame, *, start_ns: int, end_ns: int) -> DataFr
     return rows.groupBy("tenant", "service", "name").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
 
+def metrics_for_spans(exemplars: DataFrame, spans: DataFrame, *, pad_ns: int, source: str = "exemplars") -> DataFrame:
+    """(tenant, trace_id, span_id, source, points): for each span the exemplars (ts_ns, value) of its service and operation from ``pad_ns``
+    before its start to as long after its end, in time order; spans without any have no row.
+
+    Times are cut into steps of ``pad_ns``; a span is handed to the steps that it touches, which makes the range an equi-join.
+    """
+    step = lambda c: F.floor(c / F.lit(pad_ns)).cast("bigint")
+    low, high = F.col("start_ns") - pad_ns, F.col("end_ns") + pad_ns
+    asked = spans.select("tenant", "service", "name", "trace_id", "span_id", low.alias("_low"), high.alias("_high"), F.explode(F.sequence(step(low), step(high))).alias("_step"))
+    told = exemplars.select("tenant", "service", "name", step(F.col("ts_ns")).alias("_step"), "ts_ns", "value")
+    found = asked.join(told, ["tenant", "service", "name", "_step"]).where(F.col("ts_ns").between(F.col("_low"), F.col("_high")))
+    return found.groupBy("tenant", "trace_id", "span_id").agg(F.array_sort(F.collect_list(F.struct("ts_ns", "value"))).alias("points")).withColumn("source", F.lit(source))
+
+
 def audit_query(events: DataFrame, *, tenant: str, start_ns: int, end_ns: int, actor: str = "", action: str = "") -> DataFrame:
     """Audit events of a tenant from ``start_ns`` to ``end_ns``, in time order; an empty actor or action matches all."""
     rows = events.where((F.col("tenant") == tenant) & F.col("at_ns").between(start_ns, end_ns))

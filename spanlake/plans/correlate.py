@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import correlate
 from spanlake.plans import fixtures
-from spanlake.plans.base import NS, S, TRACES_SQL, base_traces, query
+from spanlake.plans.base import NS, S, TRACES_SQL, base_spans, base_traces, csv, query
 from spanlake.sources import payloads
 
 _AUDIT = ["concat('tenant-', o_orderkey % 3) AS tenant", "concat('user-', o_custkey) AS actor", "o_orderstatus AS action", f"{NS} + o_orderkey * 200000000 AS at_ns", "o_orderkey AS seq"]
@@ -57,10 +57,22 @@ def metric_range(spark, sf_dir):
 
 
 @query(f"SELECT tenant, service, name, count(*) AS n, min(value) AS low, max(value) AS high, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM exemplars WHERE ts_ns BETWEEN {NS} AND {NS + 1800 * S} GROUP BY tenant, service, name", views=(fixtures.EXEMPLARS_SQL,))
-def metrics_for_span(spark, sf_dir):
+def metric_series(spark, sf_dir):
     return correlate.metric_series(fixtures.exemplars(spark, sf_dir), start_ns=NS, end_ns=NS + 1800 * S)
 
 
+@query(
+    f"""found AS (SELECT s.tenant, s.trace_id, s.span_id, e.ts_ns, e.value FROM spans s JOIN exemplars e ON e.tenant = s.tenant AND e.service = s.service AND e.name = s.name AND e.ts_ns BETWEEN s.start_ns - {S} AND s.end_ns + {S})
+SELECT tenant, trace_id, span_id, 'exemplars' AS source, count(*) AS n, string_agg(ts_ns::varchar, ',' ORDER BY ts_ns, value) AS times, string_agg(round(value * 100)::bigint::varchar, ',' ORDER BY ts_ns, value) AS cents FROM found GROUP BY tenant, trace_id, span_id""",
+    views=(fixtures.SPANS_SQL, fixtures.EXEMPLARS_SQL),
+)
+def metrics_for_span(spark, sf_dir):
+    """The points around every span, a second before and after it."""
+    rows = correlate.metrics_for_spans(fixtures.exemplars(spark, sf_dir), base_spans(spark, sf_dir), pad_ns=S)
+    cents = F.transform("points", lambda p: F.round(p["value"] * 100).cast("bigint"))
+    return rows.select("tenant", "trace_id", "span_id", "source", F.size("points").cast("bigint").alias("n"), csv("points.ts_ns").alias("times"), F.array_join(cents.cast("array<string>"), ",").alias("cents"))
+
+
 @query(f"SELECT tenant, actor, action, at_ns, seq FROM audit WHERE tenant = 'tenant-1' AND action = 'F' AND at_ns BETWEEN {NS} AND {NS + 1800 * S}", views=(_AUDIT_SQL,))
 def audit_query(spark, sf_dir):
     events = fixtures.table(spark, sf_dir, "orders").selectExpr(*_AUDIT)
