@@ -114,9 +114,9 @@ def _instant(text: Column) -> Column:
     return F.unix_micros(F.try_to_timestamp(F.when(text.rlike(f"^{_ISO}$"), text))) * 1000
 
 
-def time_range(text: Column, now_ns: int, *, default_ns: int = 1800 * SECOND) -> Column:
-    """struct<start_ns, end_ns, rule>: last n units, between two times, since a time, yesterday, today, a bare time, in that
-    order, else the last ``default_ns``. Days are UTC days."""
+def time_range(text: Column, now_ns: int, *, default_ns: int = 1800 * SECOND, deploy_ns: Column | None = None) -> Column:
+    """struct<start_ns, end_ns, rule>: last n units, between two times, since a time, yesterday, today, a bare time, since
+    ``deploy_ns`` (from ``since_deploys``), in that order, else the last ``default_ns``. Days are UTC days."""
     now, day = F.lit(now_ns), 86400 * SECOND
     midnight = now_ns - now_ns % day
     number, unit = F.regexp_extract(text, r"(?i)\blast\s+(\d+)\s*(second|minute|hour|day|week)s?\b", 1), F.lower(F.regexp_extract(text, r"(?i)\blast\s+(\d+)\s*(second|minute|hour|day|week)s?\b", 2))
@@ -133,10 +133,25 @@ def time_range(text: Column, now_ns: int, *, default_ns: int = 1800 * SECOND) ->
         .when(text.rlike(r"(?i)\byesterday\b"), found(F.lit(midnight - day), F.lit(midnight), "yesterday"))
         .when(text.rlike(r"(?i)\btoday\b"), found(F.lit(midnight), now, "today"))
         .when(bare.isNotNull(), found(bare, now, "time"))
+        .when(F.lit(None) if deploy_ns is None else deploy_ns.isNotNull(), found(F.lit(None) if deploy_ns is None else deploy_ns, now, "deploy"))
         .otherwise(found(now - default_ns, now, "default"))
     )
 
 
+#: How a question asks for the time since a deploy (fixed value).
+SINCE_DEPLOY = r"(?i)\bsince\s+the\s+([a-zA-Z0-9_-]+)\s+deploy\b"
+
+
+def since_deploys(questions: DataFrame, catalog: DataFrame, deploys: DataFrame, *, now_ns: int, most: int = 2) -> DataFrame:
+    """``questions`` (question_id, text) with ``deploy_ns``: the latest deploy, up to ``now_ns``, of the service in "since the ... deploy", which
+    is the entry of ``catalog`` nearest to what is written, as in ``services``. Null without such words, service or deploy."""
+    word = F.nullif(F.regexp_extract("text", SINCE_DEPLOY, 1), F.lit(""))
+    asked = questions.select("question_id", word.alias("text")).where("text is not null")
+    named = services(asked, catalog, most=most).where("service is not null").select("question_id", "service")
+    latest = deploys.where(F.col("at_ns") <= now_ns).groupBy("service").agg(F.max("at_ns").alias("deploy_ns"))
+    return questions.join(named.join(latest, "service").drop("service"), "question_id", "left")
+
+
 def ids(text: Column) -> Column:
     """struct<trace_id, error_text>: 32 hex digits in lower case; a quoted string, or what follows ``error:``, of at most 128
     characters. Null where there is none."""

@@ -10,7 +10,7 @@ from spanlake.plans.base import NS, S, csv, query
 
 _ASKED = (
     "How is chekout-svc doing today?", "Find traces for payment-svc in the last 15 minutes", "Explain trace 0123456789ABCDEF0123456789abcdef", "Why is cart svc slow since 2023-12-31T20:00:00Z?",
-    "What calls payment-svc and compare it with yesterday", "Any incidents between 2023-12-30T10:00:00Z and 2023-12-29T10:00:00+02:00?", 'Have we seen this error before: "connection reset by peer"', "restart checkout-svc", "hello there", "status of investigation inv-7, error: pool timeout",
+    "What calls payment-svc and compare it with yesterday", "Any incidents between 2023-12-30T10:00:00Z and 2023-12-29T10:00:00+02:00?", 'Have we seen this error before: "connection reset by peer"', "restart checkout-svc", "What changed since the svc-33 deploy?", "status of investigation inv-7, error: pool timeout",
 )
 _TEXT = "concat(case (conv_id + turn) % 10 " + " ".join(f"when {k} then '{q}'" for k, q in enumerate(_ASKED)) + " end, ' ', coalesce(text, ''))"
 _QUESTIONS = ["conv_id * 1000 + turn AS question_id", f"{_TEXT} AS text", "conv_id AS thread", "turn", f"{NS} + (conv_id * 100 + turn * (conv_id % 7) * 10) * {60 * S} AS at_ns"]
@@ -55,14 +55,30 @@ def match_service(spark, sf_dir):
 _DAY = 86400 * S
 
 
+_ISO = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:Z|[+-]\d{2}:\d{2})"
+_at = lambda group: f"CASE WHEN regexp_full_match({group}, '{_ISO}') THEN epoch_us(try_cast({group} AS timestamptz)) * 1000 END"
+_RANGE_SQL = rf"""said AS (SELECT question_id, text, try_cast(regexp_extract(text, '(?i)\blast\s+(\d+)\s*(second|minute|hour|day|week)s?\b', 1) AS bigint) AS n, lower(regexp_extract(text, '(?i)\blast\s+(\d+)\s*(second|minute|hour|day|week)s?\b', 2)) AS unit,
+  regexp_extract(text, '(?i)\bbetween\s+(\S+)\s+and\s+(\S+)\b', 1) AS a, regexp_extract(text, '(?i)\bbetween\s+(\S+)\s+and\s+(\S+)\b', 2) AS b, regexp_extract(text, '(?i)\bsince\s+(\S+)\b', 1) AS c, regexp_extract(text, '{_ISO}') AS d,
+  lower(regexp_extract(text, '(?i)\bsince\s+the\s+([a-zA-Z0-9_-]+)\s+deploy\b', 1)) AS word FROM questions),
+catalog AS (SELECT unnest(range(0, 10)) AS seq), near AS (SELECT word, arg_min(seq, (levenshtein(word, 'svc-' || seq), seq)) AS seq FROM (SELECT DISTINCT word FROM said WHERE word <> ''), catalog WHERE levenshtein(word, 'svc-' || seq) <= 2 GROUP BY word),
+latest AS (SELECT service, max(at_ns) AS at_ns FROM deploys WHERE at_ns <= {NS + 900 * S} GROUP BY service),
+told AS (SELECT s.*, n * CASE unit WHEN 'second' THEN 1 WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 WHEN 'day' THEN 86400 WHEN 'week' THEN 604800 END * {S} AS ago, {_at('a')} AS a_ns, {_at('b')} AS b_ns, {_at('c')} AS c_ns, {_at('d')} AS d_ns, l.at_ns AS deploy_ns
+  FROM said s LEFT JOIN near ON near.word = s.word LEFT JOIN latest l ON l.service = 'svc-' || near.seq),
+ruled AS (SELECT *, CASE WHEN ago IS NOT NULL THEN 'last' WHEN a_ns IS NOT NULL AND b_ns IS NOT NULL THEN 'between' WHEN c_ns IS NOT NULL THEN 'since' WHEN regexp_matches(text, '(?i)\byesterday\b') THEN 'yesterday' WHEN regexp_matches(text, '(?i)\btoday\b') THEN 'today'
+  WHEN d_ns IS NOT NULL THEN 'time' WHEN deploy_ns IS NOT NULL THEN 'deploy' ELSE 'default' END AS rule, {NS + 900 * S} AS now_ns FROM told)"""
+
+
 @query(
-    f"""SELECT question_id, CASE k WHEN 1 THEN {NS} - {900 * S} WHEN 3 THEN {NS} - {4 * 3600 * S} WHEN 5 THEN {NS} - {64 * 3600 * S} WHEN 0 THEN {NS} WHEN 4 THEN {NS} - {_DAY} ELSE {NS} - {1800 * S} END AS start_ns,
-  CASE k WHEN 4 THEN {NS} WHEN 5 THEN {NS} - {38 * 3600 * S} ELSE {NS} END AS end_ns, CASE k WHEN 0 THEN 'today' WHEN 1 THEN 'last' WHEN 3 THEN 'since' WHEN 4 THEN 'yesterday' WHEN 5 THEN 'between' ELSE 'default' END AS rule FROM (SELECT *, (thread + turn) % 10 AS k FROM questions)""",
-    views=(QUESTIONS_SQL,),
+    f"""SELECT question_id, CASE rule WHEN 'last' THEN now_ns - ago WHEN 'between' THEN least(a_ns, b_ns) WHEN 'since' THEN c_ns WHEN 'yesterday' THEN {NS} - {_DAY} WHEN 'today' THEN {NS} WHEN 'time' THEN d_ns WHEN 'deploy' THEN deploy_ns ELSE now_ns - {1800 * S} END AS start_ns,
+  CASE rule WHEN 'between' THEN greatest(a_ns, b_ns) WHEN 'yesterday' THEN {NS} ELSE now_ns END AS end_ns, rule FROM ruled""",
+    views=(QUESTIONS_SQL, fixtures.DEPLOYS_SQL, _RANGE_SQL),
 )
 def extract_time_range(spark, sf_dir):
-    """Midnight is now, so today is empty so far; the ranges are those of the questions that are put first."""
-    return asked(spark, sf_dir).select("question_id", questions.time_range(F.col("text"), NS).alias("t")).select("question_id", F.col("t.start_ns").cast("bigint").alias("start_ns"), "t.end_ns", "t.rule")
+    """A quarter past midnight is now."""
+    now = NS + 900 * S
+    rows = questions.since_deploys(asked(spark, sf_dir), questions.catalog(spark, [f"svc-{k}" for k in range(10)]), fixtures.deploys(spark, sf_dir), now_ns=now)
+    found = rows.select("question_id", questions.time_range(F.col("text"), now, deploy_ns=F.col("deploy_ns")).alias("t"))
+    return found.select("question_id", F.col("t.start_ns").cast("bigint").alias("start_ns"), "t.end_ns", "t.rule")
 
 
 @query(
