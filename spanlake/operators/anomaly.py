@@ -94,11 +94,15 @@ def runs(verdicts: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return both.select(*KEY, "kind", (F.coalesce("run", F.lit(0)) + on).alias("run"))
 
 
-def error_signatures(spans: DataFrame, *, time_col: str = "received_ns") -> DataFrame:
-    """Signatures of failed spans: a hash of service, operation and kind of error, with digits masked; first and last sighting."""
+def signature() -> Column:
+    """A hash of a failed span's service, operation and kind of error, with digits masked."""
     kind = F.coalesce(F.try_element_at("attrs", F.lit("exception.type")), F.try_element_at("attrs", F.lit("error.type")), F.lit(""))
-    text = F.concat_ws("\x01", "service", "name", F.regexp_replace(kind, r"\d+", "#"))
-    return spans.where("is_error").groupBy("tenant", "service", F.md5(text).alias("signature")).agg(F.min(time_col).alias("first_ns"), F.max(time_col).alias("last_ns"), F.count("*").alias("samples"))
+    return F.md5(F.concat_ws("\x01", "service", "name", F.regexp_replace(kind, r"\d+", "#")))
+
+
+def error_signatures(spans: DataFrame, *, time_col: str = "received_ns") -> DataFrame:
+    """Signatures of failed spans, with first and last sighting."""
+    return spans.where("is_error").groupBy("tenant", "service", signature().alias("signature")).agg(F.min(time_col).alias("first_ns"), F.max(time_col).alias("last_ns"), F.count("*").alias("samples"))
 
 
 def new_error_signatures(signatures: DataFrame, *, start_ns: int, end_ns: int, min_samples: int = 5) -> DataFrame:

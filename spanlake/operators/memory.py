@@ -45,18 +45,55 @@ def effective_weight(now_ns: int) -> Column:
     return F.greatest(F.lit(0.0), F.col("weight") * F.pow(F.lit(0.5), age / HALF_LIFE))
 
 
+def nearest(queries: DataFrame, records: DataFrame, *, most: int = CANDIDATES, hot: float = 0.02) -> DataFrame:
+    """(query_id, tenant, record_id, n): the ``most`` records of each query's tenant that share most tokens with it, n of them,
+    ties by id; none that shares no token.
+
+    Tokens of over ``hot`` of a tenant's records, ``TOKENS`` / ``hot`` at most, aren't joined record by record: records with the same common
+    tokens are one class, classes are joined instead, and of each only the first ``most`` ids can be wanted for their common
+    tokens alone. Records that share a rarer token are found by it and counted in full.
+    """
+    total = records.groupBy("tenant").agg(F.count("*").alias("total"))
+    often = records.select("tenant", F.explode("tokens").alias("token")).groupBy("tenant", "token").agg(F.count("*").alias("often"))
+    hottest = often.join(total, "tenant").where(F.col("often") > F.lit(hot) * F.col("total"))
+    known = hottest.groupBy("tenant").agg(F.array_sort(F.collect_list("token")).alias("known"))
+
+    def split(rows: DataFrame, name: str) -> DataFrame:
+        none = F.array().cast("array<string>")
+        rows = rows.join(known, "tenant", "left").withColumn("known", F.coalesce("known", none)).withColumn("tokens", F.coalesce("tokens", none))
+        return rows.select("tenant", name, F.array_sort(F.array_intersect("tokens", "known")).alias("common"), F.array_except("tokens", "known").alias("rare"))
+
+    asked, stored = split(queries, "query_id"), split(records, "record_id")
+    words_of = lambda rows, *c: rows.select("tenant", *c, F.explode("rare").alias("token"))
+    pairs = words_of(asked, "query_id", F.col("common").alias("q_common")).join(words_of(stored, "record_id", "common"), ["tenant", "token"])
+    by_rare = pairs.groupBy("query_id", "tenant", "record_id").agg((F.count("*") + F.first(F.size(F.array_intersect("q_common", "common")))).alias("n"))
+
+    # Classes of common tokens: joined by token, the best levels kept, then the ids of these.
+    first = F.row_number().over(Window.partitionBy("tenant", "common").orderBy("record_id"))
+    ids = stored.where("size(common) > 0").select("tenant", "common", "record_id").withColumn("place", first).where(F.col("place") <= most).drop("place")
+    classes = ids.groupBy("tenant", "common").agg(F.count("*").alias("held"))
+    kinds = asked.where("size(common) > 0").select("tenant", F.col("common").alias("q_common")).distinct()
+    both = kinds.select("tenant", "q_common", F.explode("q_common").alias("token")).join(classes.select("tenant", "common", "held", F.explode("common").alias("token")), ["tenant", "token"])
+    level = both.groupBy("tenant", "q_common", "common", "held").agg(F.count("*").alias("n"))
+    above = F.sum("held").over(Window.partitionBy("tenant", "q_common").orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, -1))
+    wanted = level.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < most).select("tenant", "q_common", "common", "n")
+    best = F.row_number().over(Window.partitionBy("tenant", "q_common").orderBy(F.desc("n"), "record_id"))
+    listed = wanted.join(ids, ["tenant", "common"]).withColumn("place", best).where(F.col("place") <= most).select("tenant", "q_common", "record_id", "n")
+    by_common = asked.select("query_id", "tenant", F.col("common").alias("q_common")).join(listed, ["tenant", "q_common"]).select("query_id", "tenant", "record_id", "n")
+
+    rows = by_rare.unionByName(by_common).groupBy("query_id", "tenant", "record_id").agg(F.max("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "record_id"))
+    return rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def similar(queries: DataFrame, records: DataFrame, *, now_ns: int, top: int = 10, candidates: int = CANDIDATES, least: float = LEAST) -> DataFrame:
     """(query_id, record_id, score, rank) for all ``queries`` (query_id, tenant, tokens, body) at once.
 
-    An inverted index, tokens joined to tokens, gives each query's ``candidates`` records of the largest overlap. The score is
+    ``nearest`` gives each query's ``candidates`` records of the largest overlap of tokens. The score is
     the Jaccard similarity of tokens, with 0.3 of that of words where the query has a text. Ranks weigh it by 1 + effective
     weight. A record that has been corrected is only returned with its correction, below it.
     """
-    asked = queries.select("query_id", "tenant", F.explode("tokens").alias("token"))
-    index = records.select("tenant", "record_id", F.explode("tokens").alias("token"))
-    overlap = asked.join(index, ["tenant", "token"]).groupBy("query_id", "tenant", "record_id").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "record_id"))
-    few = overlap.withColumn("place", place).where(F.col("place") <= candidates).select("query_id", "tenant", "record_id")
+    few = nearest(queries, records, most=candidates).select("query_id", "tenant", "record_id")
     own = records.withColumn("effective", effective_weight(now_ns)).select("tenant", "record_id", "tokens", words(F.col("body")).alias("words"), "effective", "supersedes_id")
     q = queries.select("query_id", F.col("tokens").alias("q_tokens"), F.when(F.col("body") != "", words(F.col("body"))).alias("q_words"))
     pairs = few.join(own, ["tenant", "record_id"]).join(q, "query_id")
