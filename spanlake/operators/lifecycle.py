@@ -46,13 +46,13 @@ def compact(spark: SparkSession, source: str, target: str, *, by: tuple[str, ...
 def merge(old: DataFrame, new: DataFrame, *, key: list[str], add: tuple[str, ...] = (), add_each: dict[str, int] | None = None, first: tuple[str, ...] = (), last: tuple[str, ...] = (), latest: tuple[str, ...] = (), version: str = "version") -> DataFrame:
     """A stored table and a batch as one, a row a key: ``add`` columns are added, those of ``add_each`` (arrays of so many
     numbers) number by number, ``first`` keep the least, ``last`` the largest value, ``latest`` come from the row of the
-    largest ``version``."""
+    largest ``version``. With keys only, rows that exist are ignored."""
     rows = old.unionByName(new)
     out = [F.sum(c).alias(c) for c in add]
     out += [F.array(*(F.sum(F.col(c)[i]) for i in range(n))).alias(c) for c, n in (add_each or {}).items()]
     out += [F.min(c).alias(c) for c in first] + [F.max(c).alias(c) for c in last]
     out += [F.max_by(c, version).alias(c) for c in latest] + ([F.max(version).alias(version)] if latest else [])
-    return rows.groupBy(*key).agg(*out)
+    return rows.groupBy(*key).agg(*out) if out else rows.select(*key).distinct()
 
 
 def pending(traces: DataFrame, manifest: DataFrame, *, before_ns: int) -> DataFrame:

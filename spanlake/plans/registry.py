@@ -12,4 +12,5 @@ from spanlake.plans import questions as _questions  # noqa: F401
 from spanlake.plans import sampling as _sampling  # noqa: F401
 from spanlake.plans import search as _search  # noqa: F401
 from spanlake.plans import spans as _spans  # noqa: F401
+from spanlake.plans import stored as _stored  # noqa: F401
 from spanlake.plans.base import QUERIES, SQL  # noqa: F401
