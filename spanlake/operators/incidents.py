@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions import latency
 from spanlake.operators.fold import fold
 from spanlake.operators.lineage import cut
 
@@ -215,6 +216,17 @@ def pool_exhaustion(logs: DataFrame, waits: DataFrame, *, pattern: str = r"(?i)p
 CAUSES = (("deploy_error", "deploy_regression"), ("downstream_latency", "dependency_failure"), ("n_plus_one", "data_skew"), ("pool_exhaustion", "resource_exhaustion"))
 
 
+def timeout_mismatches(clients: DataFrame, red: DataFrame) -> DataFrame:
+    """Client spans that gave up while what they called takes longer than they wait (tenant, service, name, callee, timeout_ns,
+    p95_ns, calls, trace_id): ``clients`` (tenant, trace_id, service, name, callee, timeout_ns, exceeded) with ``exceeded`` and a timeout below the p95
+    of the callee's spans, of which ``red`` has the histograms. Both sides are aggregated before they meet.
+    """
+    own = clients.where(F.col("exceeded") & F.col("callee").isNotNull() & F.col("timeout_ns").isNotNull())
+    own = own.groupBy("tenant", "service", "name", "callee", "timeout_ns").agg(F.count("*").alias("calls"), F.min("trace_id").alias("trace_id"))
+    slow = red.groupBy("tenant", F.col("service").alias("callee")).agg(latency.merged("hist").alias("hist")).select("tenant", "callee", latency.quantile(F.col("hist"), 0.95).alias("p95_ns"))
+    return own.join(slow, ["tenant", "callee"]).where(F.col("timeout_ns") < F.col("p95_ns")).select("tenant", "service", "name", "callee", "timeout_ns", "p95_ns", "calls", "trace_id")
+
+
 def conclude(incidents: DataFrame, evidence: DataFrame, *, least: float = 0.75) -> DataFrame:
     """By incident, from ``evidence`` (tenant, service, rule, confidence) about its epicenter: the first rule in order with
     enough confidence; else the best one, inconclusive."""

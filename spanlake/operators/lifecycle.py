@@ -37,12 +37,6 @@ def disk_ratio(spark: SparkSession, folder: str, raw_bytes: int) -> float:
     return (files.agg(F.sum("length")).first()[0] or 0) / raw_bytes
 
 
-def compact(spark: SparkSession, source: str, target: str, *, by: tuple[str, ...] = ("tenant", "tier", "hour"), rows_per_file: int = 5_000_000) -> None:
-    """Blocks of ``source`` in ``target``, each in files of at most ``rows_per_file`` rows; a large block is dealt to several tasks."""
-    rows = spark.read.parquet(source)
-    rows.hint("rebalance", *by).write.partitionBy(*by).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(target)
-
-
 def merge(old: DataFrame, new: DataFrame, *, key: list[str], add: tuple[str, ...] = (), add_each: dict[str, int] | None = None, first: tuple[str, ...] = (), last: tuple[str, ...] = (), latest: tuple[str, ...] = (), version: str = "version") -> DataFrame:
     """A stored table and a batch as one, a row a key: ``add`` columns are added, those of ``add_each`` (arrays of so many
     numbers) number by number, ``first`` keep the least, ``last`` the largest value, ``latest`` come from the row of the

@@ -178,6 +178,16 @@ def export(records: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("record_id", "tenant", "kind", "fingerprint", "created_at", "tokens", "weight")).alias("line"))
 
 
+def parsed(lines: DataFrame, *, column: str = "line", schema: str = "1") -> DataFrame:
+    """Records of exported lines, with ``error``: ``malformed`` for a line that is no JSON object with an id and a tenant, ``schema`` for
+    one that names another schema than ``schema``, else null. Blank lines are skipped."""
+    fields = "schema string, record_id string, tenant string, kind string, created_at string, tokens array<string>, body string, weight double"
+    rows = lines.where(F.trim(F.col(column)) != "").select(F.from_json(column, fields).alias("r")).select("r.*")
+    wrong = F.when(F.coalesce(F.col("record_id"), F.lit("")).eqNullSafe("") | F.col("tenant").isNull(), "malformed").when(F.col("schema") != schema, "schema")
+    at = F.unix_seconds(F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd'T'HH:mm:ssX"))) * 1_000_000_000
+    return rows.select("record_id", "tenant", "kind", "tokens", "body", "weight", at.alias("created_ns"), wrong.alias("error"))
+
+
 def imported(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """``incoming`` records with ids as text, as they are added: marked as imported, of trust 2; an id that exists already gets
     a new one, its own behind ``imported/``."""

@@ -77,6 +77,13 @@ def overview(red: DataFrame, *, start_ns: int, end_ns: int) -> DataFrame:
     return rows.select("tenant", "service", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), latency.quantile(F.col("hist"), 0.95).alias("p95_ns"))
 
 
+def overview_incidents(tiles: DataFrame, incidents: DataFrame, *, since_ns: int) -> DataFrame:
+    """Tiles of ``overview`` with the active incidents of each service as epicenter, updated since ``since_ns``: their number and
+    the highest severity (null without any). A service with incidents but no calls has a tile too."""
+    own = incidents.where(F.col("status").between(1, 4) & (F.col("last_ns") >= since_ns)).groupBy("tenant", F.col("epicenter").alias("service")).agg(F.count("*").alias("incidents"), F.max("score").alias("score"))
+    return tiles.join(own, ["tenant", "service"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("calls", "errors", "incidents")})
+
+
 def exemplars_for(spans: DataFrame, *, n: int = 4, time_col: str = "received_ns") -> DataFrame:
     """The latest n spans of each operation."""
     latest = F.row_number().over(Window.partitionBy("tenant", "service", "name").orderBy(F.desc(time_col), "trace_id", "span_id"))

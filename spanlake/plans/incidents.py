@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlake.operators import anomaly, graph, incidents, spans
+from spanlake.operators import anomaly, graph, incidents, red, spans
 from spanlake.operators.lineage import cut
 from spanlake.plans import fixtures
 from spanlake.plans.anomaly import EVENT_VIEWS, SIGNATURES_SQL, base_events
-from spanlake.plans.base import base_spans, csv, query
+from spanlake.plans.base import RED_SQL, base_spans, csv, quantile_sql, query
 from spanlake.plans.graph import CALLS_SQL, base_edges
 
 
@@ -115,6 +115,19 @@ def active_incidents(spark, sf_dir):
     return incidents.active(_capped(spark, sf_dir)).select("tenant", "incident", "epicenter", "severity")
 
 
+@query(
+    f"""tiles AS (SELECT tenant, service, sum(calls)::bigint AS calls, sum(errors)::bigint AS errors FROM red GROUP BY tenant, service),
+open_ones AS (SELECT tenant, epicenter AS service, count(*) AS incidents, max(score) AS score FROM capped WHERE status BETWEEN 1 AND 4 AND last_ns >= (SELECT max(received_ns) FROM raw) - 2400000000000 GROUP BY tenant, epicenter)
+SELECT tenant, service, coalesce(calls, 0) AS calls, coalesce(errors, 0) AS errors, coalesce(incidents, 0) AS incidents, round(score, 6) AS score FROM tiles FULL JOIN open_ones USING (tenant, service)""",
+    views=(*_CAP_VIEWS, RED_SQL),
+)
+def overview_incidents(spark, sf_dir):
+    """Tiles and the incidents that are active in the last 40 minutes, of a data set of 50."""
+    tiles = red.overview(red.rollup(base_spans(spark, sf_dir)), start_ns=fixtures.BASE_NS, end_ns=fixtures.latest(spark, sf_dir))
+    found = red.overview_incidents(tiles, _capped(spark, sf_dir), since_ns=fixtures.latest(spark, sf_dir) - 2_400_000_000_000)
+    return found.select("tenant", "service", "calls", "errors", "incidents", F.round("score", 6).alias("score"))
+
+
 @query("SELECT tenant, incident, CASE WHEN epicenter = 'svc-7' THEN 6 ELSE status END AS status, CASE WHEN epicenter = 'svc-7' THEN 'known' END AS reason FROM capped", views=_CAP_VIEWS)
 def suppress_incident(spark, sf_dir):
     rows = _capped(spark, sf_dir)
@@ -147,6 +160,24 @@ def rule_n_plus_one(spark, sf_dir):
     return incidents.repeated_siblings(spans.parent_child(base_spans(spark, sf_dir)), threshold=2).withColumn("confidence", F.round("confidence", 6))
 
 
+_P95 = quantile_sql(0.95, lambda i: f"sum(h{i})")
+
+
+@query(
+    f"""slow AS (SELECT tenant, service AS callee, {_P95} AS p95_ns FROM red GROUP BY tenant, service),
+waits AS (SELECT tenant, service, name, peer AS callee, (retries::bigint * 3 + 2) * 200000000 AS timeout_ns, trace_id FROM spans WHERE kind = 3 AND peer IS NOT NULL AND http IS NOT NULL)
+SELECT tenant, service, name, callee, timeout_ns, p95_ns, count(*) AS calls, min(trace_id) AS trace_id FROM waits JOIN slow USING (tenant, callee) WHERE timeout_ns < p95_ns GROUP BY tenant, service, name, callee, timeout_ns, p95_ns""",
+    views=(fixtures.SPANS_SQL, RED_SQL),
+)
+def rule_timeout_mismatch(spark, sf_dir):
+    """A timeout of 0.4, 1 or 1.6 s by the number of retries; spans over HTTP stand for those whose deadline was exceeded."""
+    rows = base_spans(spark, sf_dir)
+    value = lambda k: F.try_element_at("attrs", F.lit(k))
+    wait = ((value("retry.count").cast("bigint") * 3 + 2) * 200_000_000).alias("timeout_ns")
+    clients = rows.where("kind = 3").select("tenant", "trace_id", "service", "name", value("peer.service").alias("callee"), wait, value("http.request.method").isNotNull().alias("exceeded"))
+    return incidents.timeout_mismatches(clients, red.rollup(rows))
+
+
 @query(
     """hits AS (SELECT tenant, service, count(*) AS matches FROM logs WHERE body LIKE 'error%' GROUP BY tenant, service),
 slopes AS (SELECT tenant, service, regr_slope(value, (ts_ns - 1704067200000000000) / 1000000000.0) AS slope FROM exemplars GROUP BY tenant, service)

@@ -38,15 +38,29 @@ def expire_blocks(spark, sf_dir):
     return lifecycle.expired_blocks(_blocks(spark, sf_dir), retention_ns=30 * S, now_ns=_middle(spark, sf_dir)).drop("sealed_ns")
 
 
+#: Tables of the plan: their SQL, the column of their time, and here their horizon in seconds, since the data spans less than a day.
+_RETAINED = {"spans": ("spans", "received_ns", 60), "traces": ("traces", "start_ns", 120), "red": ("red", "bucket_ns", 300), "edges": ("edges", "last_ns", 2), "anomalous": ("traces WHERE error_count > 0", "end_ns", 400), "sampled": ("traces WHERE error_count = 0", "end_ns", 200)}
+
+
 @query(
-    """SELECT 'spans' AS "table", tenant, count(*) AS rows, count(*) FILTER (received_ns < (SELECT max(received_ns) FROM raw) - 60000000000) AS expired FROM spans GROUP BY tenant
-  UNION ALL SELECT 'traces', tenant, count(*), count(*) FILTER (start_ns < (SELECT max(received_ns) FROM raw) - 120000000000) FROM traces GROUP BY tenant""",
-    views=(fixtures.SPANS_SQL, TRACES_SQL),
+    " UNION ALL ".join(f"""SELECT '{name}' AS "table", tenant, count(*) AS rows, count(*) FILTER ({at} < (SELECT max(received_ns) FROM raw) - {n * S}) AS expired FROM {rows} GROUP BY tenant""" for name, (rows, at, n) in _RETAINED.items()),
+    views=(fixtures.SPANS_SQL, TRACES_SQL, RED_SQL, CALLS_SQL),
 )
 def retention_plan(spark, sf_dir):
-    """Horizons of one and two minutes: the data spans less than a day."""
-    tables = {"spans": (base_spans(spark, sf_dir), "received_ns"), "traces": (base_traces(spark, sf_dir), "start_ns")}
-    return lifecycle.retention_plan(tables, now_ns=fixtures.latest(spark, sf_dir), horizons={"spans": 60 * S, "traces": 120 * S})
+    """All six tables, kept traces by tier."""
+    own, trace = base_spans(spark, sf_dir), base_traces(spark, sf_dir)
+    rows = {"spans": own, "traces": trace, "red": red.rollup(own), "edges": base_edges(spark, sf_dir), "anomalous": trace.where("error_count > 0"), "sampled": trace.where("error_count = 0")}
+    return lifecycle.retention_plan({k: (r, _RETAINED[k][1]) for k, r in rows.items()}, now_ns=fixtures.latest(spark, sf_dir), horizons={k: n * S for k, (_, _, n) in _RETAINED.items()})
+
+
+_CONCLUDED = ["concat('tenant-', o_orderkey % 3) AS tenant", "o_orderkey AS incident", "case when o_orderstatus = 'F' then 'concluded' else 'open' end AS outcome", "(o_orderkey % 100) / cast(100 as double) AS confidence", f"{NS} + o_orderkey * {S} AS at_ns"]
+
+
+@query(f"SELECT tenant, incident, 'sig-' || (o_custkey % 50) || ',path-' || (o_custkey % 7) AS signatures, at_ns + {86400 * S} AS expires_ns FROM (SELECT {', '.join(_CONCLUDED)}, o_custkey FROM orders) WHERE outcome = 'concluded' AND confidence >= 0.75", views=("none AS (SELECT 1)",))
+def recurrence_predicates(spark, sf_dir):
+    """Orders as investigations."""
+    rows = fixtures.table(spark, sf_dir, "orders").selectExpr(*_CONCLUDED, "array(concat('sig-', o_custkey % 50), concat('path-', o_custkey % 7)) as signatures")
+    return lifecycle.recurrence_predicates(rows).withColumn("signatures", csv("signatures"))
 
 
 @query(f"SELECT tenant, service, name, bucket_ns, count(*) AS calls, count(*) FILTER (is_error) AS errors, sum(duration_ns)::bigint AS duration_sum_ns, {HIST_SQL} AS hist FROM bucketed GROUP BY tenant, service, name, bucket_ns", views=(fixtures.SPANS_SQL, RED_SQL))

@@ -142,6 +142,19 @@ def memory_import(spark, sf_dir):
     return memory.imported(rows.where("record_id % 2 = 0"), rows).select("record_id", "provenance", "trust")
 
 
+@query(
+    f"""SELECT record_id::varchar AS record_id, tenant, kind, array_to_string(tokens, ',') AS tokens, weight, created_ns, NULL AS error FROM records WHERE record_id % 7 <> 0 AND record_id % 11 <> 0
+  UNION ALL SELECT record_id::varchar, tenant, kind, array_to_string(tokens, ','), weight, created_ns, 'schema' FROM records WHERE record_id % 7 = 0
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 'malformed' FROM records WHERE record_id % 7 <> 0 AND record_id % 11 = 0""",
+    views=(RECORDS_SQL,),
+)
+def memory_import_lines(spark, sf_dir):
+    """Exported lines, read again; some name an unknown schema, some are no JSON."""
+    number = F.get_json_object("line", "$.record_id").cast("bigint")
+    line = F.when(number % 7 == 0, F.regexp_replace("line", r"\A\{", '{"schema":"0",')).when(number % 11 == 0, F.lit("[broken")).otherwise(F.col("line"))
+    return memory.parsed(memory.export(records(spark, sf_dir)).select(line.alias("line"))).drop("body").withColumn("tokens", csv("tokens"))
+
+
 @query(
     """SELECT doc_id, 'Runbook ' || doc_id AS title, array_to_string(list_sort(list_distinct(['svc:svc-' || doc_id % 10, 'errsig:t' || doc_id % 7, 'errsig:slow'])), ',') AS tokens, length(coalesce(text, '')) AS n FROM documents WHERE doc_id % 4 <> 0""",
     views=(RECORDS_SQL,),

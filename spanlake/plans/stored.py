@@ -11,7 +11,7 @@ from spanlake.operators.lineage import folder
 from spanlake.plans import fixtures
 from spanlake.plans.base import HIST_SQL, NS, RED_SQL, S, base_spans, csv, query
 from spanlake.plans.graph import CALLS_SQL, base_calls
-from spanlake.sources import blocks, stored
+from spanlake.sources import blocks, files, stored
 
 
 def _grown(spark, name, batches, **kw):
@@ -107,3 +107,42 @@ def stored_blocks(spark, sf_dir):
     blocks.expire(spark, path, retention_ns=5 * S, now_ns=NS + 2 * third)
     blocks.compact(spark, path)
     return blocks.read(spark, path).select("tenant", "tier", F.col("hour").cast("bigint").alias("hour"), "trace_id", "span_id")
+
+
+@query(
+    f"""starts AS (SELECT tenant, trace_id, min(start_ns) // {3600 * S} AS hour, CASE WHEN max(is_error::int) = 1 THEN 'anomalous' ELSE 'sampled' END AS tier FROM spans GROUP BY tenant, trace_id)
+SELECT s.tenant, tier, hour, count(DISTINCT s.trace_id) AS traces, count(*) AS spans, min(start_ns) AS first_ns, max(end_ns) AS last_ns FROM spans s JOIN starts t ON t.tenant = s.tenant AND t.trace_id = s.trace_id GROUP BY s.tenant, tier, hour"""
+)
+def write_span_blocks(spark, sf_dir):
+    """A row for each block that was written."""
+    rows = base_spans(spark, sf_dir)
+    kept = rows.groupBy("tenant", "trace_id").agg(F.min("start_ns").alias("start_ns"), F.when(F.max("is_error"), "anomalous").otherwise("sampled").alias("tier"))
+    path = f"{folder(spark)}/blocks-{uuid.uuid4().hex}"
+    files.write_blocks(rows, kept, path)
+    return files.manifest(spark.read.parquet(path)).drop("checksum").withColumn("hour", F.col("hour").cast("bigint"))
+
+
+def _lines(rows, path):
+    """Rows as files of lines by tenant, with a blank and a malformed line after each 50th."""
+    line = F.to_json(F.struct(*(c for c in rows.columns if c not in ("tenant", "n"))))
+    rows.select("tenant", F.when(F.col("n") % 50 == 0, F.concat(line, F.lit('\n\n{"ts": broken'))).otherwise(line).alias("line")).write.partitionBy("tenant").text(path)
+
+
+def _at():
+    return F.timestamp_millis(F.expr("ts_ns div 1000000")).alias("ts")
+
+
+@query("SELECT tenant, trace_id, service, level, body, ts_ns // 1000000 AS ts_ms FROM logs", views=(fixtures.LOGS_SQL,))
+def read_logs_ndjson(spark, sf_dir):
+    path = f"{folder(spark)}/logs-{uuid.uuid4().hex}"
+    _lines(fixtures.logs(spark, sf_dir).select("tenant", _at(), "trace_id", "service", "level", "body", F.col("log_id").alias("n")), path)
+    return files.read_ndjson(spark, path, pattern="*.txt").select("tenant", "trace_id", "service", "level", "body", F.unix_millis("ts").alias("ts_ms"))
+
+
+@query("SELECT tenant, trace_id, service, name AS operation, value, 'e' || (exemplar_id % 7) AS label, ts_ns // 1000000 AS ts_ms FROM exemplars", views=(fixtures.EXEMPLARS_SQL,))
+def read_exemplars_ndjson(spark, sf_dir):
+    path = f"{folder(spark)}/exemplars-{uuid.uuid4().hex}"
+    label = F.create_map(F.lit("e"), F.expr("concat('e', exemplar_id % 7)")).alias("labels")
+    _lines(fixtures.exemplars(spark, sf_dir).select("tenant", _at(), "trace_id", "service", F.col("name").alias("operation"), "value", label, F.col("exemplar_id").alias("n")), path)
+    rows = files.read_ndjson(spark, path, files.EXEMPLAR, pattern="*.txt")
+    return rows.select("tenant", "trace_id", "service", "operation", "value", F.col("labels")["e"].alias("label"), F.unix_millis("ts").alias("ts_ms"))

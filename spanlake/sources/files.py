@@ -11,10 +11,10 @@ EXEMPLAR = "ts timestamp, trace_id string, span_id string, service string, opera
 HOUR = 3600 * 1_000_000_000
 
 
-def read_ndjson(spark: SparkSession, folder: str, schema: str = LOG) -> DataFrame:
-    """Rows of ``folder/tenant=<tenant>/*.ndjson`` with their tenant. Blank and malformed lines are skipped; no folder gives no rows."""
+def read_ndjson(spark: SparkSession, folder: str, schema: str = LOG, *, pattern: str = "*.ndjson") -> DataFrame:
+    """Rows of ``folder/tenant=<tenant>/*.ndjson``, or other names, with their tenant. Blank and malformed lines are skipped; no folder gives no rows."""
     try:
-        rows = spark.read.schema(f"{schema}, tenant string").option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.ndjson").json(folder)
+        rows = spark.read.schema(f"{schema}, tenant string").option("mode", "DROPMALFORMED").option("pathGlobFilter", pattern).json(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -129,3 +129,15 @@ def test_assign_many(spark):
             assert {x.event_id: x.incident for x in again.collect()} == got
     table = incidents.summarize(incidents.assign(table, hops, window_ns=300, dedupe_ns=2000), hops, latest=2).collect()
     assert all(x.score <= 0.69 for x in table if x.provisional) and all(len(x.event_ids) == min(2, x.events) for x in table)
+
+
+def test_timeout_mismatches(spark):
+    from spanlake.operators import incidents
+
+    slow = [0] * 16
+    slow[9] = 100  # half a second
+    red = spark.createDataFrame([("t", "db", slow), ("t", "idle", [0] * 16)], "tenant string, service string, hist array<long>")
+    rows = [("t", "2", "a", "op", "db", 100_000_000, True), ("t", "1", "a", "op", "db", 100_000_000, True), ("t", "3", "a", "op", "db", 100_000_000, False), ("t", "4", "a", "op", "db", 9_000_000_000, True), ("t", "5", "a", "op", None, 1, True), ("t", "6", "a", "op", "db", None, True), ("t", "7", "a", "op", "idle", 1, True), ("u", "8", "a", "op", "db", 1, True)]
+    clients = spark.createDataFrame(rows, "tenant string, trace_id string, service string, name string, callee string, timeout_ns long, exceeded boolean")
+    got = [(r.callee, r.timeout_ns, r.calls, r.trace_id) for r in incidents.timeout_mismatches(clients, red).collect()]
+    assert got == [("db", 100_000_000, 2, "1")]

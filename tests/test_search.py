@@ -90,3 +90,9 @@ def test_search_reads_postings_only(spark, tmp_path):
 def test_no_spans(spark, tmp_path):
     postings.write(spark.createDataFrame([], SPANS), f"{tmp_path}/p")
     assert spark.read.schema("value string").parquet(f"{tmp_path}/p/values").count() == 0
+
+
+def test_parsed_lines(spark):
+    lines = ['{"record_id":7,"tenant":"t","kind":"incident","created_at":"2024-01-01T00:00:01Z","tokens":["a"],"weight":1.5}', '{"schema":"9","record_id":"x","tenant":"t"}', "", "  ", "no json", '{"tenant":"t"}', '{"schema":"1","record_id":"y","tenant":"t","created_at":"then","extra":1}']
+    got = {(r.record_id, r.created_ns, r.error) for r in memory.parsed(spark.createDataFrame([(x,) for x in [*lines, None]], "line string")).collect()}
+    assert got == {("7", 1_704_067_201_000_000_000, None), ("x", None, "schema"), (None, None, "malformed"), ("y", None, None)}
