@@ -96,7 +96,11 @@ def similar(queries: DataFrame, records: DataFrame, *, now_ns: int, top: int = 1
     few = nearest(queries, records, most=candidates).select("query_id", "tenant", "record_id")
     own = records.withColumn("effective", effective_weight(now_ns)).select("tenant", "record_id", "tokens", words(F.col("body")).alias("words"), "effective", "supersedes_id")
     q = queries.select("query_id", F.col("tokens").alias("q_tokens"), F.when(F.col("body") != "", words(F.col("body"))).alias("q_words"))
-    pairs = few.join(own, ["tenant", "record_id"]).join(q, "query_id")
+    # The numbers of words bound the similarity of words: only pairs that may reach the least score meet their words.
+    light = few.join(own.select("tenant", "record_id", "tokens", F.size("words").alias("m")), ["tenant", "record_id"]).join(q.select("query_id", "q_tokens", F.when(F.col("q_words").isNotNull(), F.size("q_words")).alias("k")), "query_id")
+    at_most = F.coalesce(F.try_divide(F.least("m", "k"), F.greatest("m", "k")), F.lit(0.0))
+    bound = F.when(F.col("k").isNull(), jaccard("q_tokens", "tokens")).otherwise(0.7 * jaccard("q_tokens", "tokens") + 0.3 * at_most)
+    pairs = light.where(bound >= least - 1e-9).select("query_id", "tenant", "record_id", "q_tokens", "tokens").join(own.drop("tokens"), ["tenant", "record_id"]).join(q.select("query_id", "q_words"), "query_id")
     score = F.when(F.col("q_words").isNull(), jaccard("q_tokens", "tokens")).otherwise(0.7 * jaccard("q_tokens", "tokens") + 0.3 * jaccard("q_words", "words"))
     found = pairs.withColumn("score", score).where(F.col("score") >= least).withColumn("worth", F.col("score") * (1 + F.col("effective"))).select("query_id", "tenant", "record_id", "score", "worth", "supersedes_id")
     fixes = found.where("supersedes_id is not null").groupBy("query_id", F.col("supersedes_id").alias("record_id")).agg(F.max("worth").alias("above"))
