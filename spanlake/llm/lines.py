@@ -10,10 +10,17 @@ word, joins equal ones, and the partner that is found is verified on the words t
 lines that can have a partner: of two lines one edit apart, the first or the last half of the words is equal, and those
 halves, as hashed keys, are compared first.
 
-Longer lines, k edits: all variants without up to k words would be far too many. Words are dealt to 2 k + 1 classes by their
-hash, and a line emits, for each class, the variant that has lost the words of all other classes. An edit touches two classes
-at most, so two lines k edits apart have one such variant in common. Should that be an empty one, the first k + 1 words in
-a fixed order stand for the line: of these too the two have one in common. What shares a key is verified word by word.
+Longer lines, k edits: all variants without up to k words would be far too many. So a line is taken as the bag of its words,
+each with its how manieth it is of that word; an edit takes one of these away at most and adds one at most, so k edits alter
+2 k of them. Bags are dealt to classes by hash, and the lines emit
+
+- first, for each of 2 k + 1 classes, the variant that has lost the words of all other classes (``class_keys``): one class at
+  least is left alone by k edits. Only lines that share such a key go on.
+- then, for each of k + 1 classes, that class as it is and all its variants without one word (``deletion_keys``): in one class
+  at least, k edits alter one word at most.
+
+Keys of both kinds are as many as the words, whatever the length; a key of fewer words than ``_least`` is emitted together with those of
+another dealing. What shares a key is verified word by word.
 """
 
 from __future__ import annotations
@@ -31,8 +38,8 @@ from spanlake.llm.common import discard, fresh, release, stored, texts
 MIN_WORDS = 4
 #: Words for each of which a line may have an edit more, and from which it may have two.
 STEP = 20
-#: Words, and lines under the same keys, that are looked at together.
-CHUNK, SOME = 200_000, 128
+#: Words, and lines under the same keys, that are looked at together; lines of a key that a task holds at once, about.
+CHUNK, SOME, HELD = 200_000, 128, 2048
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -113,64 +120,105 @@ def variants(own):
     return _mixed(keys).view(np.int64)
 
 
+def _bound(k: int) -> int:
+    """k, or the next number over it that has three binary digits and then zeros: lines within a quarter share their dealings."""
+    step = 1 << max(k.bit_length() - 3, 0)
+    return -(-k // step) * step
+
+
 @functools.lru_cache(100_000)
 def _families(n: int) -> list[int]:
-    """Bounds that a line of n words has with lines of its own length or more, and with shorter ones."""
-    out, m = {edits(n)}, n
-    while m > STEP and n - (m - 1) <= edits(m - 1):
-        m -= 1
-        out.add(edits(m))
-    return sorted(out)
+    """Bounds, rounded up, that a line of n words has with lines of its own length or more, and with shorter ones."""
+    m = max(STEP, (n - 1) * STEP // (STEP + 1) - 1)
+    while n - m > edits(m):
+        m += 1
+    return sorted({_bound(k) for k in range(edits(m), edits(n) + 1)})
 
 
-def class_keys(lines: list[list[str]]):
-    """(places in ``lines``, odd keys) of lines of ``STEP`` words or more; one key at least is shared by any two of them that
-    are at most ``edits`` apart."""
+def _least(k: int) -> int:
+    """Words that a key of bound k has at least, where another dealing can give them. Classes of longer lines are rarely
+    smaller, and the longest lines have so many that an empty one tells enough by its number."""
+    return 4 if k < 16 else 1 if k < 1024 else 0
+
+
+#: Dealings that are taken together for a key of few words.
+DEALINGS = 4
+
+
+def _bags(lines: list[list[str]]):
+    """(places in ``lines``, hashes): the words, each with its how manieth it is of that word in its line."""
+    import numpy as np
+
+    place, h = np.repeat(np.arange(len(lines)), [len(w) for w in lines]), word_hashes(lines)
+    order = np.lexsort((h, place))
+    place, h = place[order], h[order]
+    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (place[1:] != place[:-1])])
+    ranks = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
+    return place, _mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE))
+
+
+def _spans(starts, counts):
+    """All places from each of ``starts`` on, as many as ``counts`` says."""
+    import numpy as np
+
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _dealt(lines: list[list[str]], touched: int, drop: bool):
+    """(places in ``lines``, odd keys) from classes so many that ``edits`` leave one with fewer than ``touched`` altered words;
+    with ``drop``, of each class the variants without one word too. Classes carry sums of their words' hashes."""
     import numpy as np
 
     families: dict[int, list[int]] = {}
     for i, words in enumerate(lines):
         for k in _families(len(words)):
             families.setdefault(k, []).append(i)
-    ends = np.cumsum([0, *map(len, lines)])
-    all_ = word_hashes(lines)
-    hashes = [all_[i:j] for i, j in zip(ends[:-1], ends[1:])]
     owners, keys = [], []
     for k, members in families.items():
-        p, own = 2 * k + 1, [hashes[i] for i in members]
-        sizes = np.array([len(h) for h in own])
-        h = np.concatenate(own)
-        group = np.repeat(np.arange(len(own)) * p, sizes) + ((h >> np.uint64(33)) % np.uint64(p)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        group, h = group[order], h[order]
-        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        counts = np.diff(np.r_[starts, len(group)])
-        powers = _power(_BASE, int(counts.max()))
-        ranks = np.arange(len(group)) - np.repeat(starts, counts)
-        sums = np.add.reduceat(h * powers[ranks], starts)
-        place, kind = np.divmod(group[starts], p)
-        owners.append(np.array(members)[place])
-        salt = np.uint64(((k << 32) * _BASE) & _ALL)
-        keys.append(_mixed(sums + salt + kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + counts.astype(np.uint64)))
-        for i in np.flatnonzero(np.bincount(place, minlength=len(members)) < p):
-            least = _least_words(own[i], k)
-            owners.append(np.full(len(least), members[i]))
-            keys.append(_mixed(least + np.uint64((k * _BACK) & _ALL)))
+        p, least = 2 * k // touched + 1, _least(k)
+        place, h = _bags([lines[i] for i in members])
+        line = np.arange(len(members))  # of which keys are still open: the line, what the dealings before gave, and of how many words
+        sums, sizes = np.full(len(line), ((k << 32) * _BASE + touched) & _ALL, np.uint64), np.zeros(len(line), np.int64)
+        for dealing in range(DEALINGS):
+            own = _mixed(h + np.uint64((dealing + 1) * _BACK & _ALL))
+            group = place * p + ((own >> np.uint64(33)) % np.uint64(p)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            group, own = group[order], own[order]
+            counts = np.bincount(group, minlength=len(members) * p)
+            total = np.zeros(len(counts), np.uint64)
+            full = np.flatnonzero(counts)
+            total[full] = np.add.reduceat(own, (np.cumsum(counts) - counts)[full])
+            # The variants of this dealing, those of a line next to each other.
+            at, key, size = np.arange(len(counts)), total, counts
+            if drop:
+                at, key, size = np.r_[at, group], np.r_[key, total[group] - own], np.r_[size, counts[group] - 1]
+                order = np.argsort(at, kind="stable")
+                at, key, size = at[order], key[order], size[order]
+            key = _mixed(key + (at % p).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64))
+            of_line = np.bincount(at // p, minlength=len(members))
+            each = _spans((np.cumsum(of_line) - of_line)[line], of_line[line])
+            line, before = np.repeat(line, of_line[line]), of_line[line]
+            sums, sizes = _mixed(np.repeat(sums, before) * np.uint64(_BASE) + key[each]), np.repeat(sizes, before) + size[each]
+            done = (sizes >= least) | (dealing == DEALINGS - 1)
+            owners.append(np.array(members)[line[done]])
+            keys.append(sums[done])
+            line, sums, sizes = line[~done], sums[~done], sizes[~done]
+            if not len(line):
+                break
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(owners), (np.concatenate(keys) | np.uint64(1)).view(np.int64)
 
 
-def _least_words(h, k: int):
-    """Hashes of the first k + 1 words in an order of (word, its how manieth in the line): what is repeated most comes first,
-    since few lines share it."""
-    import numpy as np
+def class_keys(lines: list[list[str]]):
+    """(places in ``lines``, odd keys) of lines of ``STEP`` words or more; one key at least is shared by any two of them that
+    are at most ``edits`` apart."""
+    return _dealt(lines, 1, False)
 
-    h = np.sort(h)
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    ranks = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-    own = _mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE))
-    return own[np.lexsort((own, -ranks))[: k + 1]]
+
+def deletion_keys(lines: list[list[str]]):
+    """The same, of fewer and larger classes, with all their variants without one word."""
+    return _dealt(lines, 2, True)
 
 
 def within(a: list[str], b: list[str], most: int) -> bool:
@@ -217,7 +265,7 @@ def one_edit(a: list[str], b: list[str]) -> bool:
 
 
 class Earlier:
-    """The lines under one key, as they come; ``has_near`` asks whether one that came before is near. Counts of words by hash
+    """The lines under one key, or in one block of it, as they come; ``has_near`` asks whether one that came before is near. Counts of words by hash
     rule out most of them: an edit raises and lowers one of those counts by one at most."""
 
     BUCKETS = 128
@@ -386,33 +434,58 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         close = stored(close, "settled")
         settled.append(close)
 
+        def emit_long(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                lines = [x.split(" ") for x in batch.column("words").to_pylist()]
+                sizes, at = np.cumsum([0, *map(len, lines)]), 0
+                while at < len(lines):
+                    end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK // 4)) - 1)
+                    owners, keys = deletion_keys(lines[at:end])
+                    for i in range(0, len(keys), CHUNK):
+                        own = batch.take(pa.array(owners[i : i + CHUNK] + at))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + CHUNK]), own.column("id"), own.column("line"), own.column("open")], names=["key", "id", "line", "open"])
+                    at = end
+
         def later(batches):
             import pyarrow as pa
 
-            key, group = None, None
-            for batch in batches:  # sorted by key, then in the order of lines
+            now, group = None, None
+            for batch in batches:  # sorted by key and block, then in the order of lines
                 good = []
                 for at in range(0, batch.num_rows, SOME):
                     part = batch.slice(at, SOME)
                     texts_ = part.column("words").to_pylist()
                     lines = [x.split(" ") for x in texts_]
                     counts = word_counts(lines)
-                    for i, (k, open_) in enumerate(zip(part.column("key").to_pylist(), part.column("open").to_pylist())):
-                        if k != key:
-                            key, group = k, Earlier()
+                    for i, (k, b, open_, held) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "block", "open", "held")))):
+                        if (k, b) != now:
+                            now, group = (k, b), Earlier()
                         if open_ and group.has_near(lines[i], counts[i]):
                             good.append(at + i)
-                        group.add(texts_[i], len(lines[i]), counts[i])
+                        if held:
+                            group.add(texts_[i], len(lines[i]), counts[i])
                 yield batch.select(["id", "line"]).take(pa.array(good, pa.int64()))
 
-        # Then those that aren't settled by it, with the others before them, up to the first that is near.
+        def asked(rows):
+            """Keys with open lines and the number of their lines; of keys with the same lines one is enough, and near copies share many."""
+            members = [F.bit_xor(F.xxhash64(*c)).alias(n) for n, c in (("one", ("id", "line")), ("two", ("line", "id")))]
+            out = rows.groupBy("key").agg(F.max("open").alias("any"), F.count("*").alias("n"), *members).where("any and n > 1")
+            return out.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key", "n")
+
+        # Then those that aren't settled by it, with the lines before them that share a variant, up to the first that is near.
         rest = shared.where("key % 2 <> 0").join(close.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull() & (own != F.col("least")))
-        # Near copies share many keys; of keys with the same lines one is enough.
-        members = [F.bit_xor(F.xxhash64(*c)).alias(n) for n, c in (("one", ("id", "line")), ("two", ("line", "id")))]
-        asked = rest.groupBy("key").agg(F.max("open").alias("any"), F.count("*").alias("n"), *members).where("any and n > 2")
-        asked = asked.groupBy("n", "one", "two").agg(F.min("key").alias("key")).select("key")
-        rest = rest.join(asked, "key").join(picked, ["id", "line"]).select("key", "id", "line", "open", "words")
-        more = rest.repartition("key").sortWithinPartitions("key", "id", "line").mapInArrow(later, f"id {kind}, line int")
+        some = rest.join(asked(rest).where("n > 2"), "key").groupBy("id", "line").agg(F.max("open").alias("open"))
+        long_ = stored(some.join(picked, ["id", "line"]).select("id", "line", "open", "words").mapInArrow(emit_long, f"key long, id {kind}, line int, open boolean").distinct(), "variants")
+        settled.append(long_)
+        # Lines of a large key are held in blocks, and its open ones come to each block.
+        blocks = F.ceil(F.col("n") / HELD).cast("int")
+        rest = long_.join(asked(long_), "key").withColumn("own_block", F.pmod(F.xxhash64("id", "line"), blocks).cast("int"))
+        rest = rest.withColumn("block", F.explode(F.when(F.col("open"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own_block"))))
+        rest = rest.join(picked, ["id", "line"]).select("key", "block", "id", "line", "open", (F.col("block") == F.col("own_block")).alias("held"), "words")
+        more = rest.repartition("key", "block").sortWithinPartitions("key", "block", "id", "line").mapInArrow(later, f"id {kind}, line int")
         close = close.unionByName(more).distinct()
     out = stored(again.unionByName(close.withColumn("near", F.lit(True))), "dropped")
     discard(again, shared, picked, *settled)

@@ -1,5 +1,7 @@
 """Line dedup of rows that share an id."""
 
+import itertools
+import random
 from collections import Counter
 
 from spanlake.llm import lines
@@ -20,3 +22,40 @@ def test_shared_ids(spark):
         assert (got["e"].text, got["e"]._exact, got["e"]._near) == ("last line of all", 1, 1)
         left = Counter(x for r in got.values() for x in set((r.text or "").split("\n")))
         assert all(left[x] for x in ("epsilon zeta eta theta", "unique words only here", "x y", "last line of all", "alpha beta gamma delta"))
+
+
+def test_key_counts():
+    """Keys grow with a line's words, not with their square."""
+    rng = random.Random(8)
+    for n in (20, 400, 5000, 500_000):
+        line = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        assert len(lines.class_keys([line])[1]) <= 3 * n and len(lines.deletion_keys([line])[1]) <= 12 * n
+
+
+def test_long_line(spark):
+    """A line of 200 000 words meets its near copy; one with an edit too many for a short line doesn't."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(200_000)]
+    other = [f"x{k}" if k % 20_000 == 7 else w for k, w in enumerate(words)]
+    body = [(1, " ".join(words)), (2, "short one\n" + " ".join(other)), (3, " ".join(reversed(words[: 100_000])))]
+    got = lines.dropped_lines(spark.createDataFrame(body, "doc_id long, text string"), grow=True).collect()
+    assert [(r.id, r.line, r.near) for r in got] == [(2, 1, True)]
+
+
+def test_hot_key(spark, monkeypatch):
+    """Lines of one template that are no near copies share keys: held in blocks, each still meets all earlier ones."""
+    monkeypatch.setattr(lines, "HELD", 8)
+    rng = random.Random(10)
+    base, made = [f"t{k}" for k in range(24)], []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(24), 4):
+            words[at] = f"v{rng.randrange(10**6)}"
+        made.append(words)
+        if k % 9 == 8:
+            near = list(rng.choice(made))
+            near[rng.randrange(24)] = "edited"
+            made.append(near)
+    want = {b for a, b in itertools.combinations(range(len(made)), 2) if lines.within(made[a], made[b], 2)}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string")
+    assert {r.id for r in lines.dropped_lines(df, grow=True).collect()} == want and len(want) >= 10

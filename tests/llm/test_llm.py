@@ -395,7 +395,7 @@ def test_pipeline(spark, tmp_path):
     last = p.STAGES[-1][1](spark, kept, SMALL)
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {r.doc_id for r in last.select("doc_id").collect()} == ids and 0 < len(ids) < docs.count()
-    assert set(queries.QUERIES) == {n for n in queries.QUERIES if n.startswith("op")} and len(queries.QUERIES) == 10
+    assert set(queries.QUERIES) == {n for n in queries.QUERIES if n.startswith("op")} and len(queries.QUERIES) == 13
 
 
 BIG = 2**53
@@ -474,7 +474,7 @@ def test_lines_left(spark, docs):
 
 
 def test_class_keys():
-    """Two lines of up to ``edits`` edits share a key, words that repeat and hash classes without a word included."""
+    """Two lines of up to ``edits`` edits share a key of both kinds, words that repeat and hash classes without a word included."""
     import random
 
     rng = random.Random(6)
@@ -486,8 +486,9 @@ def test_class_keys():
             at, kind = rng.randrange(len(b)), rng.randrange(3)
             b[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice(vocabulary)]
         if min(len(a), len(b)) >= lines.STEP and lines.near(a, b):
-            owners, keys = lines.class_keys([a, b])
-            assert set(keys[owners == 0]) & set(keys[owners == 1])
+            for made in (lines.class_keys, lines.deletion_keys):
+                owners, keys = made([a, b])
+                assert set(keys[owners == 0]) & set(keys[owners == 1])
 
 
 def test_quality_list(spark, docs):
