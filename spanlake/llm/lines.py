@@ -138,7 +138,7 @@ def _families(n: int) -> list[int]:
 def _least(k: int) -> int:
     """Words that a key of bound k has at least, where another dealing can give them. Classes of longer lines are rarely
     smaller, and the longest lines have so many that an empty one tells enough by its number."""
-    return 4 if k < 16 else 1 if k < 1024 else 0
+    return 3 if k < 16 else 1 if k < 1024 else 0
 
 
 #: Dealings that are taken together for a key of few words.
