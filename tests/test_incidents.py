@@ -141,3 +141,19 @@ def test_timeout_mismatches(spark):
     clients = spark.createDataFrame(rows, "tenant string, trace_id string, service string, name string, callee string, timeout_ns long, exceeded boolean")
     got = [(r.callee, r.timeout_ns, r.calls, r.trace_id) for r in incidents.timeout_mismatches(clients, red).collect()]
     assert got == [("db", 100_000_000, 2, "1")]
+
+
+def test_group_over_blocks(spark):
+    """Components that reach over many blocks of time are found whole, in rounds that grow with the logarithm of their number."""
+    events = [(f"e{(k * 37) % 600:03}", f"t{k % 2}", f"s{k % 3}", f"f{k % 6}", 50 * k + (2000 if k > 400 else 0)) for k in range(600)]
+    near = {(t, a, b) for t in ("t0", "t1") for a, b in (("s0", "s1"), ("s1", "s0"))}
+    table = spark.createDataFrame(events, "event_id string, tenant string, service string, fingerprint string, at_ns long")
+    hops = spark.createDataFrame(sorted(near), "tenant string, service string, other string")
+    kept, calls = incidents.cut, []
+    incidents.cut = lambda df: calls.append(1) or kept(df)
+    try:
+        got = {x.event_id: x.incident for x in incidents.group(table, hops, same_ns=320, near_ns=100, block_ns=400, widen=8).collect()}
+    finally:
+        incidents.cut = kept
+    assert got == brute(events, near, 320, 100) and len(set(got.values())) > 2
+    assert len(calls) <= 11  # two inputs, the links, and two for each of four rounds at most
