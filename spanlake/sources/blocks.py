@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators import lifecycle
-from spanlake.sources.files import write_blocks
+from spanlake.sources.files import hour, write_placed
 from spanlake.sources.versions import complete, delete, names, place
 
 BLOCK = ["tenant", "tier", "hour"]
@@ -28,9 +28,14 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame | None:
 
 def append(spans: DataFrame, kept: DataFrame, folder: str) -> None:
     """Spans of the traces in ``kept`` (as for ``write_blocks``), as files of their own."""
-    spark, number = spans.sparkSession, _next(spans.sparkSession, folder)
+    append_placed(spans.join(kept.select("tenant", "trace_id", "tier", hour("start_ns").alias("hour")), ["tenant", "trace_id"]), folder, whole_traces=False)
+
+
+def append_placed(rows: DataFrame, folder: str, *, whole_traces: bool = True) -> None:
+    """Spans with tier and hour (as for ``write_placed``), as files of their own."""
+    spark, number = rows.sparkSession, _next(rows.sparkSession, folder)
     home = place(f"{folder}/files", "write", number)
-    write_blocks(spans, kept, home)
+    write_placed(rows, home, whole_traces=whole_traces)
     old, new = manifest(spark, folder), _files(spark, folder, home)
     if new is not None:
         _swap(new if old is None else old.unionByName(new), folder, number)

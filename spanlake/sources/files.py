@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG = "ts timestamp, trace_id string, span_id string, service string, level string, body string, attrs map<string, string>"
@@ -23,12 +23,23 @@ def read_ndjson(spark: SparkSession, folder: str, schema: str = LOG, *, pattern:
 
 
 def write_blocks(spans: DataFrame, kept: DataFrame, path: str) -> None:
-    """Spans of the traces in ``kept`` (tenant, trace_id, tier, start_ns), as zstd Parquet by tenant, tier and hour of the trace's start.
+    """Spans of the traces in ``kept`` (tenant, trace_id, tier, start_ns), as zstd Parquet by tenant, tier and hour of the trace's start."""
+    place = kept.select("tenant", "trace_id", "tier", hour("start_ns").alias("hour"))
+    write_placed(spans.join(place, ["tenant", "trace_id"]), path, whole_traces=False)
 
-    A busy hour is dealt to several tasks by trace, so that no task holds a whole block; a trace stays in one file.
+
+def hour(start: str) -> Column:
+    return F.floor(F.col(start) / HOUR).cast("long")
+
+
+def write_placed(rows: DataFrame, path: str, *, whole_traces: bool = True) -> None:
+    """Spans with tier and hour as blocks. A busy hour goes to several tasks, so that no task holds a whole block, a trace stays in one
+    file, and there are about as many files as blocks and tasks together.
+
+    With ``whole_traces``, spans that are dealt by trace already, they are dealt by block, and what is too large is split between
+    the tasks that the spans come from; else they are dealt by ranges of block and trace, for which they are read twice.
     """
-    place = kept.select("tenant", "trace_id", "tier", F.floor(F.col("start_ns") / HOUR).cast("long").alias("hour"))
-    rows = spans.join(place, ["tenant", "trace_id"]).repartition("tenant", "tier", "hour", "trace_id")
+    rows = rows.hint("rebalance", "tenant", "tier", "hour") if whole_traces else rows.repartitionByRange("tenant", "tier", "hour", "trace_id")
     rows.sortWithinPartitions("tenant", "tier", "hour", "trace_id", "start_ns").write.partitionBy("tenant", "tier", "hour").option("compression", "zstd").parquet(path)
 
 

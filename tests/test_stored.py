@@ -148,3 +148,17 @@ def test_bins(spark):
             size[t] = size.get(t, 0) + b
     assert got == {p: k for k, own in found.items() if len(own) > 1 for p, _ in own}
     assert all(sum(b for _, b in own) < 200 for own in found.values())
+
+
+def test_files_of_blocks(spark, tmp_path):
+    """Many blocks aren't cut into a file for each task; a trace stays in one file, whichever way spans are dealt."""
+    from spanlake.sources import files
+
+    rows = spark.range(6000).selectExpr("concat('t', id div 2 % 2) AS tenant", "cast(id div 2 AS string) AS trace_id", "cast(id AS string) AS span_id", f"(id div 2 % 40) * {files.HOUR} AS start_ns")
+    kept = rows.groupBy("tenant", "trace_id").agg(F.min("start_ns").alias("start_ns"), F.lit("hot").alias("tier"))
+    files.write_blocks(rows, kept, f"{tmp_path}/a")
+    files.write_placed(rows.repartition("tenant", "trace_id").withColumns({"tier": F.lit("hot"), "hour": files.hour("start_ns")}), f"{tmp_path}/b")
+    for name in ("a", "b"):
+        back = spark.read.parquet(f"{tmp_path}/{name}").withColumn("file", F.input_file_name())
+        assert back.count() == 6000 and back.groupBy("trace_id").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+        assert back.select("file").distinct().count() <= 40 + spark.sparkContext.defaultParallelism
