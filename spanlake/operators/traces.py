@@ -41,11 +41,11 @@ def _signature(spans) -> str:
     return digest.hexdigest()
 
 
-def path_signature(spans: DataFrame) -> DataFrame:
+def path_signature(spans: DataFrame, *, whole_traces: bool = False) -> DataFrame:
     """(tenant, trace_id, path_signature). Orphans are further roots, sorted with the real ones by (start, span id); spans in
     a parent cycle are not visited; a trace without edges has the hash of the empty string.
 
-    Spans are dealt by trace, sorted, and read once; a worker holds those of one trace, all of them.
+    Spans are dealt by trace, unless ``whole_traces`` says that they are, sorted, and read once; a worker holds those of one trace, all of them.
     """
 
     def sign(batches):
@@ -68,7 +68,8 @@ def path_signature(spans: DataFrame) -> DataFrame:
         if own:
             yield rows([(*key, _signature(own))])
 
-    dealt = spans.select("tenant", "trace_id", "start_ns", "span_id", "parent_span_id", "service", "name").repartition("tenant", "trace_id")
+    dealt = spans.select("tenant", "trace_id", "start_ns", "span_id", "parent_span_id", "service", "name")
+    dealt = dealt if whole_traces else dealt.repartition("tenant", "trace_id")
     return dealt.sortWithinPartitions("tenant", "trace_id", "start_ns", "span_id").mapInArrow(sign, "tenant string, trace_id string, path_signature string")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.operators import sampling, spans, traces
+from spanlake.operators.lineage import cut
 from spanlake.plans import fixtures
 from spanlake.plans.base import S, TRACES_SQL, base_spans, query
 from spanlake.plans.spans import PATHS_SQL
@@ -24,13 +25,13 @@ VIEWS = (fixtures.SPANS_SQL, TRACES_SQL, PATHS_SQL, _BASE_SQL, _SIGNED, _DECIDE)
 
 
 def signed_traces(spark, sf_dir):
-    own = base_spans(spark, sf_dir)
-    return traces.rollup(own).join(traces.path_signature(own), ["tenant", "trace_id"])
+    own = base_spans(spark, sf_dir, whole_traces=True)
+    return cut(traces.rollup(own).join(traces.path_signature(own, whole_traces=True), ["tenant", "trace_id"]))  # read twice for rare ones
 
 
 def predicates(spark, sf_dir):
     """Of each tenant: slow traces of one service, then traces with errors of half a second."""
-    tenants = base_spans(spark, sf_dir).select("tenant").distinct()
+    tenants = fixtures.raw_spans(spark, sf_dir).select("tenant").distinct()
     empty = F.array().cast("array<string>")
     one = tenants.select("tenant", F.lit(1).alias("seq"), F.concat(F.lit("slow-"), "tenant").alias("predicate"), F.lit(900_000_000).alias("min_duration_ns"), F.lit(False).alias("errors_only"), empty.alias("trace_ids"), empty.alias("signatures"), F.array(F.concat(F.lit("svc-"), F.expr("substr(tenant, 8)"))).alias("services"), F.lit(3).alias("hits"), F.lit(0).alias("expires_ns"))
     two = tenants.select("tenant", F.lit(2).alias("seq"), F.lit("errors").alias("predicate"), F.lit(500_000_000).alias("min_duration_ns"), F.lit(True).alias("errors_only"), empty.alias("trace_ids"), empty.alias("signatures"), empty.alias("services"), F.lit(1).alias("hits"), F.lit(5).alias("expires_ns"))
