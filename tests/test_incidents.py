@@ -157,3 +157,28 @@ def test_group_over_blocks(spark):
         incidents.cut = kept
     assert got == brute(events, near, 320, 100) and len(set(got.values())) > 2
     assert len(calls) <= 11  # two inputs, the links, and two for each of four rounds at most
+
+
+def test_series_without_exemplars(spark):
+    """Where no exemplar is shown, the rollup, its quantiles and windows need no sort, and spans are dealt once before the dedupe."""
+    from spanlake.functions import latency
+    from spanlake.operators import anomaly, graph, red, spans
+
+    r = random.Random(2)
+    rows = [("t", f"{k:04}", f"{i}", f"s{r.randrange(3)}", "op", 10**9 * k, int(10 ** r.uniform(3, 11)), r.random() < 0.2) for k in range(120) for i in range(3)]
+    table = spark.createDataFrame(rows, "tenant string, trace_id string, span_id string, service string, name string, received_ns long, duration_ns long, is_error boolean")
+    plain = red.rollup(table, exemplars=0)
+    assert "exemplars" not in plain.columns
+    series = latency.with_quantiles(plain)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan(anomaly.window_groups(series)) and "WindowGroupLimit" not in plan(spans.dedupe(table))
+    q = latency.quantiles(F.col("hist"))
+    every = [x for x in series.withColumn("q", q).collect()]
+    assert every and all((x.p50_ns, x.p95_ns, x.p99_ns) == (x.q.p50, x.q.p95, x.q.p99) for x in every)
+    empty = spark.createDataFrame([([0] * 16,)], "hist array<long>")
+    assert latency.with_quantiles(empty).first()[1:] == (0, 0, 0)
+    calls = [("t", "1", "c", None, "a", "op", 3, 5, 10, 1, {}), ("t", "1", "s1", "c", "b", "op", 2, 20, 9, 1, {}), ("t", "1", "s2", "c", "b", "op", 2, 20, 9, 2, {}), ("t", "1", "s3", None, "b", "op", 2, 20, 9, 1, {}), ("t", "1", "p", "c", "a", "op", 3, 7, 9, 1, {"peer.service": "z"}), ("t", "1", "s4", "p", "b", "op", 2, 8, 9, 1, {})]
+    own = spark.createDataFrame(calls, "tenant string, trace_id string, span_id string, parent_span_id string, service string, name string, kind int, received_ns long, duration_ns long, status_code int, attrs map<string, string>")
+    got = {(x.span_id, x.caller, x.callee, x.failed) for x in graph.calls(own, within_ns=100).collect()}
+    assert got == {("s1", "a", "b", False), ("s2", "external", "b", True), ("s3", "external", "b", False), ("p", "a", "z", False), ("s4", "external", "b", False)}
+    assert plan(graph.calls(own.repartition("tenant", "trace_id"))).count("Scan") == 1 and "Join" not in plan(graph.calls(own))
