@@ -182,3 +182,11 @@ def test_series_without_exemplars(spark):
     got = {(x.span_id, x.caller, x.callee, x.failed) for x in graph.calls(own, within_ns=100).collect()}
     assert got == {("s1", "a", "b", False), ("s2", "external", "b", True), ("s3", "external", "b", False), ("p", "a", "z", False), ("s4", "external", "b", False)}
     assert plan(graph.calls(own.repartition("tenant", "trace_id"))).count("Scan") == 1 and "Join" not in plan(graph.calls(own))
+
+
+def test_faulted_spans_shuffle_no_attributes(spark):
+    from spanlake.operators import red
+    from spanlake.plans.anomaly import faulted_spans
+
+    plan = red.rollup(faulted_spans(spark, "/root/testdata/sf0.001"), exemplars=0)._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" in plan and "attrs#" not in plan
