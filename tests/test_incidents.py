@@ -190,3 +190,41 @@ def test_faulted_spans_shuffle_no_attributes(spark):
 
     plan = red.rollup(faulted_spans(spark, "/root/testdata/sf0.001"), exemplars=0)._jdf.queryExecution().sparkPlan().toString()
     assert "Window" in plan and "attrs#" not in plan
+
+
+def test_series_are_counted_before_slots(spark):
+    """Baselines hand counts of an hour to its slots, not every bucket, and sort few; verdicts that don't breach and deploys aren't
+    sorted or multiplied. Values are those of the definition, over days and with fewer and more buckets than the window."""
+    from spanlake.operators import anomaly, baseline
+
+    r, hour = random.Random(3), 3600 * 10**9
+    rows = [("t", "s", f"op{k}", 40 * 24 * hour + h * hour + b * 10 * 10**9, r.randrange(1, 9), r.randrange(2), *sorted(10**6 << r.randrange(6) for _ in range(3))) for k in range(2) for h in (0, 1, 5, 24, 25, 49, 7 * 24, 9 * 24) for b in sorted(r.sample(range(360), 9))]
+    rows = [(*x[:5], min(x[5], x[4]), *x[6:]) for x in rows]
+    table = spark.createDataFrame(rows, "tenant string, service string, name string, bucket_ns long, calls long, errors long, p50_ns long, p95_ns long, p99_ns long")
+    for window in (5, 12, 200):
+        slots = {}
+        for x in rows:
+            for slot in (-1, x[3] // hour % 24, (x[3] // hour // 24 + 3) % 7 + 24):
+                slots.setdefault((x[2], slot), []).append(x)
+        got = {(x.name, x.slot): x for x in baseline.build(table, window=window).collect()}
+        assert got.keys() == slots.keys()
+        for key, own in slots.items():
+            own.sort(key=lambda x: -x[3])
+            for i, c in enumerate(("p50_ns", "p95_ns", "p99_ns")):
+                ordered = sorted(x[6 + i] for x in own)
+                assert got[key][c] == (ordered[(len(own) - 1) // 2] + ordered[len(own) // 2]) / 2
+            latest = list(enumerate(own[:window]))
+            assert abs(got[key].error_rate - sum(0.2 * 0.8**k * x[5] / x[4] for k, x in latest)) < 1e-12
+            assert abs(got[key].rps - sum(0.2 * 0.8**k * x[4] / 10 for k, x in latest)) < 1e-12
+            assert (got[key].n, got[key].first_ns) == (len(own), own[-1][3])
+    plan = lambda df: [x.strip(" :+-*") for x in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    lines = plan(baseline.build(table))
+    handed = [lines[i + 1] for i, x in enumerate(lines) if x.startswith("Generate")]
+    assert handed and all(x.startswith("HashAggregate") for x in handed)
+    lines = plan(anomaly.debounced(spark.createDataFrame([], "tenant string, service string, name string, kind string, tick_ns long, breach boolean")))
+    inner = [i for i, x in enumerate(lines) if x.startswith("Window")]
+    assert len(inner) == 2 and any(x.startswith("Filter") and "breach" in x for x in lines[inner[0] : inner[1]])
+    deploys = spark.createDataFrame([("t", "s", "d1", 100), ("t", "s", "d2", 300), ("t", "u", "d3", 100)], "tenant string, service string, deploy_id string, at_ns long")
+    events = spark.createDataFrame([("t", "s", 199), ("t", "s", 200), ("t", "s", 401)], "tenant string, service string, ns long")
+    near = anomaly.deploys_near(events, deploys, at="ns", within_ns=100)
+    assert sorted((x.ns, x.deploy_id) for x in near.collect()) == [(199, "d1"), (200, "d1"), (200, "d2")]
