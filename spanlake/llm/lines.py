@@ -371,7 +371,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = lines.where("size(keys) > 0").groupBy("mark").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
     keys = firsts.select(F.explode("keys").alias("key"), F.col("first.id").alias("id"), F.col("first.line").alias("line"))
     all_ = Window.partitionBy("key")
-    shared = stored(keys.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most"), "shared")
+    several = keys.withColumn("n", F.count("*").over(all_)).where("n > 1")  # few are, so ids are compared after it
+    shared = stored(several.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most", "n"), "shared")
     discard(lines)
 
     def pick(batches):
@@ -433,6 +434,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if grow:
         close = stored(close, "settled")
         settled.append(close)
+        release(docs.sparkSession)  # the shuffled variants of short lines, and the pairs with their words
 
         def emit_long(batches):
             import numpy as np
@@ -480,6 +482,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         some = rest.join(asked(rest).where("n > 2"), "key").groupBy("id", "line").agg(F.max("open").alias("open"))
         long_ = stored(some.join(picked, ["id", "line"]).select("id", "line", "open", "words").mapInArrow(emit_long, f"key long, id {kind}, line int, open boolean").distinct(), "variants")
         settled.append(long_)
+        release(docs.sparkSession)  # the keys of longer lines
         # Lines of a large key are held in blocks, and its open ones come to each block.
         blocks = F.ceil(F.col("n") / HELD).cast("int")
         rest = long_.join(asked(long_), "key").withColumn("own_block", F.pmod(F.xxhash64("id", "line"), blocks).cast("int"))

@@ -59,3 +59,24 @@ def test_hot_key(spark, monkeypatch):
     want = {b for a, b in itertools.combinations(range(len(made)), 2) if lines.within(made[a], made[b], 2)}
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string")
     assert {r.id for r in lines.dropped_lines(df, grow=True).collect()} == want and len(want) >= 10
+
+
+def test_shuffles_are_released(spark, monkeypatch):
+    """Shuffles of settled short lines and of keys are let go before the next ones are written, and ids are compared only under keys of several lines."""
+    kept, release, seen = lines.stored, lines.release, []
+    plans = {}
+
+    def stored(df, name):
+        seen.append(name)
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return kept(df, name)
+
+    monkeypatch.setattr(lines, "stored", stored)
+    monkeypatch.setattr(lines, "release", lambda spark: seen.append("release") or release(spark))
+    words = [f"w{k}" for k in range(60)]
+    body = [(k, " ".join(words[:k] + ["x"] + words[k + 1 :]) + "\nalpha beta gamma delta") for k in range(3)]
+    out = lines.dropped_lines(spark.createDataFrame(body, "doc_id long, text string"), grow=True)
+    assert {(x.id, x.line, x.near) for x in out.collect()} == {(1, 0, True), (2, 0, True), (1, 1, False), (2, 1, False)}
+    assert all(seen[seen.index(name) + 1] == "release" for name in ("settled", "variants"))
+    windows = [k for k, x in enumerate(plans["shared"]) if "Window [" in x]
+    assert len(windows) == 2 and any("Filter (n#" in x for x in plans["shared"][windows[0] : windows[1]])
