@@ -55,6 +55,20 @@ def line_words(line: str) -> list[str]:
     return line.lower().split()
 
 
+#: White space, but for the two that stand between plain words and lines.
+_ODD = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+
+
+def plain_lines(text: str) -> list[str]:
+    """The lines of ``text``, their ``line_words`` joined by one space each. Most texts need but be cut at their newlines for it: one
+    that has no other white space than single spaces between words."""
+    text = text.lower()
+    own = text.split("\n")
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _ODD):
+        return [" ".join(x.split()) for x in own]
+    return own
+
+
 _powers: dict = {}
 
 
@@ -145,16 +159,17 @@ def _least(k: int) -> int:
 DEALINGS = 4
 
 
-def _bags(lines: list[list[str]]):
-    """(places in ``lines``, hashes): the words, each with its how manieth it is of that word in its line."""
+def _bags(place, h):
+    """The words of lines, those of a line together, each with its how manieth it is of that word in its line: (lines, hashes).
+    40 bits tell words apart here, so that line and word are sorted as one number."""
     import numpy as np
 
-    place, h = np.repeat(np.arange(len(lines)), [len(w) for w in lines]), word_hashes(lines)
-    order = np.lexsort((h, place))
-    place, h = place[order], h[order]
-    starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (place[1:] != place[:-1])])
-    ranks = np.arange(len(h)) - np.repeat(starts, np.diff(np.r_[starts, len(h)]))
-    return place, _mixed(h + ranks.astype(np.uint64) * np.uint64(_BASE))
+    if len(place) and int(place[-1]) >> 24:
+        raise ValueError("too many lines at once")
+    both = np.sort((place.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    starts = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    ranks = np.arange(len(both)) - np.repeat(starts, np.diff(np.r_[starts, len(both)]))
+    return (both >> np.uint64(40)).astype(np.int64), _mixed(_mixed(both << np.uint64(24)) + ranks.astype(np.uint64) * np.uint64(_BASE))
 
 
 def _spans(starts, counts):
@@ -164,43 +179,52 @@ def _spans(starts, counts):
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
-def _dealt(lines: list[list[str]], touched: int, drop: bool):
-    """(places in ``lines``, odd keys) from classes so many that ``edits`` leave one with fewer than ``touched`` altered words;
-    with ``drop``, of each class the variants without one word too. Classes carry sums of their words' hashes."""
+def _dealt(h, lengths, touched: int, drop: bool):
+    """(lines, odd keys) of lines of ``lengths`` words with hashes ``h``, one after another, from classes so many that ``edits`` leave
+    one with fewer than ``touched`` altered words; with ``drop``, of each class the variants without one word too. Classes carry sums of
+    their words' hashes, so nothing needs sorting but the words of each line."""
     import numpy as np
 
     families: dict[int, list[int]] = {}
-    for i, words in enumerate(lines):
-        for k in _families(len(words)):
-            families.setdefault(k, []).append(i)
+    for n in np.unique(lengths).tolist():
+        for k in _families(n):
+            families.setdefault(k, []).append(n)
+    _, h = _bags(np.repeat(np.arange(len(lengths)), lengths), h)
+    starts = np.cumsum(lengths) - lengths
     owners, keys = [], []
-    for k, members in families.items():
+    for k, sizes_ in families.items():
         p, least = 2 * k // touched + 1, _least(k)
-        place, h = _bags([lines[i] for i in members])
+        members = np.flatnonzero(np.isin(lengths, sizes_))
         line = np.arange(len(members))  # of which keys are still open: the line, what the dealings before gave, and of how many words
         sums, sizes = np.full(len(line), ((k << 32) * _BASE + touched) & _ALL, np.uint64), np.zeros(len(line), np.int64)
         for dealing in range(DEALINGS):
-            own = _mixed(h + np.uint64((dealing + 1) * _BACK & _ALL))
-            group = place * p + ((own >> np.uint64(33)) % np.uint64(p)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            group, own = group[order], own[order]
-            counts = np.bincount(group, minlength=len(members) * p)
-            total = np.zeros(len(counts), np.uint64)
-            full = np.flatnonzero(counts)
-            total[full] = np.add.reduceat(own, (np.cumsum(counts) - counts)[full])
-            # The variants of this dealing, those of a line next to each other.
-            at, key, size = np.arange(len(counts)), total, counts
-            if drop:
-                at, key, size = np.r_[at, group], np.r_[key, total[group] - own], np.r_[size, counts[group] - 1]
-                order = np.argsort(at, kind="stable")
-                at, key, size = at[order], key[order], size[order]
-            key = _mixed(key + (at % p).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64))
-            of_line = np.bincount(at // p, minlength=len(members))
-            each = _spans((np.cumsum(of_line) - of_line)[line], of_line[line])
-            line, before = np.repeat(line, of_line[line]), of_line[line]
+            if dealing:
+                asked, line = np.unique(line, return_inverse=True)
+                members = members[asked]
+            n = lengths[members]
+            own = _mixed((h if len(members) == len(lengths) else h[_spans(starts[members], n)]) + np.uint64((dealing + 1) * _BACK & _ALL))
+            place = np.repeat(np.arange(len(members)), n)
+            group = place * p + (((own >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
+            size = np.bincount(group, minlength=len(members) * p)
+            key, of_line = np.zeros(len(size), np.uint64), np.full(len(members), p)
+            np.add.at(key, group, own)
+            salt = np.tile(np.arange(p, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), len(members))
+            if drop:  # the classes of a line, then its variants
+                total, count, of_line = key, size, n + p
+                whole = _spans(np.cumsum(of_line) - of_line, np.full(len(members), p))
+                part = np.arange(len(own)) + (place + 1) * p
+                key, size = np.empty(len(total) + len(own), np.uint64), np.empty(len(total) + len(own), np.int64)
+                key[whole], key[part] = total + salt, total[group] - own + salt[group]
+                size[whole], size[part] = count, count[group] - 1
+            else:
+                key += salt
+            key = _mixed(key + size.astype(np.uint64))
+            before = of_line[line]
+            each = _spans((np.cumsum(of_line) - of_line)[line], before)
+            line = np.repeat(line, before)
             sums, sizes = _mixed(np.repeat(sums, before) * np.uint64(_BASE) + key[each]), np.repeat(sizes, before) + size[each]
             done = (sizes >= least) | (dealing == DEALINGS - 1)
-            owners.append(np.array(members)[line[done]])
+            owners.append(members[line[done]])
             keys.append(sums[done])
             line, sums, sizes = line[~done], sums[~done], sizes[~done]
             if not len(line):
@@ -210,15 +234,21 @@ def _dealt(lines: list[list[str]], touched: int, drop: bool):
     return np.concatenate(owners), (np.concatenate(keys) | np.uint64(1)).view(np.int64)
 
 
+def _hashed(lines: list[list[str]]):
+    import numpy as np
+
+    return word_hashes(lines), np.array([len(w) for w in lines], np.int64)
+
+
 def class_keys(lines: list[list[str]]):
     """(places in ``lines``, odd keys) of lines of ``STEP`` words or more; one key at least is shared by any two of them that
     are at most ``edits`` apart."""
-    return _dealt(lines, 1, False)
+    return _dealt(*_hashed(lines), 1, False)
 
 
 def deletion_keys(lines: list[list[str]]):
     """The same, of fewer and larger classes, with all their variants without one word."""
-    return _dealt(lines, 2, True)
+    return _dealt(*_hashed(lines), 2, True)
 
 
 def within(a: list[str], b: list[str], most: int) -> bool:
@@ -245,9 +275,15 @@ def within(a: list[str], b: list[str], most: int) -> bool:
 def near(a: list[str], b: list[str]) -> bool:
     """Whether a and b, of ``MIN_WORDS`` words at least, are at most ``edits`` apart. An edit takes one word at most from each
     side, so lines with more words that the other one lacks needn't be compared place by place."""
-    most = edits(min(len(a), len(b)))
+    most, least = edits(min(len(a), len(b))), min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
         return False
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), least)  # equal ends take no edit
+    j = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), least)
+    j = min(j, least - i)
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if max(len(a), len(b)) <= most:
+        return True
     words, others = Counter(a), Counter(b)
     return max((words - others).total(), (others - words).total()) <= most and within(a, b, most)
 
@@ -327,18 +363,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in batches:
             ids, n_words = batch.column("id"), 0
-            doc, line, marks, pending = [], [], [], []
+            doc, line, marks, pending, sizes = [], [], [], [], []
 
             def ready():
-                long = [i for i, w in enumerate(pending) if grow and len(w) >= max(min_words, STEP)]
-                owners, keys = class_keys([pending[i] for i in long])
-                owners = np.array(long, np.int64)[owners] if len(long) else owners
+                counts = np.array(sizes, np.int64)
+                long = np.flatnonzero((counts >= max(min_words, STEP)) & grow)
+                owners, keys = _dealt(text_hashes([pending[i] for i in long.tolist()]), counts[long], 1, False)
+                owners = long[owners]
                 short, half = [], []
-                for i, w in enumerate(pending):
-                    if min_words <= len(w) and (len(w) <= STEP or not grow):
-                        found = halves(w)
-                        short += [i] * len(found)
-                        half += found
+                for i in np.flatnonzero((counts >= min_words) & ((counts <= STEP) | (not grow))).tolist():
+                    found = halves(pending[i].split(" "))
+                    short += [i] * len(found)
+                    half += found
                 owners, keys = np.concatenate([owners, np.array(short, np.int64)]), np.concatenate([keys, np.array(half, np.uint64).view(np.int64)])
                 order = np.argsort(owners, kind="stable")
                 ends = np.searchsorted(owners[order], np.arange(len(pending) + 1))
@@ -346,47 +382,56 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 return pa.RecordBatch.from_arrays(arrays, names=["id", "line", "mark", "keys"])
 
             for d, text in enumerate(batch.column("text")):
-                for k, own in enumerate(text.as_py().split("\n")):
-                    if words := line_words(own):
+                for k, own in enumerate(plain_lines(text.as_py())):
+                    if own:
                         doc.append(d)
                         line.append(k)
-                        marks.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-                        pending.append(words)
-                        n_words += len(words)
+                        marks.append(xxhash.xxh3_128_digest(own.encode("utf-8", "surrogatepass")))
+                        pending.append(own)
+                        sizes.append(own.count(" ") + 1)
+                        n_words += sizes[-1]
                         if n_words >= CHUNK:
                             yield ready()
                             n_words = 0
-                            for x in (doc, line, marks, pending):
+                            for x in (doc, line, marks, pending, sizes):
                                 x.clear()
             if pending:
                 yield ready()
 
     lines = stored(rows.mapInArrow(split, f"id {kind}, line int, mark binary, keys array<long>"), "lines")
     places = lines.select("id", "line", "mark")
-    unique = places.groupBy("mark").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
-    again = stored(places.join(unique, "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct(), "again")
-    release(docs.sparkSession)  # the shuffled marks
-
     own = F.struct("id", "line")
-    firsts = lines.where("size(keys) > 0").groupBy("mark").agg(F.min(own).alias("first"), F.first("keys").alias("keys"))
-    keys = firsts.select(F.explode("keys").alias("key"), F.col("first.id").alias("id"), F.col("first.line").alias("line"))
+    # Marks are counted first: few are there twice, so that few places need their least one, and none but those are sorted.
+    often = places.groupBy("mark").count().where("count > 1").select("mark")
+    equal = stored(places.join(often.hint("shuffle_hash"), "mark"), "equal")
+    unique = equal.groupBy("mark").agg(F.min(own).alias("first"))
+    again = stored(equal.join(unique, "mark").where("first.id != id or first.line != line").select("id", "line", F.lit(False).alias("near")).distinct(), "again")
+    discard(equal)  # and the shuffled marks
+
+    # ``again`` has no frequent key, whatever lines are frequent; a task holds its share of it. Rows repeated as wholes come twice.
+    firsts = lines.where("size(keys) > 0").select("id", "line", "keys").join(again.select("id", "line").hint("shuffle_hash"), ["id", "line"], "left_anti")
+    keys = firsts.select(F.explode("keys").alias("key"), "id", "line")
     all_ = Window.partitionBy("key")
-    several = keys.withColumn("n", F.count("*").over(all_)).where("n > 1")  # few are, so ids are compared after it
-    shared = stored(several.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most", "n"), "shared")
+    several = keys.withColumn("n", F.count("*").over(all_)).where("n > 1").drop("n").distinct()  # few are, so ids are compared after it
+    shared = stored(several.withColumns({"least": F.min(own).over(all_), "most": F.max(own).over(all_)}).where("least != most").drop("most"), "shared")
     discard(lines)
 
     def pick(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for key, text, wanted in zip(batch["id"], batch["text"], batch["wanted"]):
-                own = text.split("\n")
-                out += [(key, int(k), " ".join(line_words(own[k]))) for k in wanted if k < len(own)]
-            yield pd.DataFrame(out, columns=["id", "line", "words"])
+            doc, line, words = [], [], []
+            for d, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted").to_pylist())):
+                own = text.as_py().split("\n")
+                for k in wanted:
+                    if k < len(own):
+                        doc.append(d)
+                        line.append(k)
+                        words.append(" ".join(line_words(own[k])))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc, pa.int64())), pa.array(line, pa.int32()), pa.array(words, pa.string())], names=["id", "line", "words"])
 
     wanted = shared.select("id", "line").distinct().groupBy("id").agg(F.collect_list("line").alias("wanted"))
-    picked = stored(rows.join(wanted.hint("shuffle_hash"), "id").mapInPandas(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
+    picked = stored(rows.join(wanted.hint("shuffle_hash"), "id").mapInArrow(pick, f"id {kind}, line int, words string").dropDuplicates(["id", "line"]), "picked")
     release(docs.sparkSession)  # the shuffled documents
 
     def emit(batches):
@@ -446,6 +491,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 while at < len(lines):
                     end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK // 4)) - 1)
                     owners, keys = deletion_keys(lines[at:end])
+                    order = np.lexsort((keys, owners))
+                    order = order[np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(owners[order]) != 0)]] if len(order) else order
+                    owners, keys = owners[order], keys[order]
                     for i in range(0, len(keys), CHUNK):
                         own = batch.take(pa.array(owners[i : i + CHUNK] + at))
                         yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + CHUNK]), own.column("id"), own.column("line"), own.column("open")], names=["key", "id", "line", "open"])
@@ -480,7 +528,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # Then those that aren't settled by it, with the lines before them that share a variant, up to the first that is near.
         rest = shared.where("key % 2 <> 0").join(close.withColumn("gone", F.lit(True)), ["id", "line"], "left").withColumn("open", F.col("gone").isNull() & (own != F.col("least")))
         some = rest.join(asked(rest).where("n > 2"), "key").groupBy("id", "line").agg(F.max("open").alias("open"))
-        long_ = stored(some.join(picked, ["id", "line"]).select("id", "line", "open", "words").mapInArrow(emit_long, f"key long, id {kind}, line int, open boolean").distinct(), "variants")
+        long_ = stored(some.join(picked, ["id", "line"]).select("id", "line", "open", "words").mapInArrow(emit_long, f"key long, id {kind}, line int, open boolean"), "variants")
         settled.append(long_)
         release(docs.sparkSession)  # the keys of longer lines
         # Lines of a large key are held in blocks, and its open ones come to each block.
@@ -531,7 +579,7 @@ def _dedup(docs: DataFrame, id_col: str, text_col: str, min_words: int, grow: bo
 
     joined = docs.join(by_doc.hint("shuffle_hash"), id_col, "left")  # a short list for each document, next to whole texts
     text, n_near = F.col(text_col), F.coalesce(near_, F.lit(0))
-    count = F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S")))).cast("int")
-    left = F.when(F.col(gone).isNull(), text).otherwise(rest(text, F.col(gone)))
+    count = F.when(text.isNull(), 0).otherwise(F.regexp_count(text, F.lit(r"(?U)\S[^\n]*"))).cast("int")
+    left = F.when(F.col(gone).isNull(), text).otherwise(rest(F.when(F.col(gone).isNotNull(), text), F.col(gone)))
     kept = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("_lines", "_exact", "_near")]
     return joined.select(*kept, count.alias("_lines"), (F.coalesce(F.size(gone), F.lit(0)) - n_near).alias("_exact"), n_near.alias("_near"))

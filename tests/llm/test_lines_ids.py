@@ -80,3 +80,36 @@ def test_shuffles_are_released(spark, monkeypatch):
     assert all(seen[seen.index(name) + 1] == "release" for name in ("settled", "variants"))
     windows = [k for k, x in enumerate(plans["shared"]) if "Window [" in x]
     assert len(windows) == 2 and any("Filter (n#" in x for x in plans["shared"][windows[0] : windows[1]])
+
+
+def test_plain_lines():
+    """Lines whose words needn't be split to be normalised, and those where they must: every kind of white space, at any place."""
+    import sys
+
+    spaces = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+    made = [a + f"Ab{c}c d" + b for c in spaces for a in ("", c, "\n", "x\n") for b in ("", c, "\n", c + "\nY")] + ["", "\n", "ΑΣ\nΑΣ Σ", "a b\nc", "\ud800 A"]
+    for text in made:
+        assert lines.plain_lines(text) == [" ".join(lines.line_words(x)) for x in text.split("\n")]
+
+
+def test_keys_of_bags():
+    """Keys depend on a line's words, not on their order or on the other lines, and repeated words are told apart."""
+    rng = random.Random(11)
+    for n in (20, 47, 130, 900):
+        line = [f"w{rng.randrange(n // 2)}" for _ in range(n)]
+        mixed = rng.sample(line, n)
+        others = [[f"v{rng.randrange(50)}" for _ in range(rng.randrange(20, 90))] for _ in range(30)]
+        for made in (lines.class_keys, lines.deletion_keys):
+            alone = sorted(made([line])[1].tolist())
+            owners, keys = made([*others, mixed, *others])
+            assert sorted(keys[owners == 30].tolist()) == alone
+            assert set(made([line + ["more"]])[1].tolist()) & set(alone) and set(made([line[:-1] * 2])[1].tolist()) != set(alone)
+
+
+def test_repeated_rows_share_no_key(spark):
+    """Whole rows that come twice: a near copy of two lines is found under keys where the others stand twice."""
+    words = [f"w{k}" for k in range(60)]
+    near = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    rows = [(1, near()), (1, near()), (2, near(5)), (2, near(5)), (3, near(50, 51)), (4, near(5, 50, 51))]
+    got = {(r.id, r.near) for r in lines.dropped_lines(spark.createDataFrame(rows, "doc_id long, text string"), grow=True).collect()}
+    assert got == {(2, True), (3, True), (4, True)}
