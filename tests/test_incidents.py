@@ -228,3 +228,20 @@ def test_series_are_counted_before_slots(spark):
     events = spark.createDataFrame([("t", "s", 199), ("t", "s", 200), ("t", "s", 401)], "tenant string, service string, ns long")
     near = anomaly.deploys_near(events, deploys, at="ns", within_ns=100)
     assert sorted((x.ns, x.deploy_id) for x in near.collect()) == [(199, "d1"), (200, "d1"), (200, "d2")]
+
+
+def test_queries_take_areas_apart(spark):
+    """The queries' events are assigned area by area, so that a tenant isn't one task, with the incidents of whole tenants."""
+    import random
+
+    from spanlake.plans import incidents as plans
+
+    rng = random.Random(3)
+    rows = [(f"e{k:04}", f"t{rng.randrange(2)}", f"s{(s := rng.randrange(8))}", f"f{s}-{rng.randrange(4)}", rng.randrange(400) * 10**10, rng.random(), rng.random() < 0.2) for k in range(600)]
+    table = spark.createDataFrame(rows, EVENT)
+    hops = spark.createDataFrame([(t, a, b) for t in ("t0", "t1") for a, b in (("s0", "s1"), ("s1", "s0"), ("s2", "s3"), ("s3", "s2"), ("s0", "s0"))], "tenant string, service string, other string")
+    got, want = plans.assigned(table, hops), incidents.assign(table, hops, most=None)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = plans.assigned(table, hops)._jdf.queryExecution().optimizedPlan().toString()
+    assert "area" in next(line for line in plan.split("\n") if "RepartitionByExpression" in line)
