@@ -245,3 +245,40 @@ def test_queries_take_areas_apart(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = plans.assigned(table, hops)._jdf.queryExecution().optimizedPlan().toString()
     assert "area" in next(line for line in plan.split("\n") if "RepartitionByExpression" in line)
+
+
+def test_evidence_of_traces_in_one_pass(spark):
+    """Three rules are answered by one pass over spans dealt by trace, without joins or attributes, as by the rules one by one."""
+    from spanlake.operators import anomaly, spans
+    from spanlake.plans import fixtures
+    from spanlake.plans import incidents as plans
+
+    r = random.Random(5)
+    rows = [("t", f"{k // 3:03}", f"{i}", f"{p}" if (p := r.choice([None, 0, 1, 2, 9, i])) is not None else None, f"s{r.randrange(4)}", f"op{r.randrange(2)}", r.choice([0, 1, 80, 100, 125, 1000]), 10 * k + i, r.random() < 0.1) for k in range(90) for i in range(8) if k % 3 == i % 3]
+    table = spark.createDataFrame(rows, "tenant string, trace_id string, span_id string, parent_span_id string, service string, name string, duration_ns long, received_ns long, is_error boolean").withColumn("signature", F.when(F.col("is_error"), anomaly.signature(attrs=False)))
+    got = {(x.rule, x.service, x.signature): (x.confidence, x.first_ns) for x in incidents.from_traces(table, threshold=2).collect()}
+    pairs = spans.parent_child(table)
+    totals = table.select("tenant", "trace_id", F.col("span_id").alias("parent_span_id"), F.col("duration_ns").alias("total_ns"))
+    want = {("downstream_latency", x.parent_service, None): (0.8, None) for x in incidents.downstream_latency(pairs, totals).collect()}
+    want |= {("n_plus_one", x.service, None): (x.c, None) for x in incidents.repeated_siblings(pairs, threshold=2).groupBy("service").agg(F.max("confidence").alias("c")).collect()}
+    want |= {("error", x.service, x.signature): (None, x.first_ns) for x in anomaly.error_signatures(table.withColumn("attrs", F.create_map().cast("map<string,string>"))).collect()}
+    assert got == want and {k[0] for k in got} == {"downstream_latency", "n_plus_one", "error"}
+    plan = incidents.from_traces(table.repartition("tenant", "trace_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2  # the dealing, and the result
+
+    kept, read = fixtures.raw_spans, []
+    fixtures.raw_spans = lambda *a, **k: read.append(k.get("attrs", True)) or kept(*a, **k)
+    try:
+        plans.conclude(spark, "/root/testdata/sf0.001")
+    finally:
+        fixtures.raw_spans = kept
+    assert read.count(True) <= 1 and len(read) <= 3  # evidence, edges, series
+
+
+def test_deploy_errors_leave_deploys_as_they_are(spark):
+    signatures = spark.createDataFrame([("t", "s", "x", 199), ("t", "s", "y", 200), ("t", "s", "z", 301), ("t", "u", "x", 100)], "tenant string, service string, signature string, first_ns long")
+    deploys = spark.createDataFrame([("t", "s", "d1", 99), ("t", "s", "d2", 200), ("t", "u", "d3", 100), ("t", "s", "d4", 201)], "tenant string, service string, deploy_id string, at_ns long")
+    found = incidents.deploy_errors(signatures, deploys, within_ns=100)
+    assert sorted((x.signature, x.deploy_id, x.after_ns) for x in found.collect()) == [("x", "d1", 100), ("z", "d4", 100)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Generate" not in plan
