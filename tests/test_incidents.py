@@ -282,3 +282,46 @@ def test_deploy_errors_leave_deploys_as_they_are(spark):
     assert sorted((x.signature, x.deploy_id, x.after_ns) for x in found.collect()) == [("x", "d1", 100), ("z", "d4", 100)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Generate" not in plan
+
+
+def test_epicenter_keeps_all_edges(spark):
+    """Hops of the query go over every edge between services, in code and SQL; those of the others over the busiest."""
+    from spanlake.plans import incidents as plans
+    from spanlake.plans import registry
+
+    chain = [("t", f"s{k}", f"s{k + 1}", "http", 100 - k, 0, 0) for k in range(7)] + [("t", "external", "s0", "unknown", 900, 0, 0), ("t", "s0", "db:pg", "db", 900, 0, 0)]
+    edge = spark.createDataFrame(chain, "tenant string, caller string, callee string, protocol string, calls long, first_ns long, last_ns long")
+    kept, asked, near = plans.base_edges, [], plans.near
+    plans.base_edges = lambda *a: edge
+    try:
+        got = {(x.service, x.other) for x in near(spark, "", None).collect()}
+        few = {(x.service, x.other) for x in near(spark, "").collect()}
+    finally:
+        plans.base_edges = kept
+    assert got == {(f"s{a}", f"s{b}") for a in range(8) for b in range(8) if abs(a - b) <= 2}
+    assert few == {(f"s{a}", f"s{b}") for a in range(5) for b in range(5) if abs(a - b) <= 2}
+    plans.near = lambda spark, sf_dir, most=plans.STRONG: asked.append(most) or near(spark, sf_dir, most)
+    try:
+        plans.epicenter(spark, "/root/testdata/sf0.001")
+    finally:
+        plans.near = near
+    assert asked == [None] and f"protocol) <= {plans.STRONG}" not in registry.SQL["epicenter"]
+
+
+def test_assign_reads_few_in_order(spark):
+    """Without a cap, only the first events of fingerprints, and the last ones before these, are read in order, also where a tenant is one area."""
+    r = random.Random(17)
+    rows = [(f"e{k:05}", f"t{r.randrange(2)}", s := f"s{r.randrange(6)}", f"{s}-{r.randrange(3)}" if r.random() < 0.99 else f"x{k % 3}", 1000 * r.randrange(0, k // 40 + 1) * 40, r.random(), False) for k in range(4000)]
+    table = spark.createDataFrame(rows, EVENT)
+    hops = spark.createDataFrame([(t, a, b) for t in ("t0", "t1") for a, b in (("s0", "s1"), ("s1", "s0"), ("s1", "s2"), ("s2", "s1"))], "tenant string, service string, other string")
+    read, kept = [], incidents._walked
+    incidents._walked = lambda rows, *a: read.append(rows) or kept(rows, *a)
+    try:
+        got = incidents.assign(table, hops, window_ns=30_000, most=None)
+    finally:
+        incidents._walked = kept
+    want = incidents._walked(table, hops, 30_000, 0, None, ("tenant",))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert len({x.incident for x in got.collect()}) > 2
+    kinds = table.select("tenant", "fingerprint", "service").distinct().count()
+    assert len(read) == 1 and kinds <= read[0].count() <= kinds * (kinds + 4) // 4 < 1200
