@@ -248,22 +248,29 @@ def test_queries_take_areas_apart(spark):
 
 
 def test_evidence_of_traces_in_one_pass(spark):
-    """Three rules are answered by one pass over spans dealt by trace, without joins or attributes, as by the rules one by one."""
-    from spanlake.operators import anomaly, spans
+    """Three rules and the calls come from one pass over spans dealt by trace, without joins, as by the rules one by one; conclude reads traces once."""
+    from spanlake.operators import anomaly, graph, spans
     from spanlake.plans import fixtures
     from spanlake.plans import incidents as plans
 
     r = random.Random(5)
     rows = [("t", f"{k // 3:03}", f"{i}", f"{p}" if (p := r.choice([None, 0, 1, 2, 9, i])) is not None else None, f"s{r.randrange(4)}", f"op{r.randrange(2)}", r.choice([0, 1, 80, 100, 125, 1000]), 10 * k + i, r.random() < 0.1) for k in range(90) for i in range(8) if k % 3 == i % 3]
-    table = spark.createDataFrame(rows, "tenant string, trace_id string, span_id string, parent_span_id string, service string, name string, duration_ns long, received_ns long, is_error boolean").withColumn("signature", F.when(F.col("is_error"), anomaly.signature(attrs=False)))
-    got = {(x.rule, x.service, x.signature): (x.confidence, x.first_ns) for x in incidents.from_traces(table, threshold=2).collect()}
+    table = spark.createDataFrame(rows, "tenant string, trace_id string, span_id string, parent_span_id string, service string, name string, duration_ns long, received_ns long, is_error boolean")
+    kind = F.abs(F.xxhash64("trace_id", "span_id")) % 6
+    attrs = F.when(F.xxhash64("span_id", "trace_id") % 3 == 0, F.create_map(F.lit("peer.service"), F.lit("s1"))).otherwise(F.create_map(F.lit("http.method"), F.lit("GET")))
+    table = table.withColumns({"kind": kind, "attrs": attrs, "status_code": F.when(F.col("is_error"), 2).otherwise(1)}).withColumn("signature", F.when(F.col("is_error"), anomaly.signature()))
+    own = lambda rows: spans.once(graph.family_calls(spans.families(graph.prepared(rows), "received_ns", "kind", "_peer", "_protocol"), within_ns=3))
+    got = {(x.rule, x.service, x.signature): (x.confidence, x.first_ns) for x in incidents.from_traces(incidents.counted_traces(own(table)), threshold=2).collect()}
     pairs = spans.parent_child(table)
     totals = table.select("tenant", "trace_id", F.col("span_id").alias("parent_span_id"), F.col("duration_ns").alias("total_ns"))
     want = {("downstream_latency", x.parent_service, None): (0.8, None) for x in incidents.downstream_latency(pairs, totals).collect()}
     want |= {("n_plus_one", x.service, None): (x.c, None) for x in incidents.repeated_siblings(pairs, threshold=2).groupBy("service").agg(F.max("confidence").alias("c")).collect()}
-    want |= {("error", x.service, x.signature): (None, x.first_ns) for x in anomaly.error_signatures(table.withColumn("attrs", F.create_map().cast("map<string,string>"))).collect()}
+    want |= {("error", x.service, x.signature): (None, x.first_ns) for x in anomaly.error_signatures(table).collect()}
     assert got == want and {k[0] for k in got} == {"downstream_latency", "n_plus_one", "error"}
-    plan = incidents.from_traces(table.repartition("tenant", "trace_id"))._jdf.queryExecution().executedPlan().toString()
+    edge = lambda rows: sorted(map(str, rows.select("trace_id", "span_id", "caller", "callee", "protocol").collect()))
+    calls = edge(graph.calls(table, within_ns=3))
+    assert calls == edge(own(table).where("caller is not null")) and len({x.split("caller=")[1] for x in calls}) > 8
+    plan = incidents.counted_traces(own(table.repartition("tenant", "trace_id")))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 2  # the dealing, and the result
 
     kept, read = fixtures.raw_spans, []
@@ -272,7 +279,7 @@ def test_evidence_of_traces_in_one_pass(spark):
         plans.conclude(spark, "/root/testdata/sf0.001")
     finally:
         fixtures.raw_spans = kept
-    assert read.count(True) <= 1 and len(read) <= 3  # evidence, edges, series
+    assert len(read) == 2 and read.count(True) == 1  # traces, series
 
 
 def test_deploy_errors_leave_deploys_as_they_are(spark):
@@ -300,7 +307,7 @@ def test_epicenter_keeps_all_edges(spark):
         plans.base_edges = kept
     assert got == {(f"s{a}", f"s{b}") for a in range(8) for b in range(8) if abs(a - b) <= 2}
     assert few == {(f"s{a}", f"s{b}") for a in range(5) for b in range(5) if abs(a - b) <= 2}
-    plans.near = lambda spark, sf_dir, most=plans.STRONG: asked.append(most) or near(spark, sf_dir, most)
+    plans.near = lambda *a: asked.append(a[2]) or near(*a)
     try:
         plans.epicenter(spark, "/root/testdata/sf0.001")
     finally:
